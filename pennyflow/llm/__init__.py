@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator, by name."""
-    from . import bpe, mixing, url_filter
+    from . import bpe, jaccard_join, mixing, url_filter
 
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_mixing": mixing.op2_mixing,
+        "op5_jaccard": jaccard_join.op5_jaccard,
         "op10_bpe": bpe.op10_bpe,
     }
 
