@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of anything but space and the five ASCII controls from tab to carriage return.
@@ -47,3 +48,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{ensure_shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows, so that what a task makes of texts at a time stays small."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            yield whole.slice(start, rows)
