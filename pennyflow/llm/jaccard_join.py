@@ -330,11 +330,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one of each component stays: the one of the smallest id.
 
-    Repeated rows of that id all stay only if they can't be told apart by id; the first such row is kept.
+    Of repeated rows of that id one stays. Rows with a null id, which no result can name, all stay.
     """
-    joined = jaccard_join(docs, n, percent, id_col, text_col)
-    kept = joined.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    joined = jaccard_join(docs.where(F.col(id_col).isNotNull()), n, percent, id_col, text_col)
+    kept = joined.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

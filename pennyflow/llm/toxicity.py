@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is logistic in the words it holds, a
-document's is the noisy-or of its sentences': one toxic sentence is enough. Only documents have
-labels; training follows the gradient of their likelihood down to the sentences, so that afterwards
-each sentence has a score of its own and the offending ones are known.
+A document is a bag of sentences. A sentence's probability is logistic in the words and word parts it
+holds, a document's is the noisy-or of its sentences': one toxic sentence is enough. Only documents
+have labels; training follows the gradient of their likelihood down to the sentences, so that
+afterwards each sentence has a score of its own and the offending ones are known. In training, a leak
+stands for labels that no sentence explains; it has no part in scores.
 
 Training reads a bounded sample of the labelled rows (``TRAIN_ROWS`` of each class, in expectation,
 chosen by a hash of the id). Each step is a Spark job over the sample's word numbers that sends one
@@ -27,9 +28,13 @@ from .common import slices, stored, table, without
 
 #: Labelled rows of each class that training reads, in expectation.
 TRAIN_ROWS = 6_000
-#: Words that the model weighs, at most: those whose share of sentences differs most between classes, in standard errors.
-VOCABULARY, LEAST_Z, LEAST_SENTENCES = 2_000, 4.0, 4
-STEPS, RATE, L2, TRAIN_TASKS = 20, 0.4, 1e-3, 8
+#: Words and word parts that the model weighs, at most: those that sentences of toxic documents hold at least
+#: LEAST_RATIO times as often, by at least LEAST_Z standard errors, the clearest first.
+VOCABULARY, LEAST_RATIO, LEAST_Z, LEAST_SENTENCES = 4_000, 5.0, 3.3, 4
+#: Lengths of word parts; words longer than LONGEST have their first characters looked at only for parts.
+PARTS, LONGEST = (4, 5, 6), 40
+KEEP_WORDS = 400_000
+STEPS, RATE, L2, TRAIN_TASKS = 25, 0.4, 1e-4, 8
 #: A sentence is offending from this probability on.
 OFFENDING = 0.5
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
@@ -44,20 +49,40 @@ OUTPUTS = {
 }
 
 
+def features(word: str) -> set[str]:
+    """The word, and its parts, marked so as not to be taken for words."""
+    short = word[:LONGEST]
+    return {word, *(f"~{short[k : k + n]}" for n in PARTS for k in range(len(short) - n + 1))}
+
+
+class Known(dict):
+    """Word to the known ones of its features; holds a bounded number of words."""
+
+    def __init__(self, known: dict) -> None:
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> frozenset:
+        found = frozenset(f for f in features(word) if f in self.known)
+        if len(self) >= KEEP_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+    def sentences(self, text: str) -> Iterator[tuple[int, int, set[str]]]:
+        """Start, end and known features of the sentences that hold any."""
+        for m in SENTENCE.finditer(text):
+            if found := set().union(*map(self.__getitem__, WORD.findall(m.group().lower()))):
+                yield m.start(), m.end(), found
+
+
 @dataclass(frozen=True)
 class Model:
-    """The weight of each known word, and what every sentence that holds one starts from."""
+    """The weight of each known word or part, and what every sentence that holds one starts from; the others' probability is 0."""
 
     weights: dict[str, float]
     bias: float
 
-    def sentences(self, text: str) -> Iterator[tuple[int, int, float]]:
-        """Start, end and log-odds of the sentences that hold a known word; the others' probability is 0."""
-        known = self.weights
-        for m in SENTENCE.finditer(text.lower()):
-            if found := known.keys() & set(WORD.findall(m.group())):
-                yield m.start(), m.end(), self.bias + sum(map(known.__getitem__, sorted(found)))
-
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -86,29 +111,33 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 
 def choose_words(sample: DataFrame) -> list[str]:
-    """Words whose share of a class's sentences differs beyond chance, the clearest first."""
+    """The words and parts that mark toxic documents' sentences, the clearest first. Equal texts count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
         for batch in slices(batches):
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
-                for m in SENTENCE.finditer(text.as_py().lower()):
-                    held[label].update(set(WORD.findall(m.group())))
+                for m in SENTENCE.finditer(text.as_py()):
+                    held[label].update(set(WORD.findall(m.group().lower())))
                     held[label][""] += 1
-        words = list(held[0].keys() | held[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([h[w] for w in words], pa.int64()) for h in held)], names=["word", "clean", "toxic"])
-
-    sums = sample.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sums = sums.where(F.col("clean") + F.col("toxic") >= LEAST_SENTENCES)
-    sums = stored(sums)
+        parts = (Counter(), Counter())
+        for own, out in zip(held, parts, strict=True):
+            for word, n in own.items():
+                for f in features(word) if word else ("",):
+                    out[f] += n
+        words = list(parts[0].keys() | parts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([h[w] for w in words], pa.int64()) for h in parts)], names=["word", "clean", "toxic"])
+
+    sums = sample.dropDuplicates(["text"]).mapInArrow(count, "word string, clean long, toxic long")
+    sums = sums.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = stored(sums.where(F.col("clean") + F.col("toxic") >= LEAST_SENTENCES))
     total = sums.where("word = ''").first()
     if total is None or not total["clean"] or not total["toxic"]:
         return []
-    a, b = (F.col("toxic") + 0.5) / (total["toxic"] + 1.0), (F.col("clean") + 0.5) / (total["clean"] + 1.0)
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    z = F.abs(F.log(a / b)) / error
-    found = sums.where("word <> ''").withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(VOCABULARY)
-    return [r["word"] for r in found.collect()]
+    ratio = (F.col("toxic") + 0.5) / (total["toxic"] + 1.0) / ((F.col("clean") + 0.5) / (total["clean"] + 1.0))
+    z = F.log(ratio) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    found = sums.where("word <> ''").withColumn("z", z).where((F.col("z") >= LEAST_Z) & (ratio >= LEAST_RATIO))
+    return [r["word"] for r in found.orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()]
 
 
 def train(
@@ -122,45 +151,42 @@ def train(
     numbers = sample.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = numbers.value
+        known = Known(numbers.value)
         for batch in slices(batches):
-            out = []
-            for text in batch.column("text"):
-                sets = (known.keys() & set(WORD.findall(m.group())) for m in SENTENCE.finditer(text.as_py().lower()))
-                out.append([sorted(known[w] for w in s) for s in sets if s])
+            out = [[sorted(known.known[f] for f in found) for _, _, found in known.sentences(t.as_py())] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column("label")], names=["bags", "label"])
 
     held = stored(sample.mapInArrow(bags, "bags array<array<int>>, label int"))
     weight = {k: 1 / share[k] for k in share}
-    at = np.concatenate([np.zeros(len(words)), [-4.0]])
+    at = np.concatenate([np.zeros(len(words)), [-2.0, -3.0]])  # weights, bias, leak
     first, second = np.zeros_like(at), np.zeros_like(at)
     for step in range(1, STEPS + 1):
         total = np.sum([np.frombuffer(r["g"]) for r in held.mapInArrow(_gradient(at, weight), "g binary").collect()], axis=0)
         slope = total[:-1] / max(1.0, total[-1])
-        slope[:-1] += L2 * at[:-1]
+        slope[:-2] += L2 * at[:-2]
         first, second = 0.8 * first + 0.2 * slope, 0.95 * second + 0.05 * slope**2
         at = at - RATE * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-6)
-    return Model({w: float(x) for w, x in zip(words, at[:-1], strict=True)}, float(at[-1]))
+    return Model({w: float(x) for w, x in zip(words, at[:-2], strict=True)}, float(at[-2]))
 
 
 def _gradient(at: np.ndarray, weight: dict[int, float]):
-    """Each task's sum of the documents' gradients, bias next to last, and the sum of their weights."""
+    """Each task's sum of the documents' gradients, and after it the sum of their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(at) + 1)
         for batch in batches:
             for bags, label in zip(batch.column("bags").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 total[-1] += weight[label]
-                if not bags:
-                    continue
                 sizes = [len(b) for b in bags]
-                flat = np.concatenate(bags)
-                logits = at[-1] + np.add.reduceat(at[flat], np.cumsum([0, *sizes[:-1]]))
+                flat = np.concatenate([*bags, []]).astype(np.int64)
+                sums = np.add.reduceat(at[flat], np.cumsum([0, *sizes[:-1]])) if bags else np.zeros(0)
+                logits = np.append(at[-2] + sums, at[-1])
                 each = sigmoid(logits)
                 whole = noisy_or(logits)
                 slope = weight[label] * (each if label == 0 else -each * (1 - whole) / max(whole, 1e-9))
-                np.add.at(total, flat, np.repeat(slope, sizes))
-                total[-2] += slope.sum()
+                np.add.at(total, flat, np.repeat(slope[:-1], sizes))
+                total[-3] += slope[:-1].sum()
+                total[-2] += slope[-1]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
 
     return run
@@ -186,11 +212,12 @@ def score_texts(docs: DataFrame, model: Model, outputs: Iterable[str] = ("score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        known = Known(own.weights)
         for batch in slices(batches):
             rows = []
             for text in batch.column("__text"):
-                found = list(own.sentences(text.as_py() or ""))
-                logits = np.array([z for _, _, z in found])
+                found = list(known.sentences(text.as_py() or ""))
+                logits = np.array([own.bias + sum(map(own.weights.__getitem__, sorted(f))) for _, _, f in found])
                 score = noisy_or(logits) if found else 0.0
                 row = {"score": score, "predicted": int(score >= 0.5), "worst_start": None, "worst_end": None, "n_offending": 0, "offending": []}
                 if found:
