@@ -1,0 +1,113 @@
+"""Text as Columns: merchant keys, patterns, identifiers, clean-up, hashes."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Company endings that a merchant key drops, one pass in this order.
+COMPANY_ENDINGS = ("limited", "ltd", "inc", "llc", "plc", "corp", "co")
+#: What bank texts put before and after a merchant.
+BANK_PREFIXES = ("card payment to", "direct debit payment to", "faster payment to", "payment to")
+ORDER_PATTERNS = (r"\b(\d{3}-\d{7}-\d{7})\b", r"(?i)order\s*(?:number|no\.?|id|#)\s*:?\s*#?([A-Za-z0-9-]{5,})", r"(?i)invoice\s*(?:number|no\.?|#)\s*:?\s*#?([A-Za-z0-9-]{5,})")
+
+
+def squeeze(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def merchant_key(name: Column) -> Column:
+    """Lower case, without company endings, punctuation and extra spaces."""
+    out = F.lower(F.trim(name))
+    for ending in COMPANY_ENDINGS:
+        out = F.regexp_replace(out, rf"\s+{ending}\.?$", "")
+    return squeeze(F.regexp_replace(out, r"[^\w\s]", ""))
+
+
+def bank_key(text: Column) -> Column:
+    """A bank text's merchant: prefixes off in turn, punctuation to spaces."""
+    out = F.lower(F.trim(text))
+    for prefix in BANK_PREFIXES:
+        out = F.regexp_replace(out, rf"^{prefix}\s*", "")
+    return squeeze(F.regexp_replace(out, r"[^\w\s]", " "))
+
+
+def normal_merchant(text: Column) -> Column:
+    """A card merchant: credit and refund prefixes, ``*CODE``, a long last code and trailing signs go."""
+    out = F.regexp_replace(F.trim(text), r"(?i)^(credit|refund) from\s+", "")
+    out = F.regexp_replace(out, r"\*[A-Za-z0-9]+\s*$", "")
+    out = F.regexp_replace(out, r"\s+(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{8,}$", "")
+    return F.trim(F.regexp_replace(out, r"[*.\s]+$", ""))
+
+
+def abbreviated(name: Column, most: int = 35) -> Column:
+    """At most ``most`` characters; cut at the last space past 70 %, with an ellipsis."""
+    head = F.substring(name, 1, most - 3)
+    at = F.lit(most - 3) - F.instr(F.reverse(head), " ")
+    cut = F.when((F.instr(head, " ") > 0) & (at > int(0.7 * most)), F.substring(name, F.lit(1), at.cast("int"))).otherwise(head)
+    return F.when(F.length(name) <= most, name).otherwise(F.concat(cut, F.lit("...")))
+
+
+def rule_kind(pattern: Column) -> Column:
+    """``starts``, ``contains``, ``exact`` or ``regex`` from the pattern's prefix; without one, contains."""
+    kind = F.lower(F.regexp_extract(pattern, r"(?i)^(starts|contains|exact|regex):", 1))
+    return F.when(kind == "", "contains").otherwise(kind)
+
+
+def rule_body(pattern: Column) -> Column:
+    return F.regexp_replace(pattern, r"(?i)^(starts|contains|exact|regex):", "")
+
+
+def rule_matches(text: Column, kind: Column, body: Column) -> Column:
+    """Whether a rule fits: literal kinds ignore case, ``%`` and the like are ordinary; regexes ignore case but stay as written."""
+    up, own = F.upper(text), F.upper(body)
+    regex = F.when(kind == "regex", text.rlike(F.concat(F.lit("(?i)"), body)))
+    literal = F.when(kind == "starts", F.startswith(up, own)).when(kind == "exact", up == own).when(kind == "contains", F.contains(up, own))
+    return F.coalesce(literal, regex, F.lit(False))
+
+
+def order_id(text: Column) -> Column:
+    """The first order number by the patterns in turn; null if there is none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ORDER_PATTERNS])
+
+
+def email_domain(address: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(address, r"@([^\s>]+)", 1)), F.lit(""))
+
+
+def url_host(url: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)), F.lit(""))
+
+
+def html_text(html: Column) -> Column:
+    """Text of a page: scripts, styles and heads off, tags to spaces, the common entities read, spaces squeezed."""
+    out = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1>", " ")
+    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return squeeze(out)
+
+
+def receipt_hash(merchant: Column, amount: Column, day: Column, order: Column) -> Column:
+    """The key under which two receipts are one: SHA-256 of merchant, amount, day and order; amount 0 counts as none."""
+    money = F.when(amount == 0, F.lit("")).otherwise(F.coalesce(amount.cast("decimal(18,2)").cast("string"), F.lit("")))
+    parts = [F.lower(F.trim(F.coalesce(merchant, F.lit("")))), money, F.coalesce(day.cast("string"), F.lit("")), F.coalesce(order, F.lit(""))]
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """All runs of ``n`` words, joined by spaces; none for shorter arrays."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
+    return F.coalesce(F.transform(starts, lambda k: F.array_join(F.slice(words, k, n), " ")), F.array().cast("array<string>"))
+
+
+def first_of(text: Column, tests: Sequence[tuple[str, str]], default: str) -> Column:
+    """The label of the first test whose literal occurs in the text, whatever the case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = None
+    for literal, label in tests:
+        test = F.contains(low, F.lit(literal))
+        out = F.when(test, label) if out is None else out.when(test, label)
+    return out.otherwise(default)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from .base import QUERIES, SQL
+
 FLAGSHIP = "j08_purchase_match"
 
+for _name in ("spending", "matching", "rules", "enrichment", "texts", "incremental"):
+    import_module(f"{__name__}.{_name}")
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

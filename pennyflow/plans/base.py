@@ -1,0 +1,72 @@
+"""The register of queries, and the driver's tables in the roles that the operators expect."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.money import MONEY
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, with SQL of the same rows where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as bank transactions: finished ones are debits; the unspecified priority stands for no category."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_id"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").cast(MONEY).alias("amount"),
+        F.when(F.col("o_orderstatus") == "F", "DEBIT").otherwise("CREDIT").alias("type"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("category"),
+        F.concat(F.lit("S"), (F.col("o_custkey") % 4).cast("string")).alias("subcategory"), F.col("o_orderstatus").alias("status"),
+    )
+
+
+#: The same in SQL, as the first of a query's common tables.
+TXNS = """t AS (
+  SELECT o_orderkey AS id, o_custkey AS account_id, o_orderdate::DATE AS day, o_totalprice::DECIMAL(18,2) AS amount,
+    CASE WHEN o_orderstatus = 'F' THEN 'DEBIT' ELSE 'CREDIT' END AS type,
+    CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS category,
+    'S' || (o_custkey % 4)::VARCHAR AS subcategory, o_orderstatus AS status
+  FROM orders
+)"""
+
+
+def events(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
+    """Events with a money amount and a day; those of one kind, or all."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.to_date("ts").alias("day"), "user_id", "event_type", F.col("value").cast(MONEY).alias("amount"), "props")
+    return e if kind is None else e.where(F.col("event_type") == kind)
+
+
+EVENTS = "e AS (SELECT event_id, ts, ts::DATE AS day, user_id, event_type, value::DECIMAL(18,2) AS amount, props FROM events)"
+
+
+def banked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the kind ``purchase`` as transactions of a matching job."""
+    e = events(spark, sf_dir, "purchase")
+    return e.select(F.col("event_id").alias("txn_id"), F.col("day").alias("txn_day"), F.col("amount").alias("txn_amount"))
+
+
+def bought(spark: SparkSession, sf_dir: str, kind: str = "view") -> DataFrame:
+    """Events of another kind as the purchases."""
+    e = events(spark, sf_dir, kind)
+    return e.select(F.col("event_id").alias("purchase_id"), F.col("day").alias("purchase_day"), F.col("amount").alias("purchase_amount"))

@@ -1,0 +1,333 @@
+"""Spending, statistics, coverage and paging over transactions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.dates import month_key
+from ..operators.tables import page
+from .base import EVENTS, TXNS, events, query, table, txns
+
+FROM, TO = "1996-01-01", "1998-12-31"
+
+
+def dbl(c):
+    return c.cast("double")
+
+
+def percent(part, whole, digits: int = 1):
+    """A share in percent, rounded half up in decimals; 0 of nothing."""
+    exact = part.cast("decimal(18,4)") * 100 / F.when(whole != 0, whole)
+    return F.coalesce(F.round(exact, digits), F.lit(0)).cast("double")
+
+
+PERCENT = "coalesce(round(({0})::DECIMAL(18,4) * 100 / nullif({1}, 0), 1), 0)::DOUBLE"
+
+
+@query("a01_category_spend", f"""WITH {TXNS}
+SELECT coalesce(category, 'Uncategorized') AS category, sum(amount)::DOUBLE AS total, count(*) AS n FROM t
+WHERE type = 'DEBIT' AND day BETWEEN DATE '{FROM}' AND DATE '{TO}' GROUP BY t.category""")
+def category_spend(spark, sf_dir) -> DataFrame:
+    """Debits by category. Grouped by the raw category, so that a category of that name beside null keeps its own row."""
+    t = txns(spark, sf_dir).where((F.col("type") == "DEBIT") & F.col("day").between(FROM, TO))
+    out = t.groupBy("category").agg(dbl(F.sum("amount")).alias("total"), F.count("*").alias("n"))
+    return out.withColumn("category", F.coalesce("category", F.lit("Uncategorized"))).orderBy(F.desc("total"))
+
+
+@query("a03_bank_totals", f"""WITH {TXNS}
+SELECT count(*) AS n, coalesce(sum(CASE WHEN type = 'CREDIT' THEN amount END), 0)::DOUBLE AS credits,
+  coalesce(sum(CASE WHEN type = 'DEBIT' THEN abs(amount) END), 0)::DOUBLE AS debits, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day FROM t""")
+def bank_totals(spark, sf_dir) -> DataFrame:
+    """Counts and sums; an empty table has zeros, and null days."""
+    part = lambda kind: dbl(F.coalesce(F.sum(F.when(F.col("type") == kind, F.abs("amount"))), F.lit(0)))
+    return txns(spark, sf_dir).agg(
+        F.count("*").alias("n"), part("CREDIT").alias("credits"), part("DEBIT").alias("debits"),
+        F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"),
+    )
+
+
+KINDS = ("view", "click", "signup")
+
+
+@query("a04_source_statistics", f"""WITH {EVENTS}, m AS (SELECT DISTINCT user_id, day FROM e WHERE event_type = 'purchase'),
+s AS (SELECT e.*, m.user_id IS NOT NULL AS matched FROM e LEFT JOIN m ON e.user_id = m.user_id AND e.day = m.day WHERE event_type IN ('view', 'click', 'signup')),
+b AS (SELECT min(day) AS b0, max(day) AS b1 FROM e WHERE event_type = 'purchase'),
+g AS (SELECT event_type AS source, count(*) AS n, count_if(matched) AS matched, min(day) AS d0, max(day) AS d1 FROM s GROUP BY 1)
+SELECT source, n, matched::BIGINT AS matched, (n - matched)::BIGINT AS unmatched, d0::VARCHAR AS first_day, d1::VARCHAR AS last_day,
+  CASE WHEN greatest(d0, b0) <= least(d1, b1) THEN greatest(d0, b0) END::VARCHAR AS overlap_from,
+  CASE WHEN greatest(d0, b0) <= least(d1, b1) THEN least(d1, b1) END::VARCHAR AS overlap_to,
+  (d1 < b1 - 7) AS stale FROM g, b""")
+def source_statistics(spark, sf_dir) -> DataFrame:
+    """Per source: rows, matched, unmatched, days, overlap with the bank's days (null if none), staleness (over 7 days behind, strictly)."""
+    e = events(spark, sf_dir)
+    bank = e.where("event_type = 'purchase'")
+    days = bank.select("user_id", "day").distinct().withColumn("hit", F.lit(True))
+    s = e.where(F.col("event_type").isin(*KINDS)).join(days, ["user_id", "day"], "left")
+    out = s.groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("n"), F.count("hit").alias("matched"), F.min("day").alias("d0"), F.max("day").alias("d1"))
+    out = out.crossJoin(F.broadcast(bank.agg(F.min("day").alias("b0"), F.max("day").alias("b1"))))
+    start, end = F.greatest("d0", "b0"), F.least("d1", "b1")
+    known = F.col("d0").isNotNull() & F.col("b0").isNotNull() & (start <= end)
+    return out.select(
+        "source", "n", "matched", (F.col("n") - F.col("matched")).alias("unmatched"), F.col("d0").cast("string").alias("first_day"), F.col("d1").cast("string").alias("last_day"),
+        F.when(known, start).cast("string").alias("overlap_from"), F.when(known, end).cast("string").alias("overlap_to"), (F.col("d1") < F.date_sub("b1", 7)).alias("stale"),
+    )
+
+
+@query("a07_coverage", f"""WITH {EVENTS}, v AS (SELECT DISTINCT (amount * 100)::BIGINT AS c FROM e WHERE event_type = 'view'),
+p AS (SELECT e.*, v.c IS NOT NULL AS hit FROM e LEFT JOIN v ON (e.amount * 100)::BIGINT = v.c WHERE event_type = 'purchase')
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, count_if(hit)::BIGINT AS matched, {PERCENT.format('count_if(hit)', 'count(*)')} AS rate FROM p GROUP BY 1""")
+def coverage(spark, sf_dir) -> DataFrame:
+    """Match rate of each day, in percent."""
+    v = events(spark, sf_dir, "view").select((F.col("amount") * 100).cast("long").alias("c")).distinct().withColumn("hit", F.lit(True))
+    p = events(spark, sf_dir, "purchase").withColumn("c", (F.col("amount") * 100).cast("long")).join(v, "c", "left")
+    out = p.groupBy("day").agg(F.count("*").alias("n"), F.count("hit").alias("matched"))
+    return out.select(F.col("day").cast("string").alias("day"), "n", "matched", percent(F.col("matched"), F.col("n")).alias("rate"))
+
+
+@query("a10_merchant_rollup", """SELECT user_id AS merchant, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+  count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE value > 100) AS large, count(DISTINCT event_type) AS kinds,
+  count(DISTINCT ts::DATE) AS days, min(ts::DATE)::VARCHAR AS first_day, max(ts::DATE)::VARCHAR AS last_day,
+  round(count(*) FILTER (WHERE event_type = 'error')::DECIMAL(18,4) * 100 / count(*), 1)::DOUBLE AS error_rate,
+  round(sum(value::DECIMAL(18,2)) / count(*), 2)::DOUBLE AS mean_value FROM events GROUP BY 1""")
+def merchant_rollup(spark, sf_dir) -> DataFrame:
+    """Counts by condition, distinct kinds and days, rates and a mean, for each merchant."""
+    kind = lambda k: F.count_if(F.col("event_type") == k)
+    return events(spark, sf_dir).groupBy(F.col("user_id").alias("merchant")).agg(
+        F.count("*").alias("n"), kind("purchase").alias("purchases"), kind("error").alias("errors"), F.count_if(F.col("amount") > 100).alias("large"),
+        F.countDistinct("event_type").alias("kinds"), F.countDistinct("day").alias("days"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"),
+        percent(kind("error"), F.count("*")).alias("error_rate"), dbl(F.round(F.sum("amount") / F.count("*"), 2)).alias("mean_value"),
+    )
+
+
+@query("a12_error_summary", f"""WITH {EVENTS} SELECT coalesce(event_type, '*') AS kind, coalesce((user_id % 10)::VARCHAR, '*') AS stage, count(*) AS n FROM e
+GROUP BY GROUPING SETS ((), (event_type), (user_id % 10))""")
+def error_summary(spark, sf_dir) -> DataFrame:
+    """Total, by kind and by stage, in one pass."""
+    e = events(spark, sf_dir).withColumn("stage", (F.col("user_id") % 10).cast("string"))
+    sets = e.groupingSets([[], ["event_type"], ["stage"]], "event_type", "stage").agg(F.count("*").alias("n"))
+    return sets.select(F.coalesce("event_type", F.lit("*")).alias("kind"), F.coalesce("stage", F.lit("*")).alias("stage"), "n")
+
+
+@query("a13_job_progress", f"""WITH {EVENTS} SELECT user_id AS job, count(DISTINCT CASE WHEN event_type = 'purchase' THEN day END) AS done_days, count(DISTINCT day) AS days,
+  {PERCENT.format("count(DISTINCT CASE WHEN event_type = 'purchase' THEN day END)", 'count(DISTINCT day)')} AS percent,
+  string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM e GROUP BY 1""")
+def job_progress(spark, sf_dir) -> DataFrame:
+    """Distinct days of a job, those with a purchase, their share, and its kinds in order."""
+    done = F.countDistinct(F.when(F.col("event_type") == "purchase", F.col("day")))
+    return events(spark, sf_dir).groupBy(F.col("user_id").alias("job")).agg(
+        done.alias("done_days"), F.countDistinct("day").alias("days"), percent(done, F.countDistinct("day")).alias("percent"),
+        F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"),
+    )
+
+
+@query("a16_order_rollup", """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, p_name, l_extendedprice::DECIMAL(18,2) AS price,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey AS order_id, count(*) AS items, sum(price)::DOUBLE AS total, min(CASE WHEN k = 1 THEN p_name END) AS first_item,
+  CASE WHEN count(*) <= 3 THEN string_agg(p_name, ' | ' ORDER BY k) ELSE string_agg(p_name, ' | ' ORDER BY k) FILTER (WHERE k <= 3) || ' & ' || (count(*) - 3)::VARCHAR || ' more' END AS summary
+FROM l GROUP BY 1""")
+def order_rollup(spark, sf_dir) -> DataFrame:
+    """Lines to orders: sum, first item, names joined in order, long lists shortened."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").join(part, "l_partkey")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_name"))), lambda x: x["p_name"])
+    out = line.groupBy(F.col("l_orderkey").alias("order_id")).agg(F.count("*").alias("items"), dbl(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))).alias("total"), items.alias("names"))
+    short = F.concat(F.array_join(F.slice("names", 1, 3), " | "), F.lit(" & "), (F.col("items") - 3).cast("string"), F.lit(" more"))
+    return out.select("order_id", "items", "total", F.col("names")[0].alias("first_item"), F.when(F.col("items") <= 3, F.array_join("names", " | ")).otherwise(short).alias("summary"))
+
+
+@query("a22_payee_modes", f"""WITH {TXNS}, m AS (SELECT account_id, category, count(*) AS n, row_number() OVER (PARTITION BY account_id ORDER BY count(*) DESC, category NULLS LAST) AS k FROM t WHERE type = 'DEBIT' GROUP BY 1, 2),
+g AS (SELECT account_id, count(*) AS n, min(day) AS d0 FROM t WHERE type = 'DEBIT' GROUP BY 1)
+SELECT g.account_id, g.n, d0::VARCHAR AS first_seen, coalesce(m.category, 'none') AS mode FROM g JOIN m ON g.account_id = m.account_id AND k = 1""")
+def payee_modes(spark, sf_dir) -> DataFrame:
+    """Payees with their count, first day and commonest category; the first by name of equals."""
+    t = txns(spark, sf_dir).where("type = 'DEBIT'")
+    by = t.groupBy("account_id", "category").agg(F.count("*").alias("n"), F.min("day").alias("d0"))
+    order = Window.partitionBy("account_id").orderBy(F.desc("n"), F.col("category").asc_nulls_last())
+    every = Window.partitionBy("account_id")
+    out = by.select("account_id", "category", F.row_number().over(order).alias("k"), F.sum("n").over(every).alias("n"), F.min("d0").over(every).alias("d0"))
+    return out.where("k = 1").select("account_id", "n", F.col("d0").cast("string").alias("first_seen"), F.coalesce("category", F.lit("none")).alias("mode"))
+
+
+@query("a23_new_payees", f"""WITH {TXNS}, m AS (SELECT DISTINCT account_id FROM t WHERE day < DATE '1996-01-01')
+SELECT account_id, min(day)::VARCHAR AS first_seen, count(*) AS n, string_agg(DISTINCT subcategory, ',' ORDER BY subcategory) AS mandates FROM t
+WHERE type = 'DEBIT' AND account_id NOT IN (SELECT account_id FROM m) GROUP BY 1""")
+def new_payees(spark, sf_dir) -> DataFrame:
+    """Payees that weren't known before 1996."""
+    t = txns(spark, sf_dir)
+    known = t.where("day < DATE '1996-01-01'").select("account_id").distinct()
+    new = t.where("type = 'DEBIT'").join(known, "account_id", "left_anti")
+    return new.groupBy("account_id").agg(F.min("day").cast("string").alias("first_seen"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("subcategory")), ",").alias("mandates"))
+
+
+@query("a24_levy", f"""WITH {TXNS} SELECT sum(CASE WHEN status = 'F' AND category IN ('1-URGENT', '2-HIGH') THEN amount END)::DOUBLE AS essential,
+  sum(CASE WHEN category IN ('3-MEDIUM', '5-LOW') THEN amount END)::DOUBLE AS discretionary, count_if(category IS NULL)::BIGINT AS unclassified,
+  round(0.19 * sum(CASE WHEN category IN ('3-MEDIUM', '5-LOW') THEN amount END), 2)::DOUBLE AS due FROM t WHERE type = 'DEBIT' AND amount > 0""")
+def levy(spark, sf_dir) -> DataFrame:
+    """Essential and discretionary debits, and 19 % of the latter, in decimals rounded half up."""
+    t = txns(spark, sf_dir).where("type = 'DEBIT' AND amount > 0")
+    part = lambda *names: F.sum(F.when(F.col("category").isin(*names), F.col("amount")))
+    rest = part("3-MEDIUM", "5-LOW")
+    due = F.round(rest * F.lit("0.19").cast("decimal(3,2)"), 2)
+    return t.agg(dbl(part("1-URGENT", "2-HIGH")).alias("essential"), dbl(rest).alias("discretionary"), F.count_if(F.col("category").isNull()).alias("unclassified"), dbl(due).alias("due"))
+
+
+@query("a25_class_suggestion", f"""WITH {TXNS}, c AS (SELECT *, CASE WHEN category IN ('1-URGENT', '2-HIGH') THEN 'essential' WHEN category IS NOT NULL THEN 'discretionary' END AS class FROM t),
+k AS (SELECT account_id, class, count(*) AS n FROM c WHERE class IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY account_id) AS every, row_number() OVER (PARTITION BY account_id ORDER BY n DESC, class) AS p FROM k)
+SELECT account_id, class, round(n::DECIMAL(18,4) / every, 4)::DOUBLE AS confidence FROM r WHERE p = 1""")
+def class_suggestion(spark, sf_dir) -> DataFrame:
+    """The commonest class of each account and its share; discretionary of equals."""
+    c = F.when(F.col("category").isin("1-URGENT", "2-HIGH"), "essential").when(F.col("category").isNotNull(), "discretionary")
+    k = txns(spark, sf_dir).select("account_id", c.alias("class")).where("class IS NOT NULL").groupBy("account_id", "class").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("account_id").orderBy(F.desc("n"), "class")
+    k = k.select("account_id", "class", "n", F.sum("n").over(Window.partitionBy("account_id")).alias("every"), F.row_number().over(order).alias("p"))
+    return k.where("p = 1").select("account_id", "class", dbl(F.round(F.col("n").cast("decimal(18,4)") / F.col("every"), 4)).alias("confidence"))
+
+
+@query("a27_category_stats", f"""WITH {TXNS} SELECT coalesce(category, 'Uncategorized') AS category, count(*) AS n,
+  sum(CASE WHEN type = 'DEBIT' THEN -amount ELSE amount END)::DOUBLE AS total, coalesce(sum(CASE WHEN type = 'DEBIT' THEN amount END), 0)::DOUBLE AS expenses,
+  coalesce(sum(CASE WHEN type = 'CREDIT' THEN amount END), 0)::DOUBLE AS income FROM t GROUP BY 1""")
+def category_stats(spark, sf_dir) -> DataFrame:
+    """Count, signed total, expenses and income of each category."""
+    debit = F.col("type") == "DEBIT"
+    part = lambda c: dbl(F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0)))
+    return txns(spark, sf_dir).groupBy(F.coalesce("category", F.lit("Uncategorized")).alias("category")).agg(
+        F.count("*").alias("n"), dbl(F.sum(F.when(debit, -F.col("amount")).otherwise(F.col("amount")))).alias("total"), part(debit).alias("expenses"), part(~debit).alias("income")
+    )
+
+
+@query("a30_monthly_average", f"""WITH {TXNS}, f AS (SELECT *, strftime(day, '%Y-%m') AS month FROM t WHERE type = 'DEBIT' AND day BETWEEN DATE '{FROM}' AND DATE '{TO}'),
+m AS (SELECT greatest(1, count(DISTINCT month)) AS months FROM f)
+SELECT coalesce(category, 'Uncategorized') AS category, round(sum(amount) / min(months), 2)::DOUBLE AS average FROM f, m GROUP BY 1""")
+def monthly_average(spark, sf_dir) -> DataFrame:
+    """Category totals over the months present in the filter: one divisor for all categories."""
+    f = txns(spark, sf_dir).where((F.col("type") == "DEBIT") & F.col("day").between(FROM, TO))
+    by = f.groupBy("category", month_key(F.col("day")).alias("month")).agg(F.sum("amount").alias("s"))
+    months = by.agg(F.greatest(F.lit(1), F.countDistinct("month")).alias("months"))
+    out = by.groupBy(F.coalesce("category", F.lit("Uncategorized")).alias("category")).agg(F.sum("s").alias("s")).crossJoin(F.broadcast(months))
+    return out.select("category", dbl(F.round(F.col("s") / F.col("months"), 2)).alias("average"))
+
+
+@query("a32_daily_series", f"WITH {TXNS} SELECT day::VARCHAR AS day, sum(amount)::DOUBLE AS total, count(*) AS n FROM t WHERE type = 'DEBIT' GROUP BY t.day")
+def daily_series(spark, sf_dir) -> DataFrame:
+    """Debits by day, ascending."""
+    out = txns(spark, sf_dir).where("type = 'DEBIT'").groupBy("day").agg(dbl(F.sum("amount")).alias("total"), F.count("*").alias("n"))
+    return out.orderBy("day").withColumn("day", F.col("day").cast("string"))
+
+
+@query("a34_category_counts", f"""WITH {TXNS}, c AS (SELECT DISTINCT category FROM t WHERE category IS NOT NULL UNION SELECT 'Travel'),
+n AS (SELECT category, count(*) AS n FROM t GROUP BY 1), s AS (SELECT category, count(DISTINCT subcategory) AS subs FROM t GROUP BY 1)
+SELECT c.category, coalesce(n, 0)::BIGINT AS n, coalesce(subs, 0)::BIGINT AS subs FROM c LEFT JOIN n USING (category) LEFT JOIN s USING (category)""")
+def category_counts(spark, sf_dir) -> DataFrame:
+    """All categories, unused ones too, with transactions and subcategories; counted in one pass before the join."""
+    t = txns(spark, sf_dir)
+    names = t.where("category IS NOT NULL").select("category").union(spark.range(1).select(F.lit("Travel"))).distinct()
+    counted = t.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("subcategory").alias("subs"))
+    return names.join(counted, "category", "left").fillna(0, ["n", "subs"])
+
+
+@query("a35_duplicate_groups", f"""WITH {EVENTS} SELECT user_id, amount::DOUBLE AS amount, day::VARCHAR AS day, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS ids
+FROM e GROUP BY e.user_id, e.amount, e.day HAVING count(*) > 1""")
+def duplicate_groups(spark, sf_dir) -> DataFrame:
+    """Same merchant, amount and day more than once, ids in the order of time."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string"))
+    out = events(spark, sf_dir).groupBy("user_id", "amount", "day").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids")).where("n > 1")
+    return out.withColumns({"amount": dbl(F.col("amount")), "day": F.col("day").cast("string")})
+
+
+@query("a36_line_item_totals", """WITH l AS (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2)) AS s FROM lineitem GROUP BY 1)
+SELECT count(*) AS n, count_if(abs(s - o_totalprice::DECIMAL(18,2)) <= 0.01 * o_totalprice::DECIMAL(18,2))::BIGINT AS within,
+  count_if(s > o_totalprice::DECIMAL(18,2))::BIGINT AS above FROM orders JOIN l ON o_orderkey = l_orderkey""")
+def line_item_totals(spark, sf_dir) -> DataFrame:
+    """Orders whose lines add up to their total within 1 %."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("s"))
+    t = txns(spark, sf_dir).select("id", "amount").join(lines, "id")
+    near = F.abs(F.col("s") - F.col("amount")) <= F.col("amount") * F.lit("0.01").cast("decimal(3,2)")
+    return t.agg(F.count("*").alias("n"), F.count_if(near).alias("within"), F.count_if(F.col("s") > F.col("amount")).alias("above"))
+
+
+@query("a37_nested_counters", f"""WITH {EVENTS}, g AS (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT user_id, string_agg(event_type || '=' || n::VARCHAR, ',' ORDER BY event_type) AS counters FROM g GROUP BY 1""")
+def nested_counters(spark, sf_dir) -> DataFrame:
+    """A map of counters for each merchant, shown in the order of its keys."""
+    g = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    m = g.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
+    text = F.transform(F.map_entries("m"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return m.select("user_id", F.array_join(text, ",").alias("counters"))
+
+
+@query("a43_import_plan", f"""WITH {TXNS}, a AS (SELECT account_id % 10 AS connection, count(DISTINCT account_id) AS accounts, (max(day) - min(day))::BIGINT AS days FROM t GROUP BY 1)
+SELECT connection, accounts, days, accounts * days * 10 AS txns, (accounts * 10 + accounts * days * 10 * 0.1)::DOUBLE AS seconds, (ceil(accounts * days * 10 / 100.0) * 0.001)::DOUBLE AS cost FROM a""")
+def import_plan(spark, sf_dir) -> DataFrame:
+    """Ten rows a day and account, 10 s an account and 0.1 s a row, a call for 100 rows at a tenth of a cent."""
+    a = txns(spark, sf_dir).groupBy((F.col("account_id") % 10).alias("connection")).agg(F.countDistinct("account_id").alias("accounts"), F.datediff(F.max("day"), F.min("day")).cast("long").alias("days"))
+    rows = F.col("accounts") * F.col("days") * 10
+    return a.select("connection", "accounts", "days", rows.alias("txns"), dbl(F.col("accounts") * 10 + rows * 0.1).alias("seconds"), dbl(F.ceil(rows / 100.0) * 0.001).alias("cost"))
+
+
+@query("p01_filters", f"""WITH {TXNS} SELECT id, day::VARCHAR AS day, amount::DOUBLE AS amount, category FROM t WHERE category = '2-HIGH' AND day BETWEEN DATE '{FROM}' AND DATE '{TO}'
+  AND (contains(lower(status), '12') OR contains(amount::VARCHAR, '12')) AND type = 'DEBIT'""")
+def filters(spark, sf_dir) -> DataFrame:
+    """Optional filters that all have to hold: category, days, keyword in text or amount, direction."""
+    keep = filter_of(category="2-HIGH", start=FROM, end=TO, keyword="12", text_cols=("status",), debits=True, credits=False)
+    return txns(spark, sf_dir).where(keep).select("id", F.col("day").cast("string").alias("day"), dbl(F.col("amount")).alias("amount"), "category")
+
+
+def filter_of(category=None, start=None, end=None, keyword=None, text_cols=(), debits=True, credits=True):
+    """A condition from optional filters; what is None doesn't filter, and both directions on is as both off."""
+    keep = F.lit(True)
+    if category not in (None, "All"):
+        keep &= F.col("category") == category
+    if start is not None:
+        keep &= F.col("day") >= F.lit(start).cast("date")
+    if end is not None:
+        keep &= F.col("day") <= F.lit(end).cast("date")
+    if keyword:
+        low = keyword.lower()
+        fields = [F.contains(F.lower(F.col(c)), F.lit(low)) for c in text_cols] + [F.contains(F.abs("amount").cast("string"), F.lit(low))]
+        hit = F.lit(False)
+        for f in fields:
+            hit |= F.coalesce(f, F.lit(False))
+        keep &= hit
+    if debits != credits:
+        keep &= F.col("type") == ("DEBIT" if debits else "CREDIT")
+    return keep
+
+
+@query("p20_tenant_filter", """SELECT n_nationkey AS connection, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1""")
+def tenant_filter(spark, sf_dir) -> DataFrame:
+    """Rows of one tenant through account and connection (P20, J01, J07); Spark broadcasts the dimensions by their size."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    accounts = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("account_id"), F.col("n_nationkey").alias("connection"))
+    t = txns(spark, sf_dir).select("account_id", "amount").join(accounts, "account_id")
+    return t.groupBy("connection").agg(F.count("*").alias("n"), dbl(F.sum("amount")).alias("total"))
+
+
+@query("o01_page", f"""WITH {TXNS}, n AS (SELECT count(*) AS total FROM t)
+SELECT id, day::VARCHAR AS day, category, total, ceil(total / 25.0)::BIGINT AS pages FROM t, n ORDER BY t.day DESC, category ASC NULLS LAST, id LIMIT 25 OFFSET 50""")
+def transaction_page(spark, sf_dir) -> DataFrame:
+    """The third page of 25, newest first, with total and pages (O01, O02, O04, O05); the limit is the feature."""
+    t = txns(spark, sf_dir).select("id", "day", "category")
+    out = page(t, [F.desc("day"), F.col("category").asc_nulls_last(), "id"], number=3, size=25)
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
+@query("w10_latest", f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM e)
+SELECT user_id, event_id, event_type, amount::DOUBLE AS amount FROM r WHERE k = 1""")
+def latest(spark, sf_dir) -> DataFrame:
+    """The latest row of each entity, by one aggregation instead of a sort."""
+    last = F.max_by(F.struct("event_id", "event_type", "amount"), F.struct("ts", "event_id")).alias("x")
+    out = events(spark, sf_dir).groupBy("user_id").agg(last)
+    return out.select("user_id", "x.event_id", "x.event_type", dbl(F.col("x.amount")).alias("amount"))
+
+
+@query("w09_first_samples", f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY amount DESC, event_id) AS k FROM e)
+SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY k) AS samples FROM r WHERE k <= 3 GROUP BY 1""")
+def first_samples(spark, sf_dir) -> DataFrame:
+    """Three samples of each key, in order (W09, P12); the limit is the feature."""
+    order = Window.partitionBy("event_type").orderBy(F.desc("amount"), "event_id")
+    r = events(spark, sf_dir).select("event_type", "event_id", F.row_number().over(order).alias("k")).where("k <= 3")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("k", "event_id"))), lambda x: x["event_id"].cast("string"))
+    return r.groupBy("event_type").agg(F.array_join(ids, ",").alias("samples"))
