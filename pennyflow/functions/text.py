@@ -63,7 +63,7 @@ def rule_body(pattern: Column) -> Column:
 def rule_matches(text: Column, kind: Column, body: Column) -> Column:
     """Whether a rule fits: literal kinds ignore case, ``%`` and the like are ordinary; regexes ignore case but stay as written."""
     up, own = F.upper(text), F.upper(body)
-    regex = F.when(kind == "regex", text.rlike(F.concat(F.lit("(?i)"), body)))
+    regex = F.when(kind == "regex", F.rlike(text, F.concat(F.lit("(?i)"), body)))
     literal = F.when(kind == "starts", F.startswith(up, own)).when(kind == "exact", up == own).when(kind == "contains", F.contains(up, own))
     return F.coalesce(literal, regex, F.lit(False))
 
@@ -83,7 +83,9 @@ def url_host(url: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles and heads off, tags to spaces, the common entities read, spaces squeezed."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1>", " ")
+    out = html
+    for tag in ("script", "style", "head"):
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}>", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(sign))

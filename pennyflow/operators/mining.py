@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import ngrams
 
@@ -37,7 +38,7 @@ def similarity_of(a: str, b: str) -> float:
     return 100 * max(SequenceMatcher(None, a, b).ratio(), len(x & y) / max(1, len(x | y)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """``similarity_of`` two columns; null with a null."""
     for a, b in parts:

@@ -1 +1,76 @@
-"""Queries."""
+"""Rule, model and external enrichment put together."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import enrichment as n
+from .base import TXNS, query, table, txns
+
+SOURCES = f"""WITH {TXNS}, rule AS (SELECT id, 'rule-' || category AS subcategory FROM t WHERE id % 5 = 0), model AS (SELECT id, 'model-' || subcategory AS subcategory FROM t WHERE id % 3 = 0),
+ext AS (SELECT l_orderkey AS id, 'external-' || l_linenumber::VARCHAR AS subcategory, l_linenumber, l_partkey, l_extendedprice AS price,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)"""
+
+
+def sources(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A rule's, a model's and external rows; the last have several for a transaction."""
+    t = txns(spark, sf_dir)
+    rule = t.where("id % 5 = 0").select("id", F.concat(F.lit("rule-"), "category").alias("subcategory"))
+    model = t.where("id % 3 = 0").select("id", F.concat(F.lit("model-"), "subcategory").alias("subcategory"))
+    ext = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.concat(F.lit("external-"), F.col("l_linenumber").cast("string")).alias("subcategory"),
+        "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"),
+    )
+    return rule, model, ext
+
+
+def primary(ext: DataFrame) -> DataFrame:
+    return n.primary_source(ext, "id", [F.desc("price"), "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("j02_enriched", f"""{SOURCES} SELECT t.id, coalesce(rule.subcategory, model.subcategory, ext.subcategory, 'Unknown') AS subcategory FROM t LEFT JOIN rule ON t.id = rule.id
+LEFT JOIN model ON t.id = model.id LEFT JOIN ext ON t.id = ext.id AND k = 1""")
+def enriched(spark, sf_dir) -> DataFrame:
+    """Each column from the first source that has it; one row for a transaction, whatever the external rows."""
+    rule, model, ext = sources(spark, sf_dir)
+    return n.coalesced(txns(spark, sf_dir).select("id"), [rule, model, primary(ext)], "id", "subcategory", "Unknown")
+
+
+@query("a02_subcategory_spend", f"""{SOURCES} SELECT coalesce(rule.subcategory, model.subcategory, 'Unknown') AS subcategory, sum(amount)::DOUBLE AS total, count(*) AS n FROM t LEFT JOIN rule ON t.id = rule.id
+LEFT JOIN model ON t.id = model.id WHERE type = 'DEBIT' GROUP BY 1""")
+def subcategory_spend(spark, sf_dir) -> DataFrame:
+    """Debits by the subcategory that counts."""
+    rule, model, _ = sources(spark, sf_dir)
+    t = n.coalesced(txns(spark, sf_dir).where("type = 'DEBIT'").select("id", "amount"), [rule, model], "id", "subcategory", "Unknown")
+    return t.groupBy("subcategory").agg(F.sum("amount").cast("double").alias("total"), F.count("*").alias("n"))
+
+
+@query("c05_combined", f"""{SOURCES} SELECT t.id, CASE WHEN rule.id IS NOT NULL THEN rule.subcategory WHEN model.id IS NOT NULL THEN model.subcategory ELSE ext.subcategory END AS subcategory,
+CASE WHEN rule.id IS NOT NULL THEN 'rule' WHEN model.id IS NOT NULL THEN 'model' WHEN ext.id IS NOT NULL THEN 'external' ELSE 'none' END AS source
+FROM t LEFT JOIN rule ON t.id = rule.id LEFT JOIN model ON t.id = model.id LEFT JOIN ext ON t.id = ext.id AND k = 1""")
+def combined(spark, sf_dir) -> DataFrame:
+    """The first source that has a row decides, with its nulls."""
+    rule, model, ext = sources(spark, sf_dir)
+    every = [s.select("id", F.lit(k).alias("k"), F.lit(name).alias("source"), "subcategory") for k, (name, s) in enumerate((("rule", rule), ("model", model), ("external", primary(ext))))]
+    best = n.primary_source(every[0].unionByName(every[1]).unionByName(every[2]), "id", ["k"]).drop("k")
+    return txns(spark, sf_dir).select("id").join(best, "id", "left").select("id", "subcategory", F.coalesce("source", F.lit("none")).alias("source"))
+
+
+@query("w08_source_list", f"{SOURCES} SELECT id, string_agg(l_partkey::VARCHAR, ' | ' ORDER BY l_linenumber, l_partkey) AS sources FROM ext GROUP BY 1")
+def source_list(spark, sf_dir) -> DataFrame:
+    """All external sources of a transaction as one text, in order."""
+    ext = sources(spark, sf_dir)[2].withColumn("part", F.struct("l_linenumber", "l_partkey"))
+    out = ext.groupBy("id").agg(F.array_sort(F.collect_list("part")).alias("p"))
+    return out.select("id", F.array_join(F.transform("p", lambda x: x["l_partkey"].cast("string")), " | ").alias("sources"))
+
+
+@query("a17_enriched_count", f"""{SOURCES}, u AS (SELECT id FROM rule UNION SELECT id FROM model UNION SELECT id FROM ext)
+SELECT count(*) AS total, count_if(u.id IS NOT NULL)::BIGINT AS enriched, coalesce(round(count_if(u.id IS NOT NULL)::DECIMAL(18,4) * 100 / nullif(count(*), 0), 1), 0)::DOUBLE AS percent FROM t LEFT JOIN u ON t.id = u.id""")
+def enriched_count(spark, sf_dir) -> DataFrame:
+    """Transactions with any enrichment."""
+    rule, model, ext = sources(spark, sf_dir)
+    ids = rule.select("id").union(model.select("id")).union(ext.select("id")).distinct().withColumn("hit", F.lit(True))
+    t = txns(spark, sf_dir).select("id").join(ids, "id", "left")
+    share = F.round(F.count("hit").cast("decimal(18,4)") * 100 / F.nullif(F.count("*"), F.lit(0)), 1)
+    return t.agg(F.count("*").alias("total"), F.count("hit").alias("enriched"), F.coalesce(share, F.lit(0)).cast("double").alias("percent"))

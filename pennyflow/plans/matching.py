@@ -1 +1,153 @@
-"""Queries."""
+"""Transactions against purchases, returns, receipts and each other."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import matching as m
+from .base import EVENTS, banked, bought, events, query, table
+
+PAIRS = f"""WITH {EVENTS}, b AS (SELECT event_id AS txn_id, day AS txn_day, amount AS txn_amount FROM e WHERE event_type = 'purchase'),
+p AS (SELECT event_id AS purchase_id, day AS purchase_day, amount AS purchase_amount FROM e WHERE event_type = 'view'),
+j AS (SELECT txn_id, purchase_id, purchase_day - txn_day AS signed, abs(purchase_day - txn_day)::BIGINT AS days FROM b JOIN p ON (txn_amount * 100)::BIGINT = (purchase_amount * 100)::BIGINT)"""
+
+
+def points_sql(points) -> str:
+    return "(50 + CASE " + " ".join(f"WHEN days <= {d} THEN {v}" for d, v in points) + " ELSE 0 END)::BIGINT"
+
+
+def match_sql(before: int, after: int, points, best: bool) -> str:
+    return f"""{PAIRS}, s AS (SELECT *, {points_sql(points)} AS score FROM j WHERE signed BETWEEN {before} AND {after}),
+r AS (SELECT txn_id, purchase_id, days, score, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, days, purchase_id) AS rank FROM s WHERE score >= 70)
+SELECT txn_id, purchase_id, days, score, rank FROM r{" WHERE rank = 1" if best else ""}"""
+
+
+def matched(spark, sf_dir, before: int, after: int, points, best: bool) -> DataFrame:
+    out = m.ranked(m.scored(m.band_join(banked(spark, sf_dir), bought(spark, sf_dir), before, after), points))
+    out = out.select("txn_id", "purchase_id", "days", "score", "rank")
+    return out.where("rank = 1") if best else out
+
+
+@query("j08_purchase_match", match_sql(-7, 7, m.ORDER_POINTS, False))
+def purchase_match(spark, sf_dir) -> DataFrame:
+    """All candidates within a week, ranked; a purchase can match many transactions."""
+    return matched(spark, sf_dir, -7, 7, m.ORDER_POINTS, False)
+
+
+@query("j11_store_match", f"{PAIRS} SELECT txn_id, purchase_id, days, 100::BIGINT AS score FROM j WHERE signed BETWEEN -2 AND 0")
+def store_match(spark, sf_dir) -> DataFrame:
+    """Store rows posted up to two days later; every such pair scores 100."""
+    pairs = m.band_join(banked(spark, sf_dir), bought(spark, sf_dir), -2, 0)
+    return pairs.select("txn_id", "purchase_id", "days", F.lit(100).cast("long").alias("score"))
+
+
+@query("j12_store_best", match_sql(-3, 3, m.STORE_POINTS, True))
+def store_best(spark, sf_dir) -> DataFrame:
+    """The best store row within three days."""
+    return matched(spark, sf_dir, -3, 3, m.STORE_POINTS, True)
+
+
+@query("j13_business_best", match_sql(-7, 7, m.BUSINESS_POINTS, True))
+def business_best(spark, sf_dir) -> DataFrame:
+    """The best business order within a week."""
+    return matched(spark, sf_dir, -7, 7, m.BUSINESS_POINTS, True)
+
+
+@query("j09_nearest_refund", f"""WITH {EVENTS}, j AS (SELECT r.event_id AS return_id, c.event_id AS refund_id, abs(epoch_us(c.ts) - epoch_us(r.ts)) AS gap
+  FROM e r JOIN e c ON r.event_type = 'error' AND c.event_type = 'purchase' AND r.amount = c.amount AND c.day BETWEEN r.day - 7 AND r.day + 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY return_id ORDER BY gap, refund_id) AS n FROM j) SELECT return_id, refund_id FROM k WHERE n = 1""")
+def nearest_refund(spark, sf_dir) -> DataFrame:
+    """The nearest refund of the amount, seven days before to three after."""
+    r = events(spark, sf_dir, "error").select(F.col("event_id").alias("txn_id"), F.col("day").alias("txn_day"), F.col("amount").alias("txn_amount"), F.col("ts").alias("a"))
+    c = events(spark, sf_dir, "purchase").select(F.col("event_id").alias("purchase_id"), F.col("day").alias("purchase_day"), F.col("amount").alias("purchase_amount"), F.col("ts").alias("b"))
+    gap = F.abs(F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp")))
+    best = m.nearest(m.band_join(r, c, -7, 3), "txn_id", gap, "purchase_id")
+    return best.select(F.col("txn_id").alias("return_id"), F.col("purchase_id").alias("refund_id"))
+
+
+@query("j14_receipt_match", f"""WITH {EVENTS}, j AS (SELECT r.event_id AS receipt_id, t.event_id AS txn_id, floor((epoch_us(r.ts) - epoch_us(t.ts)) / 86400000000.0)::BIGINT AS signed,
+  abs(t.amount - r.amount) AS gap, r.amount AS ra, t.amount AS ta, 'u' || r.user_id::VARCHAR AS rm, 'u' || t.user_id::VARCHAR AS tm
+  FROM e r JOIN e t ON r.event_type = 'signup' AND t.event_type = 'purchase' AND r.amount > 0 AND t.amount > 0 AND t.ts BETWEEN r.ts - INTERVAL 12 DAY AND r.ts + INTERVAL 12 DAY),
+k AS (SELECT *, abs(signed) AS days, gap <= CASE WHEN ra < 5 THEN 0.50 ELSE 0.01 END AS exact, gap <= 0.02 * greatest(ta, ra) AS fuzzy, contains(tm, rm) OR contains(rm, tm) AS same FROM j),
+s AS (SELECT *, CASE WHEN exact AND days <= 2 AND same THEN 100 WHEN exact AND days <= 4 AND same THEN 95 WHEN exact AND days <= 4 THEN 85 WHEN exact AND same THEN 90
+  WHEN exact THEN 75 WHEN same THEN 80 ELSE 70 END AS base FROM k WHERE days <= 10 AND (exact OR fuzzy))
+SELECT receipt_id, txn_id, days, (CASE WHEN signed BETWEEN -4 AND -1 THEN least(100, base + 5) ELSE base END)::BIGINT AS score,
+  CASE WHEN exact THEN 'exact' ELSE 'fuzzy' END || CASE WHEN same THEN '_merchant' ELSE '' END || CASE WHEN signed BETWEEN -4 AND -1 THEN '_early_receipt' ELSE '' END AS method FROM s""")
+def receipt_match(spark, sf_dir) -> DataFrame:
+    """Tolerant amounts and days, with merchant text: joined by bins, never all pairs."""
+    part = lambda kind, name: events(spark, sf_dir, kind).select(
+        F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"), F.col("amount").alias(f"{name}_amount"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias(f"{name}_merchant")
+    )
+    return m.fuzzy_join(part("purchase", "txn"), part("signup", "receipt"))
+
+
+@query("j15_return_chain", f"""WITH {EVENTS}, r AS (SELECT event_id AS return_id, user_id, day, amount FROM e WHERE event_type = 'error'),
+o AS (SELECT r.*, (SELECT min(event_id) FROM e WHERE event_type = 'view' AND e.user_id = r.user_id AND e.day = r.day) AS order_id FROM r),
+t AS (SELECT o.*, (SELECT min(event_id) FROM e WHERE event_type = 'purchase' AND e.user_id = o.user_id AND e.day >= o.day AND e.day <= o.day + 3) AS txn_id FROM o)
+SELECT return_id, order_id::VARCHAR AS order_id, CASE WHEN order_id IS NOT NULL THEN txn_id END::VARCHAR AS txn_id,
+  CASE WHEN order_id IS NULL THEN 'no order' WHEN txn_id IS NULL THEN 'order not matched' ELSE 'matched' END AS reason FROM t""")
+def return_chain(spark, sf_dir) -> DataFrame:
+    """Return, order, transaction: the first missing link is the reason."""
+    r = events(spark, sf_dir, "error").select(F.col("event_id").alias("return_id"), "user_id", "day")
+    o = events(spark, sf_dir, "view").groupBy("user_id", "day").agg(F.min("event_id").alias("order_id"))
+    p = events(spark, sf_dir, "purchase").select("user_id", F.explode(F.sequence(F.date_sub("day", 3), "day")).alias("day"), "event_id")
+    p = p.groupBy("user_id", "day").agg(F.min("event_id").alias("txn_id"))
+    out = r.join(o, ["user_id", "day"], "left").join(p, ["user_id", "day"], "left")
+    reason = F.when(F.col("order_id").isNull(), "no order").when(F.col("txn_id").isNull(), "order not matched").otherwise("matched")
+    txn = F.when(F.col("order_id").isNotNull(), F.col("txn_id"))
+    return out.select("return_id", F.col("order_id").cast("string").alias("order_id"), txn.cast("string").alias("txn_id"), reason.alias("reason"))
+
+
+@query("j05_unmatched", f"""WITH {EVENTS} SELECT event_id, amount::DOUBLE AS amount FROM e p WHERE event_type = 'purchase'
+AND NOT EXISTS (SELECT 1 FROM e v WHERE v.event_type = 'view' AND v.amount = p.amount) AND NOT EXISTS (SELECT 1 FROM e v WHERE v.event_type = 'click' AND v.user_id = p.user_id AND v.day = p.day)""")
+def unmatched(spark, sf_dir) -> DataFrame:
+    """Purchases that neither a view's amount nor a click of the day explains."""
+    p = events(spark, sf_dir, "purchase")
+    p = p.join(events(spark, sf_dir, "view").select("amount"), "amount", "left_anti").join(events(spark, sf_dir, "click").select("user_id", "day"), ["user_id", "day"], "left_anti")
+    return p.select("event_id", F.col("amount").cast("double").alias("amount"))
+
+
+@query("j20_duplicate_pairs", f"""WITH {EVENTS} SELECT x.user_id, x.event_type, x.event_id AS a, y.event_id AS b FROM e x JOIN e y
+ON x.user_id = y.user_id AND x.event_type = y.event_type AND x.event_id < y.event_id AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 3600000000""")
+def duplicate_pairs(spark, sf_dir) -> DataFrame:
+    """Rows of one merchant and kind within an hour, joined by time bins."""
+    return m.duplicate_pairs(events(spark, sf_dir), ["user_id", "event_type"], "event_id", "ts", minutes=60)
+
+
+@query("j23_match_preview", f"""{PAIRS} SELECT txn_id, count(*) AS candidates, count_if(abs(signed) <= 7)::BIGINT AS in_band,
+CASE WHEN count_if(abs(signed) <= 7) > 0 THEN 'in band' ELSE 'days apart' END AS reason FROM j GROUP BY 1""")
+def match_preview(spark, sf_dir) -> DataFrame:
+    """Candidates of equal amount without a threshold, and why the others fail."""
+    pairs = m.band_join(banked(spark, sf_dir), bought(spark, sf_dir), -100_000, 100_000)
+    near = F.count_if(F.col("days") <= 7)
+    return pairs.groupBy("txn_id").agg(F.count("*").alias("candidates"), near.alias("in_band"), F.when(near > 0, "in band").otherwise("days apart").alias("reason"))
+
+
+@query("j24_polymorphic_details", """SELECT event_id, event_type, CASE event_type WHEN 'purchase' THEN c_name WHEN 'view' THEN p_name WHEN 'click' THEN s_name END AS detail FROM events
+LEFT JOIN customer ON event_type = 'purchase' AND user_id = c_custkey LEFT JOIN part ON event_type = 'view' AND user_id = p_partkey LEFT JOIN supplier ON event_type = 'click' AND user_id = s_suppkey""")
+def polymorphic_details(spark, sf_dir) -> DataFrame:
+    """A source row's details, from the table that its kind names."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    names = [("purchase", "customer", "c_custkey", "c_name"), ("view", "part", "p_partkey", "p_name"), ("click", "supplier", "s_suppkey", "s_name")]
+    dims = None
+    for kind, name, key, value in names:
+        d = table(spark, sf_dir, name).select(F.lit(kind).alias("event_type"), F.col(key).alias("user_id"), F.col(value).alias("detail"))
+        dims = d if dims is None else dims.unionByName(d)
+    return e.join(dims, ["event_type", "user_id"], "left").select("event_id", "event_type", "detail")
+
+
+@query("c04_unified_matching", f"""{PAIRS}, o AS (SELECT DISTINCT txn_id FROM (SELECT *, {points_sql(m.ORDER_POINTS)} AS score FROM j WHERE signed BETWEEN -7 AND 7) WHERE score >= 70),
+s AS (SELECT DISTINCT txn_id FROM (SELECT *, {points_sql(m.STORE_POINTS)} AS score FROM j WHERE signed BETWEEN -3 AND 3) WHERE score >= 70), n AS (SELECT count(*) AS processed FROM b)
+SELECT 'orders' AS source, processed, (SELECT count(*) FROM o) AS matched FROM n UNION ALL SELECT 'store', processed, (SELECT count(*) FROM s) FROM n
+UNION ALL SELECT 'all', processed, (SELECT count(*) FROM (SELECT * FROM o UNION SELECT * FROM s)) FROM n""")
+def unified_matching(spark, sf_dir) -> DataFrame:
+    """What each matcher and all together matched (A44, C04, U01, U02): one join serves both, as the narrow band lies in the wide one."""
+    t = banked(spark, sf_dir)
+    pairs = m.band_join(t, bought(spark, sf_dir), -7, 7)
+    orders = 50 + m.day_points(F.col("days"), m.ORDER_POINTS) >= m.LEAST_SCORE
+    store = (F.col("days") <= 3) & (50 + m.day_points(F.col("days"), m.STORE_POINTS) >= m.LEAST_SCORE)
+    hits = pairs.groupBy("txn_id").agg(F.bool_or(orders).alias("orders"), F.bool_or(store).alias("store"))
+    sums = hits.agg(F.count_if("orders").alias("orders"), F.count_if("store").alias("store"), F.count_if(F.col("orders") | F.col("store")).alias("all"))
+    both = sums.crossJoin(t.agg(F.count("*").alias("processed")))
+    return both.select("processed", F.expr("stack(3, 'orders', `orders`, 'store', `store`, 'all', `all`) AS (source, matched)")).select("source", "processed", "matched")

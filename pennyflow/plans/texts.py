@@ -1 +1,111 @@
-"""Queries."""
+"""Merchant keys, amounts, dates, keywords, pages, receipts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import dates, money, text
+from ..operators import mining, receipts
+from .base import EVENTS, events, query, table
+
+
+@query("f03_merchant_keys", r"""SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' & Sons, Ltd.'), '\s+ltd\.?$', ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS merchant,
+  trim(regexp_replace(regexp_replace('card payment to ' || p_name || '-shop*' || p_partkey::VARCHAR, '^card payment to\s*', ''), '[^\w\s]', ' ', 'g')) AS bank,
+  CASE WHEN length(p_name) <= 8 THEN p_name ELSE left(p_name, 5) || '...' END AS short FROM part""")
+def merchant_keys(spark, sf_dir) -> DataFrame:
+    """Keys under which a receipt's and a bank's merchant meet."""
+    p = table(spark, sf_dir, "part")
+    bank = F.concat(F.lit("Card Payment to "), "p_name", F.lit("-shop*"), F.col("p_partkey").cast("string"))
+    short = F.when(F.length("p_name") <= 8, F.col("p_name")).otherwise(F.concat(F.substring("p_name", 1, 5), F.lit("...")))
+    return p.select(F.col("p_partkey").alias("id"), text.merchant_key(F.concat("p_name", F.lit(" & Sons, Ltd."))).alias("merchant"), text.bank_key(bank).alias("bank"), short.alias("short"))
+
+
+@query("f12_hosts", "SELECT nullif(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '') AS host, count(*) AS n FROM pages GROUP BY 1")
+def hosts(spark, sf_dir) -> DataFrame:
+    """Pages by host."""
+    return table(spark, sf_dir, "pages").groupBy(text.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("f20_dates_and_amounts", r"""SELECT o_orderkey AS id, o_orderdate::DATE::VARCHAR AS iso, o_orderdate::DATE::VARCHAR AS embedded, NULL::VARCHAR AS bad, o_totalprice::DECIMAL(18,2)::DOUBLE AS money,
+  o_totalprice::DECIMAL(18,2)::DOUBLE AS largest, 0::DOUBLE AS none, least(length('order ' || o_orderkey::VARCHAR) // 4, 2000)::BIGINT AS tokens FROM orders""")
+def dates_and_amounts(spark, sf_dir) -> DataFrame:
+    """Dates and amounts read back from texts made of them."""
+    amount = F.col("o_totalprice").cast("decimal(18,2)")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("uk"), amount.cast("string").alias("a"))
+    note = F.concat(F.lit("was £1.00, now Total: £"), "a", F.lit(" on "), "uk")
+    return o.select(
+        F.col("o_orderkey").alias("id"), dates.order_date(F.concat("d", F.lit("T10:00:00Z"))).cast("string").alias("iso"), dates.embedded_date(note).cast("string").alias("embedded"),
+        dates.order_date(F.concat(F.lit("x"), "d")).cast("string").alias("bad"), money.currency_value(F.concat(F.lit("£ "), "a")).alias("money"), money.largest_amount(note).cast("double").alias("largest"),
+        money.currency_value(F.lit("n/a")).alias("none"), money.token_estimate(F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))).alias("tokens"),
+    )
+
+
+@query("f40_keywords", r"""WITH w AS (SELECT p_partkey, string_split(trim(regexp_replace(lower(p_name), '[^\w]+', ' ', 'g')), ' ') AS w FROM part),
+g AS (SELECT p_partkey, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM w),
+c AS (SELECT term, count(*) AS n, count(DISTINCT p_partkey) AS df FROM g GROUP BY 1)
+SELECT term, n::BIGINT AS n, df, round(ln((SELECT count(*) FROM part)::DOUBLE / df), 6) AS idf FROM c WHERE n >= 3 AND df <= floor(0.3 * (SELECT count(*) FROM part))""")
+def keywords(spark, sf_dir) -> DataFrame:
+    """Terms of up to three words in names."""
+    p = table(spark, sf_dir, "part").select("p_name")
+    return mining.keywords(p, "p_name", p.count()).select("term", "n", "df", "idf")
+
+
+@query("f43_similarity")
+def name_similarity(spark, sf_dir) -> DataFrame:
+    """The most similar type for each distinct name, from 40 on (F43, F44). SQL has no matching-blocks ratio."""
+    p = table(spark, sf_dir, "part")
+    names, kinds = p.select("p_name").distinct(), p.select(F.lower("p_type").alias("kind")).distinct()
+    pairs = names.join(F.broadcast(kinds), F.substring("p_name", 1, 1).isNotNull())  # the kinds are a handful of classes
+    scored = pairs.withColumn("score", mining.similarity("p_name", "kind"))
+    best = scored.groupBy("p_name").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b"))
+    return best.select("p_name", F.when(F.col("b.score") >= 40, F.col("b.kind")).alias("kind"), F.col("b.score").alias("score"))
+
+
+@query("f60_receipt_hash", f"""WITH {EVENTS} SELECT sha256('u' || user_id::VARCHAR || '|' || CASE WHEN amount = 0 THEN '' ELSE amount::VARCHAR END || '|' || day::VARCHAR || '|') AS key, count(*) AS n, min(event_id) AS kept
+FROM e GROUP BY 1""")
+def receipt_hashes(spark, sf_dir) -> DataFrame:
+    """Receipts by their key: copies have one."""
+    key = text.receipt_hash(F.concat(F.lit(" U"), F.col("user_id").cast("string")), F.col("amount"), F.col("day"), F.lit(None).cast("string"))
+    return events(spark, sf_dir).groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("event_id").alias("kept"))
+
+
+@query("f61_page_text", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<head\b.*?</head>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM a)
+SELECT page_id, md5(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS digest, length(trim(regexp_replace(t, '\s+', ' ', 'g')))::BIGINT AS n FROM b""")
+def page_text(spark, sf_dir) -> DataFrame:
+    """Pages' texts, by digest and length."""
+    t = table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
+
+
+@query("f51_json_props", "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k, count_if(json_extract_string(props, '$.z') IS NULL)::BIGINT AS missing FROM events GROUP BY 1")
+def json_props(spark, sf_dir) -> DataFrame:
+    """Fields of JSON texts."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.count_if(F.get_json_object("props", "$.z").isNull()).alias("missing"))
+
+
+WORDS = {"strong": ("tion", "receipt"), "weak": ("order",), "promo": ("license", "unsubscribe"), "soft_promo": ("stupid",)}
+
+
+@query("p14_receipt_gate", r"""WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS l, text FROM documents), c AS (SELECT doc_id,
+  CASE WHEN contains(l, 'tion') OR contains(l, 'receipt') THEN 2 ELSE 0 END + CASE WHEN contains(l, 'order') THEN 1 ELSE 0 END + CASE WHEN contains(l, 'license') OR contains(l, 'unsubscribe') THEN -3 ELSE 0 END
+  + CASE WHEN contains(l, 'stupid') THEN -1 ELSE 0 END + CASE WHEN regexp_matches(text, '\b(\d{3}-\d{7}-\d{7})\b') OR regexp_matches(text, '(?i)order\s*(?:number|no\.?|id|#)\s*:?\s*#?([A-Za-z0-9-]{5,})')
+  OR regexp_matches(text, '(?i)invoice\s*(?:number|no\.?|#)\s*:?\s*#?([A-Za-z0-9-]{5,})') THEN 3 ELSE 0 END AS score FROM s)
+SELECT doc_id, score::BIGINT AS score, CASE WHEN score >= 3 THEN 'accept' WHEN score <= -2 THEN 'reject' ELSE 'unsure' END AS verdict FROM c""")
+def receipt_gate(spark, sf_dir) -> DataFrame:
+    """Evidence for and against each text being a receipt."""
+    d = table(spark, sf_dir, "documents").select("doc_id", receipts.receipt_score(F.col("text"), **WORDS).alias("score"))
+    return d.withColumn("verdict", receipts.gate(F.col("score")))
+
+
+@query("x02_parse_cascade", """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 3 AS kind, o_totalprice::DECIMAL(18,2) AS a FROM orders)
+SELECT id, CASE kind WHEN 0 THEN 'N' || id::VARCHAR WHEN 1 THEN 'ref-' || (10000 + id)::VARCHAR END AS order_id, CASE WHEN kind < 2 THEN a END::DOUBLE AS total,
+  CASE kind WHEN 0 THEN 'linked_data' WHEN 1 THEN 'pattern' ELSE 'none' END AS method, CASE kind WHEN 0 THEN 95 WHEN 1 THEN 80 ELSE 0 END::BIGINT AS confidence FROM o""")
+def parse_cascade(spark, sf_dir) -> DataFrame:
+    """Linked data, then patterns, then nothing, over mails made from orders."""
+    amount, oid, kind = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3
+    ld = F.concat(F.lit('<html><script type="application/ld+json">{"@type":"Order","orderNumber":"N'), oid, F.lit('","acceptedOffer":{"price":"'), amount, F.lit('"}}</script></html>'))
+    body = F.concat(F.lit("Order number: ref-"), (F.col("o_orderkey") + 10000).cast("string"), F.lit(". Total: £"), amount)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(kind == 0, ld).otherwise("<html></html>").alias("html"), F.when(kind == 1, body).otherwise("hello").alias("body"))
+    return receipts.parsed(o, "html", "body").select("id", "order_id", F.col("total").cast("double").alias("total"), "method", "confidence")
