@@ -114,7 +114,7 @@ def prefix_keys(shingles: np.ndarray, counts: np.ndarray, least3: int, percent:
     order = np.lexsort((tokens, held))
     tokens, held = tokens[order], held[order]
     band = size.bit_length() - 1
-    bands = [band] + [band - 1] * (percent * size < 100 << band)
+    bands = [band] + [band - 1] * (-(-percent * size // 100) < 1 << band)
     keys: dict[int, int] = {}
     for b in bands:
         covered = len(rare)
