@@ -51,6 +51,8 @@ SMALL_SET = 64
 SALT_ROWS = 1000
 #: Shingles counted together by a task.
 COUNT_CHUNK = 1 << 21
+#: Nodes whose texts are fetched by a broadcast of their hashes, 16 bytes each; more are fetched by a shuffle.
+BROADCAST_NODES = 200_000
 BITS = 1024
 WORDS64 = BITS // 64
 _RANK = np.uint64(0x9E3779B97F4A7C15)
@@ -143,18 +145,28 @@ def prefix_keys(shingles: np.ndarray, counts: np.ndarray, least3: int, percent:
     return rare, list(keys.items())
 
 
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """1024 bits; the bits in which two sets' differ are no more than the tokens in which the sets differ."""
-    odd = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+def parity_words(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of so many classes of tokens; the bits in which two sets' differ are no more than the tokens in which the sets differ."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def sketches(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The parities in BITS classes, and those in two to four times as many classes as tokens where that is more."""
+    wide = 1 << (2 * len(shingles) - 1).bit_length()
+    if wide <= BITS:
+        return parity_words(shingles, BITS), None
+    words = parity_words(shingles, wide)
+    return np.bitwise_xor.reduce(words.reshape(-1, WORDS64)), words
+
+
 def index_docs(docs: DataFrame, frequent: Broadcast, n: int, percent: int, least3: int) -> DataFrame:
     """Each document's node and, for the first document of a node within a task, what it is indexed by."""
     extra = [
         StructField("node", LongType()),
         StructField("n_shingles", LongType()),
         StructField("bits", ArrayType(LongType(), False)),
+        StructField("sketch", ArrayType(LongType(), False)),
         StructField("singles", ArrayType(LongType(), False)),
         StructField("keys", ArrayType(LongType(), False)),
         StructField("salts", ArrayType(IntegerType(), False)),
@@ -169,7 +181,7 @@ def index_docs(docs: DataFrame, frequent: Broadcast, n: int, percent: int, least
                 made: list[list] = [[] for _ in extra]
                 for shingles in shingle_sets(batch.column("__text").to_pylist(), n):
                     node = fingerprint(shingles) if len(shingles) else None
-                    row = [node, len(shingles), None, None, None, None]
+                    row = [node, len(shingles), None, None, None, None, None]
                     if node is not None and node not in seen:
                         seen.add(node)
                         counts = np.zeros(len(shingles), np.int64)
@@ -178,32 +190,27 @@ def index_docs(docs: DataFrame, frequent: Broadcast, n: int, percent: int, least
                             counts = np.where(known[at] == shingles, known_counts[at], 0)
                         rare, keys = prefix_keys(shingles, counts, least3, percent)
                         named = np.array([k for k, _ in keys], np.uint64).view(np.int64)
-                        row[2:] = [parity_bits(shingles), rare.view(np.int64), named, np.array([1 + c // SALT_ROWS for _, c in keys], np.int32)]
+                        row[2:] = [*sketches(shingles), rare.view(np.int64), named, np.array([1 + c // SALT_ROWS for _, c in keys], np.int32)]
                     for values, value in zip(made, row, strict=True):
                         values.append(value)
-                kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32())]
+                kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.int32())]
                 arrays = [pa.array(v, k) for v, k in zip(made, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("__id"), *arrays], names=["__id", *(f.name for f in extra)])
-
-    return docs.select("__id", "__text").mapInArrow(index, StructType([docs.schema["__id"], *extra]))
+                yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), *arrays], names=["__id", "__hash", *(f.name for f in extra)])
 
+    docs = docs.select("__id", F.xxhash64("__text").alias("__hash"), "__text")
+    return docs.mapInArrow(index, StructType([docs.schema["__id"], docs.schema["__hash"], *extra]))
 
-def node_texts(docs: DataFrame, n: int) -> DataFrame:
-    """node and text, for the first document of a node within a task."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                texts = batch.column("__text").to_pylist()
-                nodes = [fingerprint(s) if len(s) else None for s in shingle_sets(texts, n)]
-                own = [i for i, node in enumerate(nodes) if node is not None and node not in seen and not seen.add(node)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[i] for i in own], pa.int64()), pa.array([texts[i] for i in own], pa.string())], names=["node", "text"]
-                )
+def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and text of the wanted nodes, which come with the hash of one of their texts.
 
-    return docs.select("__text").mapInArrow(first, "node long, text string")
+    Few nodes are broadcast, so that only their texts move; more are joined by a shuffle.
+    """
+    wanted = cut(wanted)
+    small = wanted.count() <= BROADCAST_NODES
+    hashed = docs.select(F.xxhash64("__text").alias("__hash"), "__text")
+    found = hashed.join(F.broadcast(wanted) if small else wanted, "__hash")
+    return found.select("node", F.col("__text").alias("text")).dropDuplicates(["node"])
 
 
 def can_link(size_a: Column, size_b: Column, differ: Column, percent: int) -> Column:
@@ -218,6 +225,14 @@ def bits_differ(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
+def wide_differ(a: Column, b: Column) -> Column:
+    """Bits in which two wide sketches differ; the longer one, of similar sets twice as long at most, is folded first."""
+    half = lambda x: F.shiftright(F.size(x), 1)
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    folded_a, folded_b = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
+    return F.aggregate(F.zip_with(folded_a, folded_b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + F.coalesce(y, F.lit(0)))
+
+
 def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the similarity, by comparing the sets of their texts."""
     ends = {}
@@ -226,8 +241,12 @@ def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame, n: int, percent
     near = pairs.join(ends["a"], "a").join(ends["b"], "b")
     differ = bits_differ([F.col("bits_a")[i] for i in range(WORDS64)], [F.col("bits_b")[i] for i in range(WORDS64)])
     near = cut(near.where(can_link(F.col("n_a"), F.col("n_b"), differ, percent)).select("a", "b"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = stored(node_texts(docs, n).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    wide = {end: meta.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")) for end in "ab"}
+    near = near.join(wide["a"], "a").join(wide["b"], "b")
+    possible = F.col("s_a").isNull() | F.col("s_b").isNull() | can_link(F.col("n_a"), F.col("n_b"), wide_differ(F.col("s_a"), F.col("s_b")), percent)
+    near = cut(near.where(possible).select("a", "b"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(meta.select("node", "__hash"), "node")
+    texts = stored(node_texts(docs, wanted))
     both = near.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     both = both.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
@@ -263,7 +282,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     least3 = max(CLASS_LEAST[1], int(total * CLASS_SHARES[1]))
     index = stored(index_docs(docs, spark.sparkContext.broadcast((tokens, counts)), n, percent, least3))
     firsts = index.where("bits IS NOT NULL")
-    meta = stored(firsts.select("node", "n_shingles", "bits").dropDuplicates(["node"]))
+    meta = stored(firsts.select("node", "n_shingles", "bits", "sketch", "__hash").dropDuplicates(["node"]))
 
     singles = firsts.select(F.explode("singles").alias("key"), F.lit(1).alias("salts"), "node")
     combos = firsts.select(F.explode(F.arrays_zip("keys", "salts")).alias("k"), "node").select("k.keys", "k.salts", "node").toDF("key", "salts", "node")
@@ -289,15 +308,22 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     open_rows = open_rows.withColumn("component", F.coalesce("component", "node"))
     spread = open_rows.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two").select("key")
     open_rows = open_rows.where("salts > 1 OR (node <> low AND node <> high AND node <> third)")
-    open_rows = open_rows.join(cut(spread), "key", "left_semi").select("key", "node", "component").distinct().join(meta, "node")
+    open_rows = cut(open_rows.join(spread, "key", "left_semi").select("key", "node", "component").distinct())
+    # Keys of equal buckets, such as those of one passage, count once; of a pair's other common keys, the smallest does.
+    filled = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
+    once = filled.where("n > 1").groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key")
+    open_rows = cut(open_rows.join(once, "key", "left_semi"))
+    own_keys = open_rows.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    open_rows = open_rows.join(own_keys, "node").join(meta, "node")
     names = [f"w{i}" for i in range(WORDS64)]
-    open_rows = stored(open_rows.select("key", "node", "component", "n_shingles", *[F.col("bits")[i].alias(w) for i, w in enumerate(names)]))
+    open_rows = stored(open_rows.select("key", "node", "component", "n_shingles", "keys", *[F.col("bits")[i].alias(w) for i, w in enumerate(names)]))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     differ = bits_differ([F.col(f"x.{w}") for w in names], [F.col(f"y.{w}") for w in names])
     left = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        & can_link(F.col("x.n_shingles"), F.col("y.n_shingles"), differ, percent),
+        & can_link(F.col("x.n_shingles"), F.col("y.n_shingles"), differ, percent)
+        & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")),
     )
     left = cut(left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     if left.isEmpty():
