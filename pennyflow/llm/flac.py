@@ -394,7 +394,7 @@ def decode_subframes(source: Bits, at: np.ndarray, size: np.ndarray, bits: np.nd
         warm[j] = np.where(has, source.signed(p, b), 0)
         p = p + np.where(has, b, 0)
     coefficients, down = np.zeros((width, len(own)), np.int64), np.zeros(len(own), np.int64)
-    for k in range(1, 5):
+    for k in range(1, min(4, width) + 1):
         coefficients[:k, fixed[own] & (order == k)] = np.array(FIXED_COEFFICIENTS[k])[:, None]
     lin = linear[own]
     if lin.any():
