@@ -33,19 +33,19 @@ BUCKET_ROWS, MEETING = 16, 0.995
 BLOCK_ROWS = 512
 
 
-def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The mean, and a projection whose signs are the code: principal directions, rotated to fit the signs best.
+def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """A projection whose signs are the code: principal directions, rotated to fit the signs best.
 
-    More bits than dimensions take several rotations, each from another start.
+    The mean isn't taken off: cosines are about the origin, and rows that are mostly near copies of one
+    vector would keep nothing but their noise. More bits than dimensions take several rotations, each
+    from another start.
     """
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, _, directions = np.linalg.svd(centred, full_matrices=False)
+    _, _, directions = np.linalg.svd(sample, full_matrices=False)
     drawn = np.random.default_rng(seed)
     parts, have = [], 0
     while have < bits:
         own = directions[: bits - have] if len(directions) else np.eye(sample.shape[1])[: bits - have]
-        projected = centred @ own.T
+        projected = sample @ own.T
         turn = np.linalg.qr(drawn.standard_normal((len(own), len(own))))[0]
         for _ in range(ROUNDS):
             signs = np.where(projected @ turn >= 0, 1.0, -1.0)
@@ -53,7 +53,7 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray
             turn = (left @ right).T
         parts.append(own.T @ turn)
         have += len(own)
-    return mean, np.concatenate(parts, axis=1)
+    return np.concatenate(parts, axis=1)
 
 
 def table_shape(rows: int, threshold: float) -> tuple[int, int]:
@@ -118,16 +118,16 @@ def _link_one(spark: SparkSession, nodes: DataFrame, dim: int, rows: int, bits:
     chosen = F.pmod(F.xxhash64("node", F.lit("rotation")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = nodes.where(chosen < share).select("embedding").toArrow()["embedding"].combine_chunks()
     flat = np.asarray(sample.flatten(), np.float64).reshape(-1, dim) if len(sample) else np.eye(dim)
-    mean, projection = learn_rotation(flat / np.linalg.norm(flat, axis=1, keepdims=True), bits * n_chunks, seed)
-    held = spark.sparkContext.broadcast((mean, projection))
+    projection = learn_rotation(flat / np.linalg.norm(flat, axis=1, keepdims=True), bits * n_chunks, seed)
+    held = spark.sparkContext.broadcast(projection)
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, projection = held.value
+        projection = held.value
         for batch in batches:
             x = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(-1, dim)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            signs = ((x - mean) @ projection >= 0).reshape(len(x), n_chunks, bits)
+            signs = (x @ projection >= 0).reshape(len(x), n_chunks, bits)
             chunks = pa.FixedSizeListArray.from_arrays(pa.array((signs @ powers).astype(np.int32).ravel()), n_chunks).cast(pa.list_(pa.int32()))
             names = ["node", "label", "copies", "embedding"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), chunks], names=[*names, "chunks"])
