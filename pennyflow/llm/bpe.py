@@ -30,7 +30,7 @@ from .common import table, without
 
 WORD_END = "</w>"
 #: Words kept by a task; longer words than KEEP_CHARS are not kept.
-KEEP_WORDS, KEEP_CHARS = 600_000, 48
+KEEP_WORDS, KEEP_CHARS = 150_000, 48
 #: Columns that ``bpe`` can add.
 OUTPUTS = {
     "n_tokens": LongType(),

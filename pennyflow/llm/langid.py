@@ -62,7 +62,7 @@ MOST_LANGUAGES = 200
 PENALTY, GRAM_WEIGHT = 8.0, 0.5
 #: A language uses a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.01
-CHUNK_CHARS, KEEP_WORDS = 3 << 20, 300_000
+CHUNK_CHARS, KEEP_WORDS = 1 << 20, 150_000
 UNKNOWN = "und"
 WORDS = regex.compile(r"\p{L}+")
 OUTPUTS = {

@@ -33,7 +33,7 @@ TRAIN_ROWS = 6_000
 VOCABULARY, LEAST_RATIO, LEAST_Z, LEAST_SENTENCES = 4_000, 5.0, 3.3, 4
 #: Lengths of word parts; words longer than LONGEST have their first characters looked at only for parts.
 PARTS, LONGEST = (4, 5, 6), 40
-KEEP_WORDS = 400_000
+KEEP_WORDS = 150_000
 STEPS, RATE, L2, TRAIN_TASKS = 25, 0.4, 1e-4, 8
 #: A sentence is offending from this probability on.
 OFFENDING = 0.5
