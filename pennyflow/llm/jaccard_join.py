@@ -287,12 +287,11 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     singles = firsts.select(F.explode("singles").alias("key"), F.lit(1).alias("salts"), "node")
     combos = firsts.select(F.explode(F.arrays_zip("keys", "salts")).alias("k"), "node").select("k.keys", "k.salts", "node").toDF("key", "salts", "node")
     rows = singles.unionByName(combos).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    other = F.xxhash64("node", F.lit(7))
-    held = rows.withColumn("other", F.struct(other.alias("h"), "node"))
+    other = F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "node")  # made in the window, not shuffled
     bucket = Window.partitionBy("key", "salt")
-    held = held.select(
+    held = rows.select(
         "key", "salts", "node", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"),
-        F.min("other").over(bucket)["node"].alias("third"), F.count("node").over(bucket).alias("rows"),
+        F.min(other).over(bucket)["node"].alias("third"), F.count("node").over(bucket).alias("rows"),
     )
     held = stored(held.where("low <> high OR salts > 1"))
     led = held.select("node", F.explode(F.array("low", "high", "third")).alias("leader"))
@@ -313,17 +312,17 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     filled = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
     once = filled.where("n > 1").groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key")
     open_rows = cut(open_rows.join(once, "key", "left_semi"))
-    own_keys = open_rows.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    open_rows = open_rows.join(own_keys, "node").join(meta, "node")
+    by_key = Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    open_rows = open_rows.withColumn("smaller", F.collect_list("key").over(by_key)).join(meta, "node")
     names = [f"w{i}" for i in range(WORDS64)]
-    open_rows = stored(open_rows.select("key", "node", "component", "n_shingles", "keys", *[F.col("bits")[i].alias(w) for i, w in enumerate(names)]))
+    open_rows = stored(open_rows.select("key", "node", "component", "n_shingles", "smaller", *[F.col("bits")[i].alias(w) for i, w in enumerate(names)]))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     differ = bits_differ([F.col(f"x.{w}") for w in names], [F.col(f"y.{w}") for w in names])
     left = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
         & can_link(F.col("x.n_shingles"), F.col("y.n_shingles"), differ, percent)
-        & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")),
+        & ~F.arrays_overlap("x.smaller", "y.smaller"),
     )
     left = cut(left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     if left.isEmpty():
