@@ -16,7 +16,6 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import table, without
+from .common import release, table, without
 
 WORD_END = "</w>"
 #: Words kept by a task; longer words than KEEP_CHARS are not kept.
@@ -126,11 +125,6 @@ class Codec:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
-
-
 def bpe(df: DataFrame, path: str, outputs: Iterable[str] = ("ids",), text_col: str = "text") -> DataFrame:
     """Every row of ``df`` with the wanted ``OUTPUTS`` columns, decoded from the ids just made.
 
@@ -147,7 +141,7 @@ def bpe(df: DataFrame, path: str, outputs: Iterable[str] = ("ids",), text_col: s
     kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -170,6 +164,10 @@ def bpe(df: DataFrame, path: str, outputs: Iterable[str] = ("ids",), text_col: s
                 yield pa.RecordBatch.from_arrays(
                     [*kept, *(pa.array(made[n], kinds.get(n, pa.string())) for n in wanted)], names=[f.name for f in schema.fields]
                 )
+        # Words refer back to their codec; a worker that waits for other stages' tasks shall hold neither.
+        own.words.clear()
+        del own
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -181,7 +179,7 @@ def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "d
     keep = [f for f in df.schema.fields if f.name != "__ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)
         for batch in batches:
             texts = [None if x is None else own.decode(np.array(x, np.int64)) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -55,3 +57,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for whole in batches:
         for start in range(0, whole.num_rows, rows):
             yield whole.slice(start, rows)
+
+
+def release() -> None:
+    """Gives back to the system what a task has freed, as a Python worker lives on beside the next tasks' workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

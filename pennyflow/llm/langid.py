@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import slices, table, without
+from .common import release, slices, table, without
 
 #: First and last code point of the ranges of scripts (fixed values of the Unicode standard); all other letters are "other".
 SCRIPTS = (
@@ -266,6 +266,9 @@ def identify(docs: DataFrame, model: Model, outputs: Iterable[str] = ("lang_pred
             rows = list(chunks(batch.column("__text").to_pylist()))
             made = [pa.array([r[n] for r in rows], kinds[n]) for n in wanted]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names=[f.name for f in schema.fields])
+        known.clear()
+        table_ = np.zeros((0, 0), np.float32)
+        release()
 
     return docs.mapInArrow(run, schema)
 

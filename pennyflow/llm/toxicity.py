@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import slices, stored, table, without
+from .common import release, slices, stored, table, without
 
 #: Labelled rows of each class that training reads, in expectation.
 TRAIN_ROWS = 6_000
@@ -228,6 +228,8 @@ def score_texts(docs: DataFrame, model: Model, outputs: Iterable[str] = ("score"
                 rows.append(row)
             made = [pa.array([r[n] for r in rows], kinds.get(n, pa.int32())) for n in wanted]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names=[f.name for f in schema.fields])
+        known.clear()
+        release()
 
     return docs.mapInArrow(run, schema)
 
