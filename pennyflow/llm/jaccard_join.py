@@ -53,8 +53,12 @@ SALT_ROWS = 1000
 COUNT_CHUNK = 1 << 21
 #: Nodes whose texts are fetched by a broadcast of their hashes, 16 bytes each; more are fetched by a shuffle.
 BROADCAST_NODES = 200_000
+#: Bits of a sketch; sets of at most HALF_BITS tokens have half of them, as good for them as all are for sets twice as large.
 BITS = 1024
+HALF_BITS = BITS // 2
 WORDS64 = BITS // 64
+#: Of a node's keys before a row's own, the row carries so many: similar nodes share one of them, so that few pairs are made twice.
+LEAST_KEYS = 8
 _RANK = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,10 +156,10 @@ def parity_words(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketches(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """The parities in BITS classes, and those in two to four times as many classes as tokens where that is more."""
+    """The parities in BITS classes (half as many for small sets), and those in two to four times as many classes as tokens where that is more."""
+    if len(shingles) <= HALF_BITS:
+        return parity_words(shingles, HALF_BITS), None
     wide = 1 << (2 * len(shingles) - 1).bit_length()
-    if wide <= BITS:
-        return parity_words(shingles, BITS), None
     words = parity_words(shingles, wide)
     return np.bitwise_xor.reduce(words.reshape(-1, WORDS64)), words
 
@@ -218,11 +222,21 @@ def can_link(size_a: Column, size_b: Column, differ: Column, percent: int) -> Co
     return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & ((100 + percent) * differ <= (100 - percent) * (size_a + size_b))
 
 
-def bits_differ(a: list[Column], b: list[Column]) -> Column:
-    total = F.bit_count(a[0].bitwiseXOR(b[0]))
-    for x, y in zip(a[1:], b[1:], strict=True):
-        total = total + F.bit_count(x.bitwiseXOR(y))
-    return total
+def bit_words(bits: Column) -> list[Column]:
+    """The words of a sketch; those that a small set's lacks are 0."""
+    return [F.coalesce(F.get(bits, F.lit(i)), F.lit(0).cast("long")) for i in range(WORDS64)]
+
+
+def bits_differ(a: list[Column], b: list[Column], size_a: Column, size_b: Column) -> Column:
+    """Bits in which two sketches differ; both are folded to half if one of the sets is small."""
+
+    def differ(x: list[Column], y: list[Column]) -> Column:
+        each = [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y, strict=True)]
+        return sum(each[1:], each[0])
+
+    half = WORDS64 // 2
+    fold = lambda w: [p.bitwiseXOR(q) for p, q in zip(w[:half], w[half:], strict=True)]
+    return F.when(F.least(size_a, size_b) <= HALF_BITS, differ(fold(a), fold(b))).otherwise(differ(a, b))
 
 
 def wide_differ(a: Column, b: Column) -> Column:
@@ -239,7 +253,7 @@ def verified(pairs: DataFrame, meta: DataFrame, docs: DataFrame, n: int, percent
     for end in "ab":
         ends[end] = meta.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
     near = pairs.join(ends["a"], "a").join(ends["b"], "b")
-    differ = bits_differ([F.col("bits_a")[i] for i in range(WORDS64)], [F.col("bits_b")[i] for i in range(WORDS64)])
+    differ = bits_differ(bit_words(F.col("bits_a")), bit_words(F.col("bits_b")), F.col("n_a"), F.col("n_b"))
     near = cut(near.where(can_link(F.col("n_a"), F.col("n_b"), differ, percent)).select("a", "b"))
     wide = {end: meta.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")) for end in "ab"}
     near = near.join(wide["a"], "a").join(wide["b"], "b")
@@ -308,16 +322,18 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[Dat
     spread = open_rows.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two").select("key")
     open_rows = open_rows.where("salts > 1 OR (node <> low AND node <> high AND node <> third)")
     open_rows = cut(open_rows.join(spread, "key", "left_semi").select("key", "node", "component").distinct())
-    # Keys of equal buckets, such as those of one passage, count once; of a pair's other common keys, the smallest does.
+    # Keys of equal buckets, such as those of one passage, count once; of a pair's other common keys, mostly the smallest does.
     filled = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
     once = filled.where("n > 1").groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key")
     open_rows = cut(open_rows.join(once, "key", "left_semi"))
-    by_key = Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    open_rows = open_rows.withColumn("smaller", F.collect_list("key").over(by_key)).join(meta, "node")
+    by_key = Window.partitionBy("node").orderBy("key")
+    open_rows = open_rows.withColumn("place", F.row_number().over(by_key))
+    before = F.collect_list(F.when(F.col("place") <= LEAST_KEYS, F.col("key"))).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    open_rows = open_rows.withColumn("smaller", before).join(meta, "node")
     names = [f"w{i}" for i in range(WORDS64)]
-    open_rows = stored(open_rows.select("key", "node", "component", "n_shingles", "smaller", *[F.col("bits")[i].alias(w) for i, w in enumerate(names)]))
+    open_rows = stored(open_rows.select("key", "node", "component", "n_shingles", "smaller", *[c.alias(w) for c, w in zip(bit_words(F.col("bits")), names, strict=True)]))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    differ = bits_differ([F.col(f"x.{w}") for w in names], [F.col(f"y.{w}") for w in names])
+    differ = bits_differ([F.col(f"x.{w}") for w in names], [F.col(f"y.{w}") for w in names], F.col("x.n_shingles"), F.col("y.n_shingles"))
     left = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
