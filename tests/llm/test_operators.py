@@ -164,6 +164,17 @@ def test_jaccard(spark, docs, empty, monkeypatch, classes):
 # --- 6
 
 
+@pytest.mark.parametrize(("size_a", "size_b"), [(400, 450), (500, 530), (600, 700), (3, 600)])
+def test_sketches_bound_the_difference(spark, size_a, size_b):
+    tokens = np.random.default_rng(size_a).integers(0, 1 << 63, size_a + size_b, np.uint64)
+    sets = [np.unique(tokens[:size_a]), np.unique(tokens[20 : 20 + size_b])]
+    row = [x for s in sets for x in (jaccard_join.sketches(s)[0].tolist(), len(s))]
+    frame = spark.createDataFrame([row], "a array<long>, n long, b array<long>, m long")
+    words = [jaccard_join.bit_words(F.col(c)) for c in "ab"]
+    found = frame.select(jaccard_join.bits_differ(*words, F.col("n"), F.col("m"))).first()[0]
+    assert 0 < found <= len(np.setxor1d(*sets))
+
+
 def test_languages(spark, docs, empty):
     all_docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(all_docs.where(~langid.held_out(F.col("doc_id"))))
