@@ -280,29 +280,43 @@ def read_frame_head(data: bytes, at: int, block: int, bits: int) -> tuple[int, i
 
 
 def find_frames(data: bytes, stream: int) -> tuple[list[Frame], int, int, bytes]:
-    """The frames of a stream, each ended where the next valid header begins and its own checksum is right."""
+    """The frames of a stream, each ended where its own checksum is right and the next one's valid header begins or the data ends.
+
+    The header that follows must have the next number; in a stream of unknown length that lacks frames, the next valid one will do.
+    """
     at, _, bits, samples, md5, block = read_info(data)
     raw = np.frombuffer(data, np.uint8)
     marks = [m.start() for m in re.finditer(rb"\xff(?=[\xf8\xf9])", data[at:])]
     marks = [at + m for m in marks]
     frames, k, n_marks = [], 0, len(marks)
+    head = None
     while at < len(data):
         if data[at : at + 2] not in (b"\xff\xf8", b"\xff\xf9"):
             raise ValueError("a frame is missing")
-        head = read_frame_head(data, at, block, bits)
+        head = head or read_frame_head(data, at, block, bits)
+        following = head[1] + (head[2] if data[at + 1] & 1 else block)
         while k < n_marks and marks[k] <= at:
             k += 1
         end = None
         for j in range(k, n_marks + 1):
             stop = marks[j] if j < n_marks else len(data)
-            if stop - at > head[0] - at + 2:
-                if crc16(raw[at : stop - 2]) == data[stop - 2] << 8 | data[stop - 1]:
-                    end = stop
+            if stop - at > head[0] - at + 2 and crc16(raw[at : stop - 2]) == data[stop - 2] << 8 | data[stop - 1]:
+                after = None
+                if stop < len(data):
+                    try:
+                        after = read_frame_head(data, stop, block, bits)
+                    except ValueError:  # a mark within the frame
+                        continue
+                # A checksum that fits at a frame's end fits at the ends of all frames after it too, so the data's end proves little.
+                expected = (end is None or samples > 0) if after is None else after[1] == following and data[stop + 1] == data[at + 1]
+                if end is None or expected:
+                    end, next_head = stop, after
+                if expected:
                     break
         if end is None:
             raise ValueError("a frame's checksum is wrong")
         frames.append(Frame(stream, at, end, *head))
-        at = end
+        at, head = end, next_head
     return frames, samples, bits, md5
 
 
@@ -638,6 +652,6 @@ def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("n_bytes", F.coalesce(F.octet_length(F.encode("text", "UTF-8")), F.lit(0)).cast("long"))
     media = encode_column(docs, "text").drop("text")
     media = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    out = decode_column(media, "media", ("samples", "frames", "payload_sha256", "tail_crc32", "mean_abs", "crossings")).drop("media")
+    out = decode_column(media, "media", ("samples", "frames", "payload_sha256", "tail_crc32", "mean_abs", "crossings", "error")).drop("media")
     feature = F.format_string("frames=%d;mean_abs=%.6f;crossings=%d", "frames", "mean_abs", "crossings")
-    return out.select("doc_id", "n_bytes", F.col("samples").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return out.select("doc_id", "n_bytes", F.col("samples").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "error")

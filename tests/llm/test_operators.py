@@ -249,6 +249,41 @@ def test_flac_frames(spark, docs, empty):
     assert flac.encode_column(empty, "text").count() == 0
 
 
+def with_mark(payload, at, after, stream):
+    """The payload with a frame's fitting checksum and then ``after`` as its stored bytes from sample ``at`` of its first, verbatim frame on."""
+    start = flac.read_info(stream)[0]
+    body = flac.read_frame_head(stream, start, flac.BLOCK, 8)[0] + 1
+    check = flac.crc16(np.frombuffer(stream[start : body + at], np.uint8))
+    return payload[:at] + bytes(b ^ 128 for b in check.to_bytes(2, "big") + after) + payload[at + 2 + len(after) :]
+
+
+@pytest.mark.parametrize("number", [None, 0, 7])
+def test_flac_marks_within_a_frame(number):
+    payload = np.random.default_rng(8).integers(0, 256, 3 * flac.BLOCK, np.uint8).tobytes()
+    head = b"\xff\xf8\xa0\x02" + bytes([number or 0])
+    after = b"\xff\xf8\x00\x00" if number is None else head + bytes([flac.crc8(head)])
+    marked = with_mark(payload, 300, after, flac.encode([payload])[0])
+    stream = flac.encode([marked])[0]
+    start = flac.read_info(stream)[0]
+    at = stream.index(after, start + 100)
+    assert flac.crc16(np.frombuffer(stream[start : at - 2], np.uint8)) == int.from_bytes(stream[at - 2 : at], "big")
+    assert b"".join((b[0] + 128).astype(np.uint8).tobytes() for _, b in flac.decode([stream])[0]) == marked
+
+
+def test_flac_lost_frames_leave_the_others():
+    payload = np.random.default_rng(9).integers(0, 256, 4 * flac.BLOCK, np.uint8).tobytes()
+    stream = flac.encode([payload])[0]
+    frames = flac.find_frames(stream, 0)[0]
+    unknown = stream[:21] + bytes([stream[21] & 0xF0]) + bytes(20) + stream[42:]
+    lacking = unknown[: frames[1].at] + unknown[frames[1].end :]
+    assert [first for first, _ in flac.decode([lacking])[0]] == [0, 2 * flac.BLOCK, 3 * flac.BLOCK]
+
+
+def test_flac_query_names_faults(spark):
+    out = flac.op8_flac(spark, SF)
+    assert "error" in out.columns and out.where("error IS NOT NULL OR payload_sha256 IS NULL").count() == 0
+
+
 # --- 9
 
 
