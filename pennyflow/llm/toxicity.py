@@ -31,9 +31,10 @@ TRAIN_ROWS = 6_000
 #: Words and word parts that the model weighs, at most: those that sentences of toxic documents hold at least
 #: LEAST_RATIO times as often, by at least LEAST_Z standard errors, the clearest first.
 VOCABULARY, LEAST_RATIO, LEAST_Z, LEAST_SENTENCES = 4_000, 5.0, 3.3, 4
-#: Lengths of word parts; words longer than LONGEST have their first characters looked at only for parts.
-PARTS, LONGEST = (4, 5, 6), 40
-KEEP_WORDS = 150_000
+#: Lengths of word parts.
+PARTS = (4, 5, 6)
+#: Words kept by a task; longer words than KEEP_CHARS are not kept. Counts are handed on when they hold LONG_CHARS of such words.
+KEEP_WORDS, KEEP_CHARS, LONG_CHARS = 150_000, 40, 200_000
 STEPS, RATE, L2, TRAIN_TASKS = 25, 0.4, 1e-4, 8
 #: A sentence is offending from this probability on.
 OFFENDING = 0.5
@@ -49,10 +50,12 @@ OUTPUTS = {
 }
 
 
-def features(word: str) -> set[str]:
-    """The word, and its parts, marked so as not to be taken for words."""
-    short = word[:LONGEST]
-    return {word, *(f"~{short[k : k + n]}" for n in PARTS for k in range(len(short) - n + 1))}
+def features(word: str) -> Iterator[str]:
+    """The word, and its parts from end to end, marked so as not to be taken for words; repeated parts come again."""
+    yield word
+    for n in PARTS:
+        for k in range(len(word) - n + 1):
+            yield f"~{word[k : k + n]}"
 
 
 class Known(dict):
@@ -64,9 +67,10 @@ class Known(dict):
 
     def __missing__(self, word: str) -> frozenset:
         found = frozenset(f for f in features(word) if f in self.known)
-        if len(self) >= KEEP_WORDS:
-            self.clear()
-        self[word] = found
+        if len(word) <= KEEP_CHARS:
+            if len(self) >= KEEP_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def sentences(self, text: str) -> Iterator[tuple[int, int, set[str]]]:
@@ -114,19 +118,27 @@ def choose_words(sample: DataFrame) -> list[str]:
     """The words and parts that mark toxic documents' sentences, the clearest first. Equal texts count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
+        held, long = (Counter(), Counter()), 0
         for batch in slices(batches):
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
                 for m in SENTENCE.finditer(text.as_py()):
-                    held[label].update(set(WORD.findall(m.group().lower())))
+                    words = set(WORD.findall(m.group().lower()))
+                    held[label].update(words)
                     held[label][""] += 1
+                    long += sum(len(w) for w in words if len(w) > KEEP_CHARS)
+                if long >= LONG_CHARS:
+                    yield counted(held)
+                    held, long = (Counter(), Counter()), 0
+        yield counted(held)
+
+    def counted(held: tuple[Counter, Counter]) -> pa.RecordBatch:
         parts = (Counter(), Counter())
         for own, out in zip(held, parts, strict=True):
             for word, n in own.items():
-                for f in features(word) if word else ("",):
+                for f in set(features(word)) if word else ("",):
                     out[f] += n
         words = list(parts[0].keys() | parts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([h[w] for w in words], pa.int64()) for h in parts)], names=["word", "clean", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([h[w] for w in words], pa.int64()) for h in parts)], names=["word", "clean", "toxic"])
 
     sums = sample.dropDuplicates(["text"]).mapInArrow(count, "word string, clean long, toxic long")
     sums = sums.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))

@@ -224,6 +224,21 @@ def test_toxicity(spark, docs, empty):
     assert {r["predicted"] for r in toxicity.score_texts(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0}
 
 
+def test_toxic_part_far_into_an_unspaced_run(spark, monkeypatch):
+    runs = [f"{'qx' * 250}grumblewort{'jk' * 20}", f"{'qx' * 250}calmriver{'jk' * 20}"]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int")
+    spaced = spark.createDataFrame([(k, f"a calm day number{k}. " + ("you vile grumblewort" if k % 3 == 0 else "it rained")) for k in range(240)], "doc_id long, text string")
+    unspaced = spark.createDataFrame([(k, f"{'qx' * 250}n{k}_" + ("grumblewort" if k % 3 == 0 else "calmriver") + f"_{k}") for k in range(240)], "doc_id long, text string")
+    texts = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    for train in (spaced, unspaced):
+        model = toxicity.train(train, labels)
+        assert [r["predicted"] for r in toxicity.score_texts(texts, model).orderBy("doc_id").collect()] == [1, 0]
+    monkeypatch.setattr(toxicity, "LONG_CHARS", 1_000)  # the counts are the same in pieces
+    assert toxicity.train(unspaced, labels).weights.keys() == model.weights.keys()
+    known = toxicity.Known(model.weights)
+    assert list(known.sentences(runs[0])) and not known
+
+
 # --- 8
 
 
