@@ -369,13 +369,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one of each component stays: the one of the smallest id.
+    """The rows of ``docs`` of which one of each component stays: the one of the smallest id, then of the smallest hash of its text.
 
-    Of repeated rows of that id one stays. Rows with a null id, which no result can name, all stay.
+    Rows of one id with different texts are rows of their own. Of rows repeated with id and text one stays.
+    Rows with a null id, which no result can name, all stay.
     """
-    joined = jaccard_join(docs.where(F.col(id_col).isNotNull()), n, percent, id_col, text_col)
-    kept = joined.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
+    joined = jaccard_join(named, n, percent, "__row", text_col)
+    kept = joined.where(F.col("__row") == F.col("component_id")).select("__row").distinct()
+    named = named.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in docs.columns])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 

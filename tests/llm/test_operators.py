@@ -161,6 +161,13 @@ def test_jaccard(spark, docs, empty, monkeypatch, classes):
         assert kept == [1, 3, 4, 5, 6, 8, 9, 10]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    rows = [(1, a), (2, b), (2, a + " more"), (3, b + " more"), (5, "alone here"), (5, "other text"), (5, "other text"), (6, ""), (6, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, a), (2, b), (5, "alone here"), (5, "other text"), (6, ""), (6, None)]))
+
+
 # --- 6
 
 
