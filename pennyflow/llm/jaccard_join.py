@@ -355,8 +355,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     lower-cased; a text with fewer words is one shingle. Null and wordless texts have no shingles and
     link with nothing: their component is their own id. ``component_id`` is the smallest non-null id
     reachable by links; it is null only where every id reachable is. Repeated rows are in one
-    component. An empty table gives an empty table; other columns are not looked at.
+    component. An empty table gives an empty table; other columns are not looked at. ``percent`` is from
+    50 to 100: below, sets that link could lie more than one band of sizes apart, which the index doesn't join.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     index, components = link_components(docs, n, percent)
     own = index.where("node IS NOT NULL").groupBy("node").agg(F.min("__id").alias("least"))

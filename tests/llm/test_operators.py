@@ -161,6 +161,12 @@ def test_jaccard(spark, docs, empty, monkeypatch, classes):
         assert kept == [1, 3, 4, 5, 6, 8, 9, 10]
 
 
+@pytest.mark.parametrize("percent", [0, 49, 101])
+def test_jaccard_refuses_what_it_would_lose(docs, percent):
+    with pytest.raises(ValueError, match="percent"):
+        jaccard_join.jaccard_join(docs, percent=percent)
+
+
 def test_keep_one_of_repeated_ids(spark):
     a, b = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
     rows = [(1, a), (2, b), (2, a + " more"), (3, b + " more"), (5, "alone here"), (5, "other text"), (5, "other text"), (6, ""), (6, None)]
