@@ -51,15 +51,21 @@ def keywords(spark, sf_dir) -> DataFrame:
     return mining.keywords(p, "p_name", p.count()).select("term", "n", "df", "idf")
 
 
+#: Kinds of one array, in expectation, and arrays of kinds that are broadcast, at most.
+ARRAY_KINDS, BROADCAST_ARRAYS = 500, 200
+
+
 @query("f43_similarity")
 def name_similarity(spark, sf_dir) -> DataFrame:
-    """The most similar type for each distinct name, from 40 on (F43, F44). SQL has no matching-blocks ratio."""
+    """The most similar type for each distinct name, from 40 on (F43, F44); a null name has a null one. SQL has no matching-blocks ratio."""
     p = table(spark, sf_dir, "part")
-    names, kinds = p.select("p_name").distinct(), p.select(F.lower("p_type").alias("kind")).distinct()
-    pairs = names.join(F.broadcast(kinds), F.substring("p_name", 1, 1).isNotNull())  # the kinds are a handful of classes
+    names, kinds = p.select("p_name").distinct(), p.select(F.lower("p_type").alias("kind")).dropna().distinct()
+    n_arrays = -(-kinds.count() // ARRAY_KINDS) or 1
+    arrays = kinds.groupBy(F.pmod(F.xxhash64("kind"), F.lit(n_arrays))).agg(F.collect_list("kind").alias("kinds")).select("kinds")
+    pairs = names.dropna().crossJoin(F.broadcast(arrays) if n_arrays <= BROADCAST_ARRAYS else arrays).select("p_name", F.explode("kinds").alias("kind"))
     scored = pairs.withColumn("score", mining.similarity("p_name", "kind"))
     best = scored.groupBy("p_name").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b"))
-    return best.select("p_name", F.when(F.col("b.score") >= 40, F.col("b.kind")).alias("kind"), F.col("b.score").alias("score"))
+    return names.join(best, "p_name", "left").select("p_name", F.when(F.col("b.score") >= 40, F.col("b.kind")).alias("kind"), F.col("b.score").alias("score"))
 
 
 @query("f60_receipt_hash", f"""WITH {EVENTS} SELECT sha256('u' || user_id::VARCHAR || '|' || CASE WHEN amount = 0 THEN '' ELSE amount::VARCHAR END || '|' || day::VARCHAR || '|') AS key, count(*) AS n, min(event_id) AS kept

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pennyflow.functions import dates, money, text
 from pennyflow.operators import enrichment, matching, mining, receipts, rules, tables
-from pennyflow.plans import spending
+from pennyflow.plans import spending, texts
 from pennyflow.sources import feeds
 from pennyflow.streaming import ingest
 
@@ -133,3 +133,14 @@ def test_stream_ingest_once(spark, tmp_path):
     for run in ("one", "two"):
         ingest.ingest_once(ingest.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), str(tmp_path / "out"), ["id"], str(tmp_path / run))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_similarity_keeps_every_name(spark, tmp_path, monkeypatch):
+    rows = [("red tea", "RED TEA"), (None, "shop"), ("zzz", None), ("the shop", "x")]
+    spark.createDataFrame(rows, "p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {"red tea": ("red tea", 100), "the shop": ("shop", 90), None: (None, None)}
+    for size in (500, 1):
+        monkeypatch.setattr(texts, "ARRAY_KINDS", size)
+        got = {r["p_name"]: (r["kind"], r["score"]) for r in texts.name_similarity(spark, str(tmp_path)).collect()}
+        assert got.keys() == {*want, "zzz"} and got["zzz"][0] is None
+        assert {k: got[k] for k in want} == want
