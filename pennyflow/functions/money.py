@@ -26,12 +26,55 @@ def european_value(text: Column) -> Column:
     return F.when(comma, F.replace(bare, F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit(""))).try_cast("double")
 
 
+# Fixed values, in the order in which they are tried.
+TOTAL_PATTERNS = (
+    r"(?i)(?:total|order total|amount|grand total|payment|charged|paid)[:\s]*[£$€]?\s*([0-9,]+\.?[0-9]*)",
+    r"(?i)[£$€]\s*([0-9,]+\.[0-9]{2})\s*(?:total|paid|charged)",
+)
+AMOUNT_PATTERNS = (
+    (r"(?i)(?:£|GBP)\s*([0-9,]+\.?[0-9]*)", "GBP"),
+    (r"(?i)(?:\$|USD)\s*([0-9,]+\.?[0-9]*)", "USD"),
+    (r"(?i)(?:€|EUR)\s*([0-9,]+\.?[0-9]*)", "EUR"),
+    (r"(?i)([0-9,]+\.[0-9]{2})\s*(?:GBP|USD|EUR)", "GBP"),
+)
+CURRENCY_SIGNS = (("£", "GBP"), ("$", "USD"), ("€", "EUR"), ("¥", "JPY"), ("CHF", "CHF"))
+#: Characters before and from a total's first one that may hold its sign.
+SIGN_BEFORE, SIGN_AFTER = 20, 30
+
+
+def _number(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit("")).try_cast(MONEY)
+
+
+def found_amount(text: Column) -> Column:
+    """amount and currency of a text: what stands by a total's label, with the sign near it (else GBP), or the largest amount with a sign.
+
+    Of equal largest amounts the first pattern's counts. Null where there is no amount.
+    """
+    labelled = None
+    for pattern in TOTAL_PATTERNS:
+        amount = _number(F.regexp_extract(text, pattern, 1))
+        at = F.regexp_instr(text, F.lit(pattern))
+        start = F.greatest(F.lit(1), at - SIGN_BEFORE)
+        near = F.substring(text, start, at + SIGN_AFTER - start)
+        sign = None
+        for mark, code in CURRENCY_SIGNS:
+            test = F.contains(near, F.lit(mark))
+            sign = F.when(test, code) if sign is None else sign.when(test, code)
+        own = F.when(amount.isNotNull(), F.struct(amount.alias("amount"), sign.otherwise("GBP").alias("currency")))
+        labelled = own if labelled is None else F.coalesce(labelled, own)
+
+    def signed(k: int, code: str):
+        return lambda x: F.struct(_number(x).alias("amount"), F.lit(-k).alias("k"), F.lit(code).alias("currency"))
+
+    every = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), signed(k, code)) for k, (p, code) in enumerate(AMOUNT_PATTERNS)]
+    most = F.array_max(F.filter(F.concat(*every), lambda x: x["amount"].isNotNull()))
+    return F.coalesce(labelled, F.when(most.isNotNull(), F.struct(most["amount"].alias("amount"), most["currency"].alias("currency"))))
+
+
 def largest_amount(text: Column) -> Column:
-    """The amount after a total's label, else the largest amount with a currency sign in the text."""
-    labelled = F.regexp_extract(text, r"(?i)total[^0-9£$€]{0,20}[£$€]?\s?([0-9][0-9,]*\.[0-9]{2})", 1)
-    every = F.regexp_extract_all(text, F.lit(r"[£$€]\s?([0-9][0-9,]*\.[0-9]{2})"), F.lit(1))
-    number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast(MONEY)
-    return F.coalesce(number(labelled), F.array_max(F.transform(every, number)))
+    """The amount of ``found_amount``."""
+    return found_amount(text)["amount"]
 
 
 def token_estimate(text: Column, most: int = 2000) -> Column:

@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Company endings that a merchant key drops, one pass in this order.
-COMPANY_ENDINGS = ("limited", "ltd", "inc", "llc", "plc", "corp", "co")
-#: What bank texts put before and after a merchant.
-BANK_PREFIXES = ("card payment to", "direct debit payment to", "faster payment to", "payment to")
-ORDER_PATTERNS = (r"\b(\d{3}-\d{7}-\d{7})\b", r"(?i)order\s*(?:number|no\.?|id|#)\s*:?\s*#?([A-Za-z0-9-]{5,})", r"(?i)invoice\s*(?:number|no\.?|#)\s*:?\s*#?([A-Za-z0-9-]{5,})")
+# Fixed values, each in the order in which they are tried; the order decides the result.
+COMPANY_ENDINGS = (" ltd", " limited", " inc", " plc", " llc", ".com", ".co.uk", " uk")
+BANK_PREFIXES = ("payment to ", "card payment ", "direct debit ", "debit card ")
+BANK_ENDINGS = (" gb", " uk", " london", " www.")
+ORDER_PATTERNS = (
+    r"order\s*(?:#|number|no\.?|id)?[:\s]*([A-Z0-9\-]{5,30})",
+    r"confirmation\s*(?:#|number|no\.?)?[:\s]*([A-Z0-9\-]{5,30})",
+    r"reference\s*(?:#|number|no\.?)?[:\s]*([A-Z0-9\-]{5,30})",
+    r"booking\s*(?:#|number|no\.?|ref)?[:\s]*([A-Z0-9\-]{5,30})",
+    r"invoice\s*(?:#|number|no\.?)?[:\s]*([A-Z0-9\-]{5,30})",
+)
+NO_ORDER_IDS = ("your", "order", "total")
+MERCHANT_NAMES = (
+    ("amznmktplace", "Amazon Marketplace"),
+    ("amazon marketplace", "Amazon Marketplace"),
+    ("www.amazon.*", "Amazon"),
+    ("amazon.co.uk", "Amazon.co.uk"),
+    ("amazon.com", "Amazon.com"),
+    ("amazon.de", "Amazon.de"),
+    ("amazon.fr", "Amazon.fr"),
+    ("amazon prime", "Amazon Prime"),
+    ("ebay", "eBay"),
+    ("paypal", "PayPal"),
+)
+PAYMENT_PHRASES = ("card payment to ", "payment to ", "transfer to ", "via apple pay", "via google pay", "via paypal", "online payment", "direct debit", "standing order")
+STORE_PATTERNS = ("APPLE.COM", "APPLE COM", "APP STORE", "APPSTORE", "ITUNES", "APPLE SERVICES", "APPLE BILL")
+MARKET_PATTERNS = ("AMAZON", "AMZN", "AMZ")
 
 
 def squeeze(text: Column) -> Column:
@@ -19,35 +42,112 @@ def squeeze(text: Column) -> Column:
 
 
 def merchant_key(name: Column) -> Column:
-    """Lower case, without company endings, punctuation and extra spaces."""
-    out = F.lower(F.trim(name))
+    """Lower case, without company endings (one pass over them), punctuation and extra spaces; null for null and empty names."""
+    out = F.trim(F.lower(F.nullif(name, F.lit(""))))
     for ending in COMPANY_ENDINGS:
-        out = F.regexp_replace(out, rf"\s+{ending}\.?$", "")
-    return squeeze(F.regexp_replace(out, r"[^\w\s]", ""))
+        out = F.regexp_replace(out, r"\s*" + re.escape(ending) + r"\z", "")
+    return squeeze(F.regexp_replace(out, r"[^\p{L}\p{N}_\s]", ""))
 
 
 def bank_key(text: Column) -> Column:
-    """A bank text's merchant: prefixes off in turn, punctuation to spaces."""
-    out = F.lower(F.trim(text))
+    """A bank text's merchant: prefixes off in turn, then endings, punctuation to spaces; empty for null."""
+    out = F.lower(F.coalesce(text, F.lit("")))
     for prefix in BANK_PREFIXES:
-        out = F.regexp_replace(out, rf"^{prefix}\s*", "")
-    return squeeze(F.regexp_replace(out, r"[^\w\s]", " "))
+        out = F.regexp_replace(out, "^" + re.escape(prefix), "")
+    for ending in BANK_ENDINGS:
+        out = F.regexp_replace(out, re.escape(ending) + r"\z", "")
+    return squeeze(F.regexp_replace(out, r"[^\p{L}\p{N}_\s]", " "))
 
 
 def normal_merchant(text: Column) -> Column:
-    """A card merchant: credit and refund prefixes, ``*CODE``, a long last code and trailing signs go."""
-    out = F.regexp_replace(F.trim(text), r"(?i)^(credit|refund) from\s+", "")
-    out = F.regexp_replace(out, r"\*[A-Za-z0-9]+\s*$", "")
-    out = F.regexp_replace(out, r"\s+(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{8,}$", "")
-    return F.trim(F.regexp_replace(out, r"[*.\s]+$", ""))
+    """A card merchant: credit and refund prefixes, auction ids, ``*CODE``, a long last code and trailing signs go; known beginnings get their name.
+
+    Null and blank texts stay as they are, and so does a text of which nothing would be left.
+    """
+    out = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^CREDIT FROM\s+", ""), r"(?i)^REFUND FROM\s+", "")
+    out = F.regexp_replace(out, r"(?i)^ebay\s+O\*\d+.*\z", "eBay")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)\*[A-Z0-9]+\d+\z", ""), r"(?i)\s+[A-Z0-9]{8,}\z", "")
+    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\*+\z", ""), r"\.+\z", ""))
+    low = F.lower(out)
+    named = None
+    for start, name in MERCHANT_NAMES:
+        test = F.startswith(low, F.lit(start))
+        named = F.when(test, name) if named is None else named.when(test, name)
+    return F.when(F.trim(text) == "", text).otherwise(F.coalesce(named, F.nullif(out, F.lit("")), text))
+
+
+def merchant_group(merchant: Column) -> Column:
+    """Domains and services of one merchant under one name; others are their own group."""
+    low = F.lower(merchant)
+    market = F.when(F.contains(low, F.lit("marketplace")), "Amazon Marketplace").when(F.contains(low, F.lit("prime")), "Amazon Prime").otherwise("Amazon")
+    return F.when(F.contains(low, F.lit("amazon")), market).when(F.contains(low, F.lit("ebay")), "eBay").when(F.contains(low, F.lit("paypal")), "PayPal").otherwise(merchant)
+
+
+def account_details(text: Column) -> Column:
+    """``sort code`` and ``account`` of ``ACCOUNT dddddd dddddddd``, joined by a space; null if there are none."""
+    pattern = r"(?i)ACCOUNT\s+(\d{6})\s+(\d{8})"
+    return F.when(F.rlike(text, F.lit(pattern)), F.concat_ws(" ", F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
+
+
+def card_merchant(description: Column) -> Column:
+    """What follows ``CARD PAYMENT [TO]``; null for other descriptions."""
+    return F.nullif(F.trim(F.regexp_extract(description, r"(?i)^CARD\s+PAYMENT\s+(?:TO\s+)?(.+)$", 1)), F.lit(""))
+
+
+def identified_merchant(description: Column, given: Column) -> Column:
+    """The given merchant, else the description up to its first comma unless that is a number, else the whole description."""
+    first = F.trim(F.split_part(description, F.lit(","), F.lit(1)))
+    own = F.when((first != "") & ~F.rlike(first, F.lit(r"^\d+$")), first)
+    return F.coalesce(F.nullif(F.trim(given), F.lit("")), own, F.nullif(description, F.lit("")), F.lit("Unknown Merchant"))
+
+
+def clean_text(text: Column) -> Column:
+    """A description without payment phrases, dates, references and codes, in lower case."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for phrase in PAYMENT_PHRASES:
+        out = F.replace(out, F.lit(phrase), F.lit(""))
+    for pattern in (r"\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b", r"\b\d{2,4}[-/]\d{1,2}[-/]\d{1,2}\b", r"\bref\s*\d+\b", r"\b[a-z]{2,3}\d{4,}\b"):
+        out = F.regexp_replace(out, pattern, "")
+    return squeeze(out)
+
+
+def any_literal(text: Column, literals: Sequence[str]) -> Column:
+    """Whether any of the literals occurs in the text, as written; False for null."""
+    out = F.lit(False)
+    for x in literals:
+        out = out | F.contains(text, F.lit(x))
+    return F.coalesce(out, F.lit(False))
+
+
+def source_status(description: Column, merchant: Column, kind: Column) -> Column:
+    """Which purchases a bank row belongs to: the app store's, the market's or the market's returns; the text ``None`` for neither.
+
+    A store's own merchant counts even if it was paid through the wallet; a wallet alone is no store.
+    """
+    text = F.upper(F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(merchant, F.lit(""))))
+    market = F.when(kind == "CREDIT", "AMZN RTN").otherwise("AMZN")
+    return F.when(any_literal(text, STORE_PATTERNS), "Apple").when(any_literal(text, MARKET_PATTERNS), market).otherwise("None")
+
+
+def is_store(description: Column, merchant: Column) -> Column:
+    """Whether a row is of the app store itself and not only paid through its wallet."""
+    return any_literal(F.upper(F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(merchant, F.lit("")))), STORE_PATTERNS)
+
+
+def foreign_amount(description: Column, currency: Column) -> Column:
+    """Amount and rate in ``,240.00 USD, RATE 0.7521/GBP`` for the row's currency; null if there are none."""
+    pattern = F.concat(F.lit(r"(?i),(\d+\.\d{2})\s+"), currency, F.lit(r",\s+RATE\s+([\d.]+)/GBP"))
+    amount = F.regexp_extract(description, pattern, 1).try_cast("decimal(18,2)")
+    rate = F.regexp_extract(description, pattern, 2).try_cast("double")
+    return F.when(amount.isNotNull() & rate.isNotNull(), F.struct(amount.alias("amount"), rate.alias("rate")))
 
 
 def abbreviated(name: Column, most: int = 35) -> Column:
-    """At most ``most`` characters; cut at the last space past 70 %, with an ellipsis."""
-    head = F.substring(name, 1, most - 3)
-    at = F.lit(most - 3) - F.instr(F.reverse(head), " ")
-    cut = F.when((F.instr(head, " ") > 0) & (at > int(0.7 * most)), F.substring(name, F.lit(1), at.cast("int"))).otherwise(head)
-    return F.when(F.length(name) <= most, name).otherwise(F.concat(cut, F.lit("...")))
+    """At most ``most`` characters, cut at the last space past 70 %; punctuation at the end of a cut name goes."""
+    head = F.substring(name, 1, most)
+    back = F.instr(F.reverse(head), " ")
+    cut = F.when((back > 0) & (F.lit(most) - back > most * 0.7), F.substring(head, F.lit(1), F.lit(most) - back)).otherwise(head)
+    return F.when(F.length(name) <= most, name).otherwise(F.trim(F.rtrim(cut, F.lit(".,:-()[]"))))
 
 
 def rule_kind(pattern: Column) -> Column:
@@ -60,6 +160,26 @@ def rule_body(pattern: Column) -> Column:
     return F.regexp_replace(pattern, r"(?i)^(starts|contains|exact|regex):", "")
 
 
+def rule_fault(pattern: str) -> str | None:
+    """What is wrong with a written rule: empty, over 255 characters, or a regex that neither engine compiles; None for nothing."""
+    body = re.sub(r"(?i)^(starts|contains|exact|regex):", "", pattern or "")
+    if not body.strip():
+        return "empty"
+    if len(pattern) > 255:
+        return "too long"
+    if pattern.lower().startswith("regex:"):
+        try:
+            re.compile(body)
+        except re.error as e:
+            return f"invalid regex: {e}"
+    return None
+
+
+def rule_text(kind: Column, body: Column) -> Column:
+    """A rule as it is written: the kind before the body, nothing for contains."""
+    return F.when(kind == "contains", body).otherwise(F.concat(kind, F.lit(":"), body))
+
+
 def rule_matches(text: Column, kind: Column, body: Column) -> Column:
     """Whether a rule fits: literal kinds ignore case, ``%`` and the like are ordinary; regexes ignore case but stay as written."""
     up, own = F.upper(text), F.upper(body)
@@ -69,8 +189,9 @@ def rule_matches(text: Column, kind: Column, body: Column) -> Column:
 
 
 def order_id(text: Column) -> Column:
-    """The first order number by the patterns in turn; null if there is none."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ORDER_PATTERNS])
+    """The first order, confirmation, reference, booking or invoice number, by the patterns in turn; null if there is none."""
+    found = [F.regexp_extract(text, f"(?i){p}", 1) for p in ORDER_PATTERNS]
+    return F.coalesce(*[F.when((x != "") & ~F.lower(x).isin(*NO_ORDER_IDS), x) for x in found])
 
 
 def email_domain(address: Column) -> Column:
