@@ -16,15 +16,15 @@ from ..functions.text import ngrams
 MOST_SHARE, LEAST_COUNT = 0.3, 3
 
 
-def keywords(rows: DataFrame, text_col: str, n_rows: int, longest: int = 3) -> DataFrame:
+def keywords(rows: DataFrame, text_col: str, longest: int = 3) -> DataFrame:
     """Terms of one to ``longest`` words with their count, document frequency and IDF, ln(rows / df)."""
     words = F.split(F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\w]+", " ")), " ")
     grams = rows.select(words.alias("w")).select(F.flatten(F.array(*[ngrams(F.col("w"), n) for n in range(1, longest + 1)])).alias("g"))
     each = F.transform(F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.size(F.filter("g", lambda x: x == t)).alias("n")))
     counted = grams.select(F.explode(each).alias("e")).select("e.term", "e.n")
-    out = counted.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
-    out = out.where((F.col("n") >= LEAST_COUNT) & (F.col("df") <= int(MOST_SHARE * n_rows)))
-    return out.withColumn("idf", F.round(F.ln(F.lit(float(n_rows)) / F.col("df")), 6))
+    out = counted.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df")).where(F.col("n") >= LEAST_COUNT)
+    out = out.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__rows")))).where(F.col("df") <= F.floor(MOST_SHARE * F.col("__rows")))
+    return out.withColumn("idf", F.round(F.ln(F.col("__rows").cast("double") / F.col("df")), 6)).drop("__rows")
 
 
 def similarity_of(a: str, b: str) -> float:

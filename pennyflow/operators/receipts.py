@@ -1,41 +1,61 @@
-"""Receipts in mail and pages: a gate by evidence, and a cascade of extractions from cheap to costly."""
+"""Receipts: soft deletion, filters, and a cascade of extractions from cheap to costly."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, largest_amount
-from ..functions.text import order_id
+from ..functions.text import abbreviated, order_id
+
+
+def soft_deleted(rows: DataFrame, gone: Column, at: Column) -> DataFrame:
+    """``rows`` with ``deleted_at`` set where ``gone`` holds; rows that are deleted already keep their time."""
+    return rows.withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.coalesce(gone, F.lit(False)), at)))
+
+
+def live(rows: DataFrame) -> DataFrame:
+    """The rows that aren't deleted: the standing filter of all readers."""
+    return rows.where(F.col("deleted_at").isNull())
+
+
+def receipt_filter(merchant=None, status=None, method=None, least_confidence=None, with_items=None, with_match=None) -> Column:
+    """A condition from optional filters that all have to hold; the merchant is part of the name, whatever the case."""
+    keep = F.lit(True)
+    if merchant is not None:
+        keep &= F.coalesce(F.contains(F.lower("merchant_name"), F.lit(merchant.lower())), F.lit(False))
+    for column, value in (("parsing_status", status), ("parse_method", method)):
+        if value is not None:
+            keep &= F.col(column) == value
+    if least_confidence is not None:
+        keep &= F.col("parse_confidence") >= least_confidence
+    if with_items is not None:
+        keep &= (F.coalesce("n_items", F.lit(0)) > 0) == F.lit(with_items)
+    if with_match is not None:
+        keep &= F.col("txn_id").isNotNull() == F.lit(with_match)
+    return keep
 
-#: Points of the evidence, and the scores from which on to accept and down from which to reject. Fixed values.
-STRONG_RECEIPT, WEAK_RECEIPT, STRONG_MARKETING, WEAK_MARKETING, ORDER_NUMBER, KNOWN_SENDER = 2, 1, -3, -1, 3, 2
-ACCEPT, REJECT = 3, -2
 
+def named_in(rows: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and name of every pair of a text and a name in it, where the name begins at a word; both in lower case.
 
-def any_of(text: Column, words: Sequence[str]) -> Column:
-    """Whether any of the words occurs in the text, whatever the case; False for null."""
-    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
-    for w in words:
-        out = out | F.contains(low, F.lit(w))
-    return out
+    Joined by the name's first word, so that no text meets all names.
+    """
+    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    words = rows.select(id_col, text_col, F.explode(F.array_distinct(F.split(text_col, " "))).alias("__word"))
+    return words.join(names.withColumn("__word", first(F.col("name"))), "__word").where(F.contains(text_col, F.col("name"))).select(id_col, "name")
 
 
-def receipt_score(text: Column, strong: Sequence[str], weak: Sequence[str], promo: Sequence[str], soft_promo: Sequence[str], known: Column | None = None) -> Column:
-    """Points for and against a text being a receipt."""
-    parts = [(any_of(text, strong), STRONG_RECEIPT), (any_of(text, weak), WEAK_RECEIPT), (any_of(text, promo), STRONG_MARKETING), (any_of(text, soft_promo), WEAK_MARKETING)]
-    parts += [(order_id(text).isNotNull(), ORDER_NUMBER)] + ([(known, KNOWN_SENDER)] if known is not None else [])
-    out = F.lit(0)
-    for test, points in parts:
-        out = out + F.when(test, points).otherwise(0)
-    return out.cast("long")
+#: Names of an order up to this length stand in full; of longer ones only the first three.
+SUMMARY_CHARS, SUMMARY_NAMES = 150, 3
 
 
-def gate(score: Column) -> Column:
-    """accept, reject or unsure."""
-    return F.when(score >= ACCEPT, "accept").when(score <= REJECT, "reject").otherwise("unsure")
+def order_summary(names: Column) -> Column:
+    """An order's names as one text: a single one in full, several abbreviated and joined, and only the first three with the number of the others where that is long."""
+    short = F.transform(names, lambda x: abbreviated(x))
+    joined = F.array_join(short, " | ")
+    few = F.concat(F.array_join(F.slice(short, 1, SUMMARY_NAMES), " | "), F.lit(" & "), (F.size(names) - SUMMARY_NAMES).cast("string"), F.lit(" more"))
+    return F.when(F.size(names) == 1, F.get(names, F.lit(0))).when(F.length(joined) > SUMMARY_CHARS, few).otherwise(joined)
 
 
 def json_ld(html: Column) -> Column:
@@ -44,24 +64,34 @@ def json_ld(html: Column) -> Column:
 
 
 def order_of(doc: Column) -> Column:
-    """Order number, price, currency, day and seller of a linked-data Order or Invoice, by their alternative paths; null if it is neither."""
-    first = lambda *paths: F.coalesce(*[F.get_json_object(doc, p) for p in paths])
-    kind = first("$['@type']", "$['@graph'][0]['@type']", "$[0]['@type']")
+    """Order number, price, currency, day, seller and items of a linked-data Order or Invoice, by their alternative paths; null if there is none.
+
+    The document is parsed once. It may be an object, an array or hold a ``@graph``: the first order among them counts.
+    """
+    v = F.try_parse_json(doc)
+    every = F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    found = F.get(F.filter(every, lambda x: F.try_variant_get(x, "$['@type']", "string").isin("Order", "Invoice")), F.lit(0))
+    first = lambda *paths: F.coalesce(*[F.try_variant_get(found, p, "string") for p in paths])
+    lines = F.coalesce(F.try_variant_get(found, "$.acceptedOffer", "array<variant>"), F.try_variant_get(found, "$.orderedItem", "array<variant>"))
+    name = lambda x: F.coalesce(F.try_variant_get(x, "$.itemOffered.name", "string"), F.try_variant_get(x, "$.orderedItem.name", "string"), F.try_variant_get(x, "$.name", "string"))
     return F.when(
-        kind.isin("Order", "Invoice"),
+        found.isNotNull(),
         F.struct(
-            first("$.orderNumber", "$.confirmationNumber", "$['@graph'][0].orderNumber", "$[0].orderNumber").alias("order_id"),
-            first("$.price", "$.totalPrice", "$.priceSpecification.price", "$.acceptedOffer.price", "$['@graph'][0].price", "$[0].price").try_cast(MONEY).alias("total"),
-            first("$.priceCurrency", "$.acceptedOffer.priceCurrency", "$['@graph'][0].priceCurrency").alias("currency"),
-            F.try_to_timestamp(F.substring(first("$.orderDate", "$.dateCreated", "$['@graph'][0].orderDate"), 1, 10), F.lit("yyyy-MM-dd")).cast("date").alias("day"),
-            first("$.seller.name", "$.merchant.name", "$.broker.name", "$['@graph'][0].seller.name").alias("seller"),
+            first("$.orderNumber", "$.confirmationNumber").alias("order_id"),
+            first("$.price", "$.totalPrice", "$.totalPaymentDue.price", "$.priceSpecification.price", "$.acceptedOffer.price").try_cast(MONEY).alias("total"),
+            first("$.priceCurrency", "$.totalPaymentDue.priceCurrency", "$.acceptedOffer.priceCurrency").alias("currency"),
+            F.try_to_timestamp(F.substring(first("$.orderDate", "$.dateCreated", "$.paymentDueDate"), 1, 10), F.lit("yyyy-MM-dd")).cast("date").alias("day"),
+            first("$.seller.name", "$.merchant.name", "$.broker.name").alias("seller"),
+            F.transform(lines, name).alias("items"),
         ),
     )
 
 
 def parsed(rows: DataFrame, html_col: str, text_col: str) -> DataFrame:
     """``rows`` with order_id, total, method and confidence: linked data first (95), then patterns (80 with both, 60 with one), else none (0)."""
-    ld = order_of(json_ld(F.col(html_col)))
+    # Most mails hold no linked data, so that its pattern and parser run for those alone that do.
+    marked = F.contains(html_col, F.lit("ld+json"))
+    ld = F.when(marked, order_of(json_ld(F.col(html_col))))
     out = rows.withColumn("__ld", ld).withColumn("__id", order_id(F.col(text_col))).withColumn("__total", largest_amount(F.col(text_col)))
     by_ld, both, one = F.col("__ld").isNotNull(), F.col("__id").isNotNull() & F.col("__total").isNotNull(), F.col("__id").isNotNull() | F.col("__total").isNotNull()
     return out.withColumns({
