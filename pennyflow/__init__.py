@@ -1 +1 @@
-"""Spending analytics on Spark DataFrames."""
+"""Analytics of bank transactions and purchases on Spark DataFrames."""

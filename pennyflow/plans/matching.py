@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import embedded_date
+from ..functions.money import cents
+from ..functions.text import any_literal, is_store
 from ..operators import matching as m
-from .base import EVENTS, banked, bought, events, query, table
+from .base import BANK, EVENTS, bank_rows, banked, bought, events, query, table
 
 PAIRS = f"""WITH {EVENTS}, b AS (SELECT event_id AS txn_id, day AS txn_day, amount AS txn_amount FROM e WHERE event_type = 'purchase'),
 p AS (SELECT event_id AS purchase_id, day AS purchase_day, amount AS purchase_amount FROM e WHERE event_type = 'view'),
@@ -31,27 +34,59 @@ def matched(spark, sf_dir, before: int, after: int, points, best: bool) -> DataF
 
 @query("j08_purchase_match", match_sql(-7, 7, m.ORDER_POINTS, False))
 def purchase_match(spark, sf_dir) -> DataFrame:
-    """All candidates within a week, ranked; a purchase can match many transactions."""
+    """All candidates within a week, ranked; a purchase can match many transactions."""
     return matched(spark, sf_dir, -7, 7, m.ORDER_POINTS, False)
 
 
-@query("j11_store_match", f"{PAIRS} SELECT txn_id, purchase_id, days, 100::BIGINT AS score FROM j WHERE signed BETWEEN -2 AND 0")
+STORES = "('APPLE.COM', 'APPLE COM', 'APP STORE', 'APPSTORE', 'ITUNES', 'APPLE SERVICES', 'APPLE BILL')"
+
+
+def pairs_sql(rows: str, cents: int) -> str:
+    """Pairs of bank rows and purchases, up to so many cents apart, by their days."""
+    return f"""j AS (SELECT txn_id, purchase_id, purchase_day - txn_day AS signed, abs(purchase_day - txn_day)::BIGINT AS days FROM {rows} JOIN p
+  ON abs((txn_amount * 100)::BIGINT - (purchase_amount * 100)::BIGINT) <= {cents})"""
+
+
+def best_sql(rows: str, width: int, points) -> str:
+    """The best pair of each bank row within so many days and one cent."""
+    return f"""WITH {BANK}, f AS ({rows}), {pairs_sql("f", 1)}, s AS (SELECT *, {points_sql(points)} AS score FROM j WHERE abs(signed) <= {width}),
+r AS (SELECT txn_id, purchase_id, days, score, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, days, purchase_id) AS rank FROM s WHERE score >= 70)
+SELECT txn_id, purchase_id, days, score FROM r WHERE rank = 1"""
+
+
+def best(rows: DataFrame, purchases: DataFrame, width: int, points) -> DataFrame:
+    pairs = m.scored(m.band_join(rows, purchases, -width, width, tolerance=1), points)
+    top = pairs.groupBy("txn_id").agg(F.min_by(F.struct("purchase_id", "days", "score"), F.struct(-F.col("score"), "days", "purchase_id")).alias("b"))
+    return top.select("txn_id", "b.purchase_id", "b.days", "b.score")
+
+
+def says(name: str):
+    """Whether a row's merchant or description holds the word."""
+    return any_literal(F.upper(F.coalesce("txn_merchant", F.lit(""))), (name,)) | any_literal(F.upper("txn_description"), (name,))
+
+
+@query("j11_store_match", rf"""WITH {BANK}, f AS (SELECT txn_id, txn_amount, coalesce(try_strptime(nullif(regexp_extract(txn_description, 'ON (\d{{2}}-\d{{2}}-\d{{4}})', 1), ''), '%d-%m-%Y')::DATE, txn_day) AS txn_day FROM b
+  WHERE list_bool_or(list_transform({STORES.replace('(', '[').replace(')', ']')}, lambda w: contains(upper(txn_description || ' ' || coalesce(txn_merchant, '')), w)))), {pairs_sql("f", 0)}
+SELECT txn_id, purchase_id, days, 100::BIGINT AS score FROM j WHERE signed BETWEEN -2 AND 0""")
 def store_match(spark, sf_dir) -> DataFrame:
-    """Store rows posted up to two days later; every such pair scores 100."""
-    pairs = m.band_join(banked(spark, sf_dir), bought(spark, sf_dir), -2, 0)
+    """Store rows posted up to two days later, by the day in the description, else the posting's; every such pair scores 100."""
+    rows = bank_rows(spark, sf_dir).where(is_store(F.col("txn_description"), F.col("txn_merchant")))
+    rows = rows.withColumn("txn_day", F.coalesce(embedded_date(F.col("txn_description")), "txn_day"))
+    pairs = m.band_join(rows, bought(spark, sf_dir), -2, 0)
     return pairs.select("txn_id", "purchase_id", "days", F.lit(100).cast("long").alias("score"))
 
 
-@query("j12_store_best", match_sql(-3, 3, m.STORE_POINTS, True))
+@query("j12_store_best", best_sql("SELECT * FROM b WHERE contains(upper(coalesce(txn_merchant, '')), 'APPLE') OR contains(upper(txn_description), 'APPLE')", 3, m.STORE_POINTS))
 def store_best(spark, sf_dir) -> DataFrame:
-    """The best store row within three days."""
-    return matched(spark, sf_dir, -3, 3, m.STORE_POINTS, True)
+    """The best store purchase within three days and up to a cent apart."""
+    return best(bank_rows(spark, sf_dir).where(says("APPLE")), bought(spark, sf_dir), 3, m.STORE_POINTS)
 
 
-@query("j13_business_best", match_sql(-7, 7, m.BUSINESS_POINTS, True))
+@query("j13_business_best", best_sql("SELECT * FROM b WHERE (contains(upper(coalesce(txn_merchant, '')), 'AMAZON') OR contains(upper(txn_description), 'AMAZON')) AND NOT contains(upper(txn_description), 'AMZN MKTP')", 7, m.BUSINESS_POINTS))
 def business_best(spark, sf_dir) -> DataFrame:
-    """The best business order within a week."""
-    return matched(spark, sf_dir, -7, 7, m.BUSINESS_POINTS, True)
+    """The best business order within a week and up to a cent apart; consumer marketplace rows are left out."""
+    rows = bank_rows(spark, sf_dir).where(says("AMAZON") & ~any_literal(F.upper("txn_description"), ("AMZN MKTP",)))
+    return best(rows, bought(spark, sf_dir), 7, m.BUSINESS_POINTS)
 
 
 @query("j09_nearest_refund", f"""WITH {EVENTS}, j AS (SELECT r.event_id AS return_id, c.event_id AS refund_id, abs(epoch_us(c.ts) - epoch_us(r.ts)) AS gap
@@ -66,68 +101,119 @@ def nearest_refund(spark, sf_dir) -> DataFrame:
     return best.select(F.col("txn_id").alias("return_id"), F.col("purchase_id").alias("refund_id"))
 
 
-@query("j14_receipt_match", f"""WITH {EVENTS}, j AS (SELECT r.event_id AS receipt_id, t.event_id AS txn_id, floor((epoch_us(r.ts) - epoch_us(t.ts)) / 86400000000.0)::BIGINT AS signed,
-  abs(t.amount - r.amount) AS gap, r.amount AS ra, t.amount AS ta, 'u' || r.user_id::VARCHAR AS rm, 'u' || t.user_id::VARCHAR AS tm
-  FROM e r JOIN e t ON r.event_type = 'signup' AND t.event_type = 'purchase' AND r.amount > 0 AND t.amount > 0 AND t.ts BETWEEN r.ts - INTERVAL 12 DAY AND r.ts + INTERVAL 12 DAY),
-k AS (SELECT *, abs(signed) AS days, gap <= CASE WHEN ra < 5 THEN 0.50 ELSE 0.01 END AS exact, gap <= 0.02 * greatest(ta, ra) AS fuzzy, contains(tm, rm) OR contains(rm, tm) AS same FROM j),
-s AS (SELECT *, CASE WHEN exact AND days <= 2 AND same THEN 100 WHEN exact AND days <= 4 AND same THEN 95 WHEN exact AND days <= 4 THEN 85 WHEN exact AND same THEN 90
-  WHEN exact THEN 75 WHEN same THEN 80 ELSE 70 END AS base FROM k WHERE days <= 10 AND (exact OR fuzzy))
-SELECT receipt_id, txn_id, days, (CASE WHEN signed BETWEEN -4 AND -1 THEN least(100, base + 5) ELSE base END)::BIGINT AS score,
-  CASE WHEN exact THEN 'exact' ELSE 'fuzzy' END || CASE WHEN same THEN '_merchant' ELSE '' END || CASE WHEN signed BETWEEN -4 AND -1 THEN '_early_receipt' ELSE '' END AS method FROM s""")
+#: Receipts' other names in bank texts.
+ALIASES = (("u3", "tesco"), ("u8", "amzn mktp"), ("U3", "zzz"))
+FUZZY = f"""WITH {BANK}, q AS (SELECT *, CASE WHEN txn_id % 4 = 0 THEN txn_description || ' ,' || (txn_amount * 2)::DECIMAL(18,2)::VARCHAR || ' USD, RATE 0.5/GBP' ELSE txn_description END AS txt,
+    CASE WHEN txn_id % 5 = 0 THEN 'payment to u' || (txn_id % 40)::VARCHAR || ' uk' ELSE txn_merchant END AS mer FROM b),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(mer, '')), '^payment to ', ''), ' uk$', ''), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS mkey,
+    trim(regexp_replace(regexp_replace(lower(txt), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS tkey FROM q),
+rc AS (SELECT event_id AS receipt_id, ts AS rts, amount AS ra, 'u' || user_id::VARCHAR AS rm, CASE WHEN event_id % 3 = 0 THEN 'USD' ELSE 'GBP' END AS cur FROM e WHERE event_type = 'signup' AND amount > 0),
+j0 AS (SELECT rc.*, n.*, cur = 'USD' AND txn_id % 4 = 0 AS fx, floor((epoch_us(rts) - epoch_us(txn_ts)) / 86400000000.0)::BIGINT AS signed FROM rc JOIN n ON txn_amount > 0 AND txn_ts BETWEEN rts - INTERVAL 12 DAY AND rts + INTERVAL 12 DAY),
+j AS (SELECT *, CASE WHEN fx THEN (txn_amount * 2)::DECIMAL(18,2) ELSE txn_amount END AS ca FROM j0),
+k AS (SELECT *, abs(signed) AS days, abs(ca - ra) < CASE WHEN ra < 5 THEN 0.50 ELSE 0.01 END AS exact, abs(ca - ra) <= 0.02 * ra AS fuzzy,
+    (mkey <> '' AND (contains(mkey, rm) OR contains(rm, mkey))) OR contains(tkey, rm) OR (rm = 'u3' AND contains(tkey, 'tesco')) OR (rm = 'u8' AND contains(tkey, 'amzn mktp')) AS same FROM j),
+g AS (SELECT *, CASE WHEN exact AND days <= 2 AND same THEN {{'s': 100, 'm': 'exact_amount_date_merchant'}} WHEN exact AND days <= 4 AND same THEN {{'s': 95, 'm': 'exact_amount_close_date_merchant'}}
+    WHEN exact AND days <= 4 THEN {{'s': 85, 'm': 'exact_amount_close_date'}} WHEN exact AND same THEN {{'s': 90, 'm': 'exact_amount_wide_date_merchant'}} WHEN exact THEN {{'s': 75, 'm': 'exact_amount_wide_date'}}
+    WHEN same THEN {{'s': 80, 'm': 'fuzzy_amount_wide_date_merchant'}} ELSE {{'s': 70, 'm': 'fuzzy_amount_wide_date'}} END AS v FROM k WHERE days <= 10 AND (exact OR fuzzy)),
+z AS (SELECT receipt_id, txn_id, days, CASE WHEN signed BETWEEN -4 AND -1 THEN least(100, v.s + 5) ELSE v.s END::BIGINT AS score, v.m || CASE WHEN signed BETWEEN -4 AND -1 THEN '_early_receipt' ELSE '' END AS method,
+    CASE WHEN fx THEN 0.5 END::DOUBLE AS rate FROM g)"""
+
+
+def fuzzy_pairs(spark, sf_dir) -> DataFrame:
+    """Signups as receipts, some in dollars, against purchases, of which some name a foreign amount or another merchant."""
+    t = bank_rows(spark, sf_dir)
+    foreign = F.concat("txn_description", F.lit(" ,"), (F.col("txn_amount") * 2).cast("decimal(18,2)").cast("string"), F.lit(" USD, RATE 0.5/GBP"))
+    t = t.withColumns({
+        "txn_description": F.when(F.col("txn_id") % 4 == 0, foreign).otherwise(F.col("txn_description")),
+        "txn_merchant": F.when(F.col("txn_id") % 5 == 0, F.concat(F.lit("payment to u"), (F.col("txn_id") % 40).cast("string"), F.lit(" uk"))).otherwise(F.col("txn_merchant")),
+    })
+    r = events(spark, sf_dir, "signup").select(
+        F.col("event_id").alias("receipt_id"), F.col("ts").alias("receipt_ts"), F.col("amount").alias("receipt_amount"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("receipt_merchant"),
+        F.when(F.col("event_id") % 3 == 0, "USD").alias("receipt_currency"),
+    )
+    return m.fuzzy_join(t, r, spark.createDataFrame(ALIASES, "merchant string, bank_name string"))
+
+
+@query("j14_receipt_match", f"{FUZZY} SELECT * FROM z")
 def receipt_match(spark, sf_dir) -> DataFrame:
-    """Tolerant amounts and days, with merchant text: joined by bins, never all pairs."""
-    part = lambda kind, name: events(spark, sf_dir, kind).select(
-        F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"), F.col("amount").alias(f"{name}_amount"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias(f"{name}_merchant")
-    )
-    return m.fuzzy_join(part("purchase", "txn"), part("signup", "receipt"))
-
-
-@query("j15_return_chain", f"""WITH {EVENTS}, r AS (SELECT event_id AS return_id, user_id, day, amount FROM e WHERE event_type = 'error'),
-o AS (SELECT r.*, (SELECT min(event_id) FROM e WHERE event_type = 'view' AND e.user_id = r.user_id AND e.day = r.day) AS order_id FROM r),
-t AS (SELECT o.*, (SELECT min(event_id) FROM e WHERE event_type = 'purchase' AND e.user_id = o.user_id AND e.day >= o.day AND e.day <= o.day + 3) AS txn_id FROM o)
-SELECT return_id, order_id::VARCHAR AS order_id, CASE WHEN order_id IS NOT NULL THEN txn_id END::VARCHAR AS txn_id,
-  CASE WHEN order_id IS NULL THEN 'no order' WHEN txn_id IS NULL THEN 'order not matched' ELSE 'matched' END AS reason FROM t""")
+    """Tolerant amounts and days, foreign amounts, merchants and aliases: joined by bins, never all pairs."""
+    return fuzzy_pairs(spark, sf_dir)
+
+
+@query("w02_ranked_receipts", f"""{FUZZY}, o AS (SELECT receipt_id, txn_id, score, row_number() OVER (PARTITION BY receipt_id ORDER BY score DESC, txn_id) AS rank FROM z WHERE score >= 70)
+SELECT *, rank = 1 AS "primary" FROM o""")
+def ranked_receipts(spark, sf_dir) -> DataFrame:
+    """Each receipt's transactions of at least 70 in their order; the first is primary."""
+    return m.ranked_receipts(fuzzy_pairs(spark, sf_dir)).select("receipt_id", "txn_id", "score", "rank", "primary")
+
+
+CHAIN = """WITH rt AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS return_id, l_orderkey + CASE WHEN l_linenumber = 7 THEN 1000000000 ELSE 0 END AS order_id, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R'),
+o AS (SELECT o_orderkey AS order_id FROM orders WHERE o_orderstatus <> 'P'), ot AS (SELECT o_orderkey AS order_id, o_orderkey + 5 AS txn_id FROM orders WHERE o_totalprice > 100000),
+ch AS (SELECT rt.return_id, rt.order_id, ot.txn_id, CASE WHEN line <= 3 THEN return_id + 1 END AS refund_id, CASE WHEN o.order_id IS NULL THEN 'Order not found' WHEN ot.txn_id IS NULL THEN 'Original transaction not found' WHEN line > 3 THEN 'Refund transaction not found' END AS reason
+  FROM rt LEFT JOIN o ON o.order_id = rt.order_id LEFT JOIN ot ON ot.order_id = rt.order_id)"""
+
+
+def chains(spark, sf_dir) -> DataFrame:
+    """Returned lines as returns, finished and open orders, two ranked transactions for each dear order, and refunds of the first lines."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber").distinct()
+    returns = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("return_id"), (F.col("l_orderkey") + F.when(F.col("l_linenumber") == 7, 1_000_000_000).otherwise(0)).alias("order_id"), "l_linenumber")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), "o_orderstatus", "o_totalprice")
+    dear = o.where("o_totalprice > 100000")
+    ranked = [dear.select((F.col("order_id") + plus).alias("txn_id"), F.col("order_id").alias("purchase_id"), F.lit(rank).alias("rank")) for rank, plus in ((1, 5), (2, 0))]
+    refunds = returns.where("l_linenumber <= 3").select("return_id", (F.col("return_id") + 1).alias("refund_id"))
+    return m.return_chain(returns.drop("l_linenumber"), o.where("o_orderstatus <> 'P'").select("order_id"), ranked[0].unionByName(ranked[1]), refunds)
+
+
+@query("j15_return_chain", f"{CHAIN} SELECT return_id, order_id, txn_id::VARCHAR AS txn_id, refund_id::VARCHAR AS refund_id, reason FROM ch")
 def return_chain(spark, sf_dir) -> DataFrame:
-    """Return, order, transaction: the first missing link is the reason."""
-    r = events(spark, sf_dir, "error").select(F.col("event_id").alias("return_id"), "user_id", "day")
-    o = events(spark, sf_dir, "view").groupBy("user_id", "day").agg(F.min("event_id").alias("order_id"))
-    p = events(spark, sf_dir, "purchase").select("user_id", F.explode(F.sequence(F.date_sub("day", 3), "day")).alias("day"), "event_id")
-    p = p.groupBy("user_id", "day").agg(F.min("event_id").alias("txn_id"))
-    out = r.join(o, ["user_id", "day"], "left").join(p, ["user_id", "day"], "left")
-    reason = F.when(F.col("order_id").isNull(), "no order").when(F.col("txn_id").isNull(), "order not matched").otherwise("matched")
-    txn = F.when(F.col("order_id").isNotNull(), F.col("txn_id"))
-    return out.select("return_id", F.col("order_id").cast("string").alias("order_id"), txn.cast("string").alias("txn_id"), reason.alias("reason"))
+    """Return, order, the order's best matched transaction, refund: the first missing link is the reason."""
+    return chains(spark, sf_dir).select("return_id", "order_id", F.col("txn_id").cast("string").alias("txn_id"), F.col("refund_id").cast("string").alias("refund_id"), "reason")
+
+
+@query("c07_return_labels", f"""{CHAIN} SELECT return_id, refund_id AS txn_id, '[REFUND] order ' || order_id::VARCHAR AS label FROM ch WHERE reason IS NULL
+UNION ALL SELECT return_id, txn_id, '[RETURNED] order ' || order_id::VARCHAR FROM ch WHERE reason IS NULL""")
+def return_labels(spark, sf_dir) -> DataFrame:
+    """What complete chains write on the refund and on the original transaction."""
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("names"))
+    return m.return_labels(chains(spark, sf_dir), names)
 
 
 @query("j05_unmatched", f"""WITH {EVENTS} SELECT event_id, amount::DOUBLE AS amount FROM e p WHERE event_type = 'purchase'
 AND NOT EXISTS (SELECT 1 FROM e v WHERE v.event_type = 'view' AND v.amount = p.amount) AND NOT EXISTS (SELECT 1 FROM e v WHERE v.event_type = 'click' AND v.user_id = p.user_id AND v.day = p.day)""")
 def unmatched(spark, sf_dir) -> DataFrame:
-    """Purchases that neither a view's amount nor a click of the day explains."""
+    """Purchases that neither a view's amount nor a click of the day explains."""
     p = events(spark, sf_dir, "purchase")
     p = p.join(events(spark, sf_dir, "view").select("amount"), "amount", "left_anti").join(events(spark, sf_dir, "click").select("user_id", "day"), ["user_id", "day"], "left_anti")
     return p.select("event_id", F.col("amount").cast("double").alias("amount"))
 
 
-@query("j20_duplicate_pairs", f"""WITH {EVENTS} SELECT x.user_id, x.event_type, x.event_id AS a, y.event_id AS b FROM e x JOIN e y
-ON x.user_id = y.user_id AND x.event_type = y.event_type AND x.event_id < y.event_id AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 3600000000""")
-def duplicate_pairs(spark, sf_dir) -> DataFrame:
-    """Rows of one merchant and kind within an hour, joined by time bins."""
-    return m.duplicate_pairs(events(spark, sf_dir), ["user_id", "event_type"], "event_id", "ts", minutes=60)
+@query("j20_duplicates")
+def duplicates(spark, sf_dir) -> DataFrame:
+    """Rows of one kind and hundred of the amount within five minutes and with similar items: the first is kept (J20). SQL has no matching-blocks ratio."""
+    e = events(spark, sf_dir).withColumn("hundred", F.floor(F.col("amount") / 100).cast("long"))
+    return m.duplicates(e, ["event_type", "hundred"], "event_id", "ts", "props")
 
 
 @query("j23_match_preview", f"""{PAIRS} SELECT txn_id, count(*) AS candidates, count_if(abs(signed) <= 7)::BIGINT AS in_band,
 CASE WHEN count_if(abs(signed) <= 7) > 0 THEN 'in band' ELSE 'days apart' END AS reason FROM j GROUP BY 1""")
 def match_preview(spark, sf_dir) -> DataFrame:
-    """Candidates of equal amount without a threshold, and why the others fail."""
-    pairs = m.band_join(banked(spark, sf_dir), bought(spark, sf_dir), -100_000, 100_000)
-    near = F.count_if(F.col("days") <= 7)
-    return pairs.groupBy("txn_id").agg(F.count("*").alias("candidates"), near.alias("in_band"), F.when(near > 0, "in band").otherwise("days apart").alias("reason"))
+    """How many purchases have a row's amount, how many of them within a week, and why the others fail.
+
+    Purchases are counted by amount and day first, so that common amounts make no pairs.
+    """
+    t = banked(spark, sf_dir).withColumn("cents", cents(F.col("txn_amount")))
+    by_day = bought(spark, sf_dir).groupBy(cents(F.col("purchase_amount")).alias("cents"), F.col("purchase_day").alias("day")).agg(F.count("*").alias("n"))
+    totals = by_day.groupBy("cents").agg(F.sum("n").alias("candidates"))
+    each = t.select("txn_id", "cents", F.explode(F.sequence(F.date_sub("txn_day", 7), F.date_add("txn_day", 7))).alias("day"))
+    near = each.join(by_day, ["cents", "day"]).groupBy("txn_id").agg(F.sum("n").alias("in_band"))
+    out = t.join(totals, "cents").join(near, "txn_id", "left").withColumn("in_band", F.coalesce("in_band", F.lit(0)).cast("long"))
+    return out.select("txn_id", "candidates", "in_band", F.when(F.col("in_band") > 0, "in band").otherwise("days apart").alias("reason"))
 
 
 @query("j24_polymorphic_details", """SELECT event_id, event_type, CASE event_type WHEN 'purchase' THEN c_name WHEN 'view' THEN p_name WHEN 'click' THEN s_name END AS detail FROM events
 LEFT JOIN customer ON event_type = 'purchase' AND user_id = c_custkey LEFT JOIN part ON event_type = 'view' AND user_id = p_partkey LEFT JOIN supplier ON event_type = 'click' AND user_id = s_suppkey""")
 def polymorphic_details(spark, sf_dir) -> DataFrame:
-    """A source row's details, from the table that its kind names."""
+    """A source row's details, from the table that its kind names."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     names = [("purchase", "customer", "c_custkey", "c_name"), ("view", "part", "p_partkey", "p_name"), ("click", "supplier", "s_suppkey", "s_name")]
     dims = None

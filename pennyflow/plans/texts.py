@@ -7,30 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
 from ..operators import mining, receipts
-from .base import EVENTS, events, query, table
+from .base import EVENTS, events, pick, pick_sql, query, table
 
 
-@query("f03_merchant_keys", r"""SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' & Sons, Ltd.'), '\s+ltd\.?$', ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS merchant,
-  trim(regexp_replace(regexp_replace('card payment to ' || p_name || '-shop*' || p_partkey::VARCHAR, '^card payment to\s*', ''), '[^\w\s]', ' ', 'g')) AS bank,
-  CASE WHEN length(p_name) <= 8 THEN p_name ELSE left(p_name, 5) || '...' END AS short FROM part""")
+#: Endings and beginnings that keys lose, or keep.
+ENDINGS = (" & Sons, Ltd", " Limited Inc", ".co.uk", " UK", ".com uk", " plc.", " Llc", "-shop", " uk.com", "")
+STARTS = ("Card payment direct debit ", "payment to card payment ", "Debit card ", "Faster payment to ", "")
+TAILS = (" London", " GB", " UK London", " www.", " gb uk", "*12")
+
+
+def off_sql(x: str, endings, start: bool = False) -> str:
+    for e in endings:
+        x = f"regexp_replace({x}, '^{e}', '')" if start else f"regexp_replace({x}, '\\s*{e.replace('.', '[.]')}$', '')"
+    return x
+
+
+@query("f03_merchant_keys", f"""WITH n AS (SELECT p_partkey AS id, ' ' || upper(p_name) || {pick_sql(ENDINGS, 'p_partkey')} AS a, {pick_sql(STARTS, 'p_partkey')} || p_name || {pick_sql(TAILS, 'p_partkey // 5')} AS b FROM part)
+SELECT id, trim(regexp_replace(regexp_replace({off_sql('trim(lower(a))', (' ltd', ' limited', ' inc', ' plc', ' llc', '.com', '.co.uk', ' uk'))}, '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS merchant,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({off_sql('lower(b)', ('payment to ', 'card payment ', 'direct debit ', 'debit card '), True)}, ' gb$', ''), ' uk$', ''), ' london$', ''), ' www[.]$', ''), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS bank FROM n""")
 def merchant_keys(spark, sf_dir) -> DataFrame:
-    """Keys under which a receipt's and a bank's merchant meet."""
-    p = table(spark, sf_dir, "part")
-    bank = F.concat(F.lit("Card Payment to "), "p_name", F.lit("-shop*"), F.col("p_partkey").cast("string"))
-    short = F.when(F.length("p_name") <= 8, F.col("p_name")).otherwise(F.concat(F.substring("p_name", 1, 5), F.lit("...")))
-    return p.select(F.col("p_partkey").alias("id"), text.merchant_key(F.concat("p_name", F.lit(" & Sons, Ltd."))).alias("merchant"), text.bank_key(bank).alias("bank"), short.alias("short"))
+    """Keys under which a receipt's and a bank's merchant meet."""
+    p = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
+    receipt = F.concat(F.lit(" "), F.upper("p_name"), pick(ENDINGS, F.col("k")))
+    bank = F.concat(pick(STARTS, F.col("k")), "p_name", pick(TAILS, F.floor(F.col("k") / 5)))
+    return p.select(F.col("p_partkey").alias("id"), text.merchant_key(receipt).alias("merchant"), text.bank_key(bank).alias("bank"))
 
 
 @query("f12_hosts", "SELECT nullif(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '') AS host, count(*) AS n FROM pages GROUP BY 1")
 def hosts(spark, sf_dir) -> DataFrame:
-    """Pages by host."""
+    """Pages by host."""
     return table(spark, sf_dir, "pages").groupBy(text.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
 @query("f20_dates_and_amounts", r"""SELECT o_orderkey AS id, o_orderdate::DATE::VARCHAR AS iso, o_orderdate::DATE::VARCHAR AS embedded, NULL::VARCHAR AS bad, o_totalprice::DECIMAL(18,2)::DOUBLE AS money,
   o_totalprice::DECIMAL(18,2)::DOUBLE AS largest, 0::DOUBLE AS none, least(length('order ' || o_orderkey::VARCHAR) // 4, 2000)::BIGINT AS tokens FROM orders""")
 def dates_and_amounts(spark, sf_dir) -> DataFrame:
-    """Dates and amounts read back from texts made of them."""
+    """Dates and amounts read back from texts made of them."""
     amount = F.col("o_totalprice").cast("decimal(18,2)")
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("uk"), amount.cast("string").alias("a"))
     note = F.concat(F.lit("was £1.00, now Total: £"), "a", F.lit(" on "), "uk")
@@ -48,7 +60,7 @@ SELECT term, n::BIGINT AS n, df, round(ln((SELECT count(*) FROM part)::DOUBLE /
 def keywords(spark, sf_dir) -> DataFrame:
     """Terms of up to three words in names."""
     p = table(spark, sf_dir, "part").select("p_name")
-    return mining.keywords(p, "p_name", p.count()).select("term", "n", "df", "idf")
+    return mining.keywords(p, "p_name").select("term", "n", "df", "idf")
 
 
 #: Kinds of one array, in expectation, and arrays of kinds that are broadcast, at most.
@@ -91,25 +103,11 @@ def json_props(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.count_if(F.get_json_object("props", "$.z").isNull()).alias("missing"))
 
 
-WORDS = {"strong": ("tion", "receipt"), "weak": ("order",), "promo": ("license", "unsubscribe"), "soft_promo": ("stupid",)}
-
-
-@query("p14_receipt_gate", r"""WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS l, text FROM documents), c AS (SELECT doc_id,
-  CASE WHEN contains(l, 'tion') OR contains(l, 'receipt') THEN 2 ELSE 0 END + CASE WHEN contains(l, 'order') THEN 1 ELSE 0 END + CASE WHEN contains(l, 'license') OR contains(l, 'unsubscribe') THEN -3 ELSE 0 END
-  + CASE WHEN contains(l, 'stupid') THEN -1 ELSE 0 END + CASE WHEN regexp_matches(text, '\b(\d{3}-\d{7}-\d{7})\b') OR regexp_matches(text, '(?i)order\s*(?:number|no\.?|id|#)\s*:?\s*#?([A-Za-z0-9-]{5,})')
-  OR regexp_matches(text, '(?i)invoice\s*(?:number|no\.?|#)\s*:?\s*#?([A-Za-z0-9-]{5,})') THEN 3 ELSE 0 END AS score FROM s)
-SELECT doc_id, score::BIGINT AS score, CASE WHEN score >= 3 THEN 'accept' WHEN score <= -2 THEN 'reject' ELSE 'unsure' END AS verdict FROM c""")
-def receipt_gate(spark, sf_dir) -> DataFrame:
-    """Evidence for and against each text being a receipt."""
-    d = table(spark, sf_dir, "documents").select("doc_id", receipts.receipt_score(F.col("text"), **WORDS).alias("score"))
-    return d.withColumn("verdict", receipts.gate(F.col("score")))
-
-
 @query("x02_parse_cascade", """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 3 AS kind, o_totalprice::DECIMAL(18,2) AS a FROM orders)
 SELECT id, CASE kind WHEN 0 THEN 'N' || id::VARCHAR WHEN 1 THEN 'ref-' || (10000 + id)::VARCHAR END AS order_id, CASE WHEN kind < 2 THEN a END::DOUBLE AS total,
   CASE kind WHEN 0 THEN 'linked_data' WHEN 1 THEN 'pattern' ELSE 'none' END AS method, CASE kind WHEN 0 THEN 95 WHEN 1 THEN 80 ELSE 0 END::BIGINT AS confidence FROM o""")
 def parse_cascade(spark, sf_dir) -> DataFrame:
-    """Linked data, then patterns, then nothing, over mails made from orders."""
+    """Linked data, then patterns, then nothing, over mails made from orders."""
     amount, oid, kind = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3
     ld = F.concat(F.lit('<html><script type="application/ld+json">{"@type":"Order","orderNumber":"N'), oid, F.lit('","acceptedOffer":{"price":"'), amount, F.lit('"}}</script></html>'))
     body = F.concat(F.lit("Order number: ref-"), (F.col("o_orderkey") + 10000).cast("string"), F.lit(". Total: £"), amount)

@@ -5,9 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from pennyflow.functions import dates, money, text
-from pennyflow.operators import enrichment, matching, mining, receipts, rules, tables
-from pennyflow.plans import spending, texts
+from pennyflow.functions import dates, descriptions, mail, money, text
+from pennyflow.operators import categorise, enrichment, matching, mining, receipts, rules, tables
+from pennyflow.plans import ledger, texts
 from pennyflow.sources import feeds
 from pennyflow.streaming import ingest
 
@@ -42,8 +42,9 @@ def test_rule_kinds(spark, pattern, value, want):
 
 
 def test_merchant_and_order_ids(spark):
-    assert one(spark, text.merchant_key(F.col("t")), t=" Foo & Bar Ltd.") == "foo bar"
-    assert one(spark, text.normal_merchant(F.col("t")), t="REFUND FROM Shop*AB12CD") == "Shop"
+    assert one(spark, text.merchant_key(F.col("t")), t=" Foo & Bar Ltd") == "foo bar"
+    assert one(spark, text.merchant_key(F.col("t")), t="argos.co.uk") == "argos" and one(spark, text.merchant_key(F.col("t")), t="Foo UK") == "foo"
+    assert one(spark, text.normal_merchant(F.col("t")), t="REFUND FROM Shop*AB12") == "Shop" and one(spark, text.normal_merchant(F.col("t")), t="***") == "***"
     assert one(spark, text.order_id(F.col("t")), t="your order #: 123-1234567-1234567") == "123-1234567-1234567"
     assert one(spark, text.order_id(F.col("t")), t="nothing") is None
     assert len(one(spark, text.abbreviated(F.col("t")), t="a very long product name with many words in it")) <= 35
@@ -66,11 +67,19 @@ def test_band_join_bounds_and_rank(spark):
     assert [(r["purchase_id"], r["score"]) for r in out] == [(3, 95), (1, 70)]
 
 
-def test_rules_first_match(spark):
-    r = spark.createDataFrame([(2, "a", None, "B", 5, True), (1, "a", None, "A", 5, True), (3, "a", "CREDIT", "C", 9, True), (4, "a", None, "D", 99, False)], "rule_id long, pattern string, rule_type string, category string, priority long, active boolean")
-    rows = spark.createDataFrame([(1, "xax", "DEBIT"), (2, "a", "CREDIT"), (3, "zzz", "DEBIT"), (4, None, "DEBIT")], "id long, t string, k string")
-    out = {x["id"]: (x["category"], x["n_rules"]) for x in rules.first_match(rules.matches(rows, r, "t", "k"), "id").collect()}
-    assert out == {1: ("A", 2), 2: ("C", 3)}
+def rule_set():
+    return [rules.Rule(*r) for r in ((2, "a", None, "B", 5), (1, "a", None, "A", 5), (3, "a", "CREDIT", "C", 9), (4, "a", None, "D", 99, False), (5, "regex:(", None, "E", 98), (6, "x" * 300, None, "F", 97), (7, "exact:ZZZ long", None, "G", 1), (8, "starts:zzz", None, "H", 2), (9, r"regex:\d{3}$", None, "I", 1))]
+
+
+def test_rules_first_match(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "xax", "DEBIT"), (2, "a", "CREDIT"), (3, "q", "DEBIT"), (4, None, "DEBIT"), (5, "zzz long", "DEBIT"), (6, "no 123", "DEBIT"), (7, "", "DEBIT")], "id long, t string, k string")
+    want = {1: ("A", 2), 2: ("C", 3), 5: ("H", 2), 6: ("I", 1)}
+    for most in (200, 4):  # compiled, and met by their first characters
+        monkeypatch.setattr(rules, "COMPILED_RULES", most)
+        out = {x["id"]: (x["category"], x["n_rules"]) for x in rules.first_match(rules.matches(rows, rule_set(), "t", "k"), "id").collect()}
+        assert out == want
+    assert rules.matches(rows, [], "t").count() == 0
+    assert [r.priority for r in rules.raised(rule_set(), 1) if r.rule_id == 1] == [100]
 
 
 def test_writes_are_idempotent(spark):
@@ -80,6 +89,7 @@ def test_writes_are_idempotent(spark):
     once = tables.insert_new(old, new, ["id"])
     assert as_set(once) == as_set(tables.insert_new(once, new, ["id"])) == {(1, "a", "x"), (2, "b", None), (3, "d", None)}
     assert as_set(tables.upsert(old, new, ["id"])) == {(1, "a", "x"), (2, "c", "y"), (3, "d", None)}
+    assert as_set(tables.upsert(old, new.union(new), ["id"])) == as_set(tables.upsert(old, new, ["id"]))
     assert as_set(tables.upsert_columns(old, new, ["id"], ["w"])) == {(1, "a", "x"), (2, "b", "y"), (3, "d", None)}
 
 
@@ -96,7 +106,7 @@ def test_coalesced_and_primary(spark):
 @pytest.mark.parametrize(("debits", "credits", "want"), [(True, True, 2), (False, False, 2), (True, False, 1), (False, True, 1)])
 def test_direction_toggles(spark, debits, credits, want):
     t = spark.createDataFrame([(1, "DEBIT"), (2, "CREDIT")], "id long, type string")
-    assert t.where(spending.filter_of(debits=debits, credits=credits)).count() == want
+    assert t.where(ledger.filter_of(debits=debits, credits=credits)).count() == want
 
 
 def test_similarity():
@@ -144,3 +154,85 @@ def test_similarity_keeps_every_name(spark, tmp_path, monkeypatch):
         got = {r["p_name"]: (r["kind"], r["score"]) for r in texts.name_similarity(spark, str(tmp_path)).collect()}
         assert got.keys() == {*want, "zzz"} and got["zzz"][0] is None
         assert {k: got[k] for k in want} == want
+
+
+def test_tolerance_of_a_cent(spark):
+    rows = [(1, "2024-01-10", 102.03)]
+    others = [(k, "2024-01-11", x) for k, x in enumerate((102.02, 102.03, 102.04, 102.05))]
+    a = spark.createDataFrame(rows, "txn_id long, d string, x double").select("txn_id", F.to_date("d").alias("txn_day"), F.col("x").cast("decimal(18,2)").alias("txn_amount"))
+    b = spark.createDataFrame(others, "purchase_id long, d string, x double").select("purchase_id", F.to_date("d").alias("purchase_day"), F.col("x").cast("decimal(18,2)").alias("purchase_amount"))
+    assert sorted(r["purchase_id"] for r in matching.band_join(a, b, -3, 3, tolerance=1).collect()) == [0, 1, 2]
+
+
+def fuzzy(spark, amount, receipt, days=0, currency=None, description=None, merchant="Tesco", own="tesco", aliases=None):
+    t = spark.createDataFrame([(1, dt.datetime(2024, 1, 20), amount, merchant, description)], "txn_id long, txn_ts timestamp, a string, txn_merchant string, txn_description string").withColumn("txn_amount", F.col("a").cast("decimal(18,2)"))
+    r = spark.createDataFrame([(1, dt.datetime(2024, 1, 20) + dt.timedelta(days=days), receipt, own, currency)], "receipt_id long, receipt_ts timestamp, a string, receipt_merchant string, receipt_currency string").withColumn("receipt_amount", F.col("a").cast("decimal(18,2)"))
+    return [(x["score"], x["method"]) for x in matching.fuzzy_join(t, r, aliases).collect()]
+
+
+def test_fuzzy_boundaries(spark):
+    assert fuzzy(spark, "3.50", "3.00") == []  # 0.50 is no longer equal
+    assert fuzzy(spark, "3.49", "3.00") == [(100, "exact_amount_date_merchant")]
+    assert fuzzy(spark, "100.01", "100.00") == [(80, "fuzzy_amount_wide_date_merchant")]
+    assert fuzzy(spark, "102.03", "100.00") == [] and fuzzy(spark, "102.00", "100.00", own="x") == [(70, "fuzzy_amount_wide_date")]
+    assert fuzzy(spark, "9.00", "9.00", days=-3) == [(100, "exact_amount_close_date_merchant_early_receipt")]
+    assert fuzzy(spark, "9.00", "9.00", days=10) == [(90, "exact_amount_wide_date_merchant")] and fuzzy(spark, "9.00", "9.00", days=11) == []
+    text_ = "card payment to shop ,240.00 USD, RATE 0.7521/GBP on 20-01-2024"
+    assert fuzzy(spark, "180.50", "240.00", currency="USD", description=text_, merchant=None, own="shop") == [(100, "exact_amount_date_merchant")]
+    assert fuzzy(spark, "180.50", "180.50", currency="USD", description=text_) == []
+    known = spark.createDataFrame([("big shop", "Tesco")], "merchant string, bank_name string")
+    assert fuzzy(spark, "9.00", "9.00", merchant=None, description="at TESCO", own="Big Shop", aliases=known) == [(100, "exact_amount_date_merchant")]
+    assert fuzzy(spark, "9.00", "9.00", own="") == [(85, "exact_amount_close_date")]
+
+
+def test_duplicates_keep_the_first(spark):
+    at = lambda m, s=0: dt.datetime(2024, 1, 1, 10, m, s)
+    rows = [(1, "m", at(0), "[a, b, c]"), (2, "m", at(4), "[a, b, c]"), (3, "m", at(8), "[a, b, c]"), (4, "m", at(8), "zzz"), (5, "m", at(9), ""), (6, "n", at(4), "[a, b, c]"), (7, "m", at(30), "[a, b, c]"), (8, "m", at(35), "[a, b, d]"), (9, "m", None, "[a, b, c]")]
+    got = matching.duplicates(spark.createDataFrame(rows, "id long, m string, ts timestamp, items string"), ["m"], "id", "ts", "items")
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (7, 8)]  # 3 is more than five minutes after the kept one
+
+
+def test_extraction_order(spark):
+    x = lambda t: one(spark, descriptions.extracted(F.col("t")), t=t)
+    shadowed = x("CARD PAYMENT TO Shop*R1 ON 01-02-2024")
+    assert (shadowed["payee"], shadowed["reference"], shadowed["confidence"]) == ("Shop*R1", None, 90)
+    assert x("CARD PAYMENT TO Zipcar Trip T1 ON 1-2-2024")["variant"] is None
+    assert (x("CARD PAYMENT TO LIME RIDE")["variant"], x("CARD PAYMENT TO LIME RIDE")["confidence"]) == ("LIME", 70)
+    assert x("AMZNMktplace")["provider"] is None and x("")["confidence"] == x(None)["confidence"] == 0
+    assert one(spark, descriptions.debit_payee(F.col("t")), t="direct debit payment to Gas  REF") == "Gas  REF"
+
+
+@pytest.mark.parametrize(("name", "want"), [("Bloom & Co", True), ("a", False), ("x" * 51, False), ("Shop 2024", False), ("for the", False), ("the shop", True), ("Gift Shop", False), (None, False)])
+def test_merchant_names(spark, name, want):
+    assert one(spark, mail.valid_merchant(F.col("t")), t=name) is want
+
+
+@pytest.mark.parametrize(("given", "want"), [("Total: £1,234.50", (1234.5, "GBP")), ("paid $3", (3.0, "USD")), ("£5 and €9.50", (9.5, "EUR")), ("5", None), (None, None)])
+def test_found_amount(spark, given, want):
+    got = one(spark, money.found_amount(F.col("t")), t=given)
+    assert (got and (float(got["amount"]), got["currency"])) == want
+
+
+def test_abbreviated_has_no_ellipsis(spark):
+    short = lambda t: one(spark, text.abbreviated(F.col("t")), t=t)
+    assert short("x" * 35) == "x" * 35 and short("x" * 36) == "x" * 35
+    assert short("a very long product name with many - words in it") == "a very long product name with many"
+    assert short("one " + "y" * 40) == "one " + "y" * 31
+
+
+def test_order_summary(spark):
+    summary = lambda names: spark.createDataFrame([(names,)], "n array<string>").select(receipts.order_summary(F.col("n"))).first()[0]
+    assert summary(["z" * 60]) == "z" * 60 and summary(["a", "b"]) == "a | b"
+    assert summary(["w" * 40] * 5) == " | ".join(["w" * 35] * 3) + " & 2 more"
+
+
+def test_keyword_order_and_necessity(spark):
+    category = lambda t, a: one(spark, categorise.keyword_category(F.col("t"), F.lit(None), F.lit(a)), t=t)
+    assert category("refund of tesco", 5) == "Income" and category("refund of tesco", -5) == "Groceries" and category("zzz", 1) == "Other"
+    assert one(spark, categorise.necessity(F.col("t")), t="Groceries") == "Essential" and one(spark, categorise.necessity(F.lit(None).cast("string"))) == "Discretionary"
+
+
+def test_recent_counts_over_bins(spark):
+    rows = spark.createDataFrame([(k, "u", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)) for k, s in enumerate((0, 5, 10, 11, 25, 25, 60))], "id long, u string, ts timestamp")
+    got = [r["recent"] for r in ingest.recent_counts(rows, "u", F.col("ts"), 10).orderBy("id").collect()]
+    assert got == [1, 2, 3, 3, 2, 2, 1]
