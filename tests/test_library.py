@@ -130,8 +130,6 @@ def test_feeds(spark, tmp_path):
     with pytest.raises(ValueError, match="Product Name"):
         (tmp_path / "bad.csv").write_text("Website,Order ID,Order Date,Total Owed\n")
         feeds.order_lines(spark, str(tmp_path / "bad.csv"))
-    (tmp_path / "s.html").write_text("Order ID: ABC123 on 2024-05-06 total £ 7.99 Order ID: ABC123 on 2024-05-06 total £7.99")
-    assert [(x["order_id"], float(x["amount"])) for x in feeds.store_history(spark, str(tmp_path / "s.html")).collect()] == [("ABC123", 7.99)]
     path = str(tmp_path / "table")
     for n in (3, 2):
         feeds.replace_table(spark.range(n), path)
@@ -236,3 +234,59 @@ def test_recent_counts_over_bins(spark):
     rows = spark.createDataFrame([(k, "u", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)) for k, s in enumerate((0, 5, 10, 11, 25, 25, 60))], "id long, u string, ts timestamp")
     got = [r["recent"] for r in ingest.recent_counts(rows, "u", F.col("ts"), 10).orderBy("id").collect()]
     assert got == [1, 2, 3, 3, 2, 2, 1]
+
+
+def test_balances_and_cards(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"results":[{"transaction_id":"a","timestamp":"2024-01-02T03:04:05Z","amount":-3.5,"running_balance":9.25},{"transaction_id":"b"}]}')
+    a, b = feeds.bank_pages(spark, str(tmp_path / "p.json")).orderBy("transaction_id").collect()
+    assert (float(a["running_balance"]), a["currency"]) == (9.25, "GBP") and (float(b["amount"]), b["day"], b["description"]) == (0, None, "")
+    raw = spark.createDataFrame([("c", "2024-01-02T00:00:00Z", "shop", -7.0, "GBP", "DEBIT", "PURCHASE", None)], "transaction_id string, timestamp string, description string, amount double, currency string, transaction_type string, transaction_category string, merchant_name string")
+    row = feeds.card_rows(raw).first()
+    assert (float(row["amount"]), row["running_balance"], row["day"]) == (7.0, None, dt.date(2024, 1, 2))
+
+
+def test_orders_of_lines(spark, tmp_path):
+    (tmp_path / "o.csv").write_text("Website,Order ID,Order Date,Total Owed,Product Name,Currency\nw,1,2024-01-02,2.00,Tea,GBP\nw,1,2024-01-02,3.00,Cup,GBP\nw,2,2024-01-03,1.00,,GBP\n")
+    out = feeds.orders(feeds.order_lines(spark, str(tmp_path / "o.csv"))).collect()
+    assert [(r["order_id"], float(r["amount"]), r["products"], r["currency"], r["order_status"]) for r in out] == [("1", 5.0, "Tea | Cup", "GBP", None)]
+
+
+def test_digital_orders_and_returns(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("ASIN,ProductName,OrderId,DigitalOrderItemId,OrderDate,OurPrice\nA,Film,1,i,2024-01-02T00:00:00Z,3.49\nA,Free,2,j,2024-01-02,0\nA,None,,k,2024-01-02,1\nA,NoItem,3,,2024-01-02,1\n")
+    assert [(r["order_id"], float(r["amount"]), r["currency"]) for r in feeds.digital_orders(spark, str(tmp_path / "d.csv")).collect()] == [("1", 3.49, "GBP")]
+    (tmp_path / "r.csv").write_text("OrderID,ReversalID,RefundCompletionDate,AmountRefunded\n1,x,2024-02-03T00:00:00Z,£4.00\n")
+    assert [(r["order_id"], r["day"], float(r["amount"])) for r in feeds.returns(spark, str(tmp_path / "r.csv")).collect()] == [("1", dt.date(2024, 2, 3), 4.0)]
+
+
+def test_business_orders(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"orders":[{"orderId":"o1","orderDate":"2024-01-02T10:00:00Z","orderNetTotal":{"amount":"12.50","currencyCode":"EUR"},"lineItems":[{"asin":"x","title":"Pen","itemNetTotal":{"amount":"12.50"}}]},{"orderId":"o2"}]}')
+    orders = feeds.business_orders(spark, str(tmp_path / "b.json"))
+    assert sorted((r["order_id"], float(r["net_total"]), r["currency"], r["item_count"]) for r in orders.collect()) == [("o1", 12.5, "EUR", 1), ("o2", 0.0, "GBP", 0)]
+    assert [(r["order_id"], r["title"], r["quantity"], float(r["unit_price"]), float(r["total_price"])) for r in feeds.business_items(orders).collect()] == [("o1", "Pen", 1, 0.0, 12.5)]
+
+
+def test_store_pages(spark, tmp_path):
+    (tmp_path / "s.html").write_text(
+        "<html><body><div>24 Oct 2025</div><div>MM62VW915F</div><div>Total</div><div>£0.99</div><div>Loading...</div><div>Hazard Kit</div><div>Test Press</div><div>1 Sept 2025</div><div>AB12CD34EF</div><div>Total</div><div>£3.49</div><div>Loading...</div><div>BFI PlayerApple TV</div></body>"
+        '<script>x={"orderDate":"2025-01-02","orderId":"JSON123456","totalPrice":"£2.00","title":"Song","artistName":"Band"};y={"orderDate":"2025-01-02","orderId":"MM62VW915F","totalPrice":"9"}</script></html>'
+    )
+    got = {r["order_id"]: (str(r["day"]), float(r["amount"]), r["names"], r["publishers"]) for r in feeds.store_history(spark, str(tmp_path / "s.html")).collect()}
+    assert got == {"MM62VW915F": ("2025-10-24", 0.99, "Hazard Kit", "Test Press"), "AB12CD34EF": ("2025-09-01", 3.49, "BFI Player", "Apple TV"), "JSON123456": ("2025-01-02", 2.0, "Song", "Band")}
+
+
+def test_receipt_search_and_files(spark, tmp_path):
+    rows = [(1, "Your ORDER", "x@y.z", 1), (2, "hi", "a@uber.com", 2), (3, "hi", "x@y.z", 2), (4, None, None, 2), (5, "invoice", "q", 9)]
+    mails_ = spark.createDataFrame(rows, "id long, subject string, sender string, received_at int")
+    assert sorted(r["id"] for r in feeds.receipt_mails(mails_, F.lit(1), F.lit(9)).collect()) == [1, 2]
+    for name in ("a.pdf", "b.pdf"):
+        (tmp_path / name).write_bytes(b"same")
+    assert feeds.files_by_hash(spark, str(tmp_path)).count() == 1
+    feeds.write_csv(spark.range(2), str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
+
+
+def test_linked_data_items_and_graphs(spark):
+    doc = '<script type="application/ld+json">{"@graph":[{"@type":"Person"},{"@type":"Invoice","confirmationNumber":"C9","totalPaymentDue":{"price":"8.00","priceCurrency":"EUR"},"acceptedOffer":[{"itemOffered":{"name":"Tea"}},{"name":"Cup"}]}]}</script>'
+    order = one(spark, receipts.order_of(receipts.json_ld(F.col("t"))), t=doc)
+    assert (order["order_id"], float(order["total"]), order["currency"], order["items"]) == ("C9", 8.0, "EUR", ["Tea", "Cup"])
+    assert one(spark, receipts.order_of(F.col("t")), t="not json") is None
