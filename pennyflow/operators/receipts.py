@@ -100,3 +100,36 @@ def parsed(rows: DataFrame, html_col: str, text_col: str) -> DataFrame:
         "method": F.when(by_ld, "linked_data").when(one, "pattern").otherwise("none"),
         "confidence": F.when(by_ld, 95).when(both, 80).when(one, 60).otherwise(0).cast("long"),
     }).drop("__ld", "__id", "__total")
+
+
+# How a table's cells are told apart.
+ITEM_PRICE, ITEM_QUANTITY, NO_ITEM = r"[£$€]\s*([0-9,]+\.?\d*)", r"(?i)(?:qty|quantity)[:\s]*(\d+)|x(\d+)", r"order|total|subtotal|shipping|tax|delivery|amazon"
+MOST_ITEMS = 10
+
+
+def table_items(html: Column) -> Column:
+    """Line items (name, price, quantity) of a page's tables: one for each row of two cells or more that names a product, the first ten names.
+
+    A cell is a price, unless the name is known already, a quantity (else 1), or a name: 11 to 199 characters
+    with three letters in a row and none of the words of totals and delivery; of several the last counts.
+    """
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    empty = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast(MONEY).alias("price"), F.lit(1).alias("quantity"))
+
+    def read(item: Column, cell: Column) -> Column:
+        price = F.replace(F.regexp_extract(cell, ITEM_PRICE, 1), F.lit(","), F.lit("")).try_cast(MONEY)
+        number = F.coalesce(*[F.nullif(F.regexp_extract(cell, ITEM_QUANTITY, k), F.lit("")) for k in (1, 2)]).try_cast("int")
+        named = F.length(cell).between(11, 199) & F.rlike(cell, F.lit("[a-zA-Z]{3,}")) & ~F.rlike(F.lower(cell), F.lit(NO_ITEM))
+        with_ = lambda **new: F.struct(*[new.get(n, item[n]).alias(n) for n in ("name", "price", "quantity")])
+        return (
+            F.when(F.length(cell) < 3, item).when(F.rlike(cell, F.lit(ITEM_PRICE)) & item["name"].isNull(), with_(price=price))
+            .when(number.isNotNull(), with_(quantity=number)).when(named, with_(name=cell)).otherwise(item)
+        )
+
+    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), text))
+    items = F.transform(F.filter(cells, lambda c: F.size(c) >= 2), lambda c: F.aggregate(c, empty, read))
+    items = F.filter(items, lambda i: i["name"].isNotNull())
+    names = F.transform(items, lambda i: i["name"])
+    first = F.filter(items, lambda i, k: F.array_position(names, i["name"]) == k + 1)
+    return F.slice(first, 1, MOST_ITEMS)

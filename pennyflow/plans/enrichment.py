@@ -74,3 +74,17 @@ def enriched_count(spark, sf_dir) -> DataFrame:
     t = txns(spark, sf_dir).select("id").join(ids, "id", "left")
     share = F.round(F.count("hit").cast("decimal(18,4)") * 100 / F.nullif(F.count("*"), F.lit(0)), 1)
     return t.agg(F.count("*").alias("total"), F.count("hit").alias("enriched"), F.coalesce(share, F.lit(0)).cast("double").alias("percent"))
+
+
+@query("j06_enrichment_view", f"""{SOURCES} SELECT t.id, coalesce(rule.subcategory, model.subcategory, (SELECT subcategory FROM ext WHERE ext.id = t.id AND k = 1)) AS subcategory,
+CASE WHEN rule.id IS NOT NULL THEN 'rule' WHEN model.id IS NOT NULL THEN 'model' WHEN EXISTS (SELECT 1 FROM ext WHERE ext.id = t.id) THEN 'external' ELSE 'none' END AS source, (SELECT count(*) FROM ext WHERE ext.id = t.id) AS externals
+FROM t LEFT JOIN rule ON t.id = rule.id LEFT JOIN model ON t.id = model.id""")
+def enrichment_view(spark, sf_dir) -> DataFrame:
+    """Each transaction's subcategory, where it is from, and how many external sources it has; these are reduced to a row before the join."""
+    rule, model, ext = sources(spark, sf_dir)
+    counts = ext.groupBy("id").agg(F.count("*").alias("externals"))
+    flag = lambda df, name: df.select("id", F.lit(True).alias(name))
+    out = n.coalesced(txns(spark, sf_dir).select("id"), [rule, model, primary(ext)], "id", "subcategory")
+    out = out.join(flag(rule, "r"), "id", "left").join(flag(model, "m"), "id", "left").join(counts, "id", "left")
+    source = F.when(F.col("r"), "rule").when(F.col("m"), "model").when(F.col("externals").isNotNull(), "external").otherwise("none")
+    return out.select("id", "subcategory", source.alias("source"), F.coalesce("externals", F.lit(0)).cast("long").alias("externals"))

@@ -237,3 +237,12 @@ def unified_matching(spark, sf_dir) -> DataFrame:
     sums = hits.agg(F.count_if("orders").alias("orders"), F.count_if("store").alias("store"), F.count_if(F.col("orders") | F.col("store")).alias("all"))
     both = sums.crossJoin(t.agg(F.count("*").alias("processed")))
     return both.select("processed", F.expr("stack(3, 'orders', `orders`, 'store', `store`, 'all', `all`) AS (source, matched)")).select("source", "processed", "matched")
+
+
+@query("c13_single_match", f"""{PAIRS}, s AS (SELECT *, {points_sql(m.ORDER_POINTS)} AS score FROM j WHERE signed BETWEEN -7 AND 7 AND txn_id = (SELECT max(txn_id) FROM j WHERE signed BETWEEN -7 AND 7))
+SELECT txn_id, purchase_id, score FROM s WHERE score >= 70""")
+def single_match(spark, sf_dir) -> DataFrame:
+    """One transaction matched anew, here the last that has a candidate; nothing is kept."""
+    t, p = banked(spark, sf_dir), bought(spark, sf_dir)
+    last = m.band_join(t, p, -7, 7).agg(F.max("txn_id").alias("txn_id"))
+    return m.scored(m.band_join(t.join(F.broadcast(last), "txn_id", "left_semi"), p, -7, 7), m.ORDER_POINTS).select("txn_id", "purchase_id", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, money, text
+from ..functions import dates, mail, money, text
 from ..operators import mining, receipts
 from .base import EVENTS, events, pick, pick_sql, query, table
 
@@ -113,3 +113,23 @@ def parse_cascade(spark, sf_dir) -> DataFrame:
     body = F.concat(F.lit("Order number: ref-"), (F.col("o_orderkey") + 10000).cast("string"), F.lit(". Total: £"), amount)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(kind == 0, ld).otherwise("<html></html>").alias("html"), F.when(kind == 1, body).otherwise("hello").alias("body"))
     return receipts.parsed(o, "html", "body").select("id", "order_id", F.col("total").cast("double").alias("total"), "method", "confidence")
+
+
+@query("f66_line_items", """SELECT p_partkey AS id, 1::BIGINT AS n, p_name || ' of the kind ' || p_type AS name, p_retailprice::DECIMAL(18,2)::DOUBLE AS price, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 1 END::BIGINT AS quantity FROM part""")
+def line_items(spark, sf_dir) -> DataFrame:
+    """Items in the tables of mails made from parts: a price, a name and maybe a quantity in a row, beside rows that are no items and a repeated one."""
+    price, name = F.col("p_retailprice").cast("decimal(18,2)").cast("string"), F.concat(F.col("p_name"), F.lit(" of the kind "), F.col("p_type"))
+    row = F.concat(F.lit("<tr class=x><td> £"), price, F.lit("</td><td><b>"), name, F.lit("</b></td>"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<td>Qty: "), F.col("p_size").cast("string"), F.lit("</td>"))).otherwise(""), F.lit("</tr>"))
+    html = F.concat(F.lit("<table><tr><th>Item price</th></tr>"), row, row, F.lit("<tr><td>Grand total of all</td><td>£1,000.00</td></tr><tr><td>one cell only in this</td></tr></table>"))
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), receipts.table_items(html).alias("items"))
+    first = F.get("items", F.lit(0))
+    return items.select("id", F.size("items").cast("long").alias("n"), first["name"].alias("name"), first["price"].cast("double").alias("price"), first["quantity"].cast("long").alias("quantity"))
+
+
+@query("f52_order_markup", """WITH p AS (SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN '{"@type":"Order"}' WHEN 1 THEN '<div itemtype="http://schema.org/Order">' ELSE '"@type"' END AS h FROM pages)
+SELECT page_id, (contains(h, '"@type"') AND contains(h, '"Order"')) OR (contains(h, 'itemtype') AND contains(h, 'schema.org/Order')) AS marked FROM p""")
+def order_markup(spark, sf_dir) -> DataFrame:
+    """Pages that name an order as linked data or microdata."""
+    k = F.col("page_id") % 3
+    more = F.when(k == 0, '{"@type":"Order"}').when(k == 1, '<div itemtype="http://schema.org/Order">').otherwise('"@type"')
+    return table(spark, sf_dir, "pages").select("page_id", mail.has_order_markup(F.concat("html", more)).alias("marked"))

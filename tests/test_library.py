@@ -290,3 +290,19 @@ def test_linked_data_items_and_graphs(spark):
     order = one(spark, receipts.order_of(receipts.json_ld(F.col("t"))), t=doc)
     assert (order["order_id"], float(order["total"]), order["currency"], order["items"]) == ("C9", 8.0, "EUR", ["Tea", "Cup"])
     assert one(spark, receipts.order_of(F.col("t")), t="not json") is None
+
+
+def test_table_items(spark):
+    html = "<table><tr><td>£ 3.50</td><td>Garden hose blue</td></tr><tr><td>Garden hose blue</td><td>x3</td></tr><tr><td>Paper towels big</td><td>£9.00</td><td>quantity 4</td></tr><tr><td>Shipping and more</td><td>£1</td></tr><tr><td>Lonely name here</td></tr></table>"
+    got = one(spark, receipts.table_items(F.col("t")), t=html)
+    assert [(i["name"], i["price"] and float(i["price"]), i["quantity"]) for i in got] == [("Garden hose blue", 3.5, 1), ("Paper towels big", None, 4)]
+    assert one(spark, receipts.table_items(F.col("t")), t="none") == []
+
+
+def test_mail_gates(spark):
+    gate = lambda s, f, b="": one(spark, mail.likely_receipt(F.col("s"), F.col("b"), F.col("f"), F.lit(None).cast("string"), F.lit(False)), s=s, f=f, b=b)
+    assert tuple(gate("Ordered: 'x'", "auto-confirm@amazon.co.uk")) == (True, 95)
+    assert tuple(gate("your order has shipped", "x@amazon.co.uk")) == (False, 95)
+    assert tuple(gate("shop now", "a@shop.example")) == (False, 80) and tuple(gate("hello", "a@shop.example")) == (False, 50)
+    assert tuple(gate("order confirmation for order #A12345", "a@shop.example")) == (True, 95)
+    assert one(spark, mail.should_import(F.col("s"), F.col("f"), F.lit("")), s="hi", f="a@gmail.com") is False
