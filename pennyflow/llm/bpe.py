@@ -5,7 +5,7 @@ occurs, the tokens on both sides are independent. Each pre-token is cut at all s
 fragment is encoded by itself and the ids are concatenated. Fragments and words repeat far more often
 than texts do, so each task keeps a bounded table of those it has met.
 
-Every row is encoded where it is read: no shuffle, memory bounded by the longest text.
+Every row is encoded where it is read: no shuffle, and a task works on a bounded piece of rows, or one text, at a time.
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Sequence
 from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import release, table, without
+from .common import add_columns, table
 
 WORD_END = "</w>"
 #: Words kept by a task; longer words than KEEP_CHARS are not kept.
@@ -57,13 +57,14 @@ class Codec:
     """The tokenizer of a file of the ``tokenizers`` library: BPE over byte letters with word ends."""
 
     def __init__(self, path: str) -> None:
-        self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         if model.get("end_of_word_suffix") != WORD_END or spec.get("decoder") is not None:
             raise ValueError("the file isn't of a BPE model with word ends and plain decoding")
+        # The library normalises and splits texts; that takes no vocabulary.
+        self.whole = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": [], "unk_token": None}, "added_tokens": [], "post_processor": None}))
         self.ending, self.inner = BPE(vocab, merges, end_of_word_suffix=WORD_END), BPE(vocab, merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -125,68 +126,56 @@ class Codec:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def bpe(df: DataFrame, path: str, outputs: Iterable[str] = ("ids",), text_col: str = "text") -> DataFrame:
-    """Every row of ``df`` with the wanted ``OUTPUTS`` columns, decoded from the ids just made.
+def bpe(df: DataFrame, path: str, outputs: Iterable[str] = ("ids",), text_col: str = "text", drop: Sequence[str] = ()) -> DataFrame:
+    """Every row of ``df`` with the wanted ``OUTPUTS`` columns, decoded from the ids just made, and without the columns in ``drop``.
 
     ``path`` names the tokenizer file on every machine. Null text counts as empty: no ids, and an
-    empty decoded text. Repeated rows are each encoded; columns that are named as an output are
-    dropped; an empty table gives an empty table.
+    empty decoded text. Texts of any length are encoded whole. Repeated rows are each encoded; columns
+    that are named as an output are dropped; an empty table gives an empty table.
     """
     wanted = list(outputs)
     if unknown := set(wanted) - set(OUTPUTS):
         raise ValueError(f"unknown outputs {sorted(unknown)}")
-    df = without(df.withColumn("__text", df[text_col]), wanted)
-    keep = [f for f in df.schema.fields if f.name != "__text"]
-    schema = StructType([*keep, *(StructField(n, OUTPUTS[n]) for n in wanted)])
     kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = Codec(path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                made: dict[str, list] = {n: [] for n in wanted}
-                for text in batch.column("__text"):
-                    raw = own.encode(text.as_py() or "")
-                    ids = np.frombuffer(raw, "<u4")
-                    if "decoded" in made or "decoded_sha256" in made:
-                        decoded = own.decode(ids)
-                    for n, values in made.items():
-                        if n == "n_tokens":
-                            values.append(len(ids))
-                        elif n == "ids":
-                            values.append(ids.astype(np.int32))
-                        elif n == "decoded":
-                            values.append(decoded)
-                        else:
-                            values.append(hashlib.sha256(raw if n == "ids_sha256" else decoded.encode()).hexdigest())
-                kept = [batch.column(f.name) for f in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, *(pa.array(made[n], kinds.get(n, pa.string())) for n in wanted)], names=[f.name for f in schema.fields]
-                )
-        # Words refer back to their codec; a worker that waits for other stages' tasks shall hold neither.
-        own.words.clear()
-        del own
-        release()
-
-    return df.mapInArrow(run, schema)
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            made: dict[str, list] = {n: [] for n in wanted}
+            for text in texts:
+                raw = own.encode(text.as_py() or "")
+                ids = np.frombuffer(raw, "<u4")
+                if "decoded" in made or "decoded_sha256" in made:
+                    decoded = own.decode(ids)
+                for n, values in made.items():
+                    if n == "n_tokens":
+                        values.append(len(ids))
+                    elif n == "ids":
+                        values.append(ids.astype(np.int32))
+                    elif n == "decoded":
+                        values.append(decoded)
+                    else:
+                        values.append(hashlib.sha256(raw if n == "ids_sha256" else decoded.encode()).hexdigest())
+            return [pa.array(made[n], kinds.get(n, pa.string())) for n in wanted]
+
+        return make
+
+    return add_columns(df, [text_col], [StructField(n, OUTPUTS[n]) for n in wanted], start, drop)
 
 
 def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Every row of ``df`` with the text of its ids; null ids give a null text."""
-    df = df.withColumn("__ids", df[ids_col].cast("array<int>"))
-    df = without(df, [out_col])
-    keep = [f for f in df.schema.fields if f.name != "__ids"]
+    """Every row of ``df`` with the text of its ids; null ids give a null text, no ids an empty one.
+
+    Rows with very many ids are decoded whole and repeated rows each. A column named ``out_col`` is
+    replaced; an empty table gives an empty table. An id that the vocabulary lacks raises.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = Codec(path)
-        for batch in batches:
-            texts = [None if x is None else own.decode(np.array(x, np.int64)) for x in batch.column("__ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in keep), pa.array(texts, pa.string())], names=[*(f.name for f in keep), out_col]
-            )
+        return lambda ids: [pa.array([None if x is None else own.decode(np.array(x, np.int64)) for x in ids.to_pylist()], pa.string())]
 
-    return df.mapInArrow(run, StructType([*keep, StructField(out_col, StringType())]))
+    return add_columns(df.withColumn(ids_col, df[ids_col].cast("array<int>")), [ids_col], [StructField(out_col, StringType())], start)
 
 
 def public_path() -> str:
@@ -197,5 +186,6 @@ def public_path() -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of ids, and digests of the ids and of the text that they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe(docs, public_path(), ("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+    return bpe(docs, public_path(), ("n_tokens", "ids_sha256", "decoded_sha256"), drop=["text"])

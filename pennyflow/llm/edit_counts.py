@@ -7,13 +7,13 @@ up to the first old boundary after it that is met again, and re-encodes only tho
 paths to the root alone. Counts are always those of encoding the whole edited text.
 
 Trees are a column of their own, so a corpus keeps them and applies later edits. Narrow passes:
-no shuffle, memory bounded by the longest text.
+no shuffle, and a task works on a bounded piece of rows, or one text, at a time.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import slices, table, without
+from .common import add_columns, table
 
+#: Texts that a task has trees of at a time.
+PIECE = 128
 #: Pre-tokens of a new leaf; a leaf that grows to SPLIT_AT has the tree built anew.
 LEAF, SPLIT_AT = 32, 256
 #: A boundary at least so many characters before an edit is never moved by it: the pattern looks no further ahead.
@@ -188,21 +190,20 @@ def public_vocabulary() -> tuple[str, str]:
 def with_trees(docs: DataFrame, vocabulary: tuple[str, str], text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``n_tokens`` and ``tree``; columns of these names are replaced.
 
-    Null text counts as empty: no tokens, an empty tree. Repeated rows have a tree each; an empty
-    table gives an empty table.
+    Null text counts as empty: no tokens, an empty tree. A text of any length has one tree. Repeated
+    rows have a tree each; an empty table gives an empty table.
     """
-    docs = without(docs.withColumn("__text", docs[text_col]), ["n_tokens", "tree"])
-    keep = [f for f in docs.schema.fields if f.name != "__text"]
-    path, pattern = vocabulary
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path, pattern)
-        for batch in slices(batches, 128):
-            trees = [SegmentTree.of_text(t.as_py() or "", own) for t in batch.column("__text")]
-            made = [pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.row() for t in trees], _TREE_ARROW)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names=[*(f.name for f in keep), "n_tokens", "tree"])
+    def start():
+        own = counter(*vocabulary)
 
-    return docs.mapInArrow(run, StructType([*keep, StructField("n_tokens", LongType()), StructField("tree", TREE)]))
+        def make(texts: pa.Array) -> list[pa.Array]:
+            trees = [SegmentTree.of_text(t.as_py() or "", own) for t in texts]
+            return [pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.row() for t in trees], _TREE_ARROW)]
+
+        return make
+
+    return add_columns(docs, [text_col], [StructField("n_tokens", LongType()), StructField("tree", TREE)], start, rows=PIECE)
 
 
 def apply_edits(docs: DataFrame, edits_col: str, vocabulary: tuple[str, str], text_col: str = "text", with_state: bool = True) -> DataFrame:
@@ -210,20 +211,19 @@ def apply_edits(docs: DataFrame, edits_col: str, vocabulary: tuple[str, str], te
 
     ``docs`` has the text, its ``tree``, and an array of edits (at, removed, inserted), done in turn, each
     on the text that the last left; places past the end mean the end, nulls mean 0 or nothing. Null
-    edits are none. ``with_state=False`` leaves out text and tree.
+    edits are none, a null text is empty, a null tree is made from the text. ``with_state=False`` leaves
+    out text and tree. Columns named n_tokens or n_encoded are replaced. An edit costs as much as the
+    leaves it touches, however long the text. Repeated rows are each edited; an empty table gives an empty table.
     """
-    docs = docs.withColumns({"__text": docs[text_col], "__tree": docs["tree"], "__edits": docs[edits_col].cast(ArrayType(EDIT))})
-    docs = without(docs, [text_col, "tree", "n_tokens", "n_encoded", edits_col])
-    keep = [f for f in docs.schema.fields if not f.name.startswith("__")]
-    extra = [StructField("n_tokens", LongType()), StructField("n_encoded", LongType())]
-    extra += [StructField(text_col, StringType()), StructField("tree", TREE)] if with_state else []
-    path, pattern = vocabulary
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path, pattern)
-        for batch in slices(batches, 128):
+    fields = [StructField("n_tokens", LongType()), StructField("n_encoded", LongType())]
+    fields += [StructField(text_col, StringType()), StructField("tree", TREE)] if with_state else []
+
+    def start():
+        own = counter(*vocabulary)
+
+        def make(texts: pa.Array, trees: pa.Array, all_edits: pa.Array) -> list[pa.Array]:
             made: list[list] = [[], [], [], []]
-            for text, tree, edits in zip(batch.column("__text"), batch.column("__tree"), batch.column("__edits"), strict=True):
+            for text, tree, edits in zip(texts, trees, all_edits, strict=True):
                 text, edits = text.as_py() or "", edits.as_py() or []
                 own_tree = SegmentTree.of_row(tree.as_py()) if tree.is_valid else SegmentTree.of_text(text, own)
                 fresh = 0
@@ -233,11 +233,13 @@ def apply_edits(docs: DataFrame, edits_col: str, vocabulary: tuple[str, str], te
                         fresh += n
                 for values, x in zip(made, (own_tree.tokens, fresh, text, own_tree.row() if with_state else None), strict=True):
                     values.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), _TREE_ARROW][: len(extra)]
-            arrays = [pa.array(v, k) for v, k in zip(made, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *arrays], names=[*(f.name for f in keep), *(f.name for f in extra)])
+            kinds = [pa.int64(), pa.int64(), pa.string(), _TREE_ARROW][: len(fields)]
+            return [pa.array(v, k) for v, k in zip(made, kinds, strict=False)]
+
+        return make
 
-    return docs.mapInArrow(run, StructType([*keep, *extra]))
+    docs = docs.withColumn(edits_col, docs[edits_col].cast(ArrayType(EDIT)))
+    return add_columns(docs, [text_col, "tree", edits_col], fields, start, drop=[text_col, "tree", edits_col], rows=PIECE)
 
 
 def standard_edits(row_id: Column, text: Column) -> Column:

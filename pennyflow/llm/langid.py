@@ -6,7 +6,8 @@ with a penalty for every switch, labels spans of one language. A text's language
 labels most of its letters, and the score is that share.
 
 Training counts n-grams of labelled rows in Spark tasks, a row of counts for each language and bucket;
-prediction is one narrow pass: no shuffle, memory bounded by a chunk of texts.
+prediction is one narrow pass: no shuffle, memory bounded by the model and a chunk of texts. A model takes
+a quarter of a megabyte for each language, on the driver and in each task, however many languages there are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import release, slices, table, without
+from .common import add_columns, pieces, table
 
 #: First and last code point of the ranges of scripts (fixed values of the Unicode standard); all other letters are "other".
 SCRIPTS = (
@@ -57,12 +58,12 @@ BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 #: Labelled rows of each language that training reads, in expectation, chosen by a hash of the id.
 TRAIN_ROWS = 4_000
-MOST_LANGUAGES = 200
 #: What a switch of language costs, in nats, and the weight of a gram in a word's score.
 PENALTY, GRAM_WEIGHT = 8.0, 0.5
 #: A language uses a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.01
-CHUNK_CHARS, KEEP_WORDS = 1 << 20, 150_000
+#: Characters and texts worked on together, and words whose scores a task keeps: so many, with so many scores in all.
+CHUNK_CHARS, PIECE, KEEP_WORDS, KEEP_SCORES = 1 << 20, 4096, 150_000, 4_000_000
 UNKNOWN = "und"
 WORDS = regex.compile(r"\p{L}+")
 OUTPUTS = {
@@ -121,41 +122,47 @@ class Model:
         return out
 
 
+def words_of(text: str) -> list[str]:
+    """The text's runs of letters, each lower-cased by itself, so that they stay as many as in the text."""
+    return list(map(str.lower, WORDS.findall(text)))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Learns from about ``rows`` rows of each language, whole texts; rows with null text or language are passed over.
 
-    The counts that reach the driver are at most a number for each bucket and language.
+    Any number of languages is learned. The counts that reach the driver are at most a number for each
+    bucket and language, as is the model itself. Without a labelled row the model has no languages.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     langs = tuple(sorted(sizes))
     if not langs:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool), 0)
-    place = F.coalesce(*[F.when(F.col("lang") == name, F.lit(k)) for k, name in enumerate(langs)])
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, rows / sizes[name]))) for name in langs])
+    shares = docs.sparkSession.createDataFrame([(name, k, min(1.0, rows / sizes[name])) for k, name in enumerate(langs)], "lang string, place int, share double")
     drawn = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = docs.where(drawn < share).select(place.alias("lang"), "text")
+    # As many rows as languages, of which the model holds far more.
+    sample = docs.join(F.broadcast(shares), "lang").where(drawn < F.col("share")).select(F.col("place").alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)), np.int64)
-        for batch in batches:
+        totals: dict[int, np.ndarray] = {}
+        for batch in (p for b in batches for p in pieces(b, [1])):
             for k, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                words = WORDS.findall(text.as_py().lower())
+                own = totals.setdefault(k, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
+                words = words_of(text.as_py())
                 for start in range(0, len(words), 1 << 16):
                     part = words[start : start + (1 << 16)]
                     buckets, _, scripts = word_grams(part)
-                    totals[k, :BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
-                    totals[k, BUCKETS:] += np.bincount(scripts, [len(w) for w in part], len(SCRIPT_NAMES)).astype(np.int64)
-        k, b = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(totals[k, b])], names=["lang", "bucket", "n"])
+                    own[:BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
+                    own[BUCKETS:] += np.bincount(scripts, [len(w) for w in part], len(SCRIPT_NAMES)).astype(np.int64)
+        for k, own in totals.items():
+            held = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), k), pa.int32()), pa.array(held, pa.int32()), pa.array(own[held])], names=["lang", "bucket", "n"])
 
     found = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
+    counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)), np.float32)
     counts[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
-    grams, letters = counts[:, :BUCKETS] + 0.5, counts[:, BUCKETS:]
-    logs = np.log(grams / grams.sum(axis=1, keepdims=True))
+    grams, letters = counts[:, :BUCKETS] + np.float32(0.5), counts[:, BUCKETS:]
+    logs = np.log(grams / grams.sum(axis=1, keepdims=True, dtype=np.float64))
     shares = letters / np.maximum(1, letters.sum(axis=1, keepdims=True))
     common = max(range(len(langs)), key=lambda k: (sizes[langs[k]], -k))
     return Model(langs, np.ascontiguousarray(logs.T.astype(np.float32)), (shares >= SCRIPT_SHARE).T, common)
@@ -169,8 +176,9 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     order = np.argsort(-sizes, kind="stable")
     sizes, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
     n_labels = scores.shape[1]
-    labels, back = np.zeros(len(scores), np.int16), np.zeros(scores.shape, np.int16)
-    own = np.arange(n_labels, dtype=np.int16)
+    kind = np.int16 if n_labels < 1 << 15 else np.int32
+    labels, back = np.zeros(len(scores), kind), np.zeros(scores.shape, kind)
+    own = np.arange(n_labels, dtype=kind)
     state = np.zeros((len(sizes), n_labels), np.float32)
     active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1 if len(sizes) else 1), "right")
     for t, n in enumerate(active.tolist()):
@@ -182,7 +190,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
             back[at] = np.where(stay, own, top[:, None])
             now = np.where(stay, now, switched[:, None])
         state[:n] = now + scores[at]
-    last = state.argmax(axis=1).astype(np.int16)
+    last = state.argmax(axis=1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         n = int(active[t])
         at = starts[:n] + t
@@ -192,31 +200,31 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     return labels
 
 
-def identify(docs: DataFrame, model: Model, outputs: Iterable[str] = ("lang_pred", "score"), text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """Every row of ``docs`` with the wanted ``OUTPUTS`` columns; columns named as one of them are dropped.
+def identify(
+    docs: DataFrame, model: Model, outputs: Iterable[str] = ("lang_pred", "score"), text_col: str = "text", penalty: float = PENALTY, drop: Sequence[str] = ()
+) -> DataFrame:
+    """Every row of ``docs`` with the wanted ``OUTPUTS`` columns; columns named as one of them, or in ``drop``, go.
 
     ``lang_pred`` is the language of most letters (the first by name of equals), ``und`` for null
     texts, texts without a letter, or a model without languages; their score is 0 and they have no
     spans. Words in a script that no language uses follow their neighbours. Spans are character
-    ranges, end exclusive, in order. Repeated rows are each labelled; an empty table gives an empty table.
+    ranges of the text, end exclusive, in order. Texts of any length are labelled whole, repeated rows
+    each; an empty table gives an empty table.
     """
     wanted = list(outputs)
     if unknown := set(wanted) - set(OUTPUTS):
         raise ValueError(f"unknown outputs {sorted(unknown)}")
-    docs = without(docs.withColumn("__text", docs[text_col]), wanted)
-    keep = [f for f in docs.schema.fields if f.name != "__text"]
-    schema = StructType([*keep, *(StructField(n, OUTPUTS[n]) for n in wanted)])
     held = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {"lang_pred": pa.string(), "score": pa.float64(), "n_spans": pa.int32(), "spans": pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = held.value
         known: dict[str, int] = {}
         table_: np.ndarray = np.zeros((0, len(own.langs)), np.float32)
 
         def ids_of(words: list[str]) -> np.ndarray:
             nonlocal table_
-            if len(known) > KEEP_WORDS:
+            if len(known) > min(KEEP_WORDS, KEEP_SCORES // max(1, len(own.langs))):
                 known.clear()
                 table_ = table_[:0]
             new = [w for w in dict.fromkeys(words) if w not in known]
@@ -227,11 +235,11 @@ def identify(docs: DataFrame, model: Model, outputs: Iterable[str] = ("lang_pred
             return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
         def labelled(texts: list[str]) -> Iterator[dict]:
-            per_text = [WORDS.findall(t.lower()) if own.langs else [] for t in texts]
+            per_text = [words_of(t) if own.langs else [] for t in texts]
             sizes = np.fromiter(map(len, per_text), np.int64, len(per_text))
             words = [w for ws in per_text for w in ws]
             letters = np.fromiter(map(len, words), np.int64, len(words))
-            labels = viterbi(table_[ids], sizes, penalty) if len(ids := ids_of(words)) else np.zeros(0, np.int16)
+            labels = viterbi(table_[ids], sizes, penalty) if len(ids := ids_of(words)) else np.zeros(0, np.int64)
             at = 0
             for text, n in zip(texts, sizes.tolist(), strict=True):
                 if not n:
@@ -245,10 +253,7 @@ def identify(docs: DataFrame, model: Model, outputs: Iterable[str] = ("lang_pred
                 row = {"lang_pred": own.langs[best], "score": float(sums[best] / sums.sum()), "n_spans": len(edges) - 1}
                 if "spans" in wanted:
                     places = [m.span() for m in WORDS.finditer(text)]
-                    if len(places) == n:
-                        row["spans"] = [{"lang": own.langs[mine[a]], "start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edges, edges[1:], strict=False)]
-                    else:  # lower-casing joined or split words of this text
-                        row["spans"] = [{"lang": own.langs[best], "start": places[0][0], "end": places[-1][1]}]
+                    row["spans"] = [{"lang": own.langs[mine[a]], "start": places[a][0], "end": places[b - 1][1]} for a, b in zip(edges, edges[1:], strict=False)]
                 yield row
 
         def chunks(texts: list[str | None]) -> Iterator[dict]:
@@ -262,15 +267,13 @@ def identify(docs: DataFrame, model: Model, outputs: Iterable[str] = ("lang_pred
             if held_texts:
                 yield from labelled(held_texts)
 
-        for batch in slices(batches, 4096):
-            rows = list(chunks(batch.column("__text").to_pylist()))
-            made = [pa.array([r[n] for r in rows], kinds[n]) for n in wanted]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names=[f.name for f in schema.fields])
-        known.clear()
-        table_ = np.zeros((0, 0), np.float32)
-        release()
+        def make(texts: pa.Array) -> list[pa.Array]:
+            rows = list(chunks(texts.to_pylist()))
+            return [pa.array([r[n] for r in rows], kinds[n]) for n in wanted]
+
+        return make
 
-    return docs.mapInArrow(run, schema)
+    return add_columns(docs, [text_col], [StructField(n, OUTPUTS[n]) for n in wanted], start, drop, rows=PIECE)
 
 
 def held_out(row_id: Column) -> Column:
@@ -279,7 +282,8 @@ def held_out(row_id: Column) -> Column:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, its share of the letters and its spans, by a model of the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    out = identify(docs.select("doc_id", "text"), model, ("lang_pred", "score", "n_spans"))
+    out = identify(docs.select("doc_id", "text"), model, ("lang_pred", "score", "n_spans"), drop=["text"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")

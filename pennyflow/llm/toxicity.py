@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import release, slices, stored, table, without
+from .common import add_columns, pieces, stored, table
 
 #: Labelled rows of each class that training reads, in expectation.
 TRAIN_ROWS = 6_000
@@ -119,7 +119,7 @@ def choose_words(sample: DataFrame) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, long = (Counter(), Counter()), 0
-        for batch in slices(batches):
+        for batch in (p for b in batches for p in pieces(b, [0])):
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
                 for m in SENTENCE.finditer(text.as_py()):
                     words = set(WORD.findall(m.group().lower()))
@@ -164,7 +164,7 @@ def train(
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(numbers.value)
-        for batch in slices(batches):
+        for batch in (p for b in batches for p in pieces(b, [0])):
             out = [[sorted(known.known[f] for f in found) for _, _, found in known.sentences(t.as_py())] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column("label")], names=["bags", "label"])
 
@@ -204,30 +204,28 @@ def _gradient(at: np.ndarray, weight: dict[int, float]):
     return run
 
 
-def score_texts(docs: DataFrame, model: Model, outputs: Iterable[str] = ("score", "predicted"), text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with the wanted ``OUTPUTS`` columns; columns named as one of them are dropped.
+def score_texts(docs: DataFrame, model: Model, outputs: Iterable[str] = ("score", "predicted"), text_col: str = "text", drop: Sequence[str] = ()) -> DataFrame:
+    """Every row of ``docs`` with the wanted ``OUTPUTS`` columns; columns named as one of them, or in ``drop``, go.
 
     ``score`` is the noisy-or of the sentences; texts that are null, empty or hold no known word score
     0. ``predicted`` is 1 from 0.5 on. ``offending`` lists the sentences whose own probability is at
     least ``OFFENDING``, as character ranges, end exclusive; worst_start and worst_end are those of the
-    likeliest sentence (the first of equals), null if no sentence holds a known word. Repeated rows
-    are each scored; an empty table gives an empty table.
+    likeliest sentence (the first of equals), null if no sentence holds a known word. Texts of any length
+    are scored whole, repeated rows each; an empty table gives an empty table.
     """
     wanted = list(outputs)
     if unknown := set(wanted) - set(OUTPUTS):
         raise ValueError(f"unknown outputs {sorted(unknown)}")
-    docs = without(docs.withColumn("__text", docs[text_col]), wanted)
-    keep = [f for f in docs.schema.fields if f.name != "__text"]
-    schema = StructType([*keep, *(StructField(n, OUTPUTS[n]) for n in wanted)])
     held = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {"score": pa.float64(), "offending": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = held.value
         known = Known(own.weights)
-        for batch in slices(batches):
+
+        def make(texts: pa.Array) -> list[pa.Array]:
             rows = []
-            for text in batch.column("__text"):
+            for text in texts:
                 found = list(known.sentences(text.as_py() or ""))
                 logits = np.array([own.bias + sum(map(own.weights.__getitem__, sorted(f))) for _, _, f in found])
                 score = noisy_or(logits) if found else 0.0
@@ -238,12 +236,11 @@ def score_texts(docs: DataFrame, model: Model, outputs: Iterable[str] = ("score"
                     row["offending"] = [{"start": a, "end": b, "score": float(p)} for (a, b, _), p in zip(found, each, strict=True) if p >= OFFENDING]
                     row["n_offending"] = len(row["offending"])
                 rows.append(row)
-            made = [pa.array([r[n] for r in rows], kinds.get(n, pa.int32())) for n in wanted]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names=[f.name for f in schema.fields])
-        known.clear()
-        release()
+            return [pa.array([r[n] for r in rows], kinds.get(n, pa.int32())) for n in wanted]
+
+        return make
 
-    return docs.mapInArrow(run, schema)
+    return add_columns(docs, [text_col], [StructField(n, OUTPUTS[n]) for n in wanted], start, drop)
 
 
 def held_out(row_id: Column) -> Column:
@@ -252,8 +249,9 @@ def held_out(row_id: Column) -> Column:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score, prediction and worst sentence, by a model of the labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     model = train(docs, labels)
-    out = score_texts(docs, model, ("score", "predicted", "n_offending", "worst_start", "worst_end"))
-    return out.withColumn("held_out", held_out(F.col("doc_id"))).drop("text")
+    out = score_texts(docs, model, ("score", "predicted", "n_offending", "worst_start", "worst_end"), drop=["text"])
+    return out.withColumn("held_out", held_out(F.col("doc_id")))
