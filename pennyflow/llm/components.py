@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import dropped, stored
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Every node of ``links`` (long columns a, b) with ``component``, the smallest node it reaches.
+    """A stored table of every node of ``links`` (long columns a, b) with ``component``, the smallest node it reaches.
 
     Each round joins every node's larger neighbours, then its smaller ones, to the smallest of them.
     The rounds needed grow with the logarithm of the longest chain; links that are stars already
@@ -19,17 +19,20 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = cut(edges), None
+    edges, before = stored(edges), None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(moved.unionByName(lowest.withColumnRenamed("m", "b")).distinct())
+        last, edges = edges, stored(moved.unionByName(lowest.withColumnRenamed("m", "b")).distinct())
+        dropped(last)
         now = edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.withColumnsRenamed({"a": "node", "b": "component"})
-            return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            found = stored(nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+            dropped(edges)
+            return found
         before = now
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
