@@ -5,7 +5,7 @@ rate, and a document is emitted floor(rate) times plus one copy with probability
 drawn by a hash of its id. All of it is DataFrame expressions.
 
 Shape at scale: one aggregation to a row for each source (map-side combined, so a hot source is one
-row of each task), then a join of the documents with that small table. The table is broadcast only
+row of each task), sources ranked in ranges that are put behind each other, then a join of the documents with that small table. The table is broadcast only
 when it is counted to be small; otherwise the join is left to Spark, which splits skewed keys.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, table, without
+from .common import WORD_PATTERN, column, cut, free_name, table, without
 
 #: Source tables of at most so many rows are broadcast; a row takes under 200 bytes.
 BROADCAST_SOURCES = 20_000
@@ -33,6 +33,28 @@ def hash_unit(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def running(rows: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_at``, their number in the order from 1, and ``_before_<c>`` and ``_all_<c>``, the sums of the rows before and of all.
+
+    Rows are dealt into ranges of the order, which are numbered and summed by themselves and then put
+    behind each other, so that no task holds all rows. The frame is stored once, as ranges are drawn by sampling.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    each = dealt.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges, which are bounded by the shuffle partitions
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    each = each.select(
+        "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"),
+        *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums], *[F.sum(f"_s_{c}").over(every).alias(f"_all_{c}") for c in sums],
+    )
+    within = Window.partitionBy("_range").orderBy(*order)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(each), "_range").withColumn("_at", F.col("_n") + F.row_number().over(within))
+    for c in sums:
+        out = out.withColumn(f"_before_{c}", F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0)))
+    return out.drop("_range", "_n", *[f"_s_{c}" for c in sums])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """Target and rate of each source.
 
@@ -40,27 +62,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     turn. All targets sum to all sizes; a target stops at ``cap`` times its source's size and the
     excess is shared among the others by weight until none is above. A source without words has
     target and rate 0. Returns source, source_size, weight, target, rate: one row for each source.
+    Any number of sources is ranked, range by range.
     """
     known = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights) + 1
-    ranked = known.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int")))
+    name = F.col("source").asc_nulls_last()
+    ranked = running(known, [name], [])
+    turn = (F.col("_at") - 1) % len(weights) + 1
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int"))).drop("_at")
     # Sources by the level at which they fill up: those before the first that doesn't are at their cap.
-    ranked = ranked.withColumn("__full", F.lit(float(cap)) * F.col("source_size"))
-    ranked = ranked.withColumn("__level", F.col("__full") / F.col("weight"))
-    by_level = Window.orderBy("__level", F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    all_rows = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.withColumn(
-        "__share",
-        (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("__full").over(before), F.lit(0.0))) / F.sum("weight").over(rest),
-    ).withColumn("__at", F.row_number().over(by_level))
-    fits = F.when(F.col("__share") <= F.col("__level"), F.col("__at"))
-    ranked = ranked.withColumn("__share", F.min_by("__share", fits).over(all_rows))
-    target = F.least(F.col("__full"), F.coalesce(F.col("__share") * F.col("weight"), F.col("__full")))
+    ranked = ranked.withColumn("full", F.lit(float(cap)) * F.col("source_size")).withColumn("level", F.col("full") / F.col("weight"))
+    ranked = cut(running(ranked, [F.col("level").asc(), name], ["source_size", "full", "weight"]))
+    share = (F.col("_all_source_size") - F.col("_before_full")) / (F.col("_all_weight") - F.col("_before_weight"))
+    ranked = ranked.withColumn("share", share)
+    first = ranked.where(F.col("share") <= F.col("level")).agg(F.min_by("share", "_at").alias("first"))
+    target = F.least(F.col("full"), F.coalesce(F.col("first") * F.col("weight"), F.col("full")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return ranked.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "weight", "target", "rate")
+    return ranked.crossJoin(F.broadcast(first)).withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "weight", "target", "rate")
 
 
 def plan_mix(
@@ -74,32 +91,38 @@ def plan_mix(
 ) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, rate and copies.
 
-    Null text has size 0; null is a source of its own; a null id is hashed as an empty one. Repeated
-    rows count each and, having one id, are copied alike. Columns of ``docs`` that are named as an
-    output are dropped. An empty table gives an empty table.
+    Null text has size 0, and so has one without words; texts of any length count whole. Null is a source
+    of its own; a null id is hashed as an empty one. Repeated rows count each and, having one id, are copied
+    alike. Columns of ``docs`` that are named as an output are dropped, all others stay. An empty table gives an empty table.
     """
     out = ("size", "source_size", "target", "rate", "copies")
-    docs = docs.withColumn("__size", word_count(F.col(text_col))).withColumn("__source", F.col(source_col))
-    targets = source_targets(docs.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, cap)
-    targets = cut(targets.withColumnRenamed("source", "__key").drop("weight"))
+    size, source, key = (free_name(docs, x) for x in ("_words", "_source", "_key"))
+    sized = docs.withColumn(size, word_count(column(text_col))).withColumn(source, column(source_col))
+    targets = source_targets(sized.select(F.col(source).alias("source"), F.col(size).alias("size")), weights, cap)
+    targets = cut(targets.withColumnRenamed("source", key).drop("weight"))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    keep = [c for c in docs.columns if c.lower() not in out and not c.startswith("__")]
-    joined = without(docs, out).join(targets, F.col("__source").eqNullSafe(F.col("__key")))
-    extra = F.when(hash_unit(F.col(id_col), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.select(
-        *[f"`{c}`" for c in keep], F.col("__size").alias("size"), "source_size", "target", "rate",
-        (F.floor("rate") + extra).cast("long").alias("copies"),
-    )
+    extra = F.when(hash_unit(column(id_col), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = (F.floor("rate") + extra).cast("long").alias("copies")
+    kept = [column(c) for c in docs.columns if c.lower() not in out]
+    hidden = {c: free_name(sized, f"_{c}") for c in sized.columns if c.lower() in out}
+    joined = sized.withColumnsRenamed(hidden).join(targets, F.col(source).eqNullSafe(F.col(key)))
+    if id_col in hidden:
+        raise ValueError(f"the id can't be named {id_col}")
+    return joined.select(*kept, F.col(size).alias("size"), "source_size", "target", "rate", copies)
 
 
 def emit_copies(planned: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as ``copies`` says, numbered from 1 in ``copy``; rows with 0 copies go."""
+    """The mix itself: each row as often as ``copies`` says, numbered from 1 in ``copy``; rows with 0 or null copies go.
+
+    Repeated rows are each emitted; a column named ``copy`` is replaced, others stay, null or long as they are. An empty table gives an empty table.
+    """
     planned = without(planned, ["copy"]).where("copies > 0")
     return planned.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
 
 def op2_mixing(spark, sf_dir):
+    """Each document's size, its source's size and target, and the words that the mix takes from it."""
     planned = plan_mix(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
