@@ -1,7 +1,7 @@
 """URL filters over a sorted digest array.
 
 Every rule (host, path) becomes the 64-bit xxhash of ``host + path``. The digests, sorted, and the
-rules' strings beside them go to a file that Spark hands to each executor; tasks memory-map it, so
+rules' strings beside them go to a file in the shared folder, which Spark hands to each executor; tasks memory-map it, so
 that a list of any length costs no heap and its pages are shared by the workers of a machine. A url
 is probed with each of its host's suffixes joined with each prefix of its path that is as long as
 some rule's path, in one vectorised binary search for a batch of urls; a digest that is found is
@@ -12,10 +12,6 @@ No shuffle; the probes of a url are bounded by its labels times the distinct len
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -25,10 +21,12 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField
 
-from .common import table, without
+from .common import add_columns, column, ensure_shared_dir, table
 
+#: Urls probed together.
+PIECE = 10_000
 #: (verdict, host, path) of the rules that the query applies.
 RULES = (
     ("allow", "org", "/"),
@@ -50,11 +48,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def write_digests(rules: Iterable[tuple[str, str, str]], folder: str, name: str) -> str:
-    """Writes the sorted digest array, offsets and strings of the rules; returns the file's path.
+def digest_bytes(rules: Iterable[tuple[str, str, str]]) -> Iterator[bytes]:
+    """The file of the rules' sorted digests, piece by piece.
 
-    Layout: count, string bytes (two 64-bit numbers), digests, offsets (count + 1), verdicts (0 allow,
-    1 block, as 64-bit), then the strings ``host + path`` in UTF-8. A rule given twice counts as its first.
+    Layout: count and number of distinct path lengths (two 64-bit numbers), the lengths, digests, offsets
+    (count + 1), verdicts (0 allow, 1 block, as 64-bit), then the strings ``host + path`` in UTF-8. A rule
+    given twice counts as its first.
     """
     first: dict[str, tuple[int, int]] = {}
     for verdict, host, path in rules:
@@ -66,15 +65,29 @@ def write_digests(rules: Iterable[tuple[str, str, str]], folder: str, name: str)
     offsets = np.zeros(len(keys) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=offsets[1:])
     lengths = np.array(sorted({n for _, n in first.values()}), np.int64)
-    path = os.path.join(folder, name)
-    with open(path, "wb") as out:
-        out.write(np.array([len(keys), len(lengths)], np.int64).tobytes())
-        out.write(lengths.tobytes())
-        out.write(np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).tobytes())
-        out.write(offsets.tobytes())
-        out.write(np.array([first[k][0] for k in keys], np.int64).tobytes())
-        out.write(b"".join(raw))
-    return path
+    yield np.array([len(keys), len(lengths)], np.int64).tobytes()
+    yield lengths.tobytes()
+    yield np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).tobytes()
+    yield offsets.tobytes()
+    yield np.array([first[k][0] for k in keys], np.int64).tobytes()
+    for at in range(0, len(raw), 1 << 16):
+        yield b"".join(raw[at : at + (1 << 16)])
+
+
+def share_digests(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
+    """Writes the rules' file into the shared folder and has Spark hand it to every executor that runs a task; returns its name there."""
+    name = f"digests-{uuid.uuid4().hex}.bin"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_shared_dir(spark).rstrip('/')}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    try:
+        for part in digest_bytes(rules):
+            for at in range(0, len(part), 4 << 20):
+                out.write(bytearray(part[at : at + (4 << 20)]))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(fs.makeQualified(path).toString())
+    return name
 
 
 class DigestArray:
@@ -137,33 +150,29 @@ def filter_urls(
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest rule
     decides, and ``default`` where none fits. Null urls and urls without ``://`` have an empty host
-    and path, which no rule fits. Repeated rows are each judged. Columns of ``pages`` that are named
-    as an output are dropped. The rule list is read once, on the driver, and never held by a task.
+    and path, which no rule fits; a url of any length is judged whole. Repeated rows are each judged.
+    Columns of ``pages`` that are named as an output are dropped, all others stay; an empty table gives an
+    empty table. The rule list is read once, on the driver, and never held by a task.
     """
-    spark = pages.sparkSession
-    folder = tempfile.mkdtemp(prefix="digests-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    spark.sparkContext.addFile(write_digests(rules, folder, name))
+    name = share_digests(pages.sparkSession, rules)
+    kept = [column(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    url = column(url_col)
+    pages = pages.select(*kept, host_of(url).alias("host"), path_of(url).alias("path"))
 
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    pages = pages.withColumn("__host", host).withColumn("__path", path)
-    pages = without(pages, ["host", "path", "rule", "verdict"]).withColumnsRenamed({"__host": "host", "__path": "path"})
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         digests = DigestArray(SparkFiles.get(name))
-        for batch in batches:
-            texts, verdicts = judge(digests, batch.column("host").to_pylist(), batch.column("path").to_pylist(), default)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string()), pa.array(verdicts, pa.string())],
-                names=[*batch.schema.names, "rule", "verdict"],
-            )
 
-    schema = StructType([*pages.schema.fields, StructField("rule", StringType()), StructField("verdict", StringType())])
-    return pages.mapInArrow(probe, schema)
+        def make(hosts: pa.Array, paths: pa.Array) -> list[pa.Array]:
+            texts, verdicts = judge(digests, hosts.to_pylist(), paths.to_pylist(), default)
+            return [pa.array(texts, pa.string()), pa.array(verdicts, pa.string())]
+
+        return make
+
+    return add_columns(pages, ["host", "path"], [StructField("rule", StringType()), StructField("verdict", StringType())], start, rows=PIECE)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host and path, the rule that decides, and its verdict."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
