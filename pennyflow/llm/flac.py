@@ -6,7 +6,8 @@ streams are decoded side by side: a step takes the next sample of every frame, s
 by whole-array operations whatever the number of streams. The encoder makes such streams from raw
 8-bit samples: per frame the better of four linear predictors, each with its best Rice parameter, or verbatim.
 
-Both are narrow passes: no shuffle, memory bounded by a batch of streams.
+Both are narrow passes: no shuffle, memory bounded by a piece of streams. Blocks are a column that a
+table keeps; ``pcm_range`` reads samples out of it by the blocks that hold them.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import slices, table, without
+from .common import add_columns, stored, table
 
 #: Samples of an encoded frame, and the rate that the streams name.
 BLOCK, RATE = 1024, 8000
@@ -32,8 +33,8 @@ BLOCK_SIZES = {1: 192, **{k: 576 << (k - 2) for k in range(2, 6)}, **{k: 256 <<
 SAMPLE_SIZES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 RATE_BYTES = {12: 1, 13: 2, 14: 2}
 FIXED_COEFFICIENTS = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
-#: A batch of streams is worked on in pieces of about so many bytes.
-CHUNK_BYTES = 1 << 20
+#: Streams are worked on together up to about so many bytes, and rows.
+CHUNK_BYTES, PIECE = 1 << 20, 2048
 
 
 def _crc_table(poly: int, bits: int, length: int) -> np.ndarray:
@@ -111,7 +112,7 @@ def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, size: int) -> None
 def encode(payloads: Sequence[bytes]) -> list[bytes]:
     """A stream for each payload of unsigned 8-bit samples, with a seek point for every frame."""
     sizes = np.array([len(p) for p in payloads])
-    x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64) - 128
+    x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128  # products with the coefficients and sums of a frame stay below 2**31
     bounds = np.concatenate([np.arange(a, a + n, BLOCK) for a, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
     n_frames = len(bounds)
     counts = -(-sizes // BLOCK)
@@ -134,7 +135,7 @@ def encode(payloads: Sequence[bytes]) -> list[bytes]:
             if w:
                 predicted[j:] += w * x[:-j]
         residual = x - (predicted >> down)
-        u = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
+        u = (residual << 1) ^ (residual >> 31)
         u[place < order] = 0
         zigzags.append(u)
         header = 8 + 8 * order + (0 if not order else 4 + 5 + 12 * order) + 6 + 4
@@ -181,7 +182,7 @@ def encode(payloads: Sequence[bytes]) -> list[bytes]:
         at = at + 10
         own = np.flatnonzero((best[frame_of] == c) & (place >= order))
         k = best_k[frame_of[own]]
-        u = zigzags[c][own]
+        u = zigzags[c][own].astype(np.int64)
         high = u >> k
         sizes_ = high + 1 + k
         run = np.cumsum(sizes_) - sizes_
@@ -401,7 +402,6 @@ def decode_subframes(source: Bits, at: np.ndarray, size: np.ndarray, bits: np.nd
         return out << wasted, at
     order, p, b, sz = order[own], at[own], bits[own], size[own]
     width = int(order.max())
-    history = np.zeros((width, len(own)), np.int64)  # newest first, once predicting
     warm = np.zeros((width, len(own)), np.int64)
     for j in range(width):
         has = order > j
@@ -432,6 +432,7 @@ def decode_subframes(source: Bits, at: np.ndarray, size: np.ndarray, bits: np.nd
     # Residuals: longest frames first, so that a step works on the frames that still have samples.
     turn = np.argsort(-sz, kind="stable")
     order, p, sz, part, parameter_bits, k, raw = order[turn], p[turn], sz[turn], part[turn], parameter_bits[turn], k[turn], raw[turn]
+    shift, mask = np.full(len(own), 63, np.uint64), np.zeros(len(own), np.int64)
     residual = np.zeros((most, len(own)), np.int64)
     active = np.searchsorted(-sz, -np.arange(1, most + 1), "right")
     least_part, some_escape = int(part.min()), False
@@ -445,6 +446,7 @@ def decode_subframes(source: Bits, at: np.ndarray, size: np.ndarray, bits: np.nd
                 q[starts] += parameter_bits[starts]
                 escape = got == (1 << parameter_bits[starts]) - 1
                 k[starts], raw[starts] = np.where(escape, 0, got), -1
+                shift[starts], mask[starts] = np.minimum(64 - k[starts], 63), (np.int64(1) << k[starts]) - 1
                 if escape.any():
                     some_escape, e = True, starts[escape]
                     raw[e] = source.read(q[e], 5)
@@ -452,10 +454,15 @@ def decode_subframes(source: Bits, at: np.ndarray, size: np.ndarray, bits: np.nd
         late = i < width
         go = np.arange(a) if not late and not some_escape else np.flatnonzero((order[:a] <= i) & (raw[:a] < 0))
         if len(go) == a:
-            high = source.unary(q)
-            q += high + 1
-            u = high << k[:a] | source.read(q, k[:a])
-            q += k[:a]
+            window = source.window(q)
+            high = source.zeros[(window >> np.uint64(48)).astype(np.int64)]
+            if high.max() < 16:  # then the low bits are in the same window
+                window = window << (high + 1).astype(np.uint64)
+            else:
+                high = source.unary(q)
+                window = source.window(q + high + 1)
+            u = high << k[:a] | (window >> shift[:a]).astype(np.int64) & mask[:a]
+            q += high + 1 + k[:a]
             residual[i, :a] = (u >> 1) ^ -(u & 1)
         elif len(go):
             high = source.unary(q[go])
@@ -472,17 +479,16 @@ def decode_subframes(source: Bits, at: np.ndarray, size: np.ndarray, bits: np.nd
 
     # Prediction, a sample of every frame at a time.
     warm, coefficients, down = warm[:, turn], coefficients[:, turn], down[turn]
-    made = np.zeros((most, len(own)), np.int64)
-    for i in range(most):
+    made = residual
+    for i in range(most if width else 0):
         a = int(active[i])
-        now = residual[i, :a]
-        if width:
-            now = now + ((coefficients[:, :a] * history[:, :a]).sum(axis=0) >> down[:a])
-            if i < width:
-                now = np.where(order[:a] > i, warm[i, :a], now)
-            history[1:, :a] = history[:-1, :a]
-            history[0, :a] = now
-        made[i, :a] = now
+        if i:
+            sums = coefficients[0, :a] * made[i - 1, :a]
+            for j in range(1, min(width, i)):
+                sums += coefficients[j, :a] * made[i - 1 - j, :a]
+            made[i, :a] += sums >> down[:a]
+        if i < width:
+            made[i, :a] = np.where(order[:a] > i, warm[i, :a], made[i, :a])
     out[:, own[turn]] = made
     at[own[turn]] = p
     return out << wasted, at
@@ -560,22 +566,22 @@ def padded(text: str | None) -> bytes:
     return raw + bytes(-len(raw) % 64 if raw else 64)
 
 
-def encode_column(df: DataFrame, payload_col: str, media_col: str = "media") -> DataFrame:
+def encode_column(df: DataFrame, payload_col: str, media_col: str = "media", drop: Sequence[str] = ()) -> DataFrame:
     """Every row of ``df`` with the stream of its payload: binary as it is, strings padded as ``padded`` says.
 
-    A null binary payload is an empty one. A column named ``media_col`` is replaced; an empty table gives an empty table.
+    A null binary payload is an empty one; a payload of any length is one stream. Repeated rows are each
+    encoded, alike. A column named ``media_col`` is replaced, those in ``drop`` go; an empty table gives an empty table.
     """
     text = isinstance(df.schema[payload_col].dataType, StringType)
-    df = without(df.withColumn("__payload", df[payload_col]), [media_col])
-    keep = [f for f in df.schema.fields if f.name != "__payload"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            payloads = [padded(x) if text else x or b"" for x in batch.column("__payload").to_pylist()]
-            made = [m for part in chunked(payloads) for m in encode(part)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(made, pa.binary())], names=[*(f.name for f in keep), media_col])
+    def start():
+        def make(held: pa.Array) -> list[pa.Array]:
+            payloads = [padded(x) if text else x or b"" for x in held.to_pylist()]
+            return [pa.array([m for part in chunked(payloads) for m in encode(part)], pa.binary())]
+
+        return make
 
-    return df.mapInArrow(run, StructType([*keep, StructField(media_col, BinaryType())]))
+    return add_columns(df, [payload_col], [StructField(media_col, BinaryType())], start, drop, PIECE)
 
 
 #: Columns that ``decode_column`` can add.
@@ -591,20 +597,18 @@ OUTPUTS = {
 }
 
 
-def decode_column(df: DataFrame, media_col: str = "media", outputs: Iterable[str] = ("blocks",), tail: int = 64) -> DataFrame:
+def decode_column(df: DataFrame, media_col: str = "media", outputs: Iterable[str] = ("blocks",), tail: int = 64, drop: Sequence[str] = ()) -> DataFrame:
     """Every row of ``df`` with the wanted ``OUTPUTS``, from the decoded samples of its stream.
 
     ``blocks`` are PCM blocks in order, each with its first sample, so that a reader can seek; samples
     are little-endian and interleaved, 8-bit ones unsigned. The digests are of all blocks' bytes, the
     checksum of the last ``tail``; ``mean_abs`` and ``crossings`` (changes of sign) are of the first channel.
-    A null, damaged or foreign stream has nulls and its fault in ``error``. Columns named as an output are dropped.
+    A null, damaged or foreign stream has nulls and its fault in ``error``. Streams of any length are decoded
+    whole, repeated rows each. Columns named as an output, or in ``drop``, go; an empty table gives an empty table.
     """
     wanted = list(outputs)
     if unknown := set(wanted) - set(OUTPUTS):
         raise ValueError(f"unknown outputs {sorted(unknown)}")
-    df = without(df.withColumn("__media", df[media_col]), wanted)
-    keep = [f for f in df.schema.fields if f.name != "__media"]
-    schema = StructType([*keep, *(StructField(n, OUTPUTS[n]) for n in wanted)])
     block_kind = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())]))
     kinds = {"blocks": block_kind, "error": pa.string(), "payload_sha256": pa.string(), "mean_abs": pa.float64()}
 
@@ -614,8 +618,9 @@ def decode_column(df: DataFrame, media_col: str = "media", outputs: Iterable[str
         for _, b in blocks:
             flat = b.T.ravel()
             raws.append((flat + 128).astype(np.uint8).tobytes() if -128 <= flat.min() and flat.max() < 128 else flat.astype("<i4").tobytes())
-        whole = b"".join(raws)
-        row["payload_sha256"], row["tail_crc32"] = hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-tail:])
+        if "payload_sha256" in wanted or "tail_crc32" in wanted:
+            whole = b"".join(raws)
+            row["payload_sha256"], row["tail_crc32"] = hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-tail:])
         if "mean_abs" in wanted or "crossings" in wanted:
             first = np.concatenate([b[0] for _, b in blocks]) if blocks else np.zeros(0, np.int64)
             row["mean_abs"] = float(np.abs(first).sum() / max(1, len(first)))
@@ -638,20 +643,38 @@ def decode_column(df: DataFrame, media_col: str = "media", outputs: Iterable[str
             for d in decoded:
                 yield {"error": d} if isinstance(d, str) else features(d)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = list(all_decoded(batch.column("__media").to_pylist()))
-            made = [pa.array([r.get(n) for r in rows], kinds.get(n, pa.int64())) for n in wanted]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *made], names=[f.name for f in schema.fields])
+    def start():
+        def make(media: pa.Array) -> list[pa.Array]:
+            rows = list(all_decoded(media.to_pylist()))
+            return [pa.array([r.get(n) for r in rows], kinds.get(n, pa.int64())) for n in wanted]
+
+        return make
+
+    return add_columns(df, [media_col], [StructField(n, OUTPUTS[n]) for n in wanted], start, drop, PIECE)
+
+
+def pcm_bytes(blocks: Column) -> Column:
+    """The bytes of all blocks, one after the other; null for null."""
+    return F.unhex(F.array_join(F.transform(blocks, lambda b: F.hex(b["pcm"])), ""))
+
 
-    return df.mapInArrow(run, schema)
+def pcm_range(blocks: Column, first: Column, n: Column) -> Column:
+    """The ``n`` samples from ``first`` on of one channel of 8 bits, read from the blocks that hold any of them and no others."""
+    held = F.filter(blocks, lambda b: (b["first_sample"] < first + n) & (b["first_sample"] + b["n_samples"] > first))
+    skip = first - F.get(held, F.lit(0))["first_sample"]
+    return F.substring(pcm_bytes(held), (skip + 1).cast("int"), n.cast("int"))
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's payload as a FLAC stream, decoded to PCM blocks that are written as a table and read back, whole and by sample offset."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("n_bytes", F.coalesce(F.octet_length(F.encode("text", "UTF-8")), F.lit(0)).cast("long"))
-    media = encode_column(docs, "text").drop("text")
+    media = encode_column(docs, "text", drop=["text"])
     media = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    out = decode_column(media, "media", ("samples", "frames", "payload_sha256", "tail_crc32", "mean_abs", "crossings", "error")).drop("media")
+    pcm = stored(decode_column(media, "media", ("blocks", "samples", "frames", "mean_abs", "crossings", "error"), drop=["media"]))
     feature = F.format_string("frames=%d;mean_abs=%.6f;crossings=%d", "frames", "mean_abs", "crossings")
-    return out.select("doc_id", "n_bytes", F.col("samples").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "error")
+    tail = pcm_range(F.col("blocks"), F.col("samples") - 64, F.lit(64))
+    return pcm.select(
+        "doc_id", "n_bytes", F.col("samples").alias("payload_bytes"), F.sha2(pcm_bytes(F.col("blocks")), 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        "media_bytes", "media_sha256", feature.alias("feature"), "error",
+    )
