@@ -32,7 +32,7 @@ def primary(ext: DataFrame) -> DataFrame:
 @query("j02_enriched", f"""{SOURCES} SELECT t.id, coalesce(rule.subcategory, model.subcategory, ext.subcategory, 'Unknown') AS subcategory FROM t LEFT JOIN rule ON t.id = rule.id
 LEFT JOIN model ON t.id = model.id LEFT JOIN ext ON t.id = ext.id AND k = 1""")
 def enriched(spark, sf_dir) -> DataFrame:
-    """Each column from the first source that has it; one row for a transaction, whatever the external rows."""
+    """Each column from the first source that has it; one row for a transaction, whatever the external rows."""
     rule, model, ext = sources(spark, sf_dir)
     return n.coalesced(txns(spark, sf_dir).select("id"), [rule, model, primary(ext)], "id", "subcategory", "Unknown")
 
@@ -57,12 +57,33 @@ def combined(spark, sf_dir) -> DataFrame:
     return txns(spark, sf_dir).select("id").join(best, "id", "left").select("id", "subcategory", F.coalesce("source", F.lit("none")).alias("source"))
 
 
-@query("w08_source_list", f"{SOURCES} SELECT id, string_agg(l_partkey::VARCHAR, ' | ' ORDER BY l_linenumber, l_partkey) AS sources FROM ext GROUP BY 1")
+@query("w08_source_list", f"{SOURCES} SELECT id, string_agg(subcategory || ': ' || l_partkey::VARCHAR, ' | ' ORDER BY l_linenumber, l_partkey) AS sources FROM ext GROUP BY 1")
 def source_list(spark, sf_dir) -> DataFrame:
-    """All external sources of a transaction as one text, in order."""
-    ext = sources(spark, sf_dir)[2].withColumn("part", F.struct("l_linenumber", "l_partkey"))
-    out = ext.groupBy("id").agg(F.array_sort(F.collect_list("part")).alias("p"))
-    return out.select("id", F.array_join(F.transform("p", lambda x: x["l_partkey"].cast("string")), " | ").alias("sources"))
+    """All external sources of a transaction as one text of labels and values, in order."""
+    return listed(sources(spark, sf_dir)[2])
+
+
+def listed(ext: DataFrame) -> DataFrame:
+    out = ext.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "subcategory"))).alias("p"))
+    return out.select("id", F.array_join(F.transform("p", lambda x: F.concat(x["subcategory"], F.lit(": "), x["l_partkey"].cast("string"))), " | ").alias("sources"))
+
+
+@query("c01_transactions", f"""{SOURCES}, l AS (SELECT id, string_agg(subcategory || ': ' || l_partkey::VARCHAR, ' | ' ORDER BY l_linenumber, l_partkey) AS sources FROM ext GROUP BY 1)
+SELECT t.id, t.day::VARCHAR AS day, coalesce(rule.subcategory, model.subcategory, ext.subcategory, 'Unknown') AS subcategory, l.sources FROM t LEFT JOIN rule ON t.id = rule.id LEFT JOIN model ON t.id = model.id
+LEFT JOIN ext ON t.id = ext.id AND k = 1 LEFT JOIN l ON t.id = l.id""")
+def transactions(spark, sf_dir) -> DataFrame:
+    """Transactions with the subcategory that counts and the list of their sources, newest first."""
+    rule, model, ext = sources(spark, sf_dir)
+    out = n.coalesced(txns(spark, sf_dir).select("id", "day"), [rule, model, primary(ext)], "id", "subcategory", "Unknown").join(listed(ext), "id", "left")
+    return out.orderBy(F.desc("day"), "id").withColumn("day", F.col("day").cast("string"))
+
+
+@query("j02_fanout", f"""{SOURCES} SELECT coalesce(rule.subcategory, model.subcategory, ext.subcategory, 'Unknown') AS subcategory, count(*) AS n, sum(amount)::DOUBLE AS total FROM t LEFT JOIN rule ON t.id = rule.id LEFT JOIN model ON t.id = model.id LEFT JOIN ext ON t.id = ext.id GROUP BY 1""")
+def fanout(spark, sf_dir) -> DataFrame:
+    """As the enriched rows, but a transaction comes once for each external source, so that sums count it several times (J02, D12): for comparison only."""
+    rule, model, ext = sources(spark, sf_dir)
+    out = n.coalesced(txns(spark, sf_dir).select("id", "amount"), [rule, model, ext], "id", "subcategory", "Unknown")
+    return out.groupBy("subcategory").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
 @query("a17_enriched_count", f"""{SOURCES}, u AS (SELECT id FROM rule UNION SELECT id FROM model UNION SELECT id FROM ext)
@@ -88,3 +109,11 @@ def enrichment_view(spark, sf_dir) -> DataFrame:
     out = out.join(flag(rule, "r"), "id", "left").join(flag(model, "m"), "id", "left").join(counts, "id", "left")
     source = F.when(F.col("r"), "rule").when(F.col("m"), "model").when(F.col("externals").isNotNull(), "external").otherwise("none")
     return out.select("id", "subcategory", source.alias("source"), F.coalesce("externals", F.lit(0)).cast("long").alias("externals"))
+
+
+@query("c15_primary_context", f"""{SOURCES}, p AS (SELECT id, subcategory, l_partkey FROM ext WHERE k = 1) SELECT p.id, p.subcategory || ': ' || p.l_partkey::VARCHAR AS description, count(*) - 1 AS others FROM p JOIN ext ON p.id = ext.id GROUP BY ALL""")
+def primary_context(spark, sf_dir) -> DataFrame:
+    """The primary source of each transaction as a text for the model, and how many others it has."""
+    ext = sources(spark, sf_dir)[2]
+    others = ext.groupBy("id").agg((F.count("*") - 1).alias("others"))
+    return primary(ext).join(others, "id").select("id", F.concat("subcategory", F.lit(": "), F.col("l_partkey").cast("string")).alias("description"), "others")

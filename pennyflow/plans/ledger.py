@@ -149,24 +149,30 @@ def order_rollup(spark, sf_dir) -> DataFrame:
     return out.select("order_id", "items", "total", F.col("names")[0].alias("first_item"), order_summary(F.col("names")).alias("summary"))
 
 
-@query("a22_payee_modes", f"""WITH {TXNS}, m AS (SELECT account_id, category, count(*) AS n, row_number() OVER (PARTITION BY account_id ORDER BY count(*) DESC, category NULLS LAST) AS k FROM t WHERE type = 'DEBIT' GROUP BY 1, 2),
-g AS (SELECT account_id, count(*) AS n, min(day) AS d0 FROM t WHERE type = 'DEBIT' GROUP BY 1)
-SELECT g.account_id, g.n, d0::VARCHAR AS first_seen, coalesce(m.category, 'none') AS mode FROM g JOIN m ON g.account_id = m.account_id AND k = 1""")
+def mode_of(column: str, name: str) -> str:
+    """A table of each payee's commonest value, the first by name of equals."""
+    return f"{name} AS (SELECT account_id, {column} AS v FROM (SELECT account_id, {column}, row_number() OVER (PARTITION BY account_id ORDER BY count(*) DESC, {column} NULLS LAST) AS k FROM t WHERE type = 'DEBIT' GROUP BY 1, 2) WHERE k = 1)"
+
+
+@query("a22_payee_modes", f"""WITH {TXNS}, {mode_of('category', 'm')}, {mode_of('subcategory', 's')}, g AS (SELECT account_id, count(*) AS n, min(day) AS d0, arg_max(id, (day, id)) AS sample FROM t WHERE type = 'DEBIT' GROUP BY 1)
+SELECT g.account_id, g.n, d0::VARCHAR AS first_seen, sample, coalesce(m.v, 'none') AS mode, s.v AS submode FROM g JOIN m ON g.account_id = m.account_id JOIN s ON g.account_id = s.account_id""")
 def payee_modes(spark, sf_dir) -> DataFrame:
-    """Payees with their count, first day and commonest category; the first by name of equals."""
+    """Payees with their count, first day, newest row, and commonest category and subcategory; the first by name of equals."""
     t = txns(spark, sf_dir).where("type = 'DEBIT'")
-    by = t.groupBy("account_id", "category").agg(F.count("*").alias("n"), F.min("day").alias("d0"))
-    order = Window.partitionBy("account_id").orderBy(F.desc("n"), F.col("category").asc_nulls_last())
-    every = Window.partitionBy("account_id")
-    out = by.select("account_id", "category", F.row_number().over(order).alias("k"), F.sum("n").over(every).alias("n"), F.min("d0").over(every).alias("d0"))
-    return out.where("k = 1").select("account_id", "n", F.col("d0").cast("string").alias("first_seen"), F.coalesce("category", F.lit("none")).alias("mode"))
+    by = t.groupBy("account_id", "category", "subcategory").agg(F.count("*").alias("n"), F.min("day").alias("d0"), F.max(F.struct("day", "id")).alias("last"))
+    g = by.groupBy("account_id").agg(F.sum("n").alias("n"), F.min("d0").cast("string").alias("first_seen"), F.max("last")["id"].alias("sample"))
+    for column, name in (("category", "mode"), ("subcategory", "submode")):
+        counts = by.groupBy("account_id", column).agg(F.sum("n").alias("n"))
+        order = F.struct(-F.col("n"), F.col(column).isNull(), column)
+        g = g.join(counts.groupBy("account_id").agg(F.min_by(F.struct(column), order)[column].alias(name)), "account_id")
+    return g.withColumn("mode", F.coalesce("mode", F.lit("none")))
 
 
 @query("a23_new_payees", f"""WITH {TXNS}, m AS (SELECT DISTINCT account_id FROM t WHERE day < DATE '1996-01-01')
 SELECT account_id, min(day)::VARCHAR AS first_seen, count(*) AS n, string_agg(DISTINCT subcategory, ',' ORDER BY subcategory) AS mandates FROM t
 WHERE type = 'DEBIT' AND account_id NOT IN (SELECT account_id FROM m) GROUP BY 1""")
 def new_payees(spark, sf_dir) -> DataFrame:
-    """Payees that weren't known before 1996."""
+    """Payees that weren't known before 1996."""
     t = txns(spark, sf_dir)
     known = t.where("day < DATE '1996-01-01'").select("account_id").distinct()
     new = t.where("type = 'DEBIT'").join(known, "account_id", "left_anti")
@@ -512,3 +518,15 @@ def progress(spark, sf_dir) -> DataFrame:
     g = events(spark, sf_dir).groupBy(F.col("user_id").alias("job")).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("done"), span.alias("seconds"))
     left = F.when(F.col("done") > 0, F.floor((F.col("total") - F.col("done")) * F.col("seconds") / F.col("done")))
     return g.select("job", dbl(F.round(F.col("done").cast("decimal(18,4)") * 3600 / F.nullif("seconds", F.lit(0)), 4)).alias("per_hour"), left.cast("long").cast("string").alias("seconds_left"))
+
+
+@query("a37_sync_statistics", f"""WITH {EVENTS}, g AS (SELECT user_id, event_type, count(*) AS attempted, count_if(amount > 100)::BIGINT AS succeeded, (((sum(amount) * 100)::BIGINT * 2 + count(*)) // (2 * count(*)))::VARCHAR AS mean FROM e GROUP BY 1, 2)
+SELECT user_id, sum(attempted)::BIGINT AS attempted, sum(succeeded)::BIGINT AS succeeded, string_agg(event_type || ': ' || succeeded::VARCHAR || '/' || attempted::VARCHAR || ' ' || mean, ', ' ORDER BY event_type) AS by_kind FROM g GROUP BY 1""")
+def sync_statistics(spark, sf_dir) -> DataFrame:
+    """Attempts, successes and a mean in cents by kind within each merchant, as a map in one row, and their totals."""
+    g = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("attempted"), F.count_if(F.col("amount") > 100).alias("succeeded"), (F.sum("amount") * 100).cast("long").alias("cents"))
+    g = g.withColumn("mean", F.expr("(cents * 2 + attempted) DIV (2 * attempted)"))
+    entry = F.struct("event_type", F.struct("attempted", "succeeded", "mean").alias("v"))
+    m = g.groupBy("user_id").agg(F.sum("attempted").alias("attempted"), F.sum("succeeded").alias("succeeded"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
+    shown = F.transform(F.map_entries("m"), lambda x: F.concat(x["key"], F.lit(": "), x["value"]["succeeded"].cast("string"), F.lit("/"), x["value"]["attempted"].cast("string"), F.lit(" "), x["value"]["mean"].cast("string")))
+    return m.select("user_id", "attempted", "succeeded", F.array_join(shown, ", ").alias("by_kind"))

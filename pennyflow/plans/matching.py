@@ -223,20 +223,24 @@ def polymorphic_details(spark, sf_dir) -> DataFrame:
     return e.join(dims, ["event_type", "user_id"], "left").select("event_id", "event_type", "detail")
 
 
-@query("c04_unified_matching", f"""{PAIRS}, o AS (SELECT DISTINCT txn_id FROM (SELECT *, {points_sql(m.ORDER_POINTS)} AS score FROM j WHERE signed BETWEEN -7 AND 7) WHERE score >= 70),
-s AS (SELECT DISTINCT txn_id FROM (SELECT *, {points_sql(m.STORE_POINTS)} AS score FROM j WHERE signed BETWEEN -3 AND 3) WHERE score >= 70), n AS (SELECT count(*) AS processed FROM b)
-SELECT 'orders' AS source, processed, (SELECT count(*) FROM o) AS matched FROM n UNION ALL SELECT 'store', processed, (SELECT count(*) FROM s) FROM n
-UNION ALL SELECT 'all', processed, (SELECT count(*) FROM (SELECT * FROM o UNION SELECT * FROM s)) FROM n""")
+@query("c04_unified_matching", f"""{FUZZY}, j9 AS (SELECT txn_id, purchase_day - txn_day AS signed, abs(purchase_day - txn_day)::BIGINT AS days FROM b JOIN p ON txn_amount = purchase_amount AND abs(purchase_day - txn_day) <= 7),
+o AS (SELECT DISTINCT txn_id FROM (SELECT *, {points_sql(m.ORDER_POINTS)} AS score FROM j9) WHERE score >= 70), s AS (SELECT DISTINCT txn_id FROM (SELECT *, {points_sql(m.STORE_POINTS)} AS score FROM j9 WHERE days <= 3) WHERE score >= 70),
+r AS (SELECT DISTINCT txn_id FROM z WHERE score >= 70), nb AS (SELECT count(*) AS processed FROM b)
+SELECT 'orders' AS source, processed, (SELECT count(*) FROM o) AS matched FROM nb UNION ALL SELECT 'store', processed, (SELECT count(*) FROM s) FROM nb UNION ALL SELECT 'receipts', processed, (SELECT count(*) FROM r) FROM nb
+UNION ALL SELECT 'all', processed, (SELECT count(*) FROM (SELECT * FROM o UNION SELECT * FROM s UNION SELECT * FROM r)) FROM nb""")
 def unified_matching(spark, sf_dir) -> DataFrame:
-    """What each matcher and all together matched (A44, C04, U01, U02): one join serves both, as the narrow band lies in the wide one."""
+    """What each matcher and all together matched (A44, C04, U01, U02): one join serves orders and store, as the narrow band lies in the wide one."""
     t = banked(spark, sf_dir)
     pairs = m.band_join(t, bought(spark, sf_dir), -7, 7)
     orders = 50 + m.day_points(F.col("days"), m.ORDER_POINTS) >= m.LEAST_SCORE
     store = (F.col("days") <= 3) & (50 + m.day_points(F.col("days"), m.STORE_POINTS) >= m.LEAST_SCORE)
-    hits = pairs.groupBy("txn_id").agg(F.bool_or(orders).alias("orders"), F.bool_or(store).alias("store"))
-    sums = hits.agg(F.count_if("orders").alias("orders"), F.count_if("store").alias("store"), F.count_if(F.col("orders") | F.col("store")).alias("all"))
+    receipts = fuzzy_pairs(spark, sf_dir).where(F.col("score") >= m.LEAST_SCORE).select("txn_id", F.lit(False).alias("orders"), F.lit(False).alias("store"), F.lit(True).alias("receipts"))
+    every = pairs.select("txn_id", orders.alias("orders"), store.alias("store"), F.lit(False).alias("receipts")).unionByName(receipts)
+    kinds = ("orders", "store", "receipts")
+    hits = every.groupBy("txn_id").agg(*[F.bool_or(k).alias(k) for k in kinds])
+    sums = hits.agg(*[F.count_if(k).alias(k) for k in kinds], F.count_if(F.col("orders") | F.col("store") | F.col("receipts")).alias("all"))
     both = sums.crossJoin(t.agg(F.count("*").alias("processed")))
-    return both.select("processed", F.expr("stack(3, 'orders', `orders`, 'store', `store`, 'all', `all`) AS (source, matched)")).select("source", "processed", "matched")
+    return both.select("processed", F.expr("stack(4, 'orders', `orders`, 'store', `store`, 'receipts', `receipts`, 'all', `all`) AS (source, matched)")).select("source", "processed", "matched")
 
 
 @query("c13_single_match", f"""{PAIRS}, s AS (SELECT *, {points_sql(m.ORDER_POINTS)} AS score FROM j WHERE signed BETWEEN -7 AND 7 AND txn_id = (SELECT max(txn_id) FROM j WHERE signed BETWEEN -7 AND 7))

@@ -133,3 +133,15 @@ def order_markup(spark, sf_dir) -> DataFrame:
     k = F.col("page_id") % 3
     more = F.when(k == 0, '{"@type":"Order"}').when(k == 1, '<div itemtype="http://schema.org/Order">').otherwise('"@type"')
     return table(spark, sf_dir, "pages").select("page_id", mail.has_order_markup(F.concat("html", more)).alias("marked"))
+
+
+@query("f51_json_arrays", """SELECT l_orderkey AS id, count(*) AS length, bool_or(l_returnflag = 'R') AS returned, 'ARRAY' AS kind, sum(l_linenumber)::BIGINT AS numbers FROM lineitem GROUP BY 1""")
+def json_arrays(spark, sf_dir) -> DataFrame:
+    """Arrays in JSON texts made of lines: their type, length, whether any element fits, and a sum over their elements."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.to_json(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("f")))).alias("j"))
+    v = F.try_parse_json("j")
+    items = F.try_variant_get(v, "$", "array<struct<n long, f string>>")
+    return lines.select(
+        "id", F.size(items).cast("long").alias("length"), F.exists(items, lambda x: x["f"] == "R").alias("returned"), F.upper(F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)).alias("kind"),
+        F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("numbers"),
+    )
