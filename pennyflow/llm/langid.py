@@ -123,8 +123,9 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    """The text's runs of letters, each lower-cased by itself, so that they stay as many as in the text."""
-    return list(map(str.lower, WORDS.findall(text)))
+    """The text's runs of letters in lower case, as many as in the text: where lower-casing adds characters, each run is lower-cased by itself."""
+    low = text.lower()
+    return WORDS.findall(low) if len(low) == len(text) else list(map(str.lower, WORDS.findall(text)))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
