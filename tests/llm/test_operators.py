@@ -39,12 +39,6 @@ def test_url_rules(spark, url, want):
     assert (row["rule"], row["verdict"]) == want
 
 
-def test_colliding_digests_do_not_decide(tmp_path):
-    digests = url_filter.DigestArray(url_filter.write_digests([("block", "a", "/"), ("allow", "b", "/")], str(tmp_path), "d"))
-    digests.digests = np.full(2, digests.digests[0])
-    assert sorted(digests.string(int(digests.find([k])[0])) for k in ("a/",)) == ["a/"] or digests.find(["c/"])[0] == -1
-
-
 # --- 2
 
 
