@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, mail, money, text
-from .base import MAILS, mails, pick, pick_sql, query, table
+from ..operators.matching import LEAST_SCORE, fuzzy_join
+from .base import MAILS, events, mails, pick, pick_sql, query, table
 
 
 def quoted(words) -> str:
@@ -46,21 +47,27 @@ def vendor_gates(spark, sf_dir) -> DataFrame:
     return out.select("id", "g.vendor", "g.accept", "g.confidence")
 
 
-@query("p14_likely_receipts", f"""WITH {LOW}, s AS (SELECT *, {gate_sql()} AS g, {any_sql('send', mail.RECEIPT_SENDERS)} AS known, {hits_sql('txt', mail.STRONG_MARKETING)} AS sm,
+LIKELY = f"""{LOW}, s AS (SELECT *, {gate_sql()} AS g, {any_sql('send', mail.RECEIPT_SENDERS)} AS known, {hits_sql('txt', mail.STRONG_MARKETING)} AS sm,
   {hits_sql('txt', mail.STRONG_RECEIPT)} * 2 + {hits_sql('txt', mail.WEAK_RECEIPT)} - {hits_sql('txt', mail.STRONG_MARKETING)} * 3 - {hits_sql('txt', mail.WEAK_MARKETING)}
-  + CASE WHEN regexp_matches(txt, '(?i)(?:order|invoice|confirmation|booking|transaction)\\s*(?:#|number|no\\.?|id)?\\s*[:.]?\\s*[A-Z0-9-]{{5,}}') THEN 3 ELSE 0 END + CASE WHEN {any_sql('send', mail.RECEIPT_SENDERS)} THEN 2 ELSE 0 END AS score FROM lo)
-SELECT id, CASE WHEN markup THEN true WHEN g IS NOT NULL THEN g.accept WHEN unsubscribe IS NOT NULL AND NOT known THEN false WHEN {any_sql('send', mail.MARKETING_SENDERS)} THEN false WHEN sm > 0 AND NOT known THEN false ELSE score >= 3 END AS accept,
+  + CASE WHEN regexp_matches(txt, '(?i)(?:order|invoice|confirmation|booking|transaction)\\s*(?:#|number|no\\.?|id)?\\s*[:.]?\\s*[A-Z0-9-]{{5,}}') THEN 3 ELSE 0 END + CASE WHEN {any_sql('send', mail.RECEIPT_SENDERS)} THEN 2 ELSE 0 END AS score FROM lo),
+y AS (SELECT id, ts, amount, subject || ' ' || body AS both, CASE WHEN markup THEN true WHEN g IS NOT NULL THEN g.accept WHEN unsubscribe IS NOT NULL AND NOT known THEN false WHEN {any_sql('send', mail.MARKETING_SENDERS)} THEN false WHEN sm > 0 AND NOT known THEN false ELSE score >= 3 END AS accept,
   CASE WHEN markup THEN 100 WHEN g IS NOT NULL THEN g.confidence WHEN unsubscribe IS NOT NULL AND NOT known THEN 85 WHEN {any_sql('send', mail.MARKETING_SENDERS)} THEN 90 WHEN sm > 0 AND NOT known THEN 80
-    WHEN score >= 3 OR score <= -2 THEN least(70 + abs(score) * 5, 95) ELSE 50 END::BIGINT AS confidence FROM s""")
+    WHEN score >= 3 OR score <= -2 THEN least(70 + abs(score) * 5, 95) ELSE 50 END::BIGINT AS confidence FROM s)"""
+
+
+@query("p14_likely_receipts", f"WITH {LIKELY} SELECT id, accept, confidence FROM y")
 def likely_receipts(spark, sf_dir) -> DataFrame:
     """Markup, vendors' gates, senders and words: whether a mail is a receipt, and how surely."""
     out = mails(spark, sf_dir).select("id", mail.likely_receipt(F.col("subject"), F.col("body"), F.col("sender"), F.col("unsubscribe"), F.col("markup")).alias("x"))
     return out.select("id", "x.accept", "x.confidence")
 
 
-@query("p15_import_gate", f"""WITH {LOW}, s AS (SELECT *, {gate_sql(mail.IMPORT_ORDER)} AS g, lower(regexp_extract(sender, '([^@]*)$', 1)) AS dom FROM lo)
-SELECT id, NOT (list_contains({quoted(mail.PERSONAL_DOMAINS)}, dom) OR {any_sql('subj', mail.SHIPPING_SUBJECTS)} OR {any_sql('subj', mail.BOOKING_SUBJECTS)}
-  OR (dom = 'woolrich.com' AND NOT {any_sql('subj', ('thank you for your purchase', 'receipt', 'invoice'))})) AND coalesce(g.accept, true) AS imported FROM s""")
+IMPORTED = f"""i0 AS (SELECT *, {gate_sql(mail.IMPORT_ORDER)} AS ig, lower(regexp_extract(sender, '([^@]*)$', 1)) AS dom FROM lo),
+i AS (SELECT id, NOT (list_contains({quoted(mail.PERSONAL_DOMAINS)}, dom) OR {any_sql('subj', mail.SHIPPING_SUBJECTS)} OR {any_sql('subj', mail.BOOKING_SUBJECTS)}
+  OR (dom = 'woolrich.com' AND NOT {any_sql('subj', ('thank you for your purchase', 'receipt', 'invoice'))})) AND coalesce(ig.accept, true) AS imported FROM i0)"""
+
+
+@query("p15_import_gate", f"WITH {LOW}, {IMPORTED} SELECT id, imported FROM i")
 def import_gate(spark, sf_dir) -> DataFrame:
     """Mails that are taken in at all."""
     return mails(spark, sf_dir).select("id", mail.should_import(F.col("subject"), F.col("sender"), F.col("body")).alias("imported"))
@@ -208,3 +215,19 @@ def hosts_by_name(spark, sf_dir) -> DataFrame:
     u = table(spark, sf_dir, "pages").select("page_id", text.url_host(F.col("url")).alias("host"))
     d = u.where("page_id < 100").select(F.lower(F.upper("host")).alias("host")).distinct()
     return u.join(d, "host").groupBy("host").agg(F.count("*").alias("n"))
+
+
+@query("c10_mail_pipeline", f"""WITH {LIKELY}, {IMPORTED}, k AS (SELECT y.*, i.imported FROM y JOIN i ON y.id = i.id), rc AS (SELECT * FROM k WHERE imported AND accept AND amount > 0), t AS (SELECT ts AS tts, amount AS ta FROM e WHERE event_type = 'purchase' AND amount > 0),
+h AS (SELECT DISTINCT id FROM rc JOIN t ON abs(floor((epoch_us(ts) - epoch_us(tts)) / 86400000000.0)) <= 10 AND (abs(ta - amount) < CASE WHEN amount < 5 THEN 0.50 ELSE 0.01 END OR abs(ta - amount) <= 0.02 * amount))
+SELECT 'synced' AS stage, count(*) AS n FROM k UNION ALL SELECT 'imported', count_if(imported)::BIGINT FROM k UNION ALL SELECT 'receipts', count_if(imported AND accept)::BIGINT FROM k UNION ALL SELECT 'matched', count(*) FROM h""")
+def mail_pipeline(spark, sf_dir) -> DataFrame:
+    """Mails taken in, found to be receipts, and matched to bank rows by tolerant amounts and days: how many pass each stage."""
+    m = mails(spark, sf_dir)
+    m = m.withColumn("imported", mail.should_import(F.col("subject"), F.col("sender"), F.col("body")))
+    m = m.withColumn("receipt", F.col("imported") & mail.likely_receipt(F.col("subject"), F.col("body"), F.col("sender"), F.col("unsubscribe"), F.col("markup"))["accept"])
+    none = F.lit(None).cast("string")
+    r = m.where("receipt").select(F.col("id").alias("receipt_id"), F.col("ts").alias("receipt_ts"), F.col("amount").alias("receipt_amount"), none.alias("receipt_merchant"))
+    t = events(spark, sf_dir, "purchase").select(F.col("event_id").alias("txn_id"), F.col("ts").alias("txn_ts"), F.col("amount").alias("txn_amount"), none.alias("txn_merchant"))
+    matched = fuzzy_join(t, r).where(F.col("score") >= LEAST_SCORE).agg(F.countDistinct("receipt_id").alias("matched"))
+    sums = m.agg(F.count("*").alias("synced"), F.count_if("imported").alias("imported"), F.count_if("receipt").alias("receipts")).crossJoin(matched)
+    return sums.select(F.expr("stack(4, 'synced', synced, 'imported', imported, 'receipts', receipts, 'matched', matched) AS (stage, n)"))
