@@ -223,8 +223,10 @@ SELECT 'synced' AS stage, count(*) AS n FROM k UNION ALL SELECT 'imported', coun
 def mail_pipeline(spark, sf_dir) -> DataFrame:
     """Mails taken in, found to be receipts, and matched to bank rows by tolerant amounts and days: how many pass each stage."""
     m = mails(spark, sf_dir)
-    m = m.withColumn("imported", mail.should_import(F.col("subject"), F.col("sender"), F.col("body")))
-    m = m.withColumn("receipt", F.col("imported") & mail.likely_receipt(F.col("subject"), F.col("body"), F.col("sender"), F.col("unsubscribe"), F.col("markup"))["accept"])
+    accept = mail.likely_receipt(F.col("subject"), F.col("body"), F.col("sender"), F.col("unsubscribe"), F.col("markup"))["accept"]
+    told = F.struct(mail.should_import(F.col("subject"), F.col("sender"), F.col("body")).alias("imported"), accept.alias("accept"))
+    # Exploding an array of one keeps the long tests from being copied into every use of their results.
+    m = m.select("id", "ts", "amount", F.explode(F.array(told)).alias("x")).select("id", "ts", "amount", "x.imported", (F.col("x.imported") & F.col("x.accept")).alias("receipt"))
     none = F.lit(None).cast("string")
     r = m.where("receipt").select(F.col("id").alias("receipt_id"), F.col("ts").alias("receipt_ts"), F.col("amount").alias("receipt_amount"), none.alias("receipt_merchant"))
     t = events(spark, sf_dir, "purchase").select(F.col("event_id").alias("txn_id"), F.col("ts").alias("txn_ts"), F.col("amount").alias("txn_amount"), none.alias("txn_merchant"))
