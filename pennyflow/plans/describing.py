@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import descriptions, text
 from ..operators import categorise as c
-from .base import BANK, DESCRIBED, TXNS, bank_rows, described, pick_sql, query, txns
+from ..operators.matching import band_join
+from .base import BANK, DESCRIBED, bank_rows, bought, described, query, table
 
 DAY = r"ON\s+(\d{1,2})-(\d{1,2})-(\d{4})$"
 CARD = r"CARD PAYMENT TO\s+([A-Za-z0-9\s\-*]+?)(?:\s+ON|\s*$|\*)"
@@ -132,14 +133,12 @@ def source_status(spark, sf_dir) -> DataFrame:
     return d.select("id", text.source_status(F.col("description"), F.col("merchant"), F.col("type")).alias("status"), text.is_store(F.col("description"), F.col("merchant")).alias("store"))
 
 
-# Rows with lines are matched by them, half of the first lines' parts standing for orders of the market.
+# Orders with a returned line stand for rows of the match table.
 HITS = "h AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R')"
 
 
 def hits(spark, sf_dir) -> DataFrame:
     """Transactions with a returned line, as those of the match table."""
-    from .base import table
-
     return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).distinct()
 
 
@@ -171,14 +170,11 @@ SELECT txn_id, {FAMILY.format('AMAZON')} OR {FAMILY.format('AMZN')} AS market, {
 WHERE ({FAMILY.format('AMAZON')} OR {FAMILY.format('AMZN')} OR {FAMILY.format('APPLE')}) AND NOT contains(upper(txn_description), 'AMZN MKTP') AND txn_id NOT IN (SELECT txn_id FROM m)""")
 def family_rows(spark, sf_dir) -> DataFrame:
     """Rows of two merchant families that aren't matched yet; the marketplace's descriptor is left out."""
-    from ..operators import matching as m
-    from .base import bought
-
     b = bank_rows(spark, sf_dir)
     fam = lambda *w: text.any_literal(F.upper(F.coalesce("txn_merchant", F.lit(""))), w) | text.any_literal(F.upper("txn_description"), w)
     b = b.withColumn("market", fam("AMAZON", "AMZN")).withColumn("store", fam("APPLE"))
     b = b.where((F.col("market") | F.col("store")) & ~text.any_literal(F.upper("txn_description"), ("AMZN MKTP",)))
-    done = m.band_join(b, bought(spark, sf_dir), -7, 7).select("txn_id")
+    done = band_join(b, bought(spark, sf_dir), -7, 7).select("txn_id")
     return b.join(done, "txn_id", "left_anti").select("txn_id", "market", "store")
 
 
