@@ -13,10 +13,8 @@ no shuffle, and a task works on a bounded piece of rows, or one text, at a time.
 from __future__ import annotations
 
 import base64
-from collections.abc import Sequence
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
