@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator, by name."""
-    from . import bpe, edit_counts, flac, itq, jaccard_join, kd_shards, langid, mixing, toxicity, url_filter
+    from . import bpe, cross_polytope, edit_counts, flac, itq, jaccard_join, kd_shards, langid, mixing, toxicity, url_filter, vector_codes, whitening
 
     return {
         "op1_url_filter": url_filter.op1_url_filter,
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_flac": flac.op8_flac,
         "op9_itq": itq.op9_itq,
         "op10_bpe": bpe.op10_bpe,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_cross_polytope": cross_polytope.op13_cross_polytope,
     }
 
 

@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline's stages against their contracts, on a folder of hard rows: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+"""The queries and the pipeline's stages against their contracts, on a folder of hard rows: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import base64
 import hashlib
@@ -71,10 +71,13 @@ COLUMNS = {
     8: {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"},
     9: {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
     10: {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    11: {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    12: {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    13: {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
 }
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", sorted(COLUMNS))
 def test_columns_and_empty_tables(spark, bare, number):
     out = run(spark, bare, number)
     types = dict(out.dtypes)
