@@ -11,7 +11,8 @@ rows, and the probes are as many as reach RECALL of them. If even all buckets th
 bucket can be probed, which finds all, so that no vector is out of reach.
 
 Equal vectors are one node with the smallest of its ids, one more than a query returns, which is all that an answer can hold of them. A bucket of any size is
-cut into blocks of rows and blocks of queries, each pair of blocks a group of its own.
+cut into blocks of rows and blocks of queries, each pair of blocks a group of its own. A query meets a few buckets first; of all others
+it is given only what isn't worse than the last place of that.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ NEAREST, TABLES, EVERY = 20, 4, 20
 SAMPLE_QUERIES, RECALL = 128, 0.96
 #: Rows that a bucket is meant to hold, and buckets of a query that are ranked where hashes have several functions.
 BUCKET_ROWS, MOST_PROBES = 256, 4096
+#: Probes of the first table that are met before all others, to bound what has to be passed on.
+FIRST_PROBES = 16
 #: Rows and queries of a group, and queries that are multiplied at once.
 BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 2048, 1024, 256
 
@@ -187,8 +190,8 @@ def measured(nodes: DataFrame, queries: DataFrame, n_queries: int, n_nodes: int,
         functions -= 1
 
 
-def searched(nodes: DataFrame, queries: DataFrame, index: Index, probes: int, most: int) -> DataFrame:
-    """Rows (query, node, score): the best of each group of blocks that a query's probes meet."""
+def searched(nodes: DataFrame, queries: DataFrame, index: Index, probes: int, most: int) -> list[DataFrame]:
+    """Stored tables (query, node, score): the best of each group of blocks that a query's probes meet, of its first probes and of the rest."""
     spark, tables = nodes.sparkSession, index.tables
     held = spark.sparkContext.broadcast(index)
 
@@ -209,32 +212,49 @@ def searched(nodes: DataFrame, queries: DataFrame, index: Index, probes: int, mo
 
     entered = stored(nodes.mapInArrow(enter, "node long, v array<double>, codes array<long>"))
     probed = stored(queries.mapInArrow(probe, "query long, v array<double>, tables array<long>, codes array<long>"))
-    rows = lambda *more: entered.select(*more, F.posexplode("codes").alias("t", "bucket"))
-    asks = lambda *more: probed.select(*more, F.explode(F.arrays_zip("tables", "codes")).alias("p")).select(*more, F.col("p.tables").cast("int").alias("t"), F.col("p.codes").alias("bucket"))
-    n_rows, n_asks = rows().groupBy("t", "bucket").agg(F.count("*").alias("n")), asks().groupBy("t", "bucket").agg(F.count("*").alias("m"))
-    sizes = n_rows.join(n_asks, ["t", "bucket"])
-    sizes = stored(sizes.select("t", "bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("row_blocks"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("query_blocks")))
+    rows = entered.select("node", "v", F.posexplode("codes").alias("t", "bucket"))
+    pairs = F.transform(F.arrays_zip("tables", "codes"), lambda p: F.struct(p["tables"].cast("int").alias("t"), p["codes"].alias("bucket")))
+    first = F.slice(F.filter(pairs, lambda p: p["t"] == 0), 1, FIRST_PROBES)
+    start = probed.select("query", "v", F.lit(float("-inf")).alias("bound"), F.explode(first).alias("p"))
+    found = met(rows.where("t = 0"), start.select("query", "v", "bound", "p.*"), index.length, most)
+    # What a query has met by now is a lower bound of its answer: nothing worse is passed on.
+    enough = found.groupBy("query", "node").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    bounds = enough.withColumn("n", place).where(F.col("n") == most).select("query", F.col("score").alias("bound"))
+    rest = probed.join(bounds, "query", "left").select("query", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), F.explode(F.array_except(pairs, first)).alias("p"))
+    more = met(rows, rest.select("query", "v", "bound", "p.*"), index.length, most)
+    dropped(entered, probed)
+    return [found, more]
+
+
+def met(rows: DataFrame, asks: DataFrame, length: int, most: int) -> DataFrame:
+    """A stored table (query, node, score): of the rows (node, v) of a bucket (t, bucket) the best for each query there, none below its bound."""
+    n_rows, n_asks = rows.groupBy("t", "bucket").agg(F.count("*").alias("n")), asks.groupBy("t", "bucket").agg(F.count("*").alias("m"))
+    blocks = [F.ceil(F.col(c) / most_).cast("int").alias(name) for c, most_, name in (("n", BLOCK_ROWS, "row_blocks"), ("m", BLOCK_QUERIES, "query_blocks"))]
+    sizes = stored(n_rows.join(n_asks, ["t", "bucket"]).select("t", "bucket", *blocks))
     keys, every = ["t", "bucket", "rb", "qb"], lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    x = rows("node", "v").join(sizes, ["t", "bucket"]).withColumn("rb", F.pmod(F.xxhash64("node"), F.col("row_blocks")).cast("int")).withColumn("qb", every("query_blocks"))
-    q = asks("query", "v").join(sizes, ["t", "bucket"]).withColumn("qb", F.pmod(F.xxhash64("query"), F.col("query_blocks")).cast("int")).withColumn("rb", every("row_blocks"))
-    both = x.select(*keys, F.lit(False).alias("asks"), F.col("node").alias("id"), "v").unionByName(q.select(*keys, F.lit(True).alias("asks"), F.col("query").alias("id"), "v"))
+    x = rows.join(sizes, ["t", "bucket"]).withColumn("rb", F.pmod(F.xxhash64("node"), F.col("row_blocks")).cast("int")).withColumn("qb", every("query_blocks"))
+    q = asks.join(sizes, ["t", "bucket"]).withColumn("qb", F.pmod(F.xxhash64("query"), F.col("query_blocks")).cast("int")).withColumn("rb", every("row_blocks"))
+    both = x.select(*keys, F.lit(None).cast("double").alias("bound"), F.col("node").alias("id"), "v").unionByName(q.select(*keys, "bound", F.col("query").alias("id"), "v"))
     placed = both.repartition(*keys).sortWithinPartitions(*keys)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, starts, ends in grouped(batches, keys):
-            v, ids = matrix(part["v"].combine_chunks(), held.value.length), part["id"].to_numpy()
-            asking = part["asks"].to_numpy(zero_copy_only=False).astype(bool)
+            v, ids = matrix(part["v"].combine_chunks(), length), part["id"].to_numpy()
+            bound = part["bound"].to_numpy()
+            asking = ~np.isnan(bound)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 query, node = a + np.flatnonzero(asking[a:b]), a + np.flatnonzero(~asking[a:b])
                 if len(query) and len(node):
                     at, row, score = rerank(v[query], v[node], most)
-                    out.append((ids[query[at]], ids[node[row]], score))
+                    good = score >= bound[query[at]]
+                    out.append((ids[query[at[good]]], ids[node[row[good]]], score[good]))
             if out:
                 yield found_batch(*(np.concatenate(c) for c in zip(*out, strict=True)), most)
 
     found = stored(placed.mapInArrow(meet, FOUND))
-    dropped(entered, probed, sizes)
+    dropped(sizes)
     return found
 
 
@@ -274,11 +294,11 @@ def nearest_by_product(rows: DataFrame, is_query: str, nearest: int = NEAREST, i
         return none
     index, probes = measured(nodes.select("node", "v"), queries, n_queries, n_nodes, length, largest, most)
     found = searched(nodes.select("node", "v"), queries, index, probes, most)
-    best = merged(found, most).join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("id"))
+    best = merged(found[0].unionByName(found[1]), most).join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("id"))
     order = [F.desc("score"), F.asc_nulls_last("id")]
     first = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("n") <= most)
     listed = stored(first.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("best")))
-    dropped(found, nodes, queries)
+    dropped(*found, nodes, queries)
     others = F.slice(F.filter("best", lambda s: ~s["id"].eqNullSafe(F.col("query_id"))), 1, nearest)
     out = asking.join(listed, "query").select("query_id", F.posexplode(others).alias("k", "s"))
     return out.select("query_id", (F.col("k") + 1).alias("rank"), F.col("s.id").alias(id_col), F.col("s.score").alias("score"))
