@@ -8,7 +8,7 @@ from .base import QUERIES, SQL
 
 FLAGSHIP = "j08_purchase_match"
 
-for _name in ("ledger", "matching", "describing", "rules", "enrichment", "texts", "mailbox", "receipts", "incremental"):
+for _name in ("ledger", "matching", "describing", "rules", "enrichment", "texts", "mailbox", "receipts", "incremental", "feeds"):
     import_module(f"{__name__}.{_name}")
 
 

@@ -272,6 +272,8 @@ def test_store_pages(spark, tmp_path):
     )
     got = {r["order_id"]: (str(r["day"]), float(r["amount"]), r["names"], r["publishers"]) for r in feeds.store_history(spark, str(tmp_path / "s.html")).collect()}
     assert got == {"MM62VW915F": ("2025-10-24", 0.99, "Hazard Kit", "Test Press"), "AB12CD34EF": ("2025-09-01", 3.49, "BFI Player", "Apple TV"), "JSON123456": ("2025-01-02", 2.0, "Song", "Band")}
+    (tmp_path / "d.html").write_text("<div>24 Oct 2025</div><div>MM62VW915F</div><div>Total</div><div>£0.99</div><div>Loading...</div><div>Song 10</div><div>Band 11</div>")
+    assert feeds.store_history(spark, str(tmp_path / "d.html")).select("names", "publishers").first() == ("Song 10", "Band 11")  # digits at a line's end stay
 
 
 def test_receipt_search_and_files(spark, tmp_path):
