@@ -150,19 +150,23 @@ def abbreviated(name: Column, most: int = 35) -> Column:
     return F.when(F.length(name) <= most, name).otherwise(F.trim(F.rtrim(cut, F.lit(".,:-()[]"))))
 
 
+#: How a rule's kind is written before its body.
+RULE_KIND = r"(?i)^(starts|contains|exact|regex):"
+
+
 def rule_kind(pattern: Column) -> Column:
     """``starts``, ``contains``, ``exact`` or ``regex`` from the pattern's prefix; without one, contains."""
-    kind = F.lower(F.regexp_extract(pattern, r"(?i)^(starts|contains|exact|regex):", 1))
+    kind = F.lower(F.regexp_extract(pattern, RULE_KIND, 1))
     return F.when(kind == "", "contains").otherwise(kind)
 
 
 def rule_body(pattern: Column) -> Column:
-    return F.regexp_replace(pattern, r"(?i)^(starts|contains|exact|regex):", "")
+    return F.regexp_replace(pattern, RULE_KIND, "")
 
 
 def rule_fault(pattern: str) -> str | None:
-    """What is wrong with a written rule: empty, over 255 characters, or a regex that neither engine compiles; None for nothing."""
-    body = re.sub(r"(?i)^(starts|contains|exact|regex):", "", pattern or "")
+    """What is wrong with a written rule: empty, over 255 characters, or a regex that Python doesn't compile; None for nothing. Spark's own engine is asked by ``rules.java_fault`` and ``rules.usable``."""
+    body = re.sub(RULE_KIND, "", pattern or "")
     if not body.strip():
         return "empty"
     if len(pattern) > 255:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, largest_amount
 from ..functions.text import abbreviated, order_id
+from .grams import contained
 
 
 def soft_deleted(rows: DataFrame, gone: Column, at: Column) -> DataFrame:
@@ -36,14 +39,18 @@ def receipt_filter(merchant=None, status=None, method=None, least_confidence=Non
     return keep
 
 
-def named_in(rows: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and name of every pair of a text and a name in it, where the name begins at a word; both in lower case.
+def coverage(txns: DataFrame, names: DataFrame, matched: DataFrame, sources: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Of each name (lower case, unique): the transactions whose merchant or description holds it anywhere, those that no receipt matched, and those that each kind of other source covers.
 
-    Joined by the name's first word, so that no text meets all names.
+    ``txns`` has id, merchant and description, ``matched`` id, ``sources`` id and source. Names that no text holds give no row. A name's signs are ordinary, ``%`` too.
     """
-    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    words = rows.select(id_col, text_col, F.explode(F.array_distinct(F.split(text_col, " "))).alias("__word"))
-    return words.join(names.withColumn("__word", first(F.col("name"))), "__word").where(F.contains(text_col, F.col("name"))).select(id_col, "name")
+    # A name can't run from one text into the other over the line between them.
+    text = F.lower(F.concat_ws("\n", F.coalesce("merchant", F.lit("")), F.coalesce("description", F.lit(""))))
+    held = contained(txns.select("id", text.alias("__text_")), names.select("name"), "__text_", "name").select("id", "name")
+    done = matched.select("id").distinct().withColumn("__hit", F.lit(True))
+    flags = sources.groupBy("id").agg(*[F.bool_or(F.col("source") == k).alias(k) for k in kinds])
+    every = held.join(done, "id", "left").join(flags, "id", "left")
+    return every.groupBy("name").agg(F.count("*").alias("txns"), F.count_if(F.col("__hit").isNull()).alias("uncovered"), *[F.count_if(F.col(k)).alias(k) for k in kinds])
 
 
 #: Names of an order up to this length stand in full; of longer ones only the first three.
@@ -59,47 +66,55 @@ def order_summary(names: Column) -> Column:
 
 
 def json_ld(html: Column) -> Column:
-    """The first embedded linked-data document, or null."""
-    return F.nullif(F.regexp_extract(html, r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1), F.lit(""))
+    """All embedded linked-data documents, in their order."""
+    return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json[^>]*>(.*?)</script>"""), F.lit(1))
 
 
-def order_of(doc: Column) -> Column:
+def order_of(docs: Column) -> Column:
     """Order number, price, currency, day, seller and items of a linked-data Order or Invoice, by their alternative paths; null if there is none.
 
-    The document is parsed once. It may be an object, an array or hold a ``@graph``: the first order among them counts.
+    Each document is parsed once. It may be an object, an array or hold a ``@graph``, and a type may be a list: the first order among all documents counts; what isn't JSON is passed over.
     """
-    v = F.try_parse_json(doc)
-    every = F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.array(v))
-    found = F.get(F.filter(every, lambda x: F.try_variant_get(x, "$['@type']", "string").isin("Order", "Invoice")), F.lit(0))
-    first = lambda *paths: F.coalesce(*[F.try_variant_get(found, p, "string") for p in paths])
-    lines = F.coalesce(F.try_variant_get(found, "$.acceptedOffer", "array<variant>"), F.try_variant_get(found, "$.orderedItem", "array<variant>"))
+    v = lambda d: F.try_parse_json(d)
+    nodes = lambda d: F.coalesce(F.try_variant_get(v(d), "$['@graph']", "array<variant>"), F.try_variant_get(v(d), "$", "array<variant>"), F.array(v(d)))
+    kinds = lambda x: F.coalesce(F.try_variant_get(x, "$['@type']", "array<string>"), F.array(F.try_variant_get(x, "$['@type']", "string")))
+    every = F.flatten(F.transform(F.filter(docs, lambda d: v(d).isNotNull()), nodes))
+    orders = F.filter(every, lambda x: F.coalesce(F.arrays_overlap(kinds(x), F.array(F.lit("Order"), F.lit("Invoice"))), F.lit(False)))
+    first = lambda x, *paths: F.coalesce(*[F.try_variant_get(x, p, "string") for p in paths])
     name = lambda x: F.coalesce(F.try_variant_get(x, "$.itemOffered.name", "string"), F.try_variant_get(x, "$.orderedItem.name", "string"), F.try_variant_get(x, "$.name", "string"))
-    return F.when(
-        found.isNotNull(),
-        F.struct(
-            first("$.orderNumber", "$.confirmationNumber").alias("order_id"),
-            first("$.price", "$.totalPrice", "$.totalPaymentDue.price", "$.priceSpecification.price", "$.acceptedOffer.price").try_cast(MONEY).alias("total"),
-            first("$.priceCurrency", "$.totalPaymentDue.priceCurrency", "$.acceptedOffer.priceCurrency").alias("currency"),
-            F.try_to_timestamp(F.substring(first("$.orderDate", "$.dateCreated", "$.paymentDueDate"), 1, 10), F.lit("yyyy-MM-dd")).cast("date").alias("day"),
-            first("$.seller.name", "$.merchant.name", "$.broker.name").alias("seller"),
+
+    def read(found: Column) -> Column:
+        lines = F.coalesce(F.try_variant_get(found, "$.acceptedOffer", "array<variant>"), F.try_variant_get(found, "$.orderedItem", "array<variant>"))
+        return F.struct(
+            first(found, "$.orderNumber", "$.confirmationNumber").alias("order_id"),
+            first(found, "$.price", "$.totalPrice", "$.totalPaymentDue.price", "$.priceSpecification.price", "$.acceptedOffer.price").try_cast(MONEY).alias("total"),
+            first(found, "$.priceCurrency", "$.totalPaymentDue.priceCurrency", "$.acceptedOffer.priceCurrency").alias("currency"),
+            F.try_to_timestamp(F.substring(first(found, "$.orderDate", "$.dateCreated", "$.paymentDueDate"), 1, 10), F.lit("yyyy-MM-dd")).cast("date").alias("day"),
+            first(found, "$.seller.name", "$.merchant.name", "$.broker.name").alias("seller"),
             F.transform(lines, name).alias("items"),
-        ),
-    )
+        )
+
+    # Read inside the array, so that the documents are parsed once whatever is asked of the result.
+    return F.get(F.transform(F.slice(orders, 1, 1), read), F.lit(0))
 
 
 def parsed(rows: DataFrame, html_col: str, text_col: str) -> DataFrame:
-    """``rows`` with order_id, total, method and confidence: linked data first (95), then patterns (80 with both, 60 with one), else none (0)."""
-    # Most mails hold no linked data, so that its pattern and parser run for those alone that do.
+    """``rows`` with order_id, total, method and confidence: linked data first (95), then patterns (80 with both, 60 with one), else none (0).
+
+    Each part is evaluated once a row, behind a generator that the optimizer doesn't copy into its uses; linked data is looked for in pages that are marked as holding some.
+    """
     marked = F.contains(html_col, F.lit("ld+json"))
-    ld = F.when(marked, order_of(json_ld(F.col(html_col))))
-    out = rows.withColumn("__ld", ld).withColumn("__id", order_id(F.col(text_col))).withColumn("__total", largest_amount(F.col(text_col)))
-    by_ld, both, one = F.col("__ld").isNotNull(), F.col("__id").isNotNull() & F.col("__total").isNotNull(), F.col("__id").isNotNull() | F.col("__total").isNotNull()
+    told = F.struct(order_id(F.col(text_col)).alias("id"), largest_amount(F.col(text_col)).alias("total"))
+    out = rows.withColumn("__ld", F.explode(F.array(F.when(marked, order_of(json_ld(F.col(html_col)))))))
+    # Patterns only where linked data hasn't decided.
+    out = out.withColumn("__told", F.explode(F.array(F.when(F.col("__ld").isNull(), told))))
+    by_ld, n = F.col("__ld").isNotNull(), F.col("__told.id").isNotNull().cast("int") + F.col("__told.total").isNotNull().cast("int")
     return out.withColumns({
-        "order_id": F.when(by_ld, F.col("__ld.order_id")).otherwise(F.col("__id")),
-        "total": F.when(by_ld, F.col("__ld.total")).otherwise(F.col("__total")),
-        "method": F.when(by_ld, "linked_data").when(one, "pattern").otherwise("none"),
-        "confidence": F.when(by_ld, 95).when(both, 80).when(one, 60).otherwise(0).cast("long"),
-    }).drop("__ld", "__id", "__total")
+        "order_id": F.when(by_ld, F.col("__ld.order_id")).otherwise(F.col("__told.id")),
+        "total": F.when(by_ld, F.col("__ld.total")).otherwise(F.col("__told.total")),
+        "method": F.when(by_ld, "linked_data").when(n > 0, "pattern").otherwise("none"),
+        "confidence": F.when(by_ld, 95).when(n == 2, 80).when(n == 1, 60).otherwise(0).cast("long"),
+    }).drop("__ld", "__told")
 
 
 # How a table's cells are told apart.

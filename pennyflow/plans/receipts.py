@@ -171,15 +171,21 @@ def recent_errors(spark, sf_dir) -> DataFrame:
     return last.crossJoin(sums)
 
 
-@query("j18_merchant_coverage", f"""WITH {LIVE}, m AS (SELECT DISTINCT lower(merchant_name) AS name FROM v WHERE merchant_name IS NOT NULL), t AS (SELECT event_id, 'card to shop ' || (user_id % 20)::VARCHAR || ' town' AS text FROM e WHERE event_type = 'purchase'),
-j AS (SELECT m.name, t.event_id, x.txn_id IS NOT NULL AS hit FROM m JOIN t ON contains(t.text, m.name) LEFT JOIN (SELECT DISTINCT txn_id FROM x) x ON x.txn_id = t.event_id)
-SELECT name, count(*) AS txns, count_if(hit)::BIGINT AS covered FROM j GROUP BY 1""")
+@query("j18_merchant_coverage", f"""WITH {LIVE}, m AS (SELECT DISTINCT lower(merchant_name) AS name FROM v WHERE merchant_name IS NOT NULL),
+t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'My Shop ' || (user_id % 20)::VARCHAR END AS merchant, 'card to the' || CASE WHEN event_id % 2 = 0 THEN 'SHOP ' ELSE 'other' END || (user_id % 15)::VARCHAR || 'town' AS description, event_id % 8 AS k FROM e WHERE event_type = 'purchase'),
+j AS (SELECT m.name, t.*, t.event_id IN (SELECT txn_id FROM x) AS hit FROM m JOIN t ON contains(lower(coalesce(merchant, '')), m.name) OR contains(lower(description), m.name))
+SELECT name, count(*) AS txns, count_if(NOT hit)::BIGINT AS uncovered, count_if(k IN (1, 5))::BIGINT AS amazon, count_if(k = 1)::BIGINT AS amazon_business, count_if(k IN (2, 6))::BIGINT AS apple FROM j GROUP BY 1""")
 def merchant_coverage(spark, sf_dir) -> DataFrame:
-    """Transactions whose text holds a receipts' merchant, and how many of them a receipt covers.
-
-    Merchants are met by the words they begin with: an equi-join, with the containment as its residue.
-    """
+    """Transactions whose merchant or description holds a receipts' merchant anywhere, inside words too: how many no receipt covers, and how many each other source does."""
     names = live(spark, sf_dir).where("merchant_name IS NOT NULL").select(F.lower("merchant_name").alias("name")).distinct()
-    t = events(spark, sf_dir, "purchase").select("event_id", F.concat(F.lit("card to shop "), (F.col("user_id") % 20).cast("string"), F.lit(" town")).alias("text"))
-    done = receipt_matches(spark, sf_dir).select(F.col("txn_id").alias("event_id")).distinct().withColumn("hit", F.lit(True))
-    return op.named_in(t, names, "event_id", "text").join(done, "event_id", "left").groupBy("name").agg(F.count("*").alias("txns"), F.count("hit").alias("covered"))
+    e = events(spark, sf_dir, "purchase")
+    place = F.when(F.col("event_id") % 2 == 0, "SHOP ").otherwise("other")
+    t = e.select(
+        F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("My Shop "), (F.col("user_id") % 20).cast("string"))).alias("merchant"),
+        F.concat(F.lit("card to the"), place, (F.col("user_id") % 15).cast("string"), F.lit("town")).alias("description"),
+    )
+    k = F.col("event_id") % 8
+    kinds = F.array_compact(F.array(F.when(k.isin(1, 5), "amazon"), F.when(k == 1, "amazon_business"), F.when(k.isin(2, 6), "apple")))
+    sources = e.select(F.col("event_id").alias("id"), F.explode(kinds).alias("source"))
+    matched = receipt_matches(spark, sf_dir).select(F.col("txn_id").alias("id"))
+    return op.coverage(t, names, matched, sources, ("amazon", "amazon_business", "apple"))

@@ -291,7 +291,16 @@ def test_linked_data_items_and_graphs(spark):
     doc = '<script type="application/ld+json">{"@graph":[{"@type":"Person"},{"@type":"Invoice","confirmationNumber":"C9","totalPaymentDue":{"price":"8.00","priceCurrency":"EUR"},"acceptedOffer":[{"itemOffered":{"name":"Tea"}},{"name":"Cup"}]}]}</script>'
     order = one(spark, receipts.order_of(receipts.json_ld(F.col("t"))), t=doc)
     assert (order["order_id"], float(order["total"]), order["currency"], order["items"]) == ("C9", 8.0, "EUR", ["Tea", "Cup"])
-    assert one(spark, receipts.order_of(F.col("t")), t="not json") is None
+    assert one(spark, receipts.order_of(F.array(F.col("t"))), t="not json") is None
+
+
+def test_linked_data_of_a_later_script(spark):
+    """The order among all scripts counts, whatever stands before it: other types, lists of types, what isn't JSON."""
+    script = lambda kind, doc: f"<script data-x=1 type={kind}>{doc}</script>"
+    page = script('"application/ld+json"', '{"@type":"Organization","name":"Shop"}') + script("'application/ld+json'", "{broken") + script("application/ld+json", '[{"@type":["Thing","Order"],"orderNumber":"A1","price":"3.00"}]') + script('"application/ld+json"', '{"@type":"Order","orderNumber":"B2"}')
+    assert one(spark, receipts.order_of(receipts.json_ld(F.col("t")))["order_id"], t=page) == "A1"
+    row = receipts.parsed(spark.createDataFrame([(page, "order number ZZZZZ9 total £9.00")], "h string, t string"), "h", "t").first()
+    assert (row["order_id"], float(row["total"]), row["method"], row["confidence"]) == ("A1", 3.0, "linked_data", 95)
 
 
 def test_table_items(spark):
