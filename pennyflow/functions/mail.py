@@ -10,60 +10,6 @@ from pyspark.sql import functions as F
 from .text import any_literal
 
 # Fixed values, each in the order in which they are tried.
-PERSONAL_DOMAINS = (
-    "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "yahoo.com", "yahoo.co.uk", "icloud.com", "me.com", "mac.com", "aol.com", "protonmail.com", "proton.me",
-)
-SHIPPING_SUBJECTS = ("your order is on the way", "your order has shipped", "your order has been shipped", "your order has been delivered", "your package is on its way", "out for delivery")
-BOOKING_SUBJECTS = ("booking confirmation for", "your reservation at", "reservation confirmed")
-STRONG_RECEIPT = (
-    "order confirmed", "order confirmation", "your order has been", "payment received", "payment confirmation", "receipt for your", "invoice #", "invoice number", "order #", "order number",
-    "transaction id", "confirmation number", "booking confirmed", "thank you for your order", "thank you for your purchase", "your receipt", "e-receipt", "digital receipt",
-)
-WEAK_RECEIPT = ("order", "receipt", "invoice", "confirmation", "purchase", "payment", "transaction", "booking", "subscription")
-STRONG_MARKETING = (
-    "shop now", "buy now", "order now", "get yours", "sale ends", "limited time", "flash sale", "black friday", "cyber monday", "exclusive deal", "special offer", "save up to", "up to % off",
-    "deals you", "deals for", "gift ideas", "gift guide", "perfect gift", "don't miss", "last chance", "hurry", "view in browser", "email preferences", "manage preferences",
-)
-WEAK_MARKETING = ("unsubscribe", "newsletter", "promotional", "marketing", "sale", "discount", "offer", "promo", "savings")
-RECEIPT_SENDERS = (
-    "auto-confirm@amazon", "order-update@amazon", "shipment-tracking@amazon", "return@amazon", "noreply@uber.com", "receipts@uber.com", "noreply@apple.com", "no_reply@email.apple.com",
-    "service@paypal", "noreply@paypal", "noreply@deliveroo", "orders@deliveroo", "receipts@netflix.com", "info@account.netflix.com", "noreply@spotify.com", "noreply@google.com",
-    "payments-noreply@google.com", "msa@communication.microsoft.com", "ebay@ebay.com", "orders@ebay.com", "transaction@ebay.com", "ebay@reply.ebay.com",
-)
-MARKETING_SENDERS = (
-    "store-news@amazon", "deals@amazon", "recommendations@amazon", "marketing@", "promo@", "newsletter@", "deals@", "offers@", "sales@", "promotions@", "campaign@", "email@", "hello@",
-)
-ORDER_NUMBER = r"(?i)(?:order|invoice|confirmation|booking|transaction)\s*(?:#|number|no\.?|id)?\s*[:.]?\s*[A-Z0-9-]{5,}"
-#: Of the body, so many characters count for the score.
-BODY_CHARS = 1000
-#: A vendor's word in the sender, its tests in order (accept?, confidence, where, how, any of) and what holds where none fits.
-VENDOR_GATES = (
-    ("ebay", ((True, 95, "subject", "contains", (", your order is confirmed",)), (True, 95, "subject", "starts", ("order confirmed:",)), (True, 95, "subject", "equals", ("your order is confirmed.", "your order is confirmed"))), (False, 90)),
-    ("amazon", (
-        (False, 95, "sender", "contains", ("store-news@amazon", "deals@amazon", "recommendations@amazon", "marketing@amazon", "promo@amazon")), (False, 95, "subject", "starts", ("your return",)),
-        (False, 95, "subject", "both", ("drop", "confirmation")),
-        (False, 95, "subject", "contains", ("has been dispatched", "has been shipped", "has shipped", "out for delivery", "arriving today", "arriving tomorrow", "delivered:", "dispatched:")),
-        (True, 95, "subject", "starts", ("ordered:",)), (True, 95, "subject", "equals", ("your amazon fresh order has been received",)),
-        (True, 95, "body", "contains", ("order is placed on behalf of", "thanks for your order")), (True, 90, "subject", "contains", ("your refund", "refund for")), (True, 90, "sender", "contains", ("return@amazon",)),
-    ), (False, 90)),
-    ("uber", ((True, 95, "subject", "starts and holds", ("your ", "trip with uber")),), (False, 90)),
-    ("paypal", ((True, 95, "subject", "starts", ("receipt for your payment to",)), (True, 95, "subject", "equals", ("your paypal receipt", "receipt for your paypal payment"))), (False, 90)),
-    ("microsoft", (
-        (False, 95, "sender", "contains", ("marketing@microsoft", "promo@microsoft", "newsletter@microsoft", "offers@microsoft", "xbox@microsoft")), (True, 95, "subject", "contains", ("your purchase of",)),
-        (True, 90, "subject", "contains", ("has been processed",)), (True, 95, "subject", "contains", ("order confirmation",)), (True, 90, "subject", "contains", ("your order", "subscription renewed", "payment received")),
-        (True, 95, "subject", "contains", ("receipt for your",)),
-        (False, 90, "subject", "contains", ("special offer", "save on", "exclusive deal", "limited time", "try for free", "introducing", "new features", "update available", "security alert", "sign-in activity", "verify your")),
-        (True, 85, "sender", "contains", ("microsoft-noreply@microsoft",)),
-    ), (False, 60)),
-    ("apple", (
-        (False, 95, "sender", "contains", ("news@apple", "news@email.apple", "marketing@apple", "promo@apple", "store@apple")),
-        (False, 95, "subject", "contains", ("subscription is confirmed", "subscription is expiring", "subscription confirmation", "subscription renewal", "your subscription is", "pre-order for", "is now available")),
-        (True, 95, "subject", "contains", ("your receipt from apple", "your invoice from apple", "your apple store order")), (True, 90, "subject", "contains", ("order confirmation", "your purchase")),
-        (False, 90, "subject", "contains", ("new in the app store", "discover", "special offer", "try apple", "get more from", "introducing", "free trial", "upgrade to", "what's new")),
-    ), (False, 60)),
-)
-#: Of these gates, those that importing tries, in its own order.
-IMPORT_ORDER = ("amazon", "ebay", "uber", "paypal", "microsoft", "apple")
 #: Kinds of errors by literals in the message or names of exceptions, and whether to try again; then the parse stages and the rest.
 ERROR_KINDS = (
     ("timeout", True, ("timeout",), ("TimeoutError", "ReadTimeout")),
@@ -88,73 +34,6 @@ def sender_domain(sender: Column) -> Column:
     return F.when(F.contains(sender, F.lit("@")), F.lower(F.substring_index(sender, "@", -1))).otherwise("")
 
 
-def _fits(text: Column, how: str, literals: Sequence[str]) -> Column:
-    if how == "contains":
-        return any_literal(text, literals)
-    if how == "equals":
-        return text.isin(*literals)
-    first, *more = [F.startswith(text, F.lit(x)) if how.startswith("starts") else F.contains(text, F.lit(x)) for x in literals]
-    if how == "both":
-        return first & more[0]
-    if how == "starts and holds":
-        return first & F.contains(text, F.lit(literals[1]))
-    for x in more:
-        first = first | x
-    return first
-
-
-def vendor_gate(subject: Column, sender: Column, body: Column, vendors: Sequence[str] | None = None) -> Column:
-    """vendor, accept and confidence of the first vendor whose word is in the sender; null where none is."""
-    fields = {"subject": low(subject), "sender": low(sender), "body": low(body)}
-    gates = {g[0]: g for g in VENDOR_GATES}
-    out = None
-    for vendor, tests, rest in [gates[v] for v in vendors or gates]:
-        named = lambda ok, points, vendor=vendor: F.struct(F.lit(vendor).alias("vendor"), F.lit(ok).alias("accept"), F.lit(points).cast("long").alias("confidence"))
-        own = None
-        for ok, points, where, how, literals in tests:
-            test = _fits(fields[where], how, literals)
-            own = F.when(test, named(ok, points)) if own is None else own.when(test, named(ok, points))
-        own = own.otherwise(named(*rest))
-        test = F.contains(fields["sender"], F.lit(vendor))
-        out = F.when(test, own) if out is None else out.when(test, own)
-    return out
-
-
-def likely_receipt(subject: Column, body: Column, sender: Column, unsubscribe: Column, has_markup: Column) -> Column:
-    """accept and confidence of a mail: markup decides, then a vendor's gate, then senders, then the score of the words.
-
-    Strong marketing words reject unless the sender is known for receipts. From a score of 3 on it is a
-    receipt, down from -2 marketing, and between them rejected at 50.
-    """
-    sender_, text = low(sender), F.concat(low(subject), F.lit(" "), F.lower(F.substring(F.coalesce(body, F.lit("")), 1, BODY_CHARS)))
-    known = any_literal(sender_, RECEIPT_SENDERS)
-    hits = lambda words: sum([F.contains(text, F.lit(w)).cast("int") for w in words], F.lit(0))
-    score = hits(STRONG_RECEIPT) * 2 + hits(WEAK_RECEIPT) - hits(STRONG_MARKETING) * 3 - hits(WEAK_MARKETING)
-    score = score + F.rlike(text, F.lit(ORDER_NUMBER)).cast("int") * 3 + known.cast("int") * 2
-    says = lambda ok, points: F.struct(F.lit(ok).alias("accept"), points.cast("long").alias("confidence"))
-    gate = vendor_gate(subject, sender, body)
-    by_score = (
-        F.when(score >= 3, says(True, F.least(70 + score * 5, F.lit(95)))).when(score <= -2, says(False, F.least(70 + F.abs(score) * 5, F.lit(95)))).otherwise(says(False, F.lit(50)))
-    )
-    return (
-        F.when(F.coalesce(has_markup, F.lit(False)), says(True, F.lit(100)))
-        .when(gate.isNotNull(), F.struct(gate["accept"].alias("accept"), gate["confidence"].alias("confidence")))
-        .when((F.coalesce(unsubscribe, F.lit("")) != "") & ~known, says(False, F.lit(85)))
-        .when(any_literal(sender_, MARKETING_SENDERS), says(False, F.lit(90)))
-        .when((hits(STRONG_MARKETING) > 0) & ~known, says(False, F.lit(80)))
-        .otherwise(by_score)
-    )
-
-
-def should_import(subject: Column, sender: Column, body: Column) -> Column:
-    """Whether a mail is taken in at all: not from personal domains, not about shipping or bookings, not refused by a vendor's gate."""
-    title, domain = low(subject), sender_domain(sender)
-    bought = any_literal(title, ("thank you for your purchase", "receipt", "invoice"))
-    gate = vendor_gate(subject, sender, body, IMPORT_ORDER)
-    refused = domain.isin(*PERSONAL_DOMAINS) | any_literal(title, SHIPPING_SUBJECTS) | any_literal(title, BOOKING_SUBJECTS) | ((domain == "woolrich.com") & ~bought)
-    return ~refused & F.coalesce(gate["accept"], F.lit(True))
-
-
 def has_order_markup(html: Column) -> Column:
     """Whether a page names an order as linked data or as microdata."""
     ld = F.contains(html, F.lit('"@type"')) & F.contains(html, F.lit('"Order"'))

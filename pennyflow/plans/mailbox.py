@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, mail, money, text
+from ..functions import dates, gates, mail, money, text
 from ..operators.matching import LEAST_SCORE, fuzzy_join
 from .base import MAILS, events, mails, pick, pick_sql, query, table
 
@@ -22,55 +22,129 @@ def hits_sql(column: str, words) -> str:
     return f"len(list_filter({quoted(words)}, lambda w: contains({column}, w)))"
 
 
-def gate_sql(vendors=None) -> str:
-    """The vendors' gates as one CASE over the columns subj, send and bod, giving a struct."""
-    tests = {
-        "contains": lambda c, w: any_sql(c, w), "equals": lambda c, w: f"list_contains({quoted(w)}, {c})", "starts": lambda c, w: f"list_bool_or(list_transform({quoted(w)}, lambda w: starts_with({c}, w)))",
-        "both": lambda c, w: f"(contains({c}, '{w[0]}') AND contains({c}, '{w[1]}'))", "starts and holds": lambda c, w: f"(starts_with({c}, '{w[0]}') AND contains({c}, '{w[1]}'))",
-    }
-    column = {"subject": "subj", "sender": "send", "body": "bod"}
-    gates, out = {g[0]: g for g in mail.VENDOR_GATES}, []
-    for v in vendors or gates:
-        _, rules, (ok, points) = gates[v]
-        inner = " ".join(f"WHEN {tests[how](column[where], words)} THEN {{'vendor': '{v}', 'accept': {yes}, 'confidence': {p}}}" for yes, p, where, how, words in rules)
-        out.append(f"WHEN contains(send, '{v}') THEN CASE {inner} ELSE {{'vendor': '{v}', 'accept': {ok}, 'confidence': {points}}} END")
-    return f"CASE {' '.join(out)} END"
-
-
-LOW = f"{MAILS}, lo AS (SELECT *, lower(subject) AS subj, lower(sender) AS send, lower(body) AS bod, lower(subject) || ' ' || lower(left(body, 1000)) AS txt FROM mail)"
-
-
-@query("p13_vendor_gates", f"WITH {LOW}, g AS (SELECT id, {gate_sql()} AS g FROM lo) SELECT id, g.vendor AS vendor, g.accept AS accept, g.confidence::BIGINT AS confidence FROM g WHERE g IS NOT NULL")
+#: Senders and subjects that meet every gate and every test of it, by a row's id: each sender with each subject.
+GATE_SENDERS = (
+    "friend@gmail.com", "news@bmail.sony-europe.com", "noreply@booking.com", "hello@shop.example", "news@woolrich.com", "no-reply@thefork.co.uk", "orders@designacable.com", "itinerary@ryanair.com", "mail@ctshirts.com", "ebay@ebay.com",
+    "auto-confirm@amazon.co.uk", "deals@amazon.co.uk", "return@amazon.co.uk", "noreply@uber.com", "service@paypal.co.uk", "microsoft-noreply@microsoft.com", "xbox@microsoft.com", "account@microsoft.com", "no_reply@email.apple.com",
+    "news@email.apple.com", "no-reply@lyftmail.com", "noreply@deliveroo.co.uk", "no-reply@spotify.com", "info@account.netflix.com", "payments-noreply@google.com", "play@google.com", "offers@marketing.ocado.com", "customer@ocado.com",
+    "team@citizensofsoil.com", "support@figma.com", "info@email.sebago.co.uk", "orders@sebago.co.uk", "transaction@etsy.com", "newsletter@big.example", "orders@shop.example",
+)
+GATE_SUBJECTS = (
+    "Booking confirmation for two", "Table booked", "Your shipment 12", "Your order is on the way", "Your booking is confirmed", "Your receipt", "Your designacable.com order confirmation", "Ryanair Travel Itinerary",
+    "With our thanks, here is your Charles Tyrwhitt e-receipt!", "Ann, your order is confirmed", "Order confirmed: red bolt", "Your order is confirmed.", "Your return of a lamp", "Drop-off confirmation", "Your parcel has shipped",
+    "Ordered: 'blue ring'", "Your Amazon Fresh order has been received", "Refund for your order", "Your Thursday evening trip with Uber", "Receipt for your payment to Shop", "Your PayPal receipt", "Your purchase of Office",
+    "It has been processed", "Order confirmation #A{id}B77", "Subscription renewed", "New features to discover", "Introducing a free trial", "Your subscription is expiring", "Your invoice from Apple", "What's new", "Your ride on Monday",
+    "Your receipt for rides", "Earn credits", "Your order's in the kitchen", "Google Play order receipt", "Your invoice is available", "Try Google today", "Olive oil order #12 confirmed", "Receipt for subscription payment 3 May",
+    "Your Sebago Order", "Your order has updates", "Your Etsy Purchase from Ann (12)", "Your Etsy Order dispatched (Receipt #12)", "Delivered", "Shop now: sale ends today", "Special offer, hurry", "Payment confirmation 123", "Hello there", "thank you for your purchase", "invoice number INV-{id}9",
+)
+
+
+def gated(spark, sf_dir) -> DataFrame:
+    """Mails with the senders and subjects above."""
+    m, n = mails(spark, sf_dir), len(GATE_SENDERS)
+    subject = F.replace(pick(GATE_SUBJECTS, F.floor(F.col("id") / n)), F.lit("{id}"), F.col("id").cast("string"))
+    return m.withColumns({"sender": pick(GATE_SENDERS, F.col("id")), "subject": subject})
+
+
+#: The same in SQL: lower-case subject, sender and body, and what is scored.
+LOW = f"""{MAILS}, gm AS (SELECT * REPLACE ({pick_sql(GATE_SENDERS, 'id')} AS sender, replace({pick_sql(GATE_SUBJECTS, f'id // {len(GATE_SENDERS)}')}, '{{id}}', id::VARCHAR) AS subject) FROM mail),
+lo AS (SELECT *, lower(subject) AS subj, lower(sender) AS send, lower(body) AS bod, lower(subject) || ' ' || lower(left(body, 1000)) AS txt FROM gm)"""
+#: Each gate in SQL, by its literals alone: what it says of the columns subj, send and bod ('vendor', accept, confidence), in the order in which they are tried.
+GATE_SQL = {
+    "gmail": "WHEN send LIKE '%gmail.com%' THEN ('gmail', false, 95)",
+    "sony": "WHEN send LIKE '%bmail.sony-europe.com%' THEN ('sony', false, 95)",
+    "booking": "WHEN send LIKE '%booking.com%' THEN ('booking', false, 95)",
+    "notice": """WHEN regexp_matches(subj, 'booking confirmation for|your reservation at|reservation confirmed|table booked|your booking at') THEN ('notice', false, 95)
+  WHEN regexp_matches(subj, 'your order is on the way|your order has shipped|your order has been shipped|your order has been delivered|your package is on its way|out for delivery|delivery update|tracking your order|your shipment|has been dispatched|is being prepared') THEN ('notice', false, 95)
+  WHEN send LIKE '%woolrich.com%' AND NOT regexp_matches(subj, 'receipt|invoice|your purchase|thank you for your purchase') THEN ('notice', false, 95)
+  WHEN regexp_matches(send, 'thefork\\.co\\.uk|thefork\\.com|opentable\\.com|opentable\\.co\\.uk') AND regexp_matches(subj, 'confirmation|booked') THEN ('notice', false, 95)""",
+    "designacable": "WHEN send LIKE '%designacable%' THEN ('designacable', subj = 'your designacable.com order confirmation', CASE WHEN subj = 'your designacable.com order confirmation' THEN 95 ELSE 90 END)",
+    "ryanair": "WHEN send LIKE '%ryanair%' THEN ('ryanair', subj = 'ryanair travel itinerary', CASE WHEN subj = 'ryanair travel itinerary' THEN 95 ELSE 90 END)",
+    "ctshirts": "WHEN send LIKE '%ctshirts%' AND subj = 'with our thanks, here is your charles tyrwhitt e-receipt!' THEN ('ctshirts', true, 95) WHEN send LIKE '%ctshirts%' THEN ('ctshirts', false, 90)",
+    "ebay": "WHEN send LIKE '%ebay%' AND (subj LIKE '%, your order is confirmed%' OR subj LIKE 'order confirmed:%' OR subj IN ('your order is confirmed.', 'your order is confirmed')) THEN ('ebay', true, 95) WHEN send LIKE '%ebay%' THEN ('ebay', false, 90)",
+    "amazon": """WHEN send LIKE '%amazon%' THEN CASE WHEN regexp_matches(send, '(store-news|deals|recommendations|marketing|promo)@amazon') OR subj LIKE 'your return%' OR (subj LIKE '%drop%' AND subj LIKE '%confirmation%')
+    OR regexp_matches(subj, 'has been dispatched|has been shipped|has shipped|out for delivery|arriving today|arriving tomorrow|delivered:|dispatched:') THEN ('amazon', false, 95)
+  WHEN subj LIKE 'ordered:%' OR subj = 'your amazon fresh order has been received' OR bod LIKE '%order is placed on behalf of%' OR bod LIKE '%thanks for your order%' THEN ('amazon', true, 95)
+  WHEN subj LIKE '%your refund%' OR subj LIKE '%refund for%' OR send LIKE '%return@amazon%' THEN ('amazon', true, 90) ELSE ('amazon', false, 90) END""",
+    "uber": "WHEN send LIKE '%uber%' AND subj LIKE 'your %' AND subj LIKE '%trip with uber%' THEN ('uber', true, 95) WHEN send LIKE '%uber%' THEN ('uber', false, 90)",
+    "paypal": "WHEN send LIKE '%paypal%' AND (subj LIKE 'receipt for your payment to%' OR subj IN ('your paypal receipt', 'receipt for your paypal payment')) THEN ('paypal', true, 95) WHEN send LIKE '%paypal%' THEN ('paypal', false, 90)",
+    "microsoft": """WHEN send LIKE '%microsoft%' THEN CASE WHEN regexp_matches(send, '(marketing|promo|newsletter|offers|xbox)@microsoft') THEN ('microsoft', false, 95) WHEN subj LIKE '%your purchase of%' THEN ('microsoft', true, 95)
+  WHEN subj LIKE '%has been processed%' THEN ('microsoft', true, 90) WHEN subj LIKE '%order confirmation%' THEN ('microsoft', true, 95) WHEN regexp_matches(subj, 'your order|subscription renewed|payment received') THEN ('microsoft', true, 90)
+  WHEN subj LIKE '%receipt for your%' THEN ('microsoft', true, 95)
+  WHEN regexp_matches(subj, 'special offer|save on|exclusive deal|limited time|try for free|introducing|new features|update available|security alert|sign-in activity|verify your') THEN ('microsoft', false, 90)
+  WHEN send LIKE '%microsoft-noreply@microsoft%' THEN ('microsoft', true, 85) ELSE ('microsoft', false, 60) END""",
+    "apple": """WHEN send LIKE '%apple%' THEN CASE WHEN regexp_matches(send, '(news@apple|news@email\\.apple|marketing@apple|promo@apple|store@apple)')
+    OR regexp_matches(subj, 'subscription is confirmed|subscription is expiring|subscription confirmation|subscription renewal|your subscription is|pre-order for|is now available') THEN ('apple', false, 95)
+  WHEN regexp_matches(subj, 'your receipt from apple|your invoice from apple|your apple store order') THEN ('apple', true, 95) WHEN regexp_matches(subj, 'order confirmation|your purchase') THEN ('apple', true, 90)
+  WHEN regexp_matches(subj, 'new in the app store|discover|special offer|try apple|get more from|introducing|free trial|upgrade to|what''s new') THEN ('apple', false, 90) ELSE ('apple', false, 60) END""",
+    "lyft": """WHEN send LIKE '%lyft%' THEN CASE WHEN regexp_matches(subj, 'your receipt for rides|your lyft ride receipt|receipt for your ride') THEN ('lyft', true, 95) WHEN subj LIKE '%your ride on%' THEN ('lyft', true, 90)
+  WHEN regexp_matches(subj, 'earn credits|refer a friend|special offer|free ride|promo code|discount') THEN ('lyft', false, 90) ELSE ('lyft', false, 60) END""",
+    "deliveroo": "WHEN send LIKE '%deliveroo%' AND regexp_matches(subj, 'order(''s| is) in the kitchen') THEN ('deliveroo', true, 95) WHEN send LIKE '%deliveroo%' THEN ('deliveroo', false, 90)",
+    "spotify": "WHEN send LIKE '%spotify%' THEN ('spotify', false, 95)",
+    "netflix": "WHEN send LIKE '%netflix%' THEN ('netflix', false, 95)",
+    "google": """WHEN send LIKE '%google%' THEN CASE WHEN regexp_matches(send, '(googleplay|payments)-noreply@google\\.com') AND regexp_matches(subj, 'receipt|invoice|order|payment') THEN ('google', true, 95)
+  WHEN regexp_matches(subj, 'google play order receipt|your invoice is available') THEN ('google', true, 95) WHEN regexp_matches(subj, 'payment confirmation|order confirmation|your receipt') THEN ('google', true, 90)
+  WHEN regexp_matches(subj, 'new features|introducing|try google|upgrade to|get more|special offer') THEN ('google', false, 90) ELSE ('google', false, 60) END""",
+    "ocado": "WHEN send LIKE '%ocado%' AND send LIKE '%marketing.ocado%' THEN ('ocado', false, 95)",
+    "citizensofsoil": """WHEN regexp_matches(send, 'citizensofsoil|citizens of soil') THEN CASE WHEN subj LIKE '%confirmed%' AND subj LIKE '%order%' THEN ('citizensofsoil', true, 95) WHEN subj LIKE '%is on the way%' THEN ('citizensofsoil', false, 95) ELSE ('citizensofsoil', false, 90) END""",
+    "figma": "WHEN send LIKE '%figma%' AND subj LIKE 'receipt for subscription payment%' THEN ('figma', true, 95) WHEN send LIKE '%figma%' THEN ('figma', false, 90)",
+    "sebago": """WHEN send LIKE '%sebago%' THEN CASE WHEN send LIKE '%info@%' OR send LIKE '%email.sebago%' THEN ('sebago', false, 95) WHEN subj LIKE '%sebago order%' OR subj LIKE '%order from sebago%' THEN ('sebago', true, 95)
+  WHEN subj LIKE '%has updates%' OR subj LIKE '%status%' THEN ('sebago', false, 95) ELSE ('sebago', false, 90) END""",
+    "etsy": """WHEN send LIKE '%etsy%' THEN CASE WHEN subj LIKE 'your etsy purchase from%' THEN ('etsy', true, 95) WHEN regexp_matches(subj, 'dispatched|shipped|on the way|delivered') THEN ('etsy', false, 95) ELSE ('etsy', false, 90) END""",
+}
+#: The gates that importing tries, in its order.
+IMPORTING = ("amazon", "ebay", "etsy", "uber", "paypal", "microsoft", "apple", "lyft", "deliveroo", "spotify", "netflix", "google", "ocado", "citizensofsoil", "figma")
+
+
+def gate_sql(names=None) -> str:
+    """The gates as one CASE that gives vendor, accept and confidence, or null."""
+    return f"CASE {' '.join(GATE_SQL[n] for n in names or GATE_SQL)} END"
+
+
+def split_sql(source: str, gate: str) -> str:
+    """Common tables that give each row of ``source`` its gate's answer as v, a and c."""
+    return f"{gate}0 AS (SELECT *, {gate_sql(IMPORTING if gate == 'ig' else None)} AS answer FROM {source}), {gate} AS (SELECT * EXCLUDE (answer), answer[1] AS v, answer[2] AS a, answer[3]::BIGINT AS c FROM {gate}0)"
+
+
+@query("p13_vendor_gates", f"WITH {LOW}, {split_sql('lo', 'g')} SELECT id, v AS vendor, a AS accept, c AS confidence FROM g WHERE v IS NOT NULL")
 def vendor_gates(spark, sf_dir) -> DataFrame:
-    """What the gate of a mail's vendor says, of six vendors; mails of others aren't judged."""
-    out = mails(spark, sf_dir).select("id", mail.vendor_gate(F.col("subject"), F.col("sender"), F.col("body")).alias("g")).where("g IS NOT NULL")
-    return out.select("id", "g.vendor", "g.accept", "g.confidence")
-
-
-LIKELY = f"""{LOW}, s AS (SELECT *, {gate_sql()} AS g, {any_sql('send', mail.RECEIPT_SENDERS)} AS known, {hits_sql('txt', mail.STRONG_MARKETING)} AS sm,
-  {hits_sql('txt', mail.STRONG_RECEIPT)} * 2 + {hits_sql('txt', mail.WEAK_RECEIPT)} - {hits_sql('txt', mail.STRONG_MARKETING)} * 3 - {hits_sql('txt', mail.WEAK_MARKETING)}
-  + CASE WHEN regexp_matches(txt, '(?i)(?:order|invoice|confirmation|booking|transaction)\\s*(?:#|number|no\\.?|id)?\\s*[:.]?\\s*[A-Z0-9-]{{5,}}') THEN 3 ELSE 0 END + CASE WHEN {any_sql('send', mail.RECEIPT_SENDERS)} THEN 2 ELSE 0 END AS score FROM lo),
-y AS (SELECT id, ts, amount, subject || ' ' || body AS both, CASE WHEN markup THEN true WHEN g IS NOT NULL THEN g.accept WHEN unsubscribe IS NOT NULL AND NOT known THEN false WHEN {any_sql('send', mail.MARKETING_SENDERS)} THEN false WHEN sm > 0 AND NOT known THEN false ELSE score >= 3 END AS accept,
-  CASE WHEN markup THEN 100 WHEN g IS NOT NULL THEN g.confidence WHEN unsubscribe IS NOT NULL AND NOT known THEN 85 WHEN {any_sql('send', mail.MARKETING_SENDERS)} THEN 90 WHEN sm > 0 AND NOT known THEN 80
+    """What the first of the 23 gates that applies says of a mail; mails that none applies to aren't judged."""
+    return gates.judged(gated(spark, sf_dir)).where("gate IS NOT NULL").select("id", "gate.vendor", "gate.accept", "gate.confidence")
+
+
+STRONG_SQL = """['order confirmed', 'order confirmation', 'your order has been', 'payment received', 'payment confirmation', 'receipt for your', 'invoice #', 'invoice number', 'order #', 'order number', 'transaction id', 'confirmation number',
+  'booking confirmed', 'thank you for your order', 'thank you for your purchase', 'your receipt', 'e-receipt', 'digital receipt']"""
+WEAK_SQL = "['order', 'receipt', 'invoice', 'confirmation', 'purchase', 'payment', 'transaction', 'booking', 'subscription']"
+PROMO_SQL = """['shop now', 'buy now', 'order now', 'get yours', 'sale ends', 'limited time', 'flash sale', 'black friday', 'cyber monday', 'exclusive deal', 'special offer', 'save up to', 'up to % off', 'deals you', 'deals for', 'gift ideas',
+  'gift guide', 'perfect gift', 'don''t miss', 'last chance', 'hurry', 'view in browser', 'email preferences', 'manage preferences']"""
+WEAK_PROMO_SQL = "['unsubscribe', 'newsletter', 'promotional', 'marketing', 'sale', 'discount', 'offer', 'promo', 'savings']"
+KNOWN_SQL = """regexp_matches(send, '(auto-confirm|order-update|shipment-tracking|return)@amazon|(noreply|receipts)@uber\\.com|noreply@apple\\.com|no_reply@email\\.apple\\.com|(service|noreply)@paypal|(noreply|orders)@deliveroo|receipts@netflix\\.com|info@account\\.netflix\\.com|noreply@spotify\\.com|(^|[^a-z])noreply@google\\.com|payments-noreply@google\\.com|noreply@google\\.com|msa@communication\\.microsoft\\.com|(ebay|orders|transaction)@ebay\\.com|ebay@reply\\.ebay\\.com')"""
+PUSHY_SQL = "regexp_matches(send, 'store-news@amazon|deals@amazon|recommendations@amazon|(marketing|promo|newsletter|deals|offers|sales|promotions|campaign|email|hello)@|news@uber')"
+COUNT = "len(list_filter({0}, lambda w: contains(txt, w)))"
+LIKELY = f"""{LOW}, {split_sql('lo', 'g')}, s AS (SELECT *, {KNOWN_SQL} AS known, {PUSHY_SQL} AS pushy, {COUNT.format(PROMO_SQL)} AS sm,
+  {COUNT.format(STRONG_SQL)} * 2 + {COUNT.format(WEAK_SQL)} - {COUNT.format(PROMO_SQL)} * 3 - {COUNT.format(WEAK_PROMO_SQL)}
+  + CASE WHEN regexp_matches(txt, '(?i)(?:order|invoice|confirmation|booking|transaction)\\s*(?:#|number|no\\.?|id)?\\s*[:.]?\\s*[A-Z0-9-]{{5,}}') THEN 3 ELSE 0 END + CASE WHEN {KNOWN_SQL} THEN 2 ELSE 0 END AS score FROM g),
+y AS (SELECT id, ts, amount, subject || ' ' || body AS both, CASE WHEN markup THEN true WHEN v IS NOT NULL THEN a WHEN unsubscribe IS NOT NULL AND NOT known THEN false WHEN pushy THEN false WHEN sm > 0 AND NOT known THEN false ELSE score >= 3 END AS accept,
+  CASE WHEN markup THEN 100 WHEN v IS NOT NULL THEN c WHEN unsubscribe IS NOT NULL AND NOT known THEN 85 WHEN pushy THEN 90 WHEN sm > 0 AND NOT known THEN 80
     WHEN score >= 3 OR score <= -2 THEN least(70 + abs(score) * 5, 95) ELSE 50 END::BIGINT AS confidence FROM s)"""
 
 
 @query("p14_likely_receipts", f"WITH {LIKELY} SELECT id, accept, confidence FROM y")
 def likely_receipts(spark, sf_dir) -> DataFrame:
-    """Markup, vendors' gates, senders and words: whether a mail is a receipt, and how surely."""
-    out = mails(spark, sf_dir).select("id", mail.likely_receipt(F.col("subject"), F.col("body"), F.col("sender"), F.col("unsubscribe"), F.col("markup")).alias("x"))
-    return out.select("id", "x.accept", "x.confidence")
+    """Markup, gates, senders and words: whether a mail is a receipt, and how surely."""
+    return gates.judged(gated(spark, sf_dir)).select("id", "likely.accept", "likely.confidence")
 
 
-IMPORTED = f"""i0 AS (SELECT *, {gate_sql(mail.IMPORT_ORDER)} AS ig, lower(regexp_extract(sender, '([^@]*)$', 1)) AS dom FROM lo),
-i AS (SELECT id, NOT (list_contains({quoted(mail.PERSONAL_DOMAINS)}, dom) OR {any_sql('subj', mail.SHIPPING_SUBJECTS)} OR {any_sql('subj', mail.BOOKING_SUBJECTS)}
-  OR (dom = 'woolrich.com' AND NOT {any_sql('subj', ('thank you for your purchase', 'receipt', 'invoice'))})) AND coalesce(ig.accept, true) AS imported FROM i0)"""
+IMPORTED = f"""{split_sql('lo', 'ig')}, i0 AS (SELECT *, lower(regexp_extract(sender, '([^@]*)$', 1)) AS dom FROM ig),
+i AS (SELECT id, NOT (dom IN ('gmail.com', 'googlemail.com', 'outlook.com', 'hotmail.com', 'live.com', 'msn.com', 'yahoo.com', 'yahoo.co.uk', 'icloud.com', 'me.com', 'mac.com', 'aol.com', 'protonmail.com', 'proton.me')
+  OR regexp_matches(subj, 'your order is on the way|your order has shipped|your order has been shipped|your order has been delivered|your package is on its way|out for delivery|booking confirmation for|your reservation at|reservation confirmed')
+  OR (dom = 'woolrich.com' AND NOT regexp_matches(subj, 'thank you for your purchase|receipt|invoice'))) AND coalesce(a, true) AS imported FROM i0)"""
 
 
 @query("p15_import_gate", f"WITH {LOW}, {IMPORTED} SELECT id, imported FROM i")
 def import_gate(spark, sf_dir) -> DataFrame:
     """Mails that are taken in at all."""
-    return mails(spark, sf_dir).select("id", mail.should_import(F.col("subject"), F.col("sender"), F.col("body")).alias("imported"))
+    return gates.judged(gated(spark, sf_dir)).select("id", "imported")
 
 
 def valid_sql(v: str) -> str:
@@ -222,11 +296,7 @@ h AS (SELECT DISTINCT id FROM rc JOIN t ON abs(floor((epoch_us(ts) - epoch_us(tt
 SELECT 'synced' AS stage, count(*) AS n FROM k UNION ALL SELECT 'imported', count_if(imported)::BIGINT FROM k UNION ALL SELECT 'receipts', count_if(imported AND accept)::BIGINT FROM k UNION ALL SELECT 'matched', count(*) FROM h""")
 def mail_pipeline(spark, sf_dir) -> DataFrame:
     """Mails taken in, found to be receipts, and matched to bank rows by tolerant amounts and days: how many pass each stage."""
-    m = mails(spark, sf_dir)
-    accept = mail.likely_receipt(F.col("subject"), F.col("body"), F.col("sender"), F.col("unsubscribe"), F.col("markup"))["accept"]
-    told = F.struct(mail.should_import(F.col("subject"), F.col("sender"), F.col("body")).alias("imported"), accept.alias("accept"))
-    # Exploding an array of one keeps the long tests from being copied into every use of their results.
-    m = m.select("id", "ts", "amount", F.explode(F.array(told)).alias("x")).select("id", "ts", "amount", "x.imported", (F.col("x.imported") & F.col("x.accept")).alias("receipt"))
+    m = gates.judged(gated(spark, sf_dir)).select("id", "ts", "amount", "imported", (F.col("imported") & F.col("likely.accept")).alias("receipt"))
     none = F.lit(None).cast("string")
     r = m.where("receipt").select(F.col("id").alias("receipt_id"), F.col("ts").alias("receipt_ts"), F.col("amount").alias("receipt_amount"), none.alias("receipt_merchant"))
     t = events(spark, sf_dir, "purchase").select(F.col("event_id").alias("txn_id"), F.col("ts").alias("txn_ts"), F.col("amount").alias("txn_amount"), none.alias("txn_merchant"))
