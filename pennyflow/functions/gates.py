@@ -1,13 +1,14 @@
 """Mail gates by an automaton: one pass over a mail finds all literals of all gates, and gates are tests of the bits that they set.
 
-Every literal that any gate or list looks for in a field has a bit. An Aho-Corasick automaton for each field, built once in a worker from the values below, sets the
-bits of a mail in Arrow batches; what follows (which gate is the first that applies, and what the words score) are comparisons of a few longs in generated code.
+Every literal that any gate or list looks for in a field has a bit. Aho-Corasick automata, built once in a worker from the values below, set the bits of a mail in
+Arrow batches; the first gate that decides and the number of each list's words follow from comparisons of masks. What is left to
+expressions is short enough for generated code that the JVM compiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import lru_cache, reduce
+from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
@@ -127,133 +128,128 @@ ORDER_NUMBER = r"(?i)(?:order|invoice|confirmation|booking|transaction)\s*(?:#|n
 BODY_CHARS = 1000
 
 FIELDS = ("subject", "sender", "body", "text")
-#: Bits of a long that are used: the sign is left alone.
-WORD_BITS = 63
+LISTS = {
+    "strong_receipt": ("text", STRONG_RECEIPT), "weak_receipt": ("text", WEAK_RECEIPT), "strong_marketing": ("text", STRONG_MARKETING), "weak_marketing": ("text", WEAK_MARKETING),
+    "known": ("sender", RECEIPT_SENDERS), "pushy": ("sender", MARKETING_SENDERS), "refused": ("subject", (*SHIPPING_SUBJECTS, *BOOKING_SUBJECTS)), "bought": ("subject", BOUGHT_SUBJECTS),
+}
+#: What is told of a mail: the places of the answers in VERDICTS (-1 for none), and how many literals of each list it holds.
+TOLD = ("gate", "importing", *LISTS)
 
 
 def _looked_for() -> dict[tuple[str, str, str], int]:
     """The bit of each literal, by field and how it is tested."""
-    wanted = [("text", "contains", x) for x in (*STRONG_RECEIPT, *WEAK_RECEIPT, *STRONG_MARKETING, *WEAK_MARKETING)]
-    wanted += [("sender", "contains", x) for x in (*RECEIPT_SENDERS, *MARKETING_SENDERS)] + [("subject", "contains", x) for x in (*SHIPPING_SUBJECTS, *BOOKING_SUBJECTS, *BOUGHT_SUBJECTS)]
+    wanted = [(field, "contains", x) for field, literals in LISTS.values() for x in literals]
     for gate in GATES:
         wanted += [("sender", "contains", x) for x in gate.words]
         wanted += [(field, "contains" if how == "lacks" else how, x) for _, _, conditions in gate.tests for field, how, literals in conditions for x in literals]
-    return {key: k for k, key in enumerate(dict.fromkeys(wanted))}
+    return {key: 1 << k for k, key in enumerate(dict.fromkeys(wanted))}
 
 
 BITS = _looked_for()
-WORDS = -(-len(BITS) // WORD_BITS)
 
 
-@lru_cache(maxsize=1)
-def automata() -> dict[str, ahocorasick.Automaton]:
-    """An automaton for each field: a literal's length and the bits that it sets anywhere, at the start, and as the whole."""
-    found = {}
-    for field in FIELDS:
-        own = ahocorasick.Automaton()
-        for literal in dict.fromkeys(x for f, _, x in BITS if f == field):
-            own.add_word(literal, (len(literal), tuple(BITS.get((field, how, literal)) for how in ("contains", "starts", "equals"))))
-        own.make_automaton()
-        found[field] = own
-    return found
-
-
-def _hits(*columns: pa.Array) -> pa.Array:
-    out = np.zeros((len(columns[0]), WORDS), np.int64)
-    for field, column in zip(FIELDS, columns, strict=True):
-        search = automata()[field].iter
-        for row, text in enumerate(column.to_pylist()):
-            for end, (length, (anywhere, start, whole)) in search(text):
-                if anywhere is not None:
-                    out[row, anywhere // WORD_BITS] |= 1 << anywhere % WORD_BITS
-                if end + 1 == length:
-                    if start is not None:
-                        out[row, start // WORD_BITS] |= 1 << start % WORD_BITS
-                    if whole is not None and length == len(text):
-                        out[row, whole // WORD_BITS] |= 1 << whole % WORD_BITS
-    return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), WORDS).cast(pa.list_(pa.int64()))
-
-
-def _low(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit("")))
-
+def mask(field: str, how: str, literals: Iterable[str]) -> int:
+    """The bits that tell that one of the literals fits."""
+    return sum({BITS[field, "contains" if how == "lacks" else how, x] for x in literals})
+
+
+#: vendor, accept and confidence of everything that a gate can say.
+VERDICTS = tuple((g.name, accept, confidence) for g in GATES for accept, confidence in [*((t[0], t[1]) for t in g.tests), *([g.rest] if g.rest is not None else [])])
+
+
+class Machine:
+    """The automata of the fields and the gates as masks, built once in a worker."""
+
+    def __init__(self) -> None:
+        self.search = {}
+        for field in FIELDS:
+            own = ahocorasick.Automaton()
+            for literal in dict.fromkeys(x for f, _, x in BITS if f == field):
+                anywhere, start, whole = (BITS.get((field, how, literal), 0) for how in ("contains", "starts", "equals"))
+                own.add_word(literal, (len(literal), anywhere, anywhere | start, anywhere | start | whole))
+            own.make_automaton()
+            self.search[field] = own.iter
+        self.lists = [mask(field, "contains", literals) for field, literals in LISTS.values()]
+        gates, place = {}, 0
+        for g in GATES:
+            tests = [([(mask(*c), c[1] == "lacks") for c in conditions], place + k) for k, (_, _, conditions) in enumerate(g.tests)]
+            place += len(tests) + (g.rest is not None)
+            gates[g.name] = (mask("sender", "contains", g.words), tests, place - 1 if g.rest is not None else None)
+        self.orders = [list(gates.values()), [gates[n] for n in IMPORT_ORDER]]
+
+    def bits(self, texts: Sequence[str]) -> int:
+        found = 0
+        for field, text in zip(FIELDS, texts, strict=True):
+            size = len(text)
+            for end, (length, anywhere, start, whole) in self.search[field](text):
+                found |= anywhere if end + 1 != length else whole if length == size else start
+        return found
+
+    @staticmethod
+    def first(bits: int, gates: Sequence[tuple]) -> int:
+        """The place of the first answer that holds."""
+        for words, tests, rest in gates:
+            if words and not bits & words:
+                continue
+            for conditions, place in tests:
+                if all(bool(bits & m) != lacks for m, lacks in conditions):
+                    return place
+            if rest is not None:
+                return rest
+        return -1
+
+    def told(self, texts: Sequence[str]) -> list[int]:
+        bits = self.bits(texts)
+        return [*(self.first(bits, g) for g in self.orders), *((bits & m).bit_count() for m in self.lists)]
 
-def hits(subject: Column, sender: Column, body: Column) -> Column:
-    """The bits of all literals that a mail holds, whatever the case; a null field holds none."""
-    text = F.concat(_low(subject), F.lit(" "), F.lower(F.substring(F.coalesce(body, F.lit("")), 1, BODY_CHARS)))
-    return F.arrow_udf(_hits, "array<bigint>")(_low(subject), _low(sender), _low(body), text)
 
-
-def masks(field: str, how: str, literals: Iterable[str]) -> dict[int, int]:
-    """Which bits of which word tell that one of the literals fits."""
-    found: dict[int, int] = {}
-    for x in literals:
-        bit = BITS[field, how, x]
-        found[bit // WORD_BITS] = found.get(bit // WORD_BITS, 0) | 1 << bit % WORD_BITS
-    return found
+@lru_cache(maxsize=1)
+def machine() -> Machine:
+    return Machine()
 
 
-def holds(bits: Column, field: str, how: str, literals: Iterable[str]) -> Column:
-    """Whether one of the literals fits; with ``lacks``, whether none is contained."""
-    tests = [F.get(bits, F.lit(w)).bitwiseAND(F.lit(m).cast("long")) != 0 for w, m in masks(field, "contains" if how == "lacks" else how, literals).items()]
-    out = reduce(lambda a, b: a | b, tests)
-    return ~out if how == "lacks" else out
+def _told(*columns: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in columns), strict=True)
+    told = np.array([machine().told(r) for r in rows], np.int32).reshape(-1, len(TOLD))
+    return pa.StructArray.from_arrays([pa.array(told[:, k]) for k in range(len(TOLD))], names=list(TOLD))
 
 
-def counted(bits: Column, field: str, literals: Iterable[str]) -> Column:
-    """How many of the literals are contained."""
-    return reduce(lambda a, b: a + b, [F.bit_count(F.get(bits, F.lit(w)).bitwiseAND(F.lit(m).cast("long"))) for w, m in masks(field, "contains", literals).items()])
+def _low(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
-def verdict(bits: Column, names: Sequence[str] | None = None) -> Column:
-    """vendor, accept and confidence of the first gate, of those named in their order, that decides; null where none does."""
-    by_name = {g.name: g for g in GATES}
-    known: list[tuple[str, bool, int]] = []
-    chain = None
-    for gate in [by_name[n] for n in names or by_name]:
-        sent = holds(bits, "sender", "contains", gate.words) if gate.words else None
-        tests = [*gate.tests, *([(*gate.rest, ())] if gate.rest is not None else [])]
-        for accept, confidence, conditions in tests:
-            every = [*([sent] if sent is not None else []), *[holds(bits, *c) for c in conditions]]
-            test, place = reduce(lambda a, b: a & b, every), F.lit(len(known))
-            chain = F.when(test, place) if chain is None else chain.when(test, place)
-            known.append((gate.name, accept, confidence))
-    said = [F.struct(F.lit(v).alias("vendor"), F.lit(a).alias("accept"), F.lit(n).cast("long").alias("confidence")) for v, a, n in known]
-    return F.get(F.array(*said), chain)
+def answer(place: Column) -> Column:
+    """vendor, accept and confidence at a place of VERDICTS; null for none."""
+    said = ", ".join(f"named_struct('vendor', '{v}', 'accept', {str(a).lower()}, 'confidence', {n}L)" for v, a, n in VERDICTS)
+    return F.when(place >= 0, F.get(F.expr(f"array({said})"), place))
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """``rows`` (subject, sender, body, unsubscribe, markup) with ``gate``, ``likely`` (accept and confidence) and ``imported``. Texts may be null.
 
     For ``likely`` markup decides, then the gates, then senders, then the score of the words: strong marketing words reject unless the sender is known for receipts; from a score of 3 on a mail is a receipt,
-    down from -2 marketing, and between them rejected at 50. Of the body the first BODY_CHARS characters count for the score, and all of it for the gates.
+    down from -2 marketing, and between them rejected at 50. A mail is ``imported`` unless it comes from a personal domain, is about shipping or a booking, or is refused by the gates that importing tries. Of the body the first BODY_CHARS characters count for the score, and all of it for the gates.
     """
     text = F.concat(_low(F.col("subject")), F.lit(" "), F.lower(F.substring(F.coalesce("body", F.lit("")), 1, BODY_CHARS)))
-    bits = F.col("__bits")
-    known = holds(bits, "sender", "contains", RECEIPT_SENDERS)
-    strong = counted(bits, "text", STRONG_MARKETING)
-    score = counted(bits, "text", STRONG_RECEIPT) * 2 + counted(bits, "text", WEAK_RECEIPT) - strong * 3 - counted(bits, "text", WEAK_MARKETING)
-    score = score + F.rlike(text, F.lit(ORDER_NUMBER)).cast("int") * 3 + known.cast("int") * 2
-    told = F.struct(verdict(bits).alias("gate"), score.alias("score"), known.alias("known"), holds(bits, "sender", "contains", MARKETING_SENDERS).alias("pushy"), (strong > 0).alias("strong"), taken_in(bits, F.col("sender")).alias("imported"))
-    # Exploding an array of one keeps what the tests give from being computed anew in each of its uses.
-    out = rows.withColumn("__bits", hits(F.col("subject"), F.col("sender"), F.col("body"))).withColumn("__told", F.explode(F.array(told)))
+    told = F.arrow_udf(_told, ", ".join(f"{n} int" for n in TOLD))(_low(F.col("subject")), _low(F.col("sender")), _low(F.col("body")), text)
+    out = rows.withColumn("__told", told).withColumn("__numbered", F.rlike(text, F.lit(ORDER_NUMBER)))
+    t = lambda n: F.col(f"__told.{n}")
+    gate, unknown = answer(t("gate")), t("known") == 0
+    score = t("strong_receipt") * 2 + t("weak_receipt") - t("strong_marketing") * 3 - t("weak_marketing") + F.col("__numbered").cast("int") * 3 + F.when(unknown, 0).otherwise(2)
+    # Exploding an array of one keeps the score from being computed anew in each of its uses.
+    out = out.withColumn("__score", F.explode(F.array(score)))
+    domain = F.when(F.contains("sender", F.lit("@")), F.lower(F.substring_index("sender", "@", -1))).otherwise("")
+    refused = F.coalesce(domain.isin(*PERSONAL_DOMAINS) | ((domain == SHIPPING_DOMAIN) & (t("bought") == 0)), F.lit(False)) | (t("refused") > 0)
     says = lambda ok, points: F.struct(F.lit(ok).alias("accept"), points.cast("long").alias("confidence"))
-    s, gate, unknown = F.col("__told.score"), F.col("__told.gate"), ~F.col("__told.known")
+    s = F.col("__score")
     sure = F.least(70 + F.abs(s) * 5, F.lit(95))
     likely = (
         F.when(F.coalesce("markup", F.lit(False)), says(True, F.lit(100)))
         .when(gate.isNotNull(), F.struct(gate["accept"].alias("accept"), gate["confidence"].alias("confidence")))
         .when((F.coalesce("unsubscribe", F.lit("")) != "") & unknown, says(False, F.lit(85)))
-        .when(F.col("__told.pushy"), says(False, F.lit(90)))
-        .when(F.col("__told.strong") & unknown, says(False, F.lit(80)))
+        .when(t("pushy") > 0, says(False, F.lit(90)))
+        .when((t("strong_marketing") > 0) & unknown, says(False, F.lit(80)))
         .when(s >= 3, says(True, sure)).when(s <= -2, says(False, sure)).otherwise(says(False, F.lit(50)))
     )
-    return out.withColumns({"gate": gate, "likely": likely, "imported": F.col("__told.imported")}).drop("__bits", "__told")
-
-
-def taken_in(bits: Column, sender: Column) -> Column:
-    """Whether a mail is taken in at all: not from personal domains, not about shipping or bookings, not refused by the gates that importing tries."""
-    domain = F.when(F.contains(sender, F.lit("@")), F.lower(F.substring_index(sender, "@", -1))).otherwise("")
-    refused = F.coalesce(domain.isin(*PERSONAL_DOMAINS), F.lit(False)) | holds(bits, "subject", "contains", (*SHIPPING_SUBJECTS, *BOOKING_SUBJECTS))
-    refused = refused | (F.coalesce(domain == SHIPPING_DOMAIN, F.lit(False)) & holds(bits, "subject", "lacks", BOUGHT_SUBJECTS))
-    return ~refused & F.coalesce(verdict(bits, IMPORT_ORDER)["accept"], F.lit(True))
+    imported = ~refused & F.coalesce(answer(t("importing"))["accept"], F.lit(True))
+    return out.withColumns({"gate": gate, "likely": likely, "imported": imported}).drop("__told", "__numbered", "__score")

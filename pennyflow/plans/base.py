@@ -97,8 +97,9 @@ DESCRIPTIONS = (
 
 
 def pick(values, at):
-    """The value at the place ``at``, counted around."""
-    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(at, F.lit(len(values))).cast("int"))
+    """The text at the place ``at``, counted around."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.get(F.expr(f"array({quoted})"), F.pmod(at, F.lit(len(values))).cast("int"))
 
 
 def pick_sql(values, at: str) -> str:

@@ -46,8 +46,9 @@ def gated(spark, sf_dir) -> DataFrame:
     return m.withColumns({"sender": pick(GATE_SENDERS, F.col("id")), "subject": subject})
 
 
-#: The same in SQL: lower-case subject, sender and body, and what is scored.
-LOW = f"""{MAILS}, gm AS (SELECT * REPLACE ({pick_sql(GATE_SENDERS, 'id')} AS sender, replace({pick_sql(GATE_SUBJECTS, f'id // {len(GATE_SENDERS)}')}, '{{id}}', id::VARCHAR) AS subject) FROM mail),
+#: The same in SQL: lower-case subject, sender and body, and what is scored; and of the mails as they are.
+LOW = f"{MAILS}, lo AS (SELECT *, lower(subject) AS subj, lower(sender) AS send, lower(body) AS bod, lower(subject) || ' ' || lower(left(body, 1000)) AS txt FROM mail)"
+GATED = f"""{MAILS}, gm AS (SELECT * REPLACE ({pick_sql(GATE_SENDERS, 'id')} AS sender, replace({pick_sql(GATE_SUBJECTS, f'id // {len(GATE_SENDERS)}')}, '{{id}}', id::VARCHAR) AS subject) FROM mail),
 lo AS (SELECT *, lower(subject) AS subj, lower(sender) AS send, lower(body) AS bod, lower(subject) || ' ' || lower(left(body, 1000)) AS txt FROM gm)"""
 #: Each gate in SQL, by its literals alone: what it says of the columns subj, send and bod ('vendor', accept, confidence), in the order in which they are tried.
 GATE_SQL = {
@@ -106,7 +107,7 @@ def split_sql(source: str, gate: str) -> str:
     return f"{gate}0 AS (SELECT *, {gate_sql(IMPORTING if gate == 'ig' else None)} AS answer FROM {source}), {gate} AS (SELECT * EXCLUDE (answer), answer[1] AS v, answer[2] AS a, answer[3]::BIGINT AS c FROM {gate}0)"
 
 
-@query("p13_vendor_gates", f"WITH {LOW}, {split_sql('lo', 'g')} SELECT id, v AS vendor, a AS accept, c AS confidence FROM g WHERE v IS NOT NULL")
+@query("p13_vendor_gates", f"WITH {GATED}, {split_sql('lo', 'g')} SELECT id, v AS vendor, a AS accept, c AS confidence FROM g WHERE v IS NOT NULL")
 def vendor_gates(spark, sf_dir) -> DataFrame:
     """What the first of the 23 gates that applies says of a mail; mails that none applies to aren't judged."""
     return gates.judged(gated(spark, sf_dir)).where("gate IS NOT NULL").select("id", "gate.vendor", "gate.accept", "gate.confidence")
@@ -121,7 +122,7 @@ WEAK_PROMO_SQL = "['unsubscribe', 'newsletter', 'promotional', 'marketing', 'sal
 KNOWN_SQL = """regexp_matches(send, '(auto-confirm|order-update|shipment-tracking|return)@amazon|(noreply|receipts)@uber\\.com|noreply@apple\\.com|no_reply@email\\.apple\\.com|(service|noreply)@paypal|(noreply|orders)@deliveroo|receipts@netflix\\.com|info@account\\.netflix\\.com|noreply@spotify\\.com|(^|[^a-z])noreply@google\\.com|payments-noreply@google\\.com|noreply@google\\.com|msa@communication\\.microsoft\\.com|(ebay|orders|transaction)@ebay\\.com|ebay@reply\\.ebay\\.com')"""
 PUSHY_SQL = "regexp_matches(send, 'store-news@amazon|deals@amazon|recommendations@amazon|(marketing|promo|newsletter|deals|offers|sales|promotions|campaign|email|hello)@|news@uber')"
 COUNT = "len(list_filter({0}, lambda w: contains(txt, w)))"
-LIKELY = f"""{LOW}, {split_sql('lo', 'g')}, s AS (SELECT *, {KNOWN_SQL} AS known, {PUSHY_SQL} AS pushy, {COUNT.format(PROMO_SQL)} AS sm,
+LIKELY = f"""{GATED}, {split_sql('lo', 'g')}, s AS (SELECT *, {KNOWN_SQL} AS known, {PUSHY_SQL} AS pushy, {COUNT.format(PROMO_SQL)} AS sm,
   {COUNT.format(STRONG_SQL)} * 2 + {COUNT.format(WEAK_SQL)} - {COUNT.format(PROMO_SQL)} * 3 - {COUNT.format(WEAK_PROMO_SQL)}
   + CASE WHEN regexp_matches(txt, '(?i)(?:order|invoice|confirmation|booking|transaction)\\s*(?:#|number|no\\.?|id)?\\s*[:.]?\\s*[A-Z0-9-]{{5,}}') THEN 3 ELSE 0 END + CASE WHEN {KNOWN_SQL} THEN 2 ELSE 0 END AS score FROM g),
 y AS (SELECT id, ts, amount, subject || ' ' || body AS both, CASE WHEN markup THEN true WHEN v IS NOT NULL THEN a WHEN unsubscribe IS NOT NULL AND NOT known THEN false WHEN pushy THEN false WHEN sm > 0 AND NOT known THEN false ELSE score >= 3 END AS accept,
@@ -141,7 +142,7 @@ i AS (SELECT id, NOT (dom IN ('gmail.com', 'googlemail.com', 'outlook.com', 'hot
   OR (dom = 'woolrich.com' AND NOT regexp_matches(subj, 'thank you for your purchase|receipt|invoice'))) AND coalesce(a, true) AS imported FROM i0)"""
 
 
-@query("p15_import_gate", f"WITH {LOW}, {IMPORTED} SELECT id, imported FROM i")
+@query("p15_import_gate", f"WITH {GATED}, {IMPORTED} SELECT id, imported FROM i")
 def import_gate(spark, sf_dir) -> DataFrame:
     """Mails that are taken in at all."""
     return gates.judged(gated(spark, sf_dir)).select("id", "imported")
