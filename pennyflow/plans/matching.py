@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import embedded_date
 from ..functions.money import cents
 from ..functions.text import any_literal, is_store
+from ..operators import duplicates as near
 from ..operators import matching as m
 from .base import BANK, EVENTS, bank_rows, banked, bought, events, query, table
 
@@ -191,7 +192,17 @@ def unmatched(spark, sf_dir) -> DataFrame:
 def duplicates(spark, sf_dir) -> DataFrame:
     """Rows of one kind and hundred of the amount within five minutes and with similar items: the first is kept (J20). SQL has no matching-blocks ratio."""
     e = events(spark, sf_dir).withColumn("hundred", F.floor(F.col("amount") / 100).cast("long"))
-    return m.duplicates(e, ["event_type", "hundred"], "event_id", "ts", "props")
+    return near.duplicates(e, ["event_type", "hundred"], "event_id", "ts", "props")
+
+
+
+@query("j20_repeats", f"""WITH RECURSIVE {EVENTS}, k AS (SELECT event_id, ts, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM e),
+r AS (SELECT event_type, ts AS kt, event_id AS original, event_id, rn FROM k WHERE rn = 1
+  UNION ALL SELECT k.event_type, CASE WHEN k.ts - kt <= INTERVAL 90 MINUTE THEN kt ELSE k.ts END, CASE WHEN k.ts - kt <= INTERVAL 90 MINUTE THEN original ELSE k.event_id END, k.event_id, k.rn FROM r JOIN k ON k.event_type = r.event_type AND k.rn = r.rn + 1)
+SELECT original, event_id AS duplicate FROM r WHERE original <> event_id""")
+def repeats(spark, sf_dir) -> DataFrame:
+    """Rows of one kind within an hour and a half of a kept one, whatever else they hold (J20 without the ratio): keys that hardly pause, swept slice by slice."""
+    return near.duplicates(events(spark, sf_dir), ["event_type"], "event_id", "ts", "event_type", minutes=90)
 
 
 @query("j23_match_preview", f"""{PAIRS} SELECT txn_id, count(*) AS candidates, count_if(abs(signed) <= 7)::BIGINT AS in_band,

@@ -1,12 +1,14 @@
 """Boundaries of the operators, on literal rows."""
 
 import datetime as dt
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from pennyflow.functions import dates, descriptions, gates, mail, money, text
-from pennyflow.operators import categorise, enrichment, matching, mining, receipts, rules, tables
+from pennyflow.operators import categorise, duplicates, enrichment, matching, mining, receipts, rules, tables
 from pennyflow.plans import ledger, texts
 from pennyflow.sources import feeds
 from pennyflow.streaming import ingest
@@ -186,10 +188,35 @@ def test_fuzzy_boundaries(spark):
 def test_duplicates_keep_the_first(spark):
     at = lambda m, s=0: dt.datetime(2024, 1, 1, 10, m, s)
     rows = [(1, "m", at(0), "[a, b, c]"), (2, "m", at(4), "[a, b, c]"), (3, "m", at(8), "[a, b, c]"), (4, "m", at(8), "zzz"), (5, "m", at(9), ""), (6, "n", at(4), "[a, b, c]"), (7, "m", at(30), "[a, b, c]"), (8, "m", at(35), "[a, b, d]"), (9, "m", None, "[a, b, c]")]
-    got = matching.duplicates(spark.createDataFrame(rows, "id long, m string, ts timestamp, items string"), ["m"], "id", "ts", "items")
+    got = duplicates.duplicates(spark.createDataFrame(rows, "id long, m string, ts timestamp, items string"), ["m"], "id", "ts", "items")
     assert sorted(map(tuple, got.collect())) == [(1, 2), (7, 8)]  # 3 is more than five minutes after the kept one
 
 
+@pytest.mark.parametrize("hours", [0.25, 6])
+def test_duplicates_of_a_key_that_never_pauses(spark, hours):
+    """Against one sweep over all rows with the plain ratio: what is handed over from slice to slice changes what is kept far behind."""
+    drawn = random.Random(int(hours * 8))
+    rows, now = [], 0.0
+    for k in range(1200):
+        now += drawn.uniform(1, 100) if k % 300 else 2000
+        rows.append((k, drawn.choice(["a", "a", "a", None]), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=now), drawn.choice(["tea, cup", "tea, cups", "a cup of tea", "red bolt", "blue bolt", "bolt", "x" * drawn.randrange(1, 9)])))
+    want, kept = [], []
+    for k, key, t, items in rows:
+        of = next((j for j, other, s, text in kept if other == key and (t - s).total_seconds() <= 300 and SequenceMatcher(None, text, items).ratio() > 0.8), None)
+        kept.append((k, key, t, items)) if of is None else want.append((of, k))
+    df = spark.createDataFrame(rows, "id long, m string, ts timestamp, items string")
+    got = duplicates.duplicates(df, ["m"], "id", "ts", "items", slice_hours=hours)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 200
+
+
+def test_bounds_of_the_ratio():
+    drawn = random.Random(5)
+    for _ in range(2000):
+        a, b = ("".join(drawn.choice("abc ") for _ in range(drawn.randrange(1, 12))) for _ in range(2))
+        for similar in (0.5, 0.8, 1.0):
+            assert duplicates.alike(a, b, similar) == (SequenceMatcher(None, a, b).ratio() > similar)
+
+
 def test_extraction_order(spark):
     x = lambda t: one(spark, descriptions.extracted(F.col("t")), t=t)
     shadowed = x("CARD PAYMENT TO Shop*R1 ON 01-02-2024")
