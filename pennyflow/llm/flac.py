@@ -496,6 +496,11 @@ def decode_subframes(source: Bits, at: np.ndarray, size: np.ndarray, bits: np.nd
 
 def decode(streams: Sequence[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     """For each stream its blocks: (first sample, samples as an array of a row for each channel). Checksums are verified."""
+    return [blocks for _, blocks in decode_sized(streams)]
+
+
+def decode_sized(streams: Sequence[bytes]) -> list[tuple[int, list[tuple[int, np.ndarray]]]]:
+    """As ``decode``, each stream's blocks after the bits of its samples, as the stream tells them."""
     data = b"".join(streams)
     frames, per_stream, base = [], [], 0
     for s, stream in enumerate(streams):
@@ -542,7 +547,7 @@ def decode(streams: Sequence[bytes]) -> list[list[tuple[int, np.ndarray]]]:
                 digest.update(raw.tobytes())
             if digest.digest() != md5:
                 raise ValueError("the stream's MD5 is wrong")
-        out.append(blocks)
+        out.append((bits, blocks))
     return out
 
 
@@ -566,6 +571,14 @@ def padded(text: str | None) -> bytes:
     return raw + bytes(-len(raw) % 64 if raw else 64)
 
 
+def pcm_of(samples: np.ndarray, bits: int) -> bytes:
+    """A block's samples interleaved, in as many bytes as the stream's bits take: up to 8 unsigned, else signed and little-endian."""
+    flat = samples.T.ravel()
+    if bits <= 8:
+        return (flat + 128).astype(np.uint8).tobytes()
+    return flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : -(-bits // 8)].tobytes()
+
+
 def encode_column(df: DataFrame, payload_col: str, media_col: str = "media", drop: Sequence[str] = ()) -> DataFrame:
     """Every row of ``df`` with the stream of its payload: binary as it is, strings padded as ``padded`` says.
 
@@ -601,7 +614,7 @@ def decode_column(df: DataFrame, media_col: str = "media", outputs: Iterable[str
     """Every row of ``df`` with the wanted ``OUTPUTS``, from the decoded samples of its stream.
 
     ``blocks`` are PCM blocks in order, each with its first sample, so that a reader can seek; samples
-    are little-endian and interleaved, 8-bit ones unsigned. The digests are of all blocks' bytes, the
+    are interleaved, in as many bytes as the stream's bits take: up to 8 bits unsigned, others signed and little-endian. The digests are of all blocks' bytes, the
     checksum of the last ``tail``; ``mean_abs`` and ``crossings`` (changes of sign) are of the first channel.
     A null, damaged or foreign stream has nulls and its fault in ``error``. Streams of any length are decoded
     whole, repeated rows each. Columns named as an output, or in ``drop``, go; an empty table gives an empty table.
@@ -612,12 +625,9 @@ def decode_column(df: DataFrame, media_col: str = "media", outputs: Iterable[str
     block_kind = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())]))
     kinds = {"blocks": block_kind, "error": pa.string(), "payload_sha256": pa.string(), "mean_abs": pa.float64()}
 
-    def features(blocks: list[tuple[int, np.ndarray]]) -> dict:
+    def features(bits: int, blocks: list[tuple[int, np.ndarray]]) -> dict:
         row: dict = {"error": None, "samples": sum(b.shape[1] for _, b in blocks), "frames": len(blocks)}
-        raws = []
-        for _, b in blocks:
-            flat = b.T.ravel()
-            raws.append((flat + 128).astype(np.uint8).tobytes() if -128 <= flat.min() and flat.max() < 128 else flat.astype("<i4").tobytes())
+        raws = [pcm_of(b, bits) for _, b in blocks]
         if "payload_sha256" in wanted or "tail_crc32" in wanted:
             whole = b"".join(raws)
             row["payload_sha256"], row["tail_crc32"] = hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-tail:])
@@ -632,16 +642,16 @@ def decode_column(df: DataFrame, media_col: str = "media", outputs: Iterable[str
     def all_decoded(media: Sequence[bytes | None]) -> Iterator[dict]:
         for part in chunked([m or b"" for m in media]):
             try:
-                decoded = decode(part)
+                decoded = decode_sized(part)
             except (ValueError, IndexError):  # then one by one, to tell the damaged ones
                 decoded = []
                 for m in part:
                     try:
-                        decoded += decode([m])
+                        decoded += decode_sized([m])
                     except (ValueError, IndexError) as e:
                         decoded.append(str(e))
             for d in decoded:
-                yield {"error": d} if isinstance(d, str) else features(d)
+                yield {"error": d} if isinstance(d, str) else features(*d)
 
     def start():
         def make(media: pa.Array) -> list[pa.Array]:
@@ -659,10 +669,11 @@ def pcm_bytes(blocks: Column) -> Column:
 
 
 def pcm_range(blocks: Column, first: Column, n: Column) -> Column:
-    """The ``n`` samples from ``first`` on of one channel of 8 bits, read from the blocks that hold any of them and no others."""
+    """The bytes of the ``n`` samples from ``first`` on, of all channels, read from the blocks that hold any of them and no others."""
     held = F.filter(blocks, lambda b: (b["first_sample"] < first + n) & (b["first_sample"] + b["n_samples"] > first))
-    skip = first - F.get(held, F.lit(0))["first_sample"]
-    return F.substring(pcm_bytes(held), (skip + 1).cast("int"), n.cast("int"))
+    head = F.get(held, F.lit(0))
+    wide = F.length(head["pcm"]) / head["n_samples"]
+    return F.substring(pcm_bytes(held), ((first - head["first_sample"]) * wide + 1).cast("int"), (n * wide).cast("int"))
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Decoders and models against streams of other encoders and against plain, slow computations."""
 
+import hashlib
+import zlib
 from collections import Counter
 from math import exp, log, prod
 
@@ -87,6 +89,25 @@ def test_stereo_modes(mode):
     assert got.tolist() == [left, right]
 
 
+@pytest.mark.parametrize("bits", [8, 16, 24])
+def test_samples_are_as_wide_as_the_stream_says(spark, bits):
+    """A loud block and a silent one: their bytes follow the stream's bits, not the values."""
+    code, width = {8: "001", 16: "100", 24: "110"}[bits], bits // 8
+    loud, quiet = [(1 << bits - 1) - 1 - 3 * k for k in range(16)], [0, -1, 1, 0] * 4
+    stream = "".join(format(b, "08b") for b in b"fLaC\x80\x00\x00\x22") + format(16, "016b") * 2 + "0" * 48 + format(8000, "020b") + "000" + format(bits - 1, "05b") + format(32, "036b") + "0" * 128
+    for number, samples in enumerate((loud, quiet)):
+        head = "11111111" "11111000" + "0110" + "0000" + "0000" + code + "0" + format(number, "08b") + format(15, "08b")
+        frame = head + slow_crc(head, 0x07, 8) + "0" + "000001" + "0" + "".join(signed(x, bits) for x in samples)
+        stream += frame + slow_crc(frame, 0x8005, 16)
+    media = int(stream, 2).to_bytes(len(stream) // 8, "big")
+    want = b"".join((x + 128).to_bytes(1, "little") if bits == 8 else x.to_bytes(width, "little", signed=True) for x in loud + quiet)
+    row = flac.decode_column(spark.createDataFrame([(1, media)], "id long, media binary"), outputs=("blocks", "error", "payload_sha256", "tail_crc32", "samples"))
+    got = row.select("*", flac.pcm_bytes(F.col("blocks")).alias("all"), flac.pcm_range(F.col("blocks"), F.lit(14), F.lit(5)).alias("some")).first()
+    assert got["error"] is None and got["samples"] == 32 and [len(b["pcm"]) for b in got["blocks"]] == [16 * width] * 2
+    assert bytes(got["all"]) == want and bytes(got["some"]) == want[14 * width : 19 * width]
+    assert got["payload_sha256"] == hashlib.sha256(want).hexdigest() and got["tail_crc32"] == zlib.crc32(want[-64:])
+
+
 # --- toxicity
 
 
