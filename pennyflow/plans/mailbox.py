@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, gates, mail, money, text
+from ..operators import vendors
 from ..operators.matching import LEAST_SCORE, fuzzy_join
-from .base import MAILS, events, mails, pick, pick_sql, query, table
+from .base import EVENTS, MAILS, events, mails, pick, pick_sql, query, table
 
 
 def quoted(words) -> str:
@@ -122,13 +123,15 @@ WEAK_PROMO_SQL = "['unsubscribe', 'newsletter', 'promotional', 'marketing', 'sal
 KNOWN_SQL = """regexp_matches(send, '(auto-confirm|order-update|shipment-tracking|return)@amazon|(noreply|receipts)@uber\\.com|noreply@apple\\.com|no_reply@email\\.apple\\.com|(service|noreply)@paypal|(noreply|orders)@deliveroo|receipts@netflix\\.com|info@account\\.netflix\\.com|noreply@spotify\\.com|(^|[^a-z])noreply@google\\.com|payments-noreply@google\\.com|noreply@google\\.com|msa@communication\\.microsoft\\.com|(ebay|orders|transaction)@ebay\\.com|ebay@reply\\.ebay\\.com')"""
 PUSHY_SQL = "regexp_matches(send, 'store-news@amazon|deals@amazon|recommendations@amazon|(marketing|promo|newsletter|deals|offers|sales|promotions|campaign|email|hello)@|news@uber')"
 COUNT = "len(list_filter({0}, lambda w: contains(txt, w)))"
-LIKELY = f"""{GATED}, {split_sql('lo', 'g')}, s AS (SELECT *, {KNOWN_SQL} AS known, {PUSHY_SQL} AS pushy, {COUNT.format(PROMO_SQL)} AS sm,
+SCORED = f"""{split_sql('lo', 'g')}, s AS (SELECT *, {KNOWN_SQL} AS known, {PUSHY_SQL} AS pushy, {COUNT.format(PROMO_SQL)} AS sm,
   {COUNT.format(STRONG_SQL)} * 2 + {COUNT.format(WEAK_SQL)} - {COUNT.format(PROMO_SQL)} * 3 - {COUNT.format(WEAK_PROMO_SQL)}
   + CASE WHEN regexp_matches(txt, '(?i)(?:order|invoice|confirmation|booking|transaction)\\s*(?:#|number|no\\.?|id)?\\s*[:.]?\\s*[A-Z0-9-]{{5,}}') THEN 3 ELSE 0 END + CASE WHEN {KNOWN_SQL} THEN 2 ELSE 0 END AS score FROM g),
 y AS (SELECT id, ts, amount, subject || ' ' || body AS both, CASE WHEN markup THEN true WHEN v IS NOT NULL THEN a WHEN unsubscribe IS NOT NULL AND NOT known THEN false WHEN pushy THEN false WHEN sm > 0 AND NOT known THEN false ELSE score >= 3 END AS accept,
   CASE WHEN markup THEN 100 WHEN v IS NOT NULL THEN c WHEN unsubscribe IS NOT NULL AND NOT known THEN 85 WHEN pushy THEN 90 WHEN sm > 0 AND NOT known THEN 80
     WHEN score >= 3 OR score <= -2 THEN least(70 + abs(score) * 5, 95) ELSE 50 END::BIGINT AS confidence FROM s)"""
 
+LIKELY = f"{GATED}, {SCORED}"
+
 
 @query("p14_likely_receipts", f"WITH {LIKELY} SELECT id, accept, confidence FROM y")
 def likely_receipts(spark, sf_dir) -> DataFrame:
@@ -304,3 +307,64 @@ def mail_pipeline(spark, sf_dir) -> DataFrame:
     matched = fuzzy_join(t, r).where(F.col("score") >= LEAST_SCORE).agg(F.countDistinct("receipt_id").alias("matched"))
     sums = m.agg(F.count("*").alias("synced"), F.count_if("imported").alias("imported"), F.count_if("receipt").alias("receipts")).crossJoin(matched)
     return sums.select(F.expr("stack(4, 'synced', synced, 'imported', imported, 'receipts', receipts, 'matched', matched) AS (stage, n)"))
+
+
+VENDOR_HOSTS = (
+    "audioemotion.co.uk", "novationmusic.com", "mail.account.bluehost.com", "worldpay.com", "designacable.com", "shop.cooksmill.co.uk", "bahaievents.org.uk", "bahai.org.uk", "smolproducts.com", "cables4all.co.uk", "figma.com", "amazon.co.uk", "unknown.example",
+)
+VENDOR_SUBJECTS = ("Your order confirmation (#{id})", "Invoice #D{id}", "Receipt for subscription payment Nov 30, 2025", "Your Amazon Fresh order has been received", "Order: {id}", "Hello")
+VENDOR_TEXTS = (
+    "Order #{id} Total: £{a}", "Reference: R-{id} Amount: £{a}", "order ID {id} Payment: £ {a}", "Amount: $ {a} of your order", "Nothing to see", "Subtotal £1.00 Order Total: £{a} Arriving Friday, 3 May 2024", "Total: $12.50 USD Delivery date: 4 May 2024", "Grand Total € 63,75",
+)
+
+
+def vendor_mails(spark, sf_dir) -> DataFrame:
+    """Events as mails of known vendors: each host with each subject and text."""
+    e, (h, s) = events(spark, sf_dir), (len(VENDOR_HOSTS), len(VENDOR_SUBJECTS))
+    fill = lambda c: F.replace(F.replace(c, F.lit("{id}"), F.col("event_id").cast("string")), F.lit("{a}"), F.col("amount").cast("string"))
+    return e.select(
+        F.col("event_id").alias("id"), "ts", pick(VENDOR_HOSTS, F.col("event_id")).alias("host"), fill(pick(VENDOR_SUBJECTS, F.floor(F.col("event_id") / h))).alias("subject"), fill(pick(VENDOR_TEXTS, F.floor(F.col("event_id") / (h * s)))).alias("body"),
+    )
+
+
+#: The same in SQL, and each field by its vendor's patterns alone; what isn't found is an empty text.
+VENDOR_SQL = f"""{EVENTS}, vm AS (SELECT event_id AS id, {pick_sql(VENDOR_HOSTS, 'event_id')} AS host,
+  replace(replace({pick_sql(VENDOR_SUBJECTS, f'event_id // {len(VENDOR_HOSTS)}')}, '{{id}}', event_id::VARCHAR), '{{a}}', amount::VARCHAR) AS subject,
+  replace(replace({pick_sql(VENDOR_TEXTS, f'event_id // {len(VENDOR_HOSTS) * len(VENDOR_SUBJECTS)}')}, '{{id}}', event_id::VARCHAR), '{{a}}', amount::VARCHAR) AS body FROM e),
+vf AS (SELECT *, CASE WHEN host = 'unknown.example' OR (host = 'amazon.co.uk' AND NOT contains(lower(subject), 'fresh')) THEN NULL ELSE host END AS v,
+  CASE WHEN host IN ('novationmusic.com', 'shop.cooksmill.co.uk') THEN regexp_extract(subject, '#(\\d+)', 1) WHEN host = 'bahai.org.uk' THEN regexp_extract(subject, '#([A-Z]?\\d+)', 1)
+    WHEN host = 'audioemotion.co.uk' THEN regexp_extract(subject || ' ' || body, '(?i)order\\s*(?:#|number|:)?\\s*(\\d+)', 1) WHEN host = 'designacable.com' THEN regexp_extract(subject || ' ' || body, '(?i)order\\s*(?:#|:)?\\s*(\\d+)', 1)
+    WHEN host = 'mail.account.bluehost.com' THEN regexp_extract(body, '(?i)order\\s*(?:#|ID|:)?\\s*(\\d+)', 1) WHEN host = 'worldpay.com' THEN regexp_extract(body, '(?i)reference[:\\s]*([A-Z0-9\\-]+)', 1)
+    WHEN host IN ('smolproducts.com', 'cables4all.co.uk') THEN regexp_extract(body, '(?i)order\\s*(?:#|:)?\\s*(\\d+)', 1) ELSE '' END AS o,
+  CASE WHEN host = 'mail.account.bluehost.com' THEN regexp_extract(body, '(?i)(?:Total[:\\s]*|Amount[:\\s]*)\\$\\s*([0-9,]+\\.?\\d*)', 1)
+    WHEN host = 'figma.com' THEN coalesce(nullif(regexp_extract(body, '(?i)Total:?\\s*£([\\d,]+\\.?\\d*)', 1), ''), regexp_extract(body, '(?i)Total:?\\s*\\$([\\d,]+\\.?\\d*)', 1))
+    WHEN host = 'amazon.co.uk' THEN coalesce(nullif(regexp_extract(body, '(?i)Order\\s+Total[:\\s]*[£$€]?\\s*([0-9,]+\\.?\\d*)', 1), ''), nullif(regexp_extract(body, '(?i)Grand\\s+Total[:\\s]*[£$€]?\\s*([0-9,]+\\.?\\d*)', 1), ''), regexp_extract(body, '(?i)Total[:\\s]*[£$€]\\s*([0-9,]+\\.?\\d*)', 1))
+    WHEN host = 'worldpay.com' THEN coalesce(nullif(regexp_extract(body, '(?i)Total[:\\s]*£\\s*([0-9,]+\\.?\\d*)', 1), ''), nullif(regexp_extract(body, '(?i)Amount[:\\s]*£\\s*([0-9,]+\\.?\\d*)', 1), ''), regexp_extract(body, '£\\s*([0-9,]+\\.[0-9]{{2}})', 1))
+    WHEN host = 'bahaievents.org.uk' THEN regexp_extract(body, '(?i)(?:Total|Amount|Payment)[:\\s]*£\\s*([0-9,]+\\.?\\d*)', 1) WHEN host = 'bahai.org.uk' THEN regexp_extract(body, '(?i)(?:Total|Amount)[:\\s]*£\\s*([0-9,]+\\.?\\d*)', 1)
+    ELSE regexp_extract(body, '(?i)Total[:\\s]*£\\s*([0-9,]+\\.?\\d*)', 1) END AS t,
+  CASE WHEN host = 'figma.com' AND contains(subject, 'Nov 30, 2025') THEN '2025-11-30' WHEN host = 'amazon.co.uk' AND contains(body, '3 May 2024') THEN '2024-05-03' WHEN host = 'amazon.co.uk' AND contains(body, '4 May 2024') THEN '2024-05-04' END AS d FROM vm),
+vg AS (SELECT id, v, nullif(o, '') AS order_id, nullif(CASE WHEN regexp_full_match(t, '\\d+,\\d\\d') THEN replace(t, ',', '.') ELSE replace(t, ',', '') END, '')::DECIMAL(18,2) AS tot, d, body FROM vf)"""
+
+
+@query("x01_vendor_fields", f"""WITH {VENDOR_SQL} SELECT id, order_id, nullif(tot, 0)::DOUBLE AS total, d AS day,
+  CASE WHEN v IN ('mail.account.bluehost.com', 'figma.com') THEN CASE WHEN contains(body, '£') THEN 'GBP' ELSE 'USD' END WHEN v = 'amazon.co.uk' THEN CASE WHEN contains(body, '£') THEN 'GBP' WHEN contains(body, '€') THEN 'EUR' WHEN contains(body, '$') THEN 'USD' END ELSE 'GBP' END AS currency
+FROM vg WHERE v IS NOT NULL AND CASE v WHEN 'bahaievents.org.uk' THEN coalesce(tot, 0) <> 0 WHEN 'figma.com' THEN d IS NOT NULL OR coalesce(tot, 0) <> 0 WHEN 'amazon.co.uk' THEN true ELSE order_id IS NOT NULL OR coalesce(tot, 0) <> 0 END""")
+def vendor_receipts(spark, sf_dir) -> DataFrame:
+    """What the programs of twelve vendors find in their mails; a mail runs its own vendor's alone."""
+    found = vendor_mails(spark, sf_dir).select("id", vendors.vendor_fields(F.col("host"), F.col("subject"), F.col("body")).alias("x")).where("x.vendor IS NOT NULL")
+    return found.select("id", "x.order_id", F.col("x.total").cast("double").alias("total"), F.col("x.day").cast("string").alias("day"), "x.currency")
+
+
+@query("x02_full_cascade", f"""WITH {VENDOR_SQL}, lo AS (SELECT *, lower(subject) AS subj, lower('orders@' || host) AS send, lower(body) AS bod, lower(subject) || ' ' || lower(body) AS txt, false AS markup, NULL AS unsubscribe, 0 AS ts, 0 AS amount FROM vm), {SCORED},
+vk AS (SELECT id, CASE WHEN CASE v WHEN 'bahaievents.org.uk' THEN coalesce(tot, 0) <> 0 WHEN 'figma.com' THEN d IS NOT NULL OR coalesce(tot, 0) <> 0 WHEN 'amazon.co.uk' THEN true ELSE v IS NOT NULL AND (order_id IS NOT NULL OR coalesce(tot, 0) <> 0) END THEN v END AS v,
+  order_id, nullif(tot, 0)::DOUBLE AS total FROM vg)
+SELECT y.id, CASE WHEN NOT y.accept THEN 'pre_filter' WHEN v IS NOT NULL THEN 'vendor' ELSE 'other' END AS stage, CASE WHEN y.accept AND v IS NOT NULL THEN order_id END AS order_id, CASE WHEN y.accept AND v IS NOT NULL THEN total END AS total,
+  CASE WHEN NOT y.accept THEN 0 WHEN v = 'worldpay.com' THEN 80 WHEN v IS NOT NULL THEN 85 ELSE 0 END::BIGINT AS confidence FROM y JOIN vk ON y.id = vk.id""")
+def full_cascade(spark, sf_dir) -> DataFrame:
+    """The whole cascade over vendors' mails: what the gates reject, what the vendors' programs read, and what is left to linked data, patterns and the merchant's name."""
+    none = F.lit(None).cast("string")
+    m = vendor_mails(spark, sf_dir).select("id", "subject", F.concat(F.lit("orders@"), "host").alias("sender"), none.alias("sender_name"), "body", none.alias("html"), none.alias("unsubscribe"), F.col("ts").alias("received"))
+    c = vendors.cascade(m)
+    stage = F.when(F.startswith("method", F.lit("vendor_")), "vendor").when(F.col("method") == "pre_filter", "pre_filter").otherwise("other")
+    own = lambda x: F.when(stage == "vendor", x)
+    return c.select("id", stage.alias("stage"), own(F.col("order_id")).alias("order_id"), own(F.col("total").cast("double")).alias("total"), F.when(stage != "other", F.col("confidence")).otherwise(0).alias("confidence"))
