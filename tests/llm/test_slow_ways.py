@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pennyflow.llm import flac, langid, mixing, toxicity
+from pennyflow.llm import flac, kd_shards, langid, mixing, toxicity
 
 #: The three example streams that the format's specification (RFC 9639, appendix D) prints, with their samples by channel.
 PUBLISHED = (
@@ -229,3 +229,49 @@ def test_two_digests_alike(tmp_path):
     assert digests.string(int(digests.find(["b/"])[0])) == "b/"  # found among rules of one digest
     digests.digests = np.full(2, xxhash.xxh64_intdigest("c/"), np.uint64)
     assert digests.find(["c/"])[0] == -1  # the digest is there, the string isn't
+
+
+# --- k-d tree
+
+
+def slow_shards(rows, n_shards):
+    """The tree built node by node over sorted lists: rows are (key of the row, size, tie, dimensions)."""
+    dims = range(len(rows[0][3]))
+    spans = [max(1, max(r[3][d] for r in rows) - min(r[3][d] for r in rows)) for d in dims]
+    out = {}
+
+    def split(own, first, n):
+        if n == 1 or not own:
+            out.update({r[0]: first for r in own})
+            return
+        widths = [(max(r[3][d] for r in own) - min(r[3][d] for r in own)) / spans[d] for d in dims]
+        d = widths.index(max(widths))
+        key = lambda r: (r[3][d] << 47) + r[2]
+        half, total = n // 2, sum(r[1] for r in own)
+        want, before, cut = total * half / n, 0, None
+        for k in sorted({key(r) for r in own}):
+            after = before + sum(r[1] for r in own if key(r) == k)
+            if after >= want:
+                cut = k + 1 if after - want <= want - before else k
+                break
+            before = after
+        split([r for r in own if key(r) < cut], first, half)
+        split([r for r in own if key(r) >= cut], first + half, n - half)
+
+    split(rows, 0, n_shards)
+    return out
+
+
+@pytest.mark.parametrize("n_shards", [1, 2, 7, 24])
+def test_shards_of_a_tree_built_slowly(spark, docs, monkeypatch, n_shards):
+    """Without the tolerance every cut is the weighted quantile of the widest dimension, and every row in the shard of the slow tree."""
+    monkeypatch.setattr(kd_shards, "TOLERANCE", 0.0)
+    more = spark.range(500).select(
+        F.col("id") + 100, F.repeat(F.lit("word "), (F.col("id") % 41 * (F.col("id") % 3)).cast("int")), F.when(F.col("id") % 3 > 0, F.concat(F.lit("l"), (F.col("id") % 4).cast("string"))), (F.col("id") % 7).cast("string"), F.lit("x")
+    )
+    table = docs.union(more)
+    measured = kd_shards.measured(table).collect()
+    rows = [((r["id"], r["text_crc32"], r["size"]), r["size"], r["tie"], (r["d0"], r["d1"], r["d2"])) for r in measured]
+    want = slow_shards(rows, n_shards)
+    got = {(r["doc_id"], r["text_crc32"], r["size"]): r["shard"] for r in kd_shards.kd_shards(table, n_shards).collect()}
+    assert got == want
