@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
 from decimal import Decimal
 from functools import lru_cache
 from typing import NamedTuple
