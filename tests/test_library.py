@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from pennyflow import plans
 from pennyflow.functions import dates, descriptions, gates, mail, money, text
 from pennyflow.operators import categorise, duplicates, enrichment, matching, mining, receipts, rules, tables
 from pennyflow.plans import ledger, texts
@@ -185,6 +186,49 @@ def test_fuzzy_boundaries(spark):
     assert fuzzy(spark, "9.00", "9.00", own="") == [(85, "exact_amount_close_date")]
 
 
+def crowd(n, kind):
+    """Rows of one day, half of them purchases, half of another kind, at four amounts that are close together."""
+    start = dt.datetime(2024, 3, 1)
+    return [(k, start + dt.timedelta(seconds=k), k, ("purchase", kind)[k % 2], 100.0 + k % 4 / 100, "{}") for k in range(n)]
+
+
+def joined_rows(df):
+    """The rows that the joins of a collected frame made."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name, metric = node.nodeName(), node.metrics().get("numOutputRows")
+        if "Join" in name and metric.isDefined():
+            total += metric.get().value()
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+def test_a_crowded_day_makes_no_pairs(spark, tmp_path):
+    rows = spark.createDataFrame(crowd(800, "signup"), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.queries()["c04_unified_matching"](spark, str(tmp_path))
+    assert {tuple(x) for x in got.collect()} == {("orders", 400, 0), ("store", 400, 0), ("receipts", 400, 400), ("all", 400, 400)}
+    assert joined_rows(got) < 10 * 800  # all pairs: 160,000
+
+
+@pytest.mark.parametrize("of", ["txn_id", "receipt_id"])
+def test_fuzzy_hits_are_the_ids_of_the_pairs(spark, of):
+    """Amounts near the bounds, instants near the days, ways in three currencies; nulls and what isn't above 0."""
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    amounts = [None, -3.0, 0.0, 0.01, 0.49, 0.5, 0.51, 2.0, 4.5, 4.99, 5.0, 5.01, 5.48, 5.49, 5.5, 49.0, 50.0, 51.0, 99.99, 102.04, 10_000.0, 10_200.0, 10_204.08, 9_999_999.0, 1e13]
+    amount = lambda: None if (a := rng.choice(amounts)) is None else round(a * rng.choice([1, 1, 0.98, 1.02, 1.0204, 0.9804]) + rng.choice([0, 0, 0.01, -0.01]), 2)
+    at = lambda: None if rng.random() < 0.02 else start + dt.timedelta(days=rng.choice([0, 10, 11, 21, 60, 70, 200]) + rng.randint(0, 1), microseconds=rng.choice([0, 0, 1, -1, 3_600_000_000]))
+    for _ in range(2):
+        t = [(k, at(), amount(), "Shop", f"at ,{abs(amount() or 1):.2f} {rng.choice(['USD', 'EUR', 'GBP'])}, RATE 0.5/GBP" if rng.random() < 0.4 else "x") for k in range(150)]
+        r = [(k, at(), amount(), "Shop", rng.choice([None, "GBP", "usd", "EUR"])) for k in range(150)]
+        txns = spark.createDataFrame(t, "txn_id long, txn_ts timestamp_ntz, txn_amount double, txn_merchant string, txn_description string")
+        asked = spark.createDataFrame(r, "receipt_id long, receipt_ts timestamp_ntz, receipt_amount double, receipt_merchant string, receipt_currency string")
+        want = {x[0] for x in matching.fuzzy_join(txns, asked).where("score >= 70").select(of).collect()}
+        got = [x[0] for x in matching.fuzzy_hits(txns, asked, of).collect()]
+        assert sorted(got) == sorted(want) and 20 < len(want) < 140
+
+
 def test_duplicates_keep_the_first(spark):
     at = lambda m, s=0: dt.datetime(2024, 1, 1, 10, m, s)
     rows = [(1, "m", at(0), "[a, b, c]"), (2, "m", at(4), "[a, b, c]"), (3, "m", at(8), "[a, b, c]"), (4, "m", at(8), "zzz"), (5, "m", at(9), ""), (6, "n", at(4), "[a, b, c]"), (7, "m", at(30), "[a, b, c]"), (8, "m", at(35), "[a, b, d]"), (9, "m", None, "[a, b, c]")]
