@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, gates, mail, money, text
 from ..operators import vendors
-from ..operators.matching import LEAST_SCORE, fuzzy_join
+from ..operators.matching import fuzzy_hits
+from ..operators.scratch import cut
 from .base import EVENTS, MAILS, events, mails, pick, pick_sql, query, table
 
 
@@ -300,11 +301,12 @@ h AS (SELECT DISTINCT id FROM rc JOIN t ON abs(floor((epoch_us(ts) - epoch_us(tt
 SELECT 'synced' AS stage, count(*) AS n FROM k UNION ALL SELECT 'imported', count_if(imported)::BIGINT FROM k UNION ALL SELECT 'receipts', count_if(imported AND accept)::BIGINT FROM k UNION ALL SELECT 'matched', count(*) FROM h""")
 def mail_pipeline(spark, sf_dir) -> DataFrame:
     """Mails taken in, found to be receipts, and matched to bank rows by tolerant amounts and days: how many pass each stage."""
-    m = gates.judged(gated(spark, sf_dir)).select("id", "ts", "amount", "imported", (F.col("imported") & F.col("likely.accept")).alias("receipt"))
+    # Kept, as mails are judged once for the counts and for the matching.
+    m = cut(gates.judged(gated(spark, sf_dir)).select("id", "ts", "amount", "imported", (F.col("imported") & F.col("likely.accept")).alias("receipt")))
     none = F.lit(None).cast("string")
     r = m.where("receipt").select(F.col("id").alias("receipt_id"), F.col("ts").alias("receipt_ts"), F.col("amount").alias("receipt_amount"), none.alias("receipt_merchant"))
     t = events(spark, sf_dir, "purchase").select(F.col("event_id").alias("txn_id"), F.col("ts").alias("txn_ts"), F.col("amount").alias("txn_amount"), none.alias("txn_merchant"))
-    matched = fuzzy_join(t, r).where(F.col("score") >= LEAST_SCORE).agg(F.countDistinct("receipt_id").alias("matched"))
+    matched = fuzzy_hits(t, r, "receipt_id").agg(F.countDistinct("receipt_id").alias("matched"))
     sums = m.agg(F.count("*").alias("synced"), F.count_if("imported").alias("imported"), F.count_if("receipt").alias("receipts")).crossJoin(matched)
     return sums.select(F.expr("stack(4, 'synced', synced, 'imported', imported, 'receipts', receipts, 'matched', matched) AS (stage, n)"))
 

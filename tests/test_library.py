@@ -212,6 +212,15 @@ def test_a_crowded_day_makes_no_pairs(spark, tmp_path):
     assert joined_rows(got) < 10 * 800  # all pairs: 160,000
 
 
+def test_a_crowded_day_of_mails_makes_no_pairs(spark, tmp_path):
+    rows = spark.createDataFrame(crowd(800, "signup"), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.queries()["c10_mail_pipeline"](spark, str(tmp_path))
+    found = dict(got.collect())
+    assert found["synced"] == 800 and found["matched"] == found["receipts"] > 40
+    assert joined_rows(got) < 10 * 800  # all pairs: over 16,000
+
+
 @pytest.mark.parametrize("of", ["txn_id", "receipt_id"])
 def test_fuzzy_hits_are_the_ids_of_the_pairs(spark, of):
     """Amounts near the bounds, instants near the days, ways in three currencies; nulls and what isn't above 0."""
