@@ -1,8 +1,8 @@
 """Near-duplicate rows of a key in time: the first of alike rows is kept, and what is kept decides about the rows after it.
 
-A key's rows are swept in slices of time, each by one group of a task. A slice starts with what the slice before it handed over: its kept rows of the last minutes. All slices are swept at once
-with nothing handed over; then those are swept again that a hand-over reaches, and again those after a slice whose own hand-over changed, until none does. A key
-that never pauses is thus spread over its slices, and the rows are those of one sweep in order.
+A key's rows are swept in slices of time, and each row of a slice is met once, in order, by a task that holds only the kept rows of the last minutes. Hours that follow each other make one slice as long as
+their rows are few. A slice starts with what the slice before it handed over: its kept rows of the last minutes. All slices are swept at once with nothing handed over; then those again that a
+hand-over reaches. Where those hand over something else than before, the slices behind them are swept from then on only when those before them wait no more; the rows are those of one sweep in order.
 """
 
 from __future__ import annotations
@@ -10,16 +10,17 @@ from __future__ import annotations
 from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, stored
 
-#: Hours of a slice; much longer than rows may be apart.
-SLICE_HOURS = 6
+#: Hours that aren't parted; much longer than rows may be apart. And a slice's rows, which a task meets one after the other: it ends with the hours that reach so many.
+SLICE_HOURS, SLICE_ROWS = 6, 250_000
 
 
 @lru_cache(maxsize=100_000)
@@ -33,6 +34,7 @@ def letters(text: str) -> Counter:
     return Counter(text)
 
 
+@lru_cache(maxsize=100_000)
 def alike(a: str, b: str, similar: float) -> bool:
     """Whether the ratio is above ``similar``: lengths, then letters in common bound it from above, and only where they don't settle it is it computed."""
     if a == b:
@@ -45,91 +47,92 @@ def alike(a: str, b: str, similar: float) -> bool:
     return ratio(a, b) > similar
 
 
-def sweep(rows: Sequence[tuple[int, int, str, bool]], span: int, similar: float) -> tuple[list[tuple[int, int]], list[tuple[int, int, str]]]:
-    """Pairs (original, duplicate) and the kept rows of a slice's rows (at, id, items, seed) in order; seeds were kept before and aren't told again."""
-    kept: deque[tuple[int, int, str]] = deque()
-    pairs, told = [], []
-    for at, row, items, seed in rows:
-        while kept and at - kept[0][0] > span:
-            kept.popleft()
-        of = None if seed else next((k for _, k, other in kept if alike(other, items, similar)), None)
-        if of is None:
-            kept.append((at, row, items))
-            if not seed:
-                told.append((at, row, items))
-        else:
-            pairs.append((of, row))
-    return pairs, told
-
-
 #: Rows of a sweep: pairs (original, id) and, with a null original, kept rows near the slice's end.
 SWEPT = "key string, slice long, original long, id long, at long, items string"
 
 
-def _swept(rows: DataFrame, span: int, slice_span: int, similar: float) -> DataFrame:
+def _swept(rows: DataFrame, span: int, similar: float) -> DataFrame:
     # Dealt by a hash of its own: a shuffle by the columns themselves is left out over a union of joins by them, whose sides may then be dealt differently.
-    placed = rows.repartition(F.xxhash64("key", "slice")).sortWithinPartitions("key", "slice", F.desc("seed"), "at", "id")
+    # A number of parts is given, as few slices would else be put into one task by their bytes.
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    placed = rows.repartition(parts, F.xxhash64("key", "slice")).sortWithinPartitions("key", "slice", F.desc("seed"), "at", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, str, bool]] = []
-        of: tuple[str, int] | None = None
-        out: list[tuple] = []
-
-        def close() -> None:
-            if of is None:
-                return
-            key, number = of
-            pairs, told = sweep(held, span, similar)
-            out.extend((key, number, a, b, None, None) for a, b in pairs)
-            out.extend((key, number, None, row, at, items) for at, row, items in told if at >= (number + 1) * slice_span - span)
-
-        def given() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "slice", "original", "id", "at", "items"])
-            out.clear()
-            return batch
-
+        of, kept = None, deque()
         for batch in batches:
-            for key, number, at, row, items, seed in zip(*(batch.column(c).to_pylist() for c in ("key", "slice", "at", "id", "items", "seed")), strict=True):
-                if (key, number) != of:
-                    close()
-                    of, held = (key, number), []
-                held.append((at, row, items, seed))
-            if len(out) > 10_000:
-                yield given()
-        close()
-        yield given()
-
-    return placed.select("key", "slice", "at", "id", "items", "seed").mapInArrow(run, SWEPT)
-
-
-def duplicates(rows: DataFrame, keys: Sequence[str], id_col: str, ts_col: str, items_col: str, minutes: int = 5, similar: float = 0.8, slice_hours: float = SLICE_HOURS) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            key, number, at, ids, items, seed = (batch.column(c) for c in ("key", "slice", "at", "id", "items", "seed"))
+            begins = [(key[0].as_py(), number[0].as_py()) != of, *pc.or_(pc.not_equal(key[1:], key[:-1]), pc.not_equal(number[1:], number[:-1])).to_pylist()]
+            of = key[-1].as_py(), number[-1].as_py()
+            originals = []
+            for begin, t, row, text, known in zip(begins, at.to_pylist(), ids.to_pylist(), items.to_pylist(), seed.to_pylist(), strict=True):
+                if begin:
+                    kept.clear()
+                while kept and t - kept[0][0] > span:
+                    kept.popleft()
+                # Seeds were kept before and aren't told again.
+                original = None if known else next((k for _, k, other in kept if alike(other, text, similar)), None)
+                if original is None:
+                    kept.append((t, row, text))
+                originals.append(original)
+            original = pa.array(originals, pa.int64())
+            pairs, ends = original.is_valid(), pc.greater_equal(at, pc.subtract(batch.column("ends"), span))
+            told = pa.RecordBatch.from_arrays([key, number, original, ids, at, pc.if_else(pairs, pa.scalar(None, pa.string()), items.cast(pa.string()))], names=["key", "slice", "original", "id", "at", "items"])
+            yield told.filter(pc.or_(pairs, pc.and_(ends, pc.invert(seed))))
+
+    return placed.select("key", "slice", "ends", "at", "id", "items", "seed").mapInArrow(run, SWEPT)
+
+
+def _sliced(rows: DataFrame, slice_span: int, slice_rows: int) -> DataFrame:
+    """``rows`` (key, at) with ``slice``, counted from 0 in each key, and the instant at which it ``ends``: hours that follow each other, up to those that reach ``slice_rows`` rows."""
+    hours = F.floor(F.col("at") / slice_span)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("hours").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("key", hours.alias("hours")).agg(F.count("*").alias("n")).withColumn("filled", F.floor(before / slice_rows))
+    slices = counts.groupBy("key", "filled").agg(F.max("hours").alias("most"), F.collect_list("hours").alias("each"))
+    slices = slices.withColumn("slice", F.row_number().over(Window.partitionBy("key").orderBy("filled")).cast("long") - 1)
+    of = slices.select("key", "slice", ((F.col("most") + 1) * slice_span).alias("ends"), F.explode("each").alias("hours"))
+    return rows.withColumn("hours", hours).join(of, ["key", "hours"]).drop("hours")
+
+
+def duplicates(
+    rows: DataFrame, keys: Sequence[str], id_col: str, ts_col: str, items_col: str, minutes: int = 5, similar: float = 0.8, slice_hours: float = SLICE_HOURS, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """original and duplicate ids: rows of equal keys within so many minutes of a kept row whose items' text is more alike than ``similar``.
 
     In the order of time (then id) the first of such rows is kept and the others are its duplicates, which have none of their own. Null keys are equal to each other.
-    Rows without a time or items are no duplicates. Ids are whole numbers; of equal ids each row counts. A slice of a key is one group of a task, and its rows of the last minutes are compared.
+    Rows without a time or items are no duplicates. Ids are whole numbers; of equal ids each row counts. Hours that reach ``slice_rows`` rows of a key are one slice, which one task sweeps; a key whose kept rows
+    depend on each other without a pause takes a round for each of its slices.
     """
     span, slice_span = minutes * 60_000_000, int(slice_hours * 3_600_000_000)
     if slice_span < span:
         raise ValueError("a slice has to be at least as long as rows may be apart")
     at = F.unix_micros(F.col(ts_col).cast("timestamp"))
     base = rows.select(F.to_json(F.struct(*keys)).alias("key"), F.col(id_col).cast("long").alias("id"), at.alias("at"), F.col(items_col).alias("items")).where("at IS NOT NULL AND items IS NOT NULL AND items <> ''")
-    base = cut(base.withColumn("slice", F.floor(F.col("at") / slice_span)).withColumn("seed", F.lit(False)))
-    found = cut(_swept(base, span, slice_span, similar))
-    # Slices that rows near the end of the one before could reach, by their first rows.
-    starts = base.groupBy("key", "slice").agg(F.min("at").alias("first")).where(F.col("first") - F.col("slice") * slice_span <= span)
-    changed = found.where("original IS NULL").select("key", (F.col("slice") + 1).alias("slice"), "at").join(starts, ["key", "slice"]).where(F.col("first") - F.col("at") <= span).select("key", "slice").distinct()
-    changed = cut(changed)
-    while not changed.isEmpty():
-        ends = found.where("original IS NULL").select("key", (F.col("slice") + 1).alias("slice"), "at", "id", "items", F.lit(True).alias("seed"))
-        own = base.join(changed, ["key", "slice"], "left_semi").select("key", "slice", "at", "id", "items", "seed")
-        again = cut(_swept(own.unionByName(ends.join(changed, ["key", "slice"], "left_semi")), span, slice_span, similar))
-        # What the swept slices hand over now and handed over before: where it differs, the next slice has to be swept again.
-        handed = lambda df: df.where("original IS NULL").select("key", "slice", "id", "at")
-        before = handed(found).join(changed, ["key", "slice"], "left_semi")
-        differ = handed(again).exceptAll(before).unionByName(before.exceptAll(handed(again))).select("key", (F.col("slice") + 1).alias("slice")).distinct()
-        found = cut(found.join(changed, ["key", "slice"], "left_anti").select(again.columns).unionByName(again))
-        changed = cut(differ.join(starts, ["key", "slice"], "left_semi"))
-    return found.where("original IS NOT NULL").select("original", F.col("id").alias("duplicate"))
-
+    base = stored(_sliced(base, slice_span, slice_rows).select("key", "slice", "ends", "at", "id", "items", F.lit(False).alias("seed")))
+    # Every sweep of a slice, by rounds; the last one counts.
+    rounds = [stored(_swept(base, span, similar))]
+    handed = lambda df: df.where("original IS NULL").select("key", "slice", "id", "at", "items")
+    following = (F.col("slice") + 1).alias("slice")
+    ends, starts = handed(rounds[0]), cut(base.groupBy("key", "slice").agg(F.min("at").alias("first"), F.first("ends").alias("ends"), F.lit(0).alias("round")))
+    # Slices that rows near the end of the one before reach, by their first rows.
+    waiting = cut(ends.select("key", following, "at").join(starts, ["key", "slice"]).where(F.col("first") - F.col("at") <= span).select("key", "slice").distinct())
+    last = [starts.select("key", "slice", "round")]
+    while not waiting.isEmpty():
+        # First all of them, as what is handed over mostly comes out the same whatever came before; then those whose predecessor waits no more. They are few: a key has one for each ``slice_rows`` rows.
+        now = waiting if len(rounds) == 1 else cut(waiting.join(F.broadcast(waiting.select("key", following)), ["key", "slice"], "left_anti"))
+        own = base.join(F.broadcast(now), ["key", "slice"], "left_semi")
+        seeds = ends.select("key", following, "at", "id", "items", F.lit(True).alias("seed")).join(F.broadcast(now), ["key", "slice"], "left_semi").join(starts.select("key", "slice", "ends"), ["key", "slice"])
+        again = stored(_swept(own.unionByName(seeds), span, similar))
+        before = ends.join(F.broadcast(now), ["key", "slice"], "left_semi").select("key", "slice", "id", "at")
+        after = handed(again).select(before.columns)
+        differ = after.exceptAll(before).unionByName(before.exceptAll(after)).select("key", following).distinct().join(starts, ["key", "slice"], "left_semi")
+        waiting = cut(waiting.join(F.broadcast(now), ["key", "slice"], "left_anti").unionByName(differ).distinct())
+        ends = cut(ends.join(F.broadcast(now), ["key", "slice"], "left_anti").unionByName(handed(again)))
+        last.append(now.withColumn("round", F.lit(len(rounds))))
+        rounds.append(again)
+    pairs = reduce(DataFrame.unionByName, [df.where("original IS NOT NULL").withColumn("round", F.lit(k)) for k, df in enumerate(rounds)])
+    if len(rounds) > 1:
+        pairs = pairs.join(reduce(DataFrame.unionByName, last).groupBy("key", "slice").agg(F.max("round").alias("round")), ["key", "slice", "round"], "left_semi")
+    return pairs.select("original", F.col("id").alias("duplicate"))

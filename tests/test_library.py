@@ -245,6 +245,26 @@ def test_duplicates_keep_the_first(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 2), (7, 8)]  # 3 is more than five minutes after the kept one
 
 
+@pytest.mark.parametrize(("slice_rows", "most"), [(duplicates.SLICE_ROWS, 1), (200, 4), (100, 7), (1, 40)])
+def test_a_key_that_never_pauses_takes_a_round_for_so_many_rows(spark, monkeypatch, slice_rows, most):
+    """Every kept row depends on the one before it, over 30 slices of six hours; the rounds are bounded by rows, and the pairs are those of one sweep."""
+    drawn, rows, now, calls = random.Random(3), [], 0.0, []
+    for k in range(600):
+        now += drawn.expovariate(1 / 1080)
+        rows.append((k, "a", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=now), "tea"))
+    want, kept = [], None
+    for row in rows:
+        if kept is None or (row[2] - kept[2]).total_seconds() > 5400:
+            kept = row
+        else:
+            want.append((kept[0], row[0]))
+    swept = duplicates._swept
+    monkeypatch.setattr(duplicates, "_swept", lambda *a: calls.append(1) or swept(*a))
+    df = spark.createDataFrame(rows, "id long, m string, ts timestamp, items string")
+    got = duplicates.duplicates(df, ["m"], "id", "ts", "items", minutes=90, slice_rows=slice_rows)
+    assert sorted(map(tuple, got.collect())) == want and len(calls) <= most
+
+
 @pytest.mark.parametrize("hours", [0.25, 6])
 def test_duplicates_of_a_key_that_never_pauses(spark, hours):
     """Against one sweep over all rows with the plain ratio: what is handed over from slice to slice changes what is kept far behind."""
