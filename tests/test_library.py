@@ -265,6 +265,22 @@ def test_a_key_that_never_pauses_takes_a_round_for_so_many_rows(spark, monkeypat
     assert sorted(map(tuple, got.collect())) == want and len(calls) <= most
 
 
+@pytest.mark.parametrize("slice_rows", [1, 40])
+def test_duplicates_over_slices_of_few_rows(spark, slice_rows):
+    """Against one sweep over all rows with the plain ratio; slices end anywhere, and some hours are empty."""
+    drawn, rows, now = random.Random(slice_rows), [], 0.0
+    for k in range(700):
+        now += drawn.uniform(1, 100) if k % 150 else 5000
+        rows.append((k, drawn.choice(["a", "a", None]), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=now), drawn.choice(["tea, cup", "tea, cups", "a cup of tea", "red bolt", "blue bolt", "bolt"])))
+    want, kept = [], []
+    for k, key, t, items in rows:
+        of = next((j for j, other, s, text in kept if other == key and (t - s).total_seconds() <= 300 and SequenceMatcher(None, text, items).ratio() > 0.8), None)
+        kept.append((k, key, t, items)) if of is None else want.append((of, k))
+    df = spark.createDataFrame(rows, "id long, m string, ts timestamp, items string")
+    got = duplicates.duplicates(df, ["m"], "id", "ts", "items", slice_hours=0.1, slice_rows=slice_rows)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("hours", [0.25, 6])
 def test_duplicates_of_a_key_that_never_pauses(spark, hours):
     """Against one sweep over all rows with the plain ratio: what is handed over from slice to slice changes what is kept far behind."""
