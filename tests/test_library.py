@@ -238,6 +238,20 @@ def test_fuzzy_hits_are_the_ids_of_the_pairs(spark, of):
         assert sorted(got) == sorted(want) and 20 < len(want) < 140
 
 
+def test_fuzzy_pairs_are_compared_by_whole_numbers(spark):
+    """One join by bins, in which cents and microseconds are compared; decimals of a pair would be objects."""
+    plan = plans.queries()["j14_receipt_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join [__day" in x]
+    assert len(joins) == 1 and "decimal" not in joins[0]
+
+
+@pytest.mark.parametrize(("own", "text"), [("tesco", "at tesco 12"), ("té", "café té"), ("x", "box"), ("", "box"), ("東京", "in 東京 now"), ("🎉🎊", "a 🎉🎊 b")])
+def test_pair_bits_of_what_a_text_holds(spark, own, text):
+    bits = lambda t: one(spark, matching._pair_bits(F.col("t")), t=t)
+    assert bits(own) & ~bits(text) == 0
+    assert bits("tesco") & ~bits("market") != 0
+
+
 def test_duplicates_keep_the_first(spark):
     at = lambda m, s=0: dt.datetime(2024, 1, 1, 10, m, s)
     rows = [(1, "m", at(0), "[a, b, c]"), (2, "m", at(4), "[a, b, c]"), (3, "m", at(8), "[a, b, c]"), (4, "m", at(8), "zzz"), (5, "m", at(9), ""), (6, "n", at(4), "[a, b, c]"), (7, "m", at(30), "[a, b, c]"), (8, "m", at(35), "[a, b, d]"), (9, "m", None, "[a, b, c]")]
