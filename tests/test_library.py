@@ -245,6 +245,16 @@ def test_fuzzy_pairs_are_compared_by_whole_numbers(spark):
     assert len(joins) == 1 and "decimal" not in joins[0]
 
 
+def test_ranked_receipts_are_ranked_where_they_are_paired(spark):
+    """No pair is shuffled between the join and the window; receipts of one id, wherever they lie, are ranked together."""
+    plan = plans.queries()["w02_ranked_receipts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("Window ["):plan.index("Join [__day")]
+    t = spark.createDataFrame([(k, dt.datetime(2024, 1, 1), a, None) for k, a in enumerate((9.0, 900.0, 9.1))], "txn_id long, txn_ts timestamp, txn_amount double, txn_merchant string")
+    r = spark.createDataFrame([(7, dt.datetime(2024, 1, 1), a, "x") for a in (9.0, 900.0)], "receipt_id long, receipt_ts timestamp, receipt_amount double, receipt_merchant string")
+    got = matching.fuzzy_ranked(t, r).select("txn_id", "score", "rank", "primary").collect()
+    assert sorted(map(tuple, got)) == [(0, 85, 1, True), (1, 85, 2, False), (2, 70, 3, False)]
+
+
 @pytest.mark.parametrize(("own", "text"), [("tesco", "at tesco 12"), ("té", "café té"), ("x", "box"), ("", "box"), ("東京", "in 東京 now"), ("🎉🎊", "a 🎉🎊 b")])
 def test_pair_bits_of_what_a_text_holds(spark, own, text):
     bits = lambda t: one(spark, matching._pair_bits(F.col("t")), t=t)
